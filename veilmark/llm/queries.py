@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilmark.llm import encoding, formatting, lookalikes, terms
+from veilmark.llm import boilerplate, encoding, formatting, leakage, lookalikes, quality, terms
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": terms.marked_terms,
         "p2_found": lookalikes.same_look,
+        "p3_found": quality.doubtful_texts,
+        "p3_statistics": quality.statistics,
+        "p4_found": boilerplate.site_lines,
+        "p4_texts": boilerplate.stripped_texts,
         "p6_found": formatting.same_but_formatting,
         "p8_ids": encoding.token_ids,
+        "p9_found": leakage.leaked_items,
     }
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilmark.llm import boilerplate, encoding, formatting, leakage, lookalikes, quality, terms
+from veilmark.llm import boilerplate, encoding, formatting, leakage, lookalikes, quality, splits, terms
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": boilerplate.site_lines,
         "p4_texts": boilerplate.stripped_texts,
         "p6_found": formatting.same_but_formatting,
+        "p7_found": splits.broken_lists,
+        "p7_assignment": splits.assignment,
         "p8_ids": encoding.token_ids,
         "p9_found": leakage.leaked_items,
     }

@@ -1,0 +1,55 @@
+"""A full-text index (FM-index) over integer sequences with vectorised backward search.
+
+The index is the Burrows-Wheeler transform of the concatenated sequences, kept as the sorted list of (symbol, row): the
+place of (c, row) in it is C[c] + Occ(c, row), so one binary search is one backward step. Suffixes are sorted by their
+first ORDER symbols, which is exact for patterns up to that length.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+ORDER = 16
+
+
+class FMIndex:
+    def __init__(self, text: np.ndarray, sigma: int):
+        """text: symbols 1..sigma with 0 between the sequences."""
+        n = len(text)
+        self.n = np.int64(n)
+        rank = text.astype(np.int64)
+        span = 1
+        order = np.argsort(rank, kind="stable")
+        while span < ORDER:
+            after = np.zeros(n, np.int64)
+            after[:-span] = rank[span:] + 1
+            key = rank * np.int64(max(n, sigma) + 2) + after
+            order = np.argsort(key, kind="stable")
+            ordered = key[order]
+            fresh = np.empty(n, np.int64)
+            fresh[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+            if fresh[order[-1]] == n - 1:
+                rank = fresh
+                break
+            # sequences end at 0: what follows a separator tells nothing and need not be sorted on
+            rank, span = fresh, span * 2
+        self.rows = order  # row -> position in the text
+        bwt = text[order - 1].astype(np.int64)
+        self.steps = np.sort(bwt * self.n + np.arange(n))
+        self.first = np.searchsorted(self.steps, np.arange(sigma + 2) * self.n)
+
+    def start(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that begin with each symbol."""
+        return self.first[symbols], self.first[symbols + 1]
+
+    def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One backward step: rows that begin with the symbol followed by what the rows low..high begin with."""
+        at = symbols * self.n
+        return np.searchsorted(self.steps, at + low), np.searchsorted(self.steps, at + high)
+
+
+def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, row) of all rows of all intervals."""
+    size = high - low
+    owner = np.repeat(np.arange(len(low)), size)
+    return owner, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + low[owner]

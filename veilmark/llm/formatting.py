@@ -67,3 +67,8 @@ def format_classes(df: DataFrame) -> DataFrame:
 def same_but_formatting(spark: SparkSession, folder: str) -> DataFrame:
     """p6_found: pairs of records equal but for formatting; equal texts are a case."""
     return class_pairs(format_classes(records(spark, folder, "text"))).distinct()
+
+
+def copy_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """p6_classes: one record of each class with its number of copies."""
+    return collapsed(records(spark, folder, "text"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilmark.llm import boilerplate, encoding, formatting, leakage, lookalikes, quality, splits, terms
+from veilmark.llm import boilerplate, encoding, formatting, leakage, lookalikes, overlap, quality, splits, subjects, terms
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,11 +17,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_statistics": quality.statistics,
         "p4_found": boilerplate.site_lines,
         "p4_texts": boilerplate.stripped_texts,
+        "p5_found": overlap.split_overlaps,
+        "p5_report": overlap.overlap_report,
+        "p6_classes": formatting.copy_counts,
         "p6_found": formatting.same_but_formatting,
         "p7_found": splits.broken_lists,
         "p7_assignment": splits.assignment,
         "p8_ids": encoding.token_ids,
         "p9_found": leakage.leaked_items,
+        "p10_found": subjects.subject_areas,
+        "p1_counts": terms.all_terms,
+        "p2_texts": lookalikes.consistent_texts,
     }
 
 

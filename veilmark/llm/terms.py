@@ -114,3 +114,8 @@ def marked_terms(spark: SparkSession, folder: str) -> DataFrame:
     """p1_found: the rare and the common terms and values; in tiny tables a term can be both."""
     marks = F.array_compact(F.array(F.when(F.col("rare"), F.lit("rare")), F.when(F.col("common"), F.lit("common"))))
     return term_marks(records(spark, folder, "site_id", "text")).select("field_name", "term", F.explode(marks).alias("mark"))
+
+
+def all_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """p1_counts: occurrences and records of every term and value."""
+    return term_counts(records(spark, folder, "site_id", "text")).where("field_name <> ''")

@@ -101,24 +101,30 @@ def trusted_seeds(labels: DataFrame, areas: DataFrame) -> DataFrame:
     return seeds.join(share, "doc_id")
 
 
-def term_subjects(links: DataFrame, labelled: DataFrame) -> DataFrame:
-    """(term, subject, likelihood) of verified terms, from the documents' labels (doc_id, subject, weight)."""
-    held = links.join(labelled, "doc_id").groupBy("term", "subject").agg(F.sum("weight").alias("w"))
+def term_subjects(nodes: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(term, subject, likelihood) of verified terms, from the documents' labels (doc_id, subject, weight).
+
+    nodes: doc_id, terms. The join moves a document's terms as one array; they are exploded behind it.
+    """
+    own = labelled.groupBy("doc_id").agg(F.collect_list(F.struct("subject", "weight")).alias("own"))  # one entry a subject
+    held = nodes.join(own, "doc_id").select("terms", F.inline("own")).select("subject", "weight", F.explode("terms").alias("term")).groupBy("term", "subject").agg(F.sum("weight").alias("w"))
     size = labelled.groupBy("subject").agg(F.sum("weight").alias("size"))  # one row a subject
     rate = held.join(F.broadcast(size), "subject").select("term", "subject", "w", (F.col("w") / F.col("size")).alias("rate"))
-    whole = rate.groupBy("term").agg(F.sum("w").alias("support"), F.sum("rate").alias("rates"), F.max("rate").alias("top")).where((F.col("support") >= LEAST_SUPPORT) & (F.col("top") >= VERIFIED * F.col("rates")))
-    return rate.join(whole, "term").select("term", "subject", (F.col("rate") / F.col("rates")).alias("likelihood")).where("likelihood >= 0.02")
+    by_term = rate.groupBy("term").agg(F.sum("w").alias("support"), F.sum("rate").alias("rates"), F.max("rate").alias("top"), F.collect_list(F.struct("subject", "rate")).alias("own"))
+    verified = by_term.where((F.col("support") >= LEAST_SUPPORT) & (F.col("top") >= VERIFIED * F.col("rates")))
+    return verified.select("term", "rates", F.inline("own")).select("term", "subject", (F.col("rate") / F.col("rates")).alias("likelihood")).where("likelihood >= 0.02")
 
 
-def propagated(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(term, subject, likelihood) after the rounds; links: doc_id, term."""
-    terms = checkpointed(term_subjects(links, seeds))
+def propagated(nodes: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(term, subject, likelihood) after the rounds; nodes: doc_id, terms."""
+    terms = checkpointed(term_subjects(nodes, seeds))
     for _ in range(rounds):
+        links = nodes.select("doc_id", F.explode("terms").alias("term"))
         by_subject = links.join(F.broadcast(terms), "term").groupBy("doc_id", "subject").agg(F.sum("likelihood").alias("w"))
         totals = by_subject.groupBy("doc_id").agg(F.sum("w").alias("all"), F.collect_list(F.struct("subject", "w")).alias("own"))  # one entry a subject
         labelled = totals.where(f"all >= {LEAST_SUPPORT}").select("doc_id", F.expr(f"inline(filter(transform(own, x -> struct(x.subject AS subject, x.w / all AS weight)), x -> x.weight >= {KEPT_SHARE}))"))
         clamped = labelled.join(seeds.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(seeds)
-        terms = checkpointed(term_subjects(links, checkpointed(clamped)))
+        terms = checkpointed(term_subjects(nodes, checkpointed(clamped)))
     return terms
 
 
@@ -130,8 +136,7 @@ def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> Da
     (those of the greatest likelihood, on a tie).
     """
     nodes = graph(documents)
-    links = nodes.select("doc_id", F.explode(F.array_distinct("terms")).alias("term"))
-    terms = propagated(links, trusted_seeds(labels, areas))
+    terms = propagated(nodes.select("doc_id", F.array_distinct("terms").alias("terms")), trusted_seeds(labels, areas))
     best = terms.groupBy("term").agg(F.max_by("subject", "likelihood").alias("subject"), F.max("likelihood").alias("likelihood")).where(f"likelihood >= {DECISIVE}")
     rows = best.collect()  # at most the vocabulary, which is bounded
     names = sorted({r["subject"] for r in rows})

@@ -1,15 +1,819 @@
-"""Named queries of the engine and their SQL equivalents."""
+"""Named queries of the engine over the Parquet tables of a folder."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from veilmark import oracles
+from veilmark.functions import text as T
+from veilmark.functions.statistics import exact_percentile, jaccard, sample_sd
+from veilmark.operators import attacks, audit, bpe, corpus, metrics, paillier, privacy, reporting, roles, tokens
+from veilmark.plans import matrix
+from veilmark.session import table
+from veilmark.streaming import events as streams
+
+SEED = 20260726
+VOCAB, SHADOW_VOCAB, CANDIDATES = 2000, 800, 64
+
+
+# ---- inputs -------------------------------------------------------------------------------------------------------
+
+
+def records(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Distinct records: (idx, columns...)."""
+    names = columns or ("site_id", "text")
+    rows = table(s, d, "stream_final_c4").where("source_record_index IS NOT NULL").select(F.col("source_record_index").alias("idx"), *names)
+    return rows.dropDuplicates(["idx"])
+
+
+def checked(s: SparkSession, d: str) -> DataFrame:
+    return corpus.with_validity(records(s, d))
+
+
+def accepted(s: SparkSession, d: str) -> DataFrame:
+    """Valid records with a site and the hash of their collapsed, case-folded text."""
+    return checked(s, d).where("reason IS NULL AND site_id IS NOT NULL").withColumn("norm_hash", F.sha2(T.collapsed(F.col("text")), 256)).drop("reason")
+
+
+def texts(s: SparkSession, d: str) -> DataFrame:
+    return records(s, d).where("site_id IS NOT NULL AND text IS NOT NULL")
+
+
+def first_manifest(s: SparkSession, d: str) -> DataFrame:
+    """The manifest of least id, as distinct (manifest_id, role, site_id)."""
+    rows = table(s, d, "manifests")
+    first = rows.agg(F.min("manifest_id").alias("manifest_id"))
+    return roles.manifest_roles(rows.join(F.broadcast(first), "manifest_id"))  # one row
+
+
+def training_of_first(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "manifests")
+    return roles.shadow_training(rows.join(F.broadcast(rows.agg(F.min("manifest_id").alias("manifest_id"))), "manifest_id"))
+
+
+def sites_in(s: SparkSession, d: str, role: str) -> DataFrame:
+    return first_manifest(s, d).where(F.col("role") == role).select("site_id")
+
+
+def unit_table(s: SparkSession, d: str) -> DataFrame:
+    """(site_id, unit, cnt) of the sites of the first manifest."""
+    used = first_manifest(s, d).select("site_id").distinct()
+    return tokens.unit_counts(texts(s, d).join(used, "site_id", "left_semi"), "site_id")
+
+
+def target_vocab(s: SparkSession, d: str) -> DataFrame:
+    members = sites_in(s, d, "target_member")
+    return tokens.top_units_as_vocab(unit_table(s, d).join(members, "site_id", "left_semi"), VOCAB)
+
+
+def shadow_vocab(s: SparkSession, d: str) -> DataFrame:
+    """(shadow_id, token, id): the most frequent units of each shadow's training sites."""
+    counts = unit_table(s, d).join(training_of_first(s, d), "site_id").groupBy("shadow_id", "unit").agg(F.sum("cnt").alias("cnt"))
+    w = Window.partitionBy("shadow_id").orderBy(F.desc("cnt"), "unit")
+    return counts.withColumn("id", F.row_number().over(w) - 1).where(F.col("id") < SHADOW_VOCAB).select("shadow_id", F.col("unit").alias("token"), "id")
+
+
+def site_tokens(s: SparkSession, d: str) -> DataFrame:
+    """(site_id, token, cnt) by substrings of the target vocabulary."""
+    counts, vocab = unit_table(s, d), target_vocab(s, d)
+    return tokens.token_counts(counts, tokens.substring_tokens(counts, vocab, 24), "site_id")
+
+
+def involved(s: SparkSession, d: str) -> DataFrame:
+    """Sites of the first two shadow plans."""
+    return training_of_first(s, d).where("shadow_id < 2").select("site_id").distinct()
+
+
+def scores(s: SparkSession, d: str) -> DataFrame:
+    return metrics.clean_scores(table(s, d, "attack_details"), "run_id")
+
+
+def run_metrics(s: SparkSession, d: str) -> DataFrame:
+    """(run_id, manifest, attack, metrics...)."""
+    m = metrics.scalar_metrics(scores(s, d), "run_id")
+    return m.withColumn("manifest", F.regexp_extract("run_id", r"^run_(\d+)_", 1).cast("bigint")).withColumn("attack", F.regexp_extract("run_id", r"^run_\d+_(.*)$", 1))
+
+
+def words(s: SparkSession, d: str) -> DataFrame:
+    return tokens.words_of(unit_table(s, d), "site_id")
+
+
+def public_pairs(s: SparkSession, d: str) -> DataFrame:
+    public = sites_in(s, d, "public_candidate")
+    return tokens.symbol_pairs(words(s, d).join(public, "site_id", "left_semi"), "site_id")
+
+
+def no_vocab(s: SparkSession) -> DataFrame:
+    return s.createDataFrame([("th",), ("in",)], "token string")
+
+
+def candidates(s: SparkSession, d: str) -> DataFrame:
+    return tokens.top_pairs(public_pairs(s, d), no_vocab(s), CANDIDATES)
+
+
+def member_vectors(s: SparkSession, d: str) -> DataFrame:
+    members = sites_in(s, d, "target_member")
+    pairs = tokens.symbol_pairs(words(s, d).join(members, "site_id", "left_semi"), "site_id")
+    present = unit_table(s, d).join(members, "site_id", "left_semi").select("site_id")
+    return tokens.candidate_vectors(pairs, present, candidates(s, d))
+
+
+def public_norms(s: SparkSession, d: str) -> DataFrame:
+    pairs = public_pairs(s, d)
+    return privacy.site_norms(tokens.candidate_vectors(pairs, pairs.select("site_id"), candidates(s, d)))
+
+
+def six(df: DataFrame) -> DataFrame:
+    """Doubles rounded for comparison across engines."""
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def supplier_cells(s: SparkSession, d: str) -> DataFrame:
+    """A benchmark grid: clients by K with mean times, from the line items."""
+    rows = table(s, d, "lineitem")
+    clients, k = F.pow(F.lit(2), F.col("l_linenumber") - 1).cast("int"), F.pow(F.lit(2), F.lit(7) + F.col("l_suppkey") % 4).cast("int")
+    return rows.groupBy(clients.alias("clients"), k.alias("k")).agg(F.avg(F.col("l_extendedprice") / 1000).alias("seconds"))
+
+
+# ---- queries ------------------------------------------------------------------------------------------------------
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    _QUERIES[function.__name__] = function
+    return function
+
+
+@query
+def corpus_reason_histogram(s, d):
+    return corpus.reason_histogram(checked(s, d))
+
+
+@query
+def corpus_valid_text_stats(s, d):
+    t = F.col("text")
+    rows = checked(s, d).where("reason IS NULL")
+    return six(rows.agg(F.count("*").alias("n"), F.sum(F.length(t)).alias("chars"), F.sum(F.octet_length(t)).alias("bytes"), F.sum(T.letter_count(t)).alias("letters"), F.sum(T.ascii_letter_count(t)).alias("ascii_letters"), exact_percentile(F.length(t), 0.5).alias("p50"), exact_percentile(F.length(t), 0.95).alias("p95")))
+
+
+@query
+def corpus_first_occurrence(s, d):
+    return corpus.first_occurrences(accepted(s, d).select("norm_hash", "idx", "site_id"), "norm_hash", "idx").select("idx", "site_id")
+
+
+@query
+def corpus_dup_within_cross(s, d):
+    return corpus.duplicate_kinds(accepted(s, d).select("norm_hash", "idx", "site_id"), "norm_hash", "idx")
+
+
+@query
+def corpus_site_cap(s, d):
+    first = corpus.first_occurrences(accepted(s, d).select("norm_hash", "idx", "site_id"), "norm_hash", "idx")
+    return corpus.capped(first, "site_id", "idx", 20).select("idx", "site_id")
+
+
+@query
+def corpus_sequential(s, d):
+    return corpus.retained_sequential(accepted(s, d), 20).select("idx", "site_id")
+
+
+@query
+def corpus_site_qualified(s, d):
+    return corpus.qualified_sites(accepted(s, d), "site_id", 10)
+
+
+@query
+def corpus_scan_limit(s, d):
+    return corpus.scan_limit(accepted(s, d).select("idx", "site_id"), 10, 8, 5, 4)
+
+
+@query
+def corpus_bounded_scan(s, d):
+    return records(s, d).where(F.col("idx") < 1000).agg(F.count("*").alias("n"), F.max("idx").alias("last"))
+
+
+@query
+def corpus_scale_sites(s, d):
+    return corpus.choose_sites(corpus.qualified_sites(accepted(s, d), "site_id", 1), SEED, {"main": (10, 16), "development": (5, 8)})
+
+
+@query
+def corpus_site_counts(s, d):
+    return accepted(s, d).groupBy("site_id").agg(F.count("*").alias("n"))
+
+
+@query
+def corpus_text_totals(s, d):
+    return corpus.site_text_totals(texts(s, d))
+
+
+@query
+def corpus_semi_join(s, d):
+    return texts(s, d).join(sites_in(s, d, "target_member"), "site_id", "left_semi").groupBy("site_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
+@query
+def corpus_missing_sites(s, d):
+    return corpus.missing_sites(roles.manifest_roles(table(s, d, "manifests")), texts(s, d))
+
+
+@query
+def corpus_heldout_texts(s, d):
+    return texts(s, d).join(sites_in(s, d, "target_nonmember"), "site_id", "left_semi").select("idx", F.length("text").alias("chars"))
+
+
+@query
+def corpus_content_hashes(s, d):
+    rows = records(s, d, "text_sha256", "text").where("text IS NOT NULL")
+    return rows.select("idx", F.sha2("text", 256).alias("digest"), F.coalesce(F.lower("text_sha256") == F.sha2("text", 256), F.lit(False)).alias("stored_right"))
+
+
+@query
+def corpus_letter_statistics(s, d):
+    t = F.col("text")
+    return six(records(s, d).where("text IS NOT NULL").select("idx", F.length(t).alias("chars"), F.octet_length(t).alias("bytes"), T.letter_count(t).alias("letters"), T.letter_ratio(t).alias("ratio")))
+
+
+@query
+def corpus_url_leaks(s, d):
+    hosts = table(s, d, "sites").select("site_id", "host").dropna().groupBy("site_id").agg(F.min("host").alias("host"))
+    rows = texts(s, d).join(hosts, "site_id")
+    return rows.where(F.col("text").rlike(T.URL) | F.contains(T.folded(F.col("text")), F.lower("host"))).select("idx")
+
+
+@query
+def corpus_normalized_hash(s, d):
+    """NFKC and case folding; SQL engines lack both, so rows only."""
+    return records(s, d).where("text IS NOT NULL").select("idx", F.sha2(T.normalized(F.col("text")), 256).alias("normalized"))
+
+
+@query
+def corpus_audit(s, d):
+    return audit.corpus_audit(records(s, d, "site_id", "text", "text_sha256", "char_count", "byte_count"))
+
+
+@query
+def raw_host_sites(s, d):
+    rows = table(s, d, "raw_stream").select("source_record_index", T.normal_host(F.col("url")).alias("host")).distinct().where("host IS NOT NULL")
+    return rows.groupBy("host").agg(F.count("*").alias("n")).withColumn("site_id", T.site_of_host(F.col("host")))
+
+
+@query
+def raw_rejected_hosts(s, d):
+    rows = table(s, d, "raw_stream").select("source_record_index", "url").distinct()
+    return rows.groupBy(F.when(T.normal_host(F.col("url")).isNull(), "invalid_url").otherwise("host").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query
+def raw_outcomes(s, d):
+    return table(s, d, "raw_stream").select("source_record_index", "outcome").distinct().groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query
+def raw_url_hashes(s, d):
+    rows = table(s, d, "raw_stream").where("url IS NOT NULL").select("source_record_index", "url").distinct()
+    return rows.select("source_record_index", F.sha2("url", 256).alias("url_sha256"))
+
+
+@query
+def site_hash_rank(s, d):
+    return roles.hash_ranked(accepted(s, d), "final:main", SEED).select("site_id", "key", "rank")
+
+
+@query
+def site_roles(s, d):
+    return roles.role_slices(accepted(s, d), SEED)
+
+
+@query
+def role_overlap_audit(s, d):
+    return audit.overlapping_roles(roles.manifest_roles(table(s, d, "manifests")))
+
+
+@query
+def manifest_partition_audit(s, d):
+    """Sites of the target pool that are no member or nonmember, and the reverse."""
+    r = roles.manifest_roles(table(s, d, "manifests"))
+    pool = r.where("role = 'target_pool'").select("manifest_id", "site_id")
+    split = r.where("role IN ('target_member', 'target_nonmember')").select("manifest_id", "site_id").distinct()
+    return reporting.missing_cells(pool, split, ["manifest_id", "site_id"])
+
+
+@query
+def shadow_coverage_audit(s, d):
+    r = roles.manifest_roles(table(s, d, "manifests")).where("role = 'target_pool'").select("manifest_id", "site_id")
+    return audit.uncovered_sites(roles.shadow_training(table(s, d, "manifests")), r, "manifest_id").select("manifest_id", "site_id", "n")
+
+
+@query
+def balanced_probes(s, d):
+    return roles.balanced_probes(sites_in(s, d, "target_pool"), 16, SEED)
+
+
+@query
+def probe_balance_audit(s, d):
+    return audit.unbalanced_probes(roles.balanced_probes(sites_in(s, d, "target_pool"), 16, SEED), [8, 16])
+
+
+@query
+def auxiliary_groups(s, d):
+    return roles.auxiliary_groups(sites_in(s, d, "shadow_auxiliary"), 4, 5, SEED)
+
+
+@query
+def involved_sites(s, d):
+    return involved(s, d)
+
+
+@query
+def nonmember_except(s, d):
+    pool, member = sites_in(s, d, "target_pool"), sites_in(s, d, "target_member")
+    return pool.exceptAll(member.intersect(pool)).distinct()
+
+
+@query
+def stratified_split(s, d):
+    rows = table(s, d, "subject_labels").where("subject IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.lower(F.trim("subject")).alias("label")).groupBy("doc_id").agg(F.min("label").alias("label"))
+    return roles.stratified_split(rows, "label", "doc_id", SEED, 0.1).select("doc_id", "label", "split")
+
+
+@query
+def split_priority_dedupe(s, d):
+    docs = table(s, d, "documents").where("text IS NOT NULL").select(F.sha2(T.collapsed(F.col("text")), 256).alias("h"), "doc_id")
+    parts = [(n, docs.where(F.pmod("doc_id", F.lit(10)).isin(*k))) for n, k in (("test", (0,)), ("validation", (1,)), ("train", (2, 3, 4, 5, 6, 7, 8, 9)))]
+    return roles.split_priority(parts, "h", "doc_id").select("h", "doc_id", "split")
+
+
+@query
+def class_histogram(s, d):
+    return stratified_split(s, d).groupBy("split", "label").agg(F.count("*").alias("n"))
+
+
+@query
+def unit_frequency_topk(s, d):
+    return tokens.top_units_as_vocab(tokens.unit_counts(texts(s, d)), 500)
+
+
+@query
+def unit_counts_by_site(s, d):
+    return tokens.unit_counts(texts(s, d), "site_id").groupBy("site_id").agg(F.count("*").alias("distinct_units"), F.sum("cnt").alias("units"))
+
+
+@query
+def sentence_stats(s, d):
+    rows = texts(s, d).select(F.explode(T.sentence_list(F.col("text"))).alias("x"))
+    return six(rows.agg(F.count("*").alias("sentences"), F.avg(F.length("x")).alias("mean_chars"), F.median(F.length("x")).cast("double").alias("median_chars")))
+
+
+@query
+def rare_words(s, d):
+    return tokens.word_frequencies(texts(s, d)).where("cnt <= 2").groupBy("cnt").agg(F.count("*").alias("words"))
+
+
+@query
+def alphabet(s, d):
+    public = sites_in(s, d, "public_candidate")
+    return tokens.alphabet(unit_table(s, d).join(public, "site_id", "left_semi"))
+
+
+@query
+def pair_counts_two_levels(s, d):
+    return tokens.pair_counts_two_levels(words(s, d)).groupBy("site_id").agg(F.count("*").alias("pairs"), F.sum("cnt").alias("total"), F.max("cnt").alias("most"))
+
+
+@query
+def pair_topk(s, d):
+    return candidates(s, d)
+
+
+@query
+def candidate_vectors(s, d):
+    return member_vectors(s, d)
+
+
+@query
+def public_site_norms(s, d):
+    return public_norms(s, d)
+
+
+@query
+def public_clip_bound(s, d):
+    return privacy.clip_bound(public_norms(s, d))
+
+
+@query
+def l1_clip(s, d):
+    return privacy.l1_clip(member_vectors(s, d), 500)
+
+
+@query
+def clipped_vector_sum(s, d):
+    return privacy.coordinate_sums(privacy.l1_clip(member_vectors(s, d), 500))
+
+
+@query
+def plain_vector_sum(s, d):
+    return privacy.coordinate_sums(member_vectors(s, d))
+
+
+@query
+def substring_counts(s, d):
+    return site_tokens(s, d).groupBy("site_id").agg(F.count("*").alias("tokens"), F.sum("cnt").alias("total"))
+
+
+@query
+def global_token_counts(s, d):
+    return site_tokens(s, d).groupBy("token").agg(F.sum("cnt").alias("cnt"))
+
+
+@query
+def background_counts(s, d):
+    return tokens.background_counts(site_tokens(s, d), involved(s, d))
+
+
+@query
+def vocab_truncate(s, d):
+    return tokens.truncated_vocab(target_vocab(s, d), 300)
+
+
+@query
+def min_count_filter(s, d):
+    return tokens.min_count_vocab(target_vocab(s, d), tokens.background_counts(site_tokens(s, d), involved(s, d)), 50)
+
+
+@query
+def merge_validity(s, d):
+    """Candidate pairs as merges, kept where parts and product are all among the most frequent units and characters."""
+    vocab = target_vocab(s, d).select("token").unionByName(alphabet(s, d).select("token"))
+    return tokens.valid_merges(tokens.top_pairs(public_pairs(s, d), no_vocab(s), 2000).select("coord", "left", "right"), vocab)
+
+
+@query
+def vocab_jaccard(s, d):
+    target, shadow = target_vocab(s, d), shadow_vocab(s, d)
+    common = shadow.join(target.select("token"), "token").groupBy("shadow_id").agg(F.count("*").alias("c"))
+    rows = shadow.groupBy("shadow_id").agg(F.count("*").alias("n")).join(common, "shadow_id", "left").fillna({"c": 0})
+    size = target.agg(F.count("*").alias("m"))
+    return six(rows.crossJoin(F.broadcast(size)).select("shadow_id", jaccard(F.col("c"), F.col("n"), F.col("m")).alias("jaccard")))
+
+
+@query
+def shadow_overlap_score(s, d):
+    return six(attacks.overlap_scores(target_vocab(s, d), shadow_vocab(s, d), training_of_first(s, d), sites_in(s, d, "target_pool")))
+
+
+@query
+def rank_correlation(s, d):
+    return six(attacks.rank_correlations(target_vocab(s, d), shadow_vocab(s, d)))
+
+
+@query
+def merge_similarity_score(s, d):
+    return six(attacks.merge_similarity_scores(attacks.rank_correlations(target_vocab(s, d), shadow_vocab(s, d)), training_of_first(s, d), sites_in(s, d, "target_pool")))
+
+
+@query
+def zipf_rarity(s, d):
+    return six(attacks.zipf_rarity(target_vocab(s, d), 1.2, 5))
+
+
+def _target_tokens(s, d):
+    present = unit_table(s, d).select("site_id").distinct().join(sites_in(s, d, "target_pool"), "site_id", "left_semi")
+    return site_tokens(s, d).join(present, "site_id", "left_semi"), tokens.background_counts(site_tokens(s, d), involved(s, d)), present
+
+
+@query
+def frequency_score(s, d):
+    counts, background, present = _target_tokens(s, d)
+    return six(attacks.frequency_scores(counts, background, involved(s, d), target_vocab(s, d), present, 1.2, 5))
+
+
+@query
+def naive_bayes_score(s, d):
+    counts, background, present = _target_tokens(s, d)
+    return six(attacks.naive_bayes_scores(counts, background, involved(s, d), target_vocab(s, d), present, 500))
+
+
+@query
+def site_compression_score(s, d):
+    """Bytes by unit, with units as tokens."""
+    counts = tokens.unit_counts(texts(s, d), "site_id").groupBy("site_id").agg(F.sum("cnt").alias("tokens"))
+    some = texts(s, d).join(counts.select("site_id"), "site_id", "left_semi")
+    return six(attacks.compression_scores(some, counts))
+
+
+def _compression_labels(s, d):
+    pool = sites_in(s, d, "target_pool")
+    member = sites_in(s, d, "target_member").withColumn("m", F.lit(1)).distinct()
+    rows = site_compression_score(s, d).join(pool.distinct(), "site_id").join(member, "site_id", "left")
+    return rows.select(F.lit("compression").alias("run_id"), "site_id", F.coalesce("m", F.lit(0)).alias("label"), "score")
+
+
+@query
+def site_compression_auc(s, d):
+    return six(metrics.scalar_metrics(_compression_labels(s, d), "run_id"))
+
+
+@query
+def labelled_scores(s, d):
+    return _compression_labels(s, d)
+
+
+@query
+def attack_metrics(s, d):
+    return six(metrics.scalar_metrics(scores(s, d), "run_id"))
+
+
+@query
+def roc_curve(s, d):
+    return six(metrics.roc_curve(scores(s, d), "run_id"))
+
+
+@query
+def pr_curve(s, d):
+    return six(metrics.pr_curve(scores(s, d), "run_id"))
+
+
+@query
+def mean_roc_on_grid(s, d):
+    grid = metrics.interpolated_roc(metrics.roc_curve(scores(s, d), "run_id"), 101, "run_id").withColumn("attack", F.regexp_extract("run_id", r"^run_\d+_(.*)$", 1))
+    rows = grid.groupBy("attack", F.round("x", 4).alias("x")).agg(F.avg("tpr").alias("mean"), sample_sd(F.col("tpr")).alias("sd"))
+    return six(rows.select("attack", "x", "mean", F.greatest(F.lit(0.0), F.col("mean") - F.col("sd")).alias("low"), F.least(F.lit(1.0), F.col("mean") + F.col("sd")).alias("high")))
+
+
+@query
+def bootstrap_ci(s, d):
+    return six(metrics.bootstrap_intervals(scores(s, d), "run_id", iterations=200, seed=SEED))
+
+
+def _paired(s, d):
+    rows = scores(s, d).withColumn("manifest", F.regexp_extract("run_id", r"^run_(\d+)_", 1)).withColumn("attack", F.regexp_extract("run_id", r"^run_\d+_(.*)$", 1))
+    best = rows.groupBy("manifest", "attack", "site_id").agg(F.max("label").alias("label"), F.max("score").alias("score"))
+    a, b = (best.where(F.col("attack") == x).drop("attack") for x in ("compression", "frequency_estimation"))
+    both = a.select("manifest", "site_id").intersect(b.select("manifest", "site_id"))
+    a, b = (x.join(both, ["manifest", "site_id"], "left_semi") for x in (a, b))
+    same = a.join(b.select("manifest", "site_id", F.col("label").alias("l2")), ["manifest", "site_id"]).where("label = l2").select("manifest", "site_id")
+    return metrics.paired_rows(a.join(same, ["manifest", "site_id"], "left_semi"), b.join(same, ["manifest", "site_id"], "left_semi"), "manifest")
+
+
+@query
+def paired_difference(s, d):
+    return six(_paired(s, d).groupBy("manifest").agg(F.count("*").alias("n"), F.avg(F.col("score_a") - F.col("score_b")).alias("difference")))
+
+
+@query
+def paired_bootstrap(s, d):
+    return six(metrics.paired_auc_bootstrap(_paired(s, d), "manifest", iterations=200, seed=SEED))
+
+
+@query
+def method_attack_aggregate(s, d):
+    return six(reporting.mean_and_sd(run_metrics(s, d), "roc_auc", "attack"))
+
+
+@query
+def direction_adapted_auc(s, d):
+    best, deviation = reporting.direction_adapted(F.col("roc_auc"))
+    return six(run_metrics(s, d).groupBy("attack").agg(F.avg(best).alias("adapted"), F.avg(deviation).alias("deviation")))
+
+
+@query
+def attack_matrix(s, d):
+    names = ["compression", "frequency_estimation", "merge_similarity", "naive_bayes"]
+    return six(reporting.matrix(run_metrics(s, d), "manifest", "attack", "roc_auc", names))
+
+
+@query
+def strongest_attack(s, d):
+    return six(reporting.strongest(run_metrics(s, d).select("manifest", "attack", F.round("roc_auc", 9).alias("roc_auc")), "manifest", "attack", "roc_auc"))
+
+
+@query
+def scale_sweep(s, d):
+    """Attack means by scale and seed: runs joined with the manifests' parameters."""
+    plans = table(s, d, "manifests").select(F.col("manifest_id").alias("manifest"), "scale_name", "seed").distinct()
+    return six(reporting.mean_and_sd(run_metrics(s, d).join(plans, "manifest"), "roc_auc", "scale_name", "attack"))
+
+
+@query
+def numeric_registry(s, d):
+    return six(reporting.numeric_registry(run_metrics(s, d), ["run_id"], [*metrics.SCALARS, "attack"]))
+
+
+@query
+def expected_matrix_missing(s, d):
+    runs = run_metrics(s, d).select("manifest", "attack").distinct()
+    ids = table(s, d, "manifests").select(F.col("manifest_id").alias("manifest")).distinct()
+    expected = ids.crossJoin(F.broadcast(matrix.product(s, attack=["compression", "frequency_estimation", "merge_similarity", "naive_bayes", "vocabulary_overlap"])))  # five rows
+    return reporting.missing_cells(expected, runs, ["manifest", "attack"])
+
+
+@query
+def run_balance(s, d):
+    return audit.run_balance(table(s, d, "attack_details").where("run_id IS NOT NULL"))
+
+
+@query
+def non_finite_scores(s, d):
+    return audit.non_finite(table(s, d, "attack_details")).groupBy("run_id").agg(F.count("*").alias("n"))
+
+
+@query
+def duplicate_result_keys(s, d):
+    return reporting.duplicate_keys(table(s, d, "attack_details"), "run_id", "site_id")
+
+
+@query
+def delivery_delays(s, d):
+    rows = table(s, d, "raw_stream").where("fetched_at IS NOT NULL").distinct().select("outcome", (F.unix_micros(F.col("arrived_at").cast("timestamp")) - F.unix_micros(F.col("fetched_at").cast("timestamp"))).cast("double").alias("micros"))
+    return six(reporting.timing_distribution(rows.withColumn("seconds", F.round(F.col("micros") / 1e6, 3)), "seconds", "outcome"))
+
+
+@query
+def pareto_front(s, d):
+    rows = table(s, d, "part").groupBy("p_brand").agg(F.avg("p_retailprice").alias("price"), F.avg("p_size").alias("size"), F.count("*").alias("n"))
+    return six(reporting.pareto_front(rows.select("p_brand", F.round("price", 6).alias("price"), F.round("size", 6).alias("size"), F.col("n").cast("double").alias("n")), "p_brand", ["price", "size"]))
+
+
+@query
+def objective_shortlist(s, d):
+    rows = table(s, d, "part").select("p_partkey", F.col("p_type").alias("mode"), "p_size", "p_retailprice")
+    return reporting.shortlist(rows, "mode", ["p_size", "p_retailprice", "p_partkey"])
+
+
+@query
+def primary_secondary(s, d):
+    rows = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("mode"), "p_size", "p_retailprice")
+    return reporting.primary_and_secondary(rows, "mode", ["p_size", "p_retailprice", "id"], "p_retailprice", "id")
+
+
+@query
+def utility_limits(s, d):
+    rows = table(s, d, "part").select("p_partkey", (F.col("p_size") / 100.0).alias("token_increase"), (F.col("p_retailprice") % 7).alias("f1_drop"))
+    return reporting.admissible(rows).groupBy("admissible").agg(F.count("*").alias("n"))
+
+
+@query
+def one_factor_grid(s, d):
+    return reporting.one_factor_grid(s, {"k": "1024", "b": "32", "clip": "P75"}, {"k": ["512", "1024", "2048"], "b": ["16", "64"], "clip": ["P50", "P75", "P90"]})
+
+
+@query
+def configuration_ids(s, d):
+    return table(s, d, "part").select("p_partkey", matrix.configuration_id(F.col("p_type"), ("eps", F.col("p_size")), ("k", F.col("p_partkey"))).alias("id"))
+
+
+@query
+def attack_task_matrix(s, d):
+    return matrix.attack_tasks(s, [SEED, SEED + 1, SEED + 2], [4000, 8000, 16000, 32000], ["plain", "min2", "sa_dp"])
+
+
+@query
+def ordered_methods(s, d):
+    rows = table(s, d, "lineitem").select(F.concat_ws("-", "l_returnflag", "l_linestatus").alias("method"), "l_orderkey")
+    return matrix.ordered_distinct(rows, "method", "l_orderkey")
+
+
+def _predictions(s, d):
+    rows = table(s, d, "orders").select((F.col("o_custkey") % 4).cast("int").alias("label"), "o_orderkey", "o_totalprice")
+    return rows.withColumn("prediction", F.when(F.col("o_orderkey") % 3 == 0, (F.col("label") + 1) % 4).otherwise(F.col("label")))
+
+
+@query
+def class_scores(s, d):
+    return six(reporting.class_scores(_predictions(s, d)))
+
+
+@query
+def macro_f1(s, d):
+    return six(reporting.macro_scores(_predictions(s, d)))
+
+
+@query
+def best_epoch(s, d):
+    rows = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("epoch")).agg(F.max("l_extendedprice").alias("f1"))
+    return reporting.best_so_far(rows, "run", "epoch", "f1")
+
+
+@query
+def epsilon_accounting(s, d):
+    rounds = table(s, d, "lineitem").select("l_returnflag", "l_linestatus", F.round(F.col("l_discount") + 0.01, 2).alias("epsilon"))
+    return six(privacy.accounting(rounds, "l_returnflag", "l_linestatus"))
+
+
+@query
+def bytes_accounting(s, d):
+    cells = supplier_cells(s, d).select("clients", "k")
+    return paillier.message_bytes(cells, 2048)
+
+
+@query
+def resource_extrapolation(s, d):
+    rows = table(s, d, "lineitem").select(F.when(F.col("l_returnflag") == "R", "target").otherwise("shadow").alias("role"), F.col("l_quantity").alias("elapsed_seconds"), F.col("l_partkey").alias("artifact_bytes"))
+    return six(reporting.resource_extrapolation(rows, 8, 96))
+
+
+@query
+def cost_grid(s, d):
+    grid = matrix.product(s, clients=[1, 2, 4, 8, 16, 32, 64, 128], k=[128, 256, 512, 1024, 2048])
+    return six(reporting.merged_grid(grid, supplier_cells(s, d), ["clients", "k"], "seconds", F.col("clients") * F.col("k") / 1000.0))
+
+
+@query
+def cost_matrix(s, d):
+    return six(reporting.matrix(supplier_cells(s, d), "clients", "k", "seconds", ["128", "256", "512", "1024"]))
+
+
+@query
+def cost_unpivot(s, d):
+    wide = table(s, d, "lineitem").groupBy("l_returnflag").agg(F.avg("l_quantity").alias("encrypt"), F.avg("l_discount").alias("noise"), F.avg("l_tax").alias("decrypt"))
+    return six(reporting.unpivoted(wide, ["l_returnflag"], ["encrypt", "noise", "decrypt"], "stage", "seconds"))
+
+
+@query
+def cost_regression(s, d):
+    cells = supplier_cells(s, d)
+    x = F.col("clients") * F.col("k").cast("double")
+    return six(cells.agg(F.regr_slope("seconds", x).alias("slope"), F.regr_intercept("seconds", x).alias("intercept"), F.regr_r2("seconds", x).alias("r2")))
+
+
+@query
+def scaling_models(s, d):
+    return six(reporting.scaling_models(supplier_cells(s, d), "seconds"))
+
+
+@query
+def method_labels(s, d):
+    label = reporting.method_label(F.col("l_returnflag"), {"A": "Plain BPE", "R": "Local DP"})
+    return table(s, d, "lineitem").groupBy(label.alias("method")).agg(F.count("*").alias("n"))
+
+
+@query
+def bpe_train(s, d):
+    t = bpe.train(unit_table(s, d).join(sites_in(s, d, "target_member"), "site_id", "left_semi"), 600)
+    return t.tables(s)[0]
+
+
+@query
+def bpe_encode(s, d):
+    counts = unit_table(s, d)
+    t = bpe.train(counts.join(sites_in(s, d, "target_member"), "site_id", "left_semi"), 600)
+    used = texts(s, d).join(counts.select("site_id").distinct(), "site_id", "left_semi")
+    return six(attacks.compression_scores(used, bpe.tokens_by(counts, bpe.encode_units(counts, t), "site_id")))
+
+
+@query
+def tokenizer_utility(s, d):
+    t = bpe.train(unit_table(s, d).join(sites_in(s, d, "target_member"), "site_id", "left_semi"), 600)
+    return six(bpe.utility(texts(s, d).join(sites_in(s, d, "target_nonmember"), "site_id", "left_semi"), t))
+
+
+@query
+def zipf_fit(s, d):
+    vocab = target_vocab(s, d)
+    f = attacks.fit_zipf(vocab, tokens.background_counts(site_tokens(s, d), involved(s, d)))
+    return six(s.createDataFrame([(f["alpha"], f["xmin"], f["points"], f["ks"])], "alpha double, xmin bigint, points bigint, ks double"))
+
+
+@query
+def private_round(s, d):
+    import numpy as np
+
+    from veilmark.operators.private_bpe import aggregate_round
+
+    found = candidates(s, d).orderBy("coord").collect()
+    pairs = [(r["left"], r["right"]) for r in found]
+    bound = privacy.clip_bound(public_norms(s, d)).first()["bound"]
+    chosen, _ = aggregate_round(member_vectors(s, d), pairs, "sa_dp", 8, bound, 1.0, np.random.default_rng(SEED))
+    return s.createDataFrame([(n, *pairs[k]) for n, k in enumerate(chosen)], "place bigint, left string, right string")
+
+
+@query
+def encrypted_sum(s, d):
+    """Sums of eight coordinates over encrypted member vectors equal the plain ones."""
+    vectors = member_vectors(s, d).where("coord < 8").select(F.col("coord").cast("int").alias("coord"), "value")
+    key = paillier.generate_keys(1024)
+    values = paillier.decrypted(paillier.encrypted_sums(paillier.encrypted(vectors, key.public), key.public), key)
+    return s.createDataFrame(list(enumerate(values)), "coord int, value bigint")
+
+
+@query
+def events_windowed(s, d):
+    return six(streams.windowed_counts(table(s, d, "events"), "ts", "event_type", "value"))
+
+
+@query
+def events_sessions(s, d):
+    return streams.session_counts(table(s, d, "events"), "ts", "user_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.queries()

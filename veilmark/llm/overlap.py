@@ -36,7 +36,7 @@ COMMON_WORD_SHARE = 2e-4
 #: MinHashes (shards) of a text; texts of up to SHORT words are searched whole, longer ones by their rarer half.
 KEYS, SHORT = 5, 32
 #: Texts of a shard; texts that may share one MinHash before it is refined, by so many further ones.
-SHARD_TEXTS, HOT_KEY, REFINED_KEYS, REFINEMENTS = 12_000, 20_000, 5, 3
+SHARD_TEXTS, HOT_KEY, REFINED_KEYS, REFINEMENTS = 3_000, 20_000, 5, 3
 #: Broadcast only under so many rows (of about 40 bytes).
 BROADCAST_ROWS = 1_000_000
 _RARE = np.uint32(1 << 31)
@@ -131,14 +131,15 @@ def front_of(symbols: np.ndarray) -> np.ndarray:
     return symbols[: max(len(symbols) // 2, SHORT)]
 
 
-def min_hashes(front: np.ndarray, keys: int, salt: int) -> list[int]:
-    """Words of the front that are least under ``keys`` hashes, as keys."""
-    x = np.unique(front).astype(np.uint64)
-    out = []
+def min_hashes(fronts: list[np.ndarray], keys: int, salt: int) -> np.ndarray:
+    """(texts, keys): for each front, none of them empty, the least values of its words under ``keys`` hashes, as keys."""
+    x = np.concatenate(fronts).astype(np.uint64)
+    starts = np.concatenate([[0], np.cumsum([len(f) for f in fronts[:-1]])]).astype(np.int64)
+    out = np.empty((len(fronts), keys), np.int64)
     for k in range(keys):
         with np.errstate(over="ignore"):
-            at = int(_mix(x + np.uint64((salt * 64 + k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).argmin())
-            out.append(int(_mix(x[at : at + 1] * np.uint64(64) + np.uint64(k))[0] >> np.uint64(1)))
+            least = np.minimum.reduceat(_mix(x + np.uint64((salt * 64 + k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), starts)
+            out[:, k] = (_mix(least + np.uint64(k)) >> np.uint64(1)).astype(np.int64)
     return out
 
 
@@ -147,16 +148,27 @@ def _routes(keys: int, salt: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, take = [], []
-            old, seqs = batch.column(0).to_pylist(), batch.column(3).to_pylist()
-            for k, data in enumerate(seqs):
-                front = front_of(unpack(data))
-                if len(front):
-                    for h in min_hashes(front, keys, salt):
-                        key.append(h if not salt else int(_mix(np.array([h ^ old[k]], np.uint64))[0] >> np.uint64(1)))
-                        take.append(k)
-            rows = batch.take(pa.array(take, pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *rows.columns[1:]], schema=schema)
+            fronts = [front_of(unpack(data)) for data in batch.column(3).to_pylist()]
+            if not fronts:
+                continue
+            key = min_hashes(fronts, keys, salt)
+            if salt:  # a refined key is of the hot key and a further MinHash
+                old = batch.column(0).to_numpy().astype(np.uint64)[:, None]
+                key = (_mix(key.astype(np.uint64) ^ old) >> np.uint64(1)).astype(np.int64)
+            rows = batch.take(pa.array(np.repeat(np.arange(len(fronts)), keys)))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel(), pa.int64()), *rows.columns[1:]], schema=schema)
+
+    return run
+
+
+def _count_keys(keys: int, salt: int):
+    """Texts of each key in a partition: (key, n)."""
+    route = _routes(keys, salt)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b.column(0).to_numpy() for b in route(batches)]
+        key, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
 
     return run
 
@@ -166,15 +178,18 @@ _ROUTED = "key bigint, rep bigint, side tinyint, seq binary"
 
 def routed(reps: DataFrame) -> DataFrame:
     """(key, rep, side, seq): texts with the keys of their shards; keys of too many texts are refined."""
-    rows = reps.select(F.lit(0).cast("bigint").alias("key"), "rep", "side", "seq").mapInArrow(_routes(KEYS, 0), _ROUTED)
+    plain = reps.select(F.lit(0).cast("bigint").alias("key"), "rep", "side", "seq")
+    hot_keys = lambda df, keys, salt: df.mapInArrow(_count_keys(keys, salt), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > HOT_KEY).select("key")
+    rows = plain.mapInArrow(_routes(KEYS, 0), _ROUTED)
+    hot = checkpointed(hot_keys(plain, KEYS, 0))
     for level in range(1, REFINEMENTS + 1):
-        hot = rows.groupBy("key").count().where(F.col("count") > HOT_KEY).select("key")
-        keys = [r[0] for r in hot.limit(100_001).collect()]  # a key of HOT_KEY texts is rare
-        if not keys:
+        if hot.isEmpty():
             return rows
         rows = checkpointed(rows)
-        finer = rows.join(hot, "key", "left_semi").mapInArrow(_routes(REFINED_KEYS, level), _ROUTED)
-        rows = rows.join(hot, "key", "left_anti").unionByName(finer)
+        refined = rows.join(hot, "key", "left_semi").select(*plain.columns)
+        rest = rows.join(hot, "key", "left_anti").select(*plain.columns)
+        hot = checkpointed(hot_keys(refined, REFINED_KEYS, level))
+        rows = rest.unionByName(refined.mapInArrow(_routes(REFINED_KEYS, level), _ROUTED))
     return rows
 
 
@@ -288,8 +303,8 @@ def search_shard(reps: np.ndarray, sides: np.ndarray, seqs: list[np.ndarray], bi
 def near_classes(reps: DataFrame, words_of: tuple[list[str], list[int], int]) -> DataFrame:
     """(rep_a, rep_b): distinct bags that share 80 % of their words, one of a training and one of an evaluation text.
 
-    reps: rep, side, seq. A shard is a partition; it is sorted by key and searched in stretches of SHARD_TEXTS texts that
-    do not cut a key's texts while these fit.
+    reps: rep, side, seq. A partition is sorted by key and searched in shards of about SHARD_TEXTS texts, which do not cut
+    a key's texts; a key that stays hot when refined is a family of near-equal texts, whose pairs are the result.
     """
     spark = reps.sparkSession
     total = max(words_of[2], 1)
@@ -316,11 +331,12 @@ def near_classes(reps: DataFrame, words_of: tuple[list[str], list[int], int]) ->
         for batch in batches:
             for h, c in zip(held, batch.columns):
                 h.extend(c.to_pylist())
-            while len(held[0]) > SHARD_TEXTS + HOT_KEY:
-                cut = SHARD_TEXTS
-                while cut < len(held[0]) and held[0][cut] == held[0][cut - 1]:
-                    cut += 1
-                yield flush(cut)
+            keys = np.array(held[0])
+            ends = np.flatnonzero(keys[1:] != keys[:-1]) + 1  # a key's texts stay together
+            done = 0
+            while (k := int(np.searchsorted(ends, done + SHARD_TEXTS))) < len(ends):
+                yield flush(int(ends[k]) - done)
+                done = int(ends[k])
         if held[0]:
             yield flush(len(held[0]))
 

@@ -117,6 +117,8 @@ _PLAIN_DROP = re.compile(r"[\W_]+")
 _DROP = regex.compile(r"[^\p{L}\p{N}\p{M}]+")
 _PLAIN_PUNCTUATION = re.compile(r"[^\w\s]+|_+")
 _PUNCTUATION = regex.compile(r"[^\p{L}\p{N}\p{M}\s]+")
+_LATIN_PUNCTUATION = bytes(c for c in range(256) if _PLAIN_PUNCTUATION.match(chr(c)))
+_LATIN_DROP = bytes(c for c in range(256) if _PLAIN_DROP.match(chr(c)))
 _NOT_PLAIN = re.compile("[^\\u0000-\\u02ff\\u2000-\\u206f]")
 
 
@@ -130,10 +132,16 @@ def caseless(text: str) -> str:
 
 def letters(text: str) -> str:
     """Letters, digits and marks of already folded text, in order."""
-    return (_DROP if _NOT_PLAIN.search(text) else _PLAIN_DROP).sub("", text)
+    try:
+        return text.encode("latin-1").translate(None, _LATIN_DROP).decode("latin-1")
+    except UnicodeEncodeError:
+        return (_DROP if _NOT_PLAIN.search(text) else _PLAIN_DROP).sub("", text)
 
 
 def words(text: str) -> list[str]:
     """Words as they stand between white space, without punctuation, letter case and invisible differences."""
     text = caseless(text)
-    return (_PUNCTUATION if _NOT_PLAIN.search(text) else _PLAIN_PUNCTUATION).sub("", text).split()
+    try:
+        return text.encode("latin-1").translate(None, _LATIN_PUNCTUATION).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return (_PUNCTUATION if _NOT_PLAIN.search(text) else _PLAIN_PUNCTUATION).sub("", text).split()

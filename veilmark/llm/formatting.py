@@ -39,7 +39,7 @@ def _forms(text: list[str], n: list[int], rep: list[int]) -> dict[str, list]:
 
 def survivors(df: DataFrame) -> DataFrame:
     """(text, n, rep, canon, fields): each distinct non-null text, its records, smallest record and canonical forms."""
-    rows = df.where("text IS NOT NULL").select("source_record_index", "text").dropDuplicates(["source_record_index"])
+    rows = df.where("source_record_index IS NOT NULL AND text IS NOT NULL").select("source_record_index", "text").dropDuplicates(["source_record_index"])
     once = rows.groupBy("text").agg(F.count("*").alias("n"), F.min("source_record_index").alias("rep"))
     return map_columns(once, _forms, "text string, n bigint, rep bigint, canon string, fields string")
 
@@ -47,7 +47,7 @@ def survivors(df: DataFrame) -> DataFrame:
 def collapsed(df: DataFrame) -> DataFrame:
     """One record of each formatting class with its number of copies: (source_record_index, copies).
 
-    Null texts are left out; texts without letters and digits are one class (their canonical text is empty).
+    Null texts and rows without an index are left out; texts without letters and digits are one class (their canonical text is empty).
     Field texts are grouped by their sorted fields, others by their letters and digits in order.
     """
     forms = survivors(df).select(F.coalesce(F.concat(F.lit("\n"), "fields"), "canon").alias("form"), "n", "rep")
@@ -56,7 +56,7 @@ def collapsed(df: DataFrame) -> DataFrame:
 
 def format_classes(df: DataFrame) -> DataFrame:
     """(class, variant, source_record_index) under both forms of each text; a record can stand in two classes."""
-    rows = df.where("text IS NOT NULL").select("source_record_index", "text")
+    rows = df.where("source_record_index IS NOT NULL AND text IS NOT NULL").select("source_record_index", "text")
     members = rows.select("source_record_index", digest("text").alias("variant")).distinct()
     once = rows.groupBy("text").agg(F.lit(1).cast("bigint").alias("n"), F.min("source_record_index").alias("rep"))
     forms = map_columns(once, _forms, "text string, n bigint, rep bigint, canon string, fields string")

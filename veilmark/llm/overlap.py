@@ -37,6 +37,8 @@ COMMON_WORD_SHARE = 2e-4
 KEYS, SHORT = 5, 32
 #: Texts of a shard; texts that may share one MinHash before it is refined, by so many further ones.
 SHARD_TEXTS, HOT_KEY, REFINED_KEYS, REFINEMENTS = 3_000, 20_000, 5, 3
+#: Weight of a word that stands in nearly every text.
+LEAST_BITS = 0.5
 #: Broadcast only under so many rows (of about 40 bytes).
 BROADCAST_ROWS = 1_000_000
 _RARE = np.uint32(1 << 31)
@@ -255,7 +257,7 @@ def search_shard(reps: np.ndarray, sides: np.ndarray, seqs: list[np.ndarray], bi
     found_at, found_low, found_high = [], [], []
     for step in range(1, ORDER + 1):
         live = high - low > alone
-        done = live & (got >= need)
+        done = live & ((got >= need) | (step == ORDER))  # so long a match counts whatever its words
         found_at.append(at[done]), found_low.append(low[done]), found_high.append(high[done])
         go = live & ~done & (at - step >= 0)
         at, low, high, got, need, alone = (x[go] for x in (at, low, high, got, need, alone))
@@ -266,7 +268,6 @@ def search_shard(reps: np.ndarray, sides: np.ndarray, seqs: list[np.ndarray], bi
         at, low, high, got, need, alone, symbol = (x[go] for x in (at, low, high, got, need, alone, symbol))
         got = got + weight[symbol]
         low, high = index.extend(symbol, low, high)
-    # patterns of full length that stay under the weight are matches too
     place, low, high = (np.concatenate(x) for x in (found_at, found_low, found_high))
     by = np.argsort(place, kind="stable")
     place, low, high = place[by], low[by], high[by]
@@ -308,7 +309,8 @@ def near_classes(reps: DataFrame, words_of: tuple[list[str], list[int], int]) ->
     """
     spark = reps.sparkSession
     total = max(words_of[2], 1)
-    bits = spark.sparkContext.broadcast(np.log2(total / np.maximum(np.array(words_of[1], float), 1)) if words_of[1] else np.zeros(0))
+    # a word of every text still says something about a run of them
+    bits = spark.sparkContext.broadcast(np.maximum(np.log2(total / np.maximum(np.array(words_of[1], float), 1)), LEAST_BITS) if words_of[1] else np.zeros(0))
     rare_bits = float(np.log2(total / max(3, COMMON_WORD_SHARE * total)) + 2) if total > 3 else 2.0
     least_bits = float(np.log2(total) + 7)
     schema = pa.schema([("rep_a", pa.int64()), ("rep_b", pa.int64())])

@@ -193,7 +193,7 @@ def contradicted() -> Column:
 
 def findings(df: DataFrame) -> DataFrame:
     """(source_record_index, finding): ``not_prose`` and ``wrong_stats``; each once however often a row is repeated."""
-    rows = df.where("text IS NOT NULL")
+    rows = df.where("source_record_index IS NOT NULL AND text IS NOT NULL")
     wrong = rows.where(contradicted()).select("source_record_index", F.lit("wrong_stats").alias("finding"))
     junk = text_statistics(rows).where(F.col("prose_share") < PROSE_SHARE).select("source_record_index", F.lit("not_prose").alias("finding"))
     return junk.unionByName(wrong).distinct()

@@ -25,7 +25,7 @@ from veilmark.session import checkpointed, table
 
 #: A term stands in at least this share of the documents (and twice) and at most the other. With d distinct terms in a
 #: mean document at most d / LEAST_SHARE terms pass, whatever the corpus size: that bounds what is broadcast.
-LEAST_SHARE, MOST_SHARE = 2e-4, 0.25
+LEAST_SHARE, MOST_SHARE = 2e-4, 0.5
 ROUNDS = 2
 #: Verified: labelled documents that hold the term, and its likelihood of one subject among all.
 LEAST_SUPPORT, VERIFIED, DECISIVE = 3, 0.3, 0.6

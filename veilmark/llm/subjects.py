@@ -90,7 +90,9 @@ def graph(documents: DataFrame) -> DataFrame:
                 terms.append(own)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip((n, at, terms), list(schema)[1:]))], schema=schema)
 
-    return checkpointed(texts.select("doc_id", "text").mapInArrow(run, "doc_id bigint, sentences int, at array<int>, terms array<int>"))
+    nodes = texts.select("doc_id", "text").mapInArrow(run, "doc_id bigint, sentences int, at array<int>, terms array<int>")
+    # placed by document once, before the rounds join on it
+    return checkpointed(nodes.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id"))
 
 
 def trusted_seeds(labels: DataFrame, areas: DataFrame) -> DataFrame:
@@ -117,6 +119,7 @@ def term_subjects(nodes: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def propagated(nodes: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(term, subject, likelihood) after the rounds; nodes: doc_id, terms."""
+    seeds = checkpointed(seeds)
     terms = checkpointed(term_subjects(nodes, seeds))
     for _ in range(rounds):
         links = nodes.select("doc_id", F.explode("terms").alias("term"))

@@ -70,8 +70,8 @@ def aggregate_round(vectors: DataFrame, pairs: list[tuple[str, str]], mode: str,
 
 @dataclass
 class PrivateTraining:
-    """State of a training; ``advance`` runs one round and returns False at the end. The state can be saved and resumed:
-    merges and generator state determine everything else."""
+    """A training; ``advance`` runs one round and returns False at the end. ``state`` is all that a resumed training
+    needs besides its inputs: the merges of each round, the spent budgets and the generator."""
 
     public: DataFrame  # (site_id, unit, cnt)
     private: DataFrame
@@ -83,8 +83,9 @@ class PrivateTraining:
     clip_quantile: float = 0.75
     seed: int = 0
     keys: paillier.PrivateKey | None = None
-    merges: list[tuple[str, str]] = field(default_factory=list)
+    rounds_done: list[list[tuple[str, str]]] = field(default_factory=list)
     budgets: list[float] = field(default_factory=list)
+    generator: dict | None = None
 
     def __post_init__(self) -> None:
         shared = self.public.select("site_id").distinct().join(self.private.select("site_id").distinct(), "site_id", "left_semi")
@@ -96,14 +97,25 @@ class PrivateTraining:
         self.vocab = {t: k for k, t in enumerate([*SPECIAL_TOKENS, *letters])}
         self.rounds = max(1, math.ceil((self.vocab_size - len(self.vocab)) / self.batch))
         self.rng = np.random.default_rng(np.random.SeedSequence([self.seed, MODES.index(self.mode), int(1000 * (self.epsilon or 0))]))
-        words = [checkpointed(tokens.words_of(x, "site_id").select("site_id", "symbols", "freq")) for x in (self.public, self.private)]
-        self.words = [apply_merges(w, self.merges) if self.merges else w for w in words]
-        for a, b in self.merges:
-            self.vocab.setdefault(a + b, len(self.vocab))
+        if self.generator:
+            self.rng.bit_generator.state = self.generator
+        self.words = [tokens.words_of(x, "site_id").select("site_id", "symbols", "freq") for x in (self.public, self.private)]
+        for merges in self.rounds_done:
+            self.words = [apply_merges(w, merges) for w in self.words]
+            for a, b in merges:
+                self.vocab.setdefault(a + b, len(self.vocab))
+        self.words = [checkpointed(w) for w in self.words]
+
+    @property
+    def merges(self) -> list[tuple[str, str]]:
+        return [m for merges in self.rounds_done for m in merges]
+
+    def state(self) -> dict:
+        return {"rounds_done": [list(r) for r in self.rounds_done], "budgets": list(self.budgets), "generator": self.rng.bit_generator.state}
 
     def advance(self) -> bool:
-        if len(self.vocab) >= self.vocab_size:
-            return False
+        if len(self.vocab) >= self.vocab_size or len(self.rounds_done) >= self.rounds:
+            return False  # a budget is divided by the planned rounds: no more are run
         spark = self.public.sparkSession
         known = spark.createDataFrame([(t,) for t in self.vocab], "token string")
         by_site = tokens.symbol_pairs(self.words[0], "site_id")
@@ -122,7 +134,7 @@ class PrivateTraining:
         merges = [pairs[k] for k in chosen]
         for a, b in merges:
             self.vocab.setdefault(a + b, len(self.vocab))
-        self.merges += merges
+        self.rounds_done.append(merges)
         self.budgets += [budget] if budget else []
         self.words = [checkpointed(apply_merges(w, merges)) for w in self.words]
         return True

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from veilmark import oracles
 from veilmark.functions import text as T
 from veilmark.functions.statistics import exact_percentile, jaccard, sample_sd
-from veilmark.operators import attacks, audit, bpe, corpus, metrics, paillier, privacy, reporting, roles, tokens
-from veilmark.plans import matrix
+from veilmark.operators import attacks, audit, bpe, classifier, corpus, metrics, paillier, privacy, reporting, roles, tokens
+from veilmark.plans import build, matrix
 from veilmark.session import table
 from veilmark.streaming import events as streams
 
@@ -801,6 +801,27 @@ def encrypted_sum(s, d):
     return s.createDataFrame(list(enumerate(values)), "coord int, value bigint")
 
 
+@query
+def final_corpus(s, d):
+    return build.final_corpus(records(s, d), corpus.Validity(), 5, 20, 40, SEED).select("idx", "site_id", "char_count", "byte_count")
+
+
+@query
+def built_manifest(s, d):
+    return build.manifest(accepted(s, d), SEED)
+
+
+@query
+def classifier_metrics(s, d):
+    """The classifier substitute on the hand-made labels, scored on a hash-drawn split."""
+    labels = stratified_split(s, d)
+    names = labels.select("label").distinct().withColumn("y", F.rank().over(Window.orderBy("label")) - 1)  # ten subjects
+    docs = table(s, d, "documents").where("text IS NOT NULL").select("doc_id", T.word_list(F.col("text")).alias("tokens"))
+    rows = classifier.features(docs.join(labels, "doc_id").join(F.broadcast(names), "label").drop("label").withColumnRenamed("y", "label"), "tokens", 1 << 12)
+    model, _ = classifier.trained(rows.where("split = 'train'"), rows.where("split = 'validation'"), (0.01,), 15)
+    return six(reporting.macro_scores(model.transform(rows.where("split = 'validation'"))))
+
+
 @query
 def events_windowed(s, d):
     return six(streams.windowed_counts(table(s, d, "events"), "ts", "event_type", "value"))

@@ -127,3 +127,39 @@ def message_bytes(cells: DataFrame, key_bits: int) -> DataFrame:
 
 def product(values: list[int], key: PublicKey) -> int:
     return reduce(lambda a, b: a * b % key.square, values, 1)
+
+
+def benchmark_cell(spark, clients: int, k: int, batch: int, key: PrivateKey, seed: int = 0) -> dict[str, float]:
+    """One measured round: encrypt, sum, add noise, decrypt, choose; the result must equal the plain one."""
+    import time
+
+    import numpy as np
+
+    from veilmark.operators.privacy import compatible_top, two_sided_geometric
+
+    rng = np.random.default_rng(seed)
+    rows = [(c, int(v)) for _ in range(clients) for c, v in enumerate(rng.integers(0, 100, k))]
+    noise = two_sided_geometric(1.0, 10, k, rng)
+    pairs = [(f"a{c}", f"b{c}") for c in range(k)]
+    vectors = spark.createDataFrame(rows, "coord int, value bigint").repartition(max(1, clients))
+    at = [time.perf_counter()]
+
+    def lap(df: DataFrame) -> DataFrame:
+        from veilmark.session import checkpointed
+
+        df = checkpointed(df)
+        at.append(time.perf_counter())
+        return df
+
+    cipher = lap(encrypted(vectors, key.public))
+    sums = lap(encrypted_sums(cipher, key.public))
+    sums = lap(add_encrypted_noise(sums, spark.createDataFrame(list(enumerate(noise)), "coord int, value bigint"), key.public))
+    values = decrypted(sums, key)
+    at.append(time.perf_counter())
+    chosen = compatible_top(values, pairs, batch)
+    at.append(time.perf_counter())
+    plain = [sum(v for c, v in rows if c == coord) + noise[coord] for coord in range(k)]
+    if values != plain:
+        raise RuntimeError("the encrypted sum differs from the plain one")
+    names = ("encrypt", "sum", "noise", "decrypt", "choose")
+    return {n: b - a for n, a, b in zip(names, at, at[1:])} | {"total": at[-1] - at[0], "chosen": len(chosen), "upload_bytes": clients * k * key.public.width}

@@ -7,16 +7,16 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilmark.functions.ranking import global_rank
 from veilmark.functions.text import hash_rank_key
 
 SHADOW_PREFIXES = (8, 16, 32, 64, 96)  # fixed values
 
 
 def hash_ranked(sites: DataFrame, namespace: str, seed: int) -> DataFrame:
-    """(site_id, key, rank), rank by sha256("namespace:seed:site"). A range shuffle sorts the sites; ranks are numbered
-    over the few site rows, never over records."""
+    """(site_id, key, rank), rank by sha256("namespace:seed:site"), numbered in parallel over range partitions."""
     ranked = sites.select("site_id").distinct().withColumn("key", hash_rank_key(namespace, str(seed), F.col("site_id")))
-    return ranked.withColumn("rank", F.row_number().over(Window.orderBy("key")))
+    return global_rank(ranked, "key")
 
 
 def role_slices(sites: DataFrame, seed: int, target: float = 0.5, shadow: float = 0.25) -> DataFrame:

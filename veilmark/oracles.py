@@ -272,6 +272,7 @@ BODIES = {
     "cost_regression": "SELECT round(regr_slope(seconds, clients * k), 6) AS slope, round(regr_intercept(seconds, clients * k), 6) AS intercept, round(regr_r2(seconds, clients * k), 6) AS r2 FROM cells",
     "method_labels": "SELECT CASE l_returnflag WHEN 'A' THEN 'Plain BPE' WHEN 'R' THEN 'Local DP' ELSE l_returnflag END AS method, count(*) AS n FROM lineitem GROUP BY 1",
     "encrypted_sum": "SELECT coord::int AS coord, sum(value)::bigint AS value FROM vectors WHERE coord < 8 GROUP BY 1",
+    "built_manifest": None,
     "events_windowed": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
 }
 # the same metrics over another ranking

@@ -12,7 +12,7 @@ from veilmark.functions import text as T
 from veilmark.functions.statistics import exact_percentile, jaccard, sample_sd
 from veilmark.operators import attacks, audit, bpe, classifier, corpus, metrics, paillier, privacy, reporting, roles, tokens
 from veilmark.plans import build, matrix
-from veilmark.session import table
+from veilmark.session import checkpointed, table
 from veilmark.streaming import events as streams
 
 SEED = 20260726
@@ -64,22 +64,27 @@ def unit_table(s: SparkSession, d: str) -> DataFrame:
     return tokens.unit_counts(texts(s, d).join(used, "site_id", "left_semi"), "site_id")
 
 
-def target_vocab(s: SparkSession, d: str) -> DataFrame:
+def shared_units(s: SparkSession, d: str) -> DataFrame:
+    """unit_table, written once where a query uses it several times: it is far smaller than the texts behind it."""
+    return checkpointed(unit_table(s, d))
+
+
+def target_vocab(s: SparkSession, d: str, units: DataFrame | None = None) -> DataFrame:
     members = sites_in(s, d, "target_member")
-    return tokens.top_units_as_vocab(unit_table(s, d).join(members, "site_id", "left_semi"), VOCAB)
+    return tokens.top_units_as_vocab((units or unit_table(s, d)).join(members, "site_id", "left_semi"), VOCAB)
 
 
-def shadow_vocab(s: SparkSession, d: str) -> DataFrame:
+def shadow_vocab(s: SparkSession, d: str, units: DataFrame | None = None) -> DataFrame:
     """(shadow_id, token, id): the most frequent units of each shadow's training sites."""
-    counts = unit_table(s, d).join(training_of_first(s, d), "site_id").groupBy("shadow_id", "unit").agg(F.sum("cnt").alias("cnt"))
+    counts = (units or unit_table(s, d)).join(training_of_first(s, d), "site_id").groupBy("shadow_id", "unit").agg(F.sum("cnt").alias("cnt"))
     w = Window.partitionBy("shadow_id").orderBy(F.desc("cnt"), "unit")
     return counts.withColumn("id", F.row_number().over(w) - 1).where(F.col("id") < SHADOW_VOCAB).select("shadow_id", F.col("unit").alias("token"), "id")
 
 
-def site_tokens(s: SparkSession, d: str) -> DataFrame:
+def site_tokens(s: SparkSession, d: str, units: DataFrame | None = None) -> DataFrame:
     """(site_id, token, cnt) by substrings of the target vocabulary."""
-    counts, vocab = unit_table(s, d), target_vocab(s, d)
-    return tokens.token_counts(counts, tokens.substring_tokens(counts, vocab, 24), "site_id")
+    counts = units or shared_units(s, d)
+    return tokens.token_counts(counts, tokens.substring_tokens(counts, target_vocab(s, d, counts), 24), "site_id")
 
 
 def involved(s: SparkSession, d: str) -> DataFrame:
@@ -442,7 +447,8 @@ def vocab_truncate(s, d):
 
 @query
 def min_count_filter(s, d):
-    return tokens.min_count_vocab(target_vocab(s, d), tokens.background_counts(site_tokens(s, d), involved(s, d)), 50)
+    units = shared_units(s, d)
+    return tokens.min_count_vocab(target_vocab(s, d, units), tokens.background_counts(site_tokens(s, d, units), involved(s, d)), 50)
 
 
 @query
@@ -454,7 +460,8 @@ def merge_validity(s, d):
 
 @query
 def vocab_jaccard(s, d):
-    target, shadow = target_vocab(s, d), shadow_vocab(s, d)
+    units = shared_units(s, d)
+    target, shadow = target_vocab(s, d, units), shadow_vocab(s, d, units)
     common = shadow.join(target.select("token"), "token").groupBy("shadow_id").agg(F.count("*").alias("c"))
     rows = shadow.groupBy("shadow_id").agg(F.count("*").alias("n")).join(common, "shadow_id", "left").fillna({"c": 0})
     size = target.agg(F.count("*").alias("m"))
@@ -463,17 +470,20 @@ def vocab_jaccard(s, d):
 
 @query
 def shadow_overlap_score(s, d):
-    return six(attacks.overlap_scores(target_vocab(s, d), shadow_vocab(s, d), training_of_first(s, d), sites_in(s, d, "target_pool")))
+    units = shared_units(s, d)
+    return six(attacks.overlap_scores(target_vocab(s, d, units), shadow_vocab(s, d, units), training_of_first(s, d), sites_in(s, d, "target_pool")))
 
 
 @query
 def rank_correlation(s, d):
-    return six(attacks.rank_correlations(target_vocab(s, d), shadow_vocab(s, d)))
+    units = shared_units(s, d)
+    return six(attacks.rank_correlations(target_vocab(s, d, units), shadow_vocab(s, d, units)))
 
 
 @query
 def merge_similarity_score(s, d):
-    return six(attacks.merge_similarity_scores(attacks.rank_correlations(target_vocab(s, d), shadow_vocab(s, d)), training_of_first(s, d), sites_in(s, d, "target_pool")))
+    units = shared_units(s, d)
+    return six(attacks.merge_similarity_scores(attacks.rank_correlations(target_vocab(s, d, units), shadow_vocab(s, d, units)), training_of_first(s, d), sites_in(s, d, "target_pool")))
 
 
 @query
@@ -482,20 +492,22 @@ def zipf_rarity(s, d):
 
 
 def _target_tokens(s, d):
-    present = unit_table(s, d).select("site_id").distinct().join(sites_in(s, d, "target_pool"), "site_id", "left_semi")
-    return site_tokens(s, d).join(present, "site_id", "left_semi"), tokens.background_counts(site_tokens(s, d), involved(s, d)), present
+    units = shared_units(s, d)
+    counts = checkpointed(site_tokens(s, d, units))
+    present = units.select("site_id").distinct().join(sites_in(s, d, "target_pool"), "site_id", "left_semi")
+    return counts.join(present, "site_id", "left_semi"), tokens.background_counts(counts, involved(s, d)), present, target_vocab(s, d, units)
 
 
 @query
 def frequency_score(s, d):
-    counts, background, present = _target_tokens(s, d)
-    return six(attacks.frequency_scores(counts, background, involved(s, d), target_vocab(s, d), present, 1.2, 5))
+    counts, background, present, vocab = _target_tokens(s, d)
+    return six(attacks.frequency_scores(counts, background, involved(s, d), vocab, present, 1.2, 5))
 
 
 @query
 def naive_bayes_score(s, d):
-    counts, background, present = _target_tokens(s, d)
-    return six(attacks.naive_bayes_scores(counts, background, involved(s, d), target_vocab(s, d), present, 500))
+    counts, background, present, vocab = _target_tokens(s, d)
+    return six(attacks.naive_bayes_scores(counts, background, involved(s, d), vocab, present, 500))
 
 
 @query

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilmark.llm import boilerplate, encoding, formatting, leakage, lookalikes, overlap, quality, splits, subjects, terms
+from veilmark.llm import boilerplate, encoding, formatting, leakage, lookalikes, overlap, quality, splits, subjects, terms, textform
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -32,4 +32,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can express a result. The others are held against brute force, round trips or held-out labels in tests."""
+    nobody = ", ".join(f"'{x}'" for x in splits.NOBODY)
+
+    def name(column: str) -> str:
+        plain = rf"regexp_replace(lower({column}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+        return f"CASE WHEN {plain} NOT IN ({nobody}) AND NOT regexp_matches(lower({column}), 'redacted|privacy|whois') THEN {plain} END"
+
+    lists = " UNION ALL ".join(f"SELECT manifest_id, '{n}' AS list, unnest({n}) AS site_id FROM manifests" for n in splits.LISTS)
+    return {
+        "p2_found": f"""WITH r AS (SELECT DISTINCT source_record_index AS i, text FROM stream_final_c4 WHERE source_record_index IS NOT NULL AND text IS NOT NULL),
+            f AS MATERIALIZED (SELECT i, text AS t, {textform.fold_sql("text")} AS f FROM r)
+            SELECT a.i AS index_a, b.i AS index_b FROM f a JOIN f b ON a.f = b.f AND a.i < b.i AND a.t <> b.t""",
+        "p7_found": rf"""WITH RECURSIVE k AS MATERIALIZED (SELECT DISTINCT site_id AS s, unnest(['o:' || {name("owner_name")}, 'c:' || {name("contact_id")},
+                'h:' || nullif(regexp_extract(regexp_replace(lower(trim(host)), ':\d*$|\.+$', ''), '([^.\s]+\.[^.\s]+)$', 1), '')]) AS k FROM sites WHERE site_id IS NOT NULL),
+            e AS MATERIALIZED (SELECT DISTINCT a.s AS a, b.s AS b FROM k a JOIN k b ON a.k = b.k WHERE a.k IS NOT NULL AND a.s <> b.s),
+            c AS (SELECT a AS s, b AS t FROM e UNION SELECT c.s, e.b FROM c JOIN e ON c.t = e.a),
+            p AS MATERIALIZED (SELECT DISTINCT manifest_id, list, site_id FROM ({lists}) WHERE site_id IS NOT NULL)
+            SELECT DISTINCT x.manifest_id, x.site_id AS site_a, y.site_id AS site_b FROM p x JOIN p y ON x.manifest_id = y.manifest_id AND x.list <> y.list AND x.site_id < y.site_id
+            JOIN c ON c.s = x.site_id AND c.t = y.site_id""",
+    }

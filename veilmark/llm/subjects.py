@@ -32,13 +32,15 @@ LEAST_SUPPORT, VERIFIED, DECISIVE = 3, 0.3, 0.6
 #: Subjects a document keeps in a round; sentences that make a subject.
 KEPT_SHARE, SENTENCE_SHARE = 0.2, 0.25
 
-_SENTENCE = re.compile(r"(?<=[.!?…])[\"”»)]*\s+|\n+")
+_SENTENCE = re.compile(r"(?<=[.!?…])[\"”»)]*\s+|\n\s*\n|\n(?!\s*[a-zß-öø-ÿα-ωа-я])")  # a line that goes on in small letters is wrapped
+_LINE = re.compile(r"\n+")
 _WORD = re.compile(r"[^\W\d_]{2,}(?:-[^\W\d_]+)*")
 
 
 def sentences(text: str) -> list[str]:
-    """Sentences and lines that are not blank."""
-    return [s for s in _SENTENCE.split(text) if s.strip()]
+    """Sentences, and lines that are none, without blank ones. A text without full stops is taken by its lines."""
+    split = _SENTENCE if any(c in text for c in ".!?…") else _LINE
+    return [s for s in split.split(text) if s.strip()]
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

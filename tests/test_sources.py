@@ -76,3 +76,11 @@ def test_stream_equals_batch(spark, small, tmp_path):
     expected = {tuple(r) for r in events.windowed_counts(batch, "ts", "event_type", "value").select("start", "event_type", "n").collect()}
     assert {tuple(r) for r in spark.table("windows").select("start", "event_type", "n").collect()} == expected
     assert events.windowed_counts(batch, "ts", "event_type", "value", "1 hour", "30 minutes").agg(F.sum("n")).first()[0] == 2 * batch.count()
+
+
+def test_micro_corpus_repeats(spark):
+    from veilmark.sources.synthetic import micro_corpus
+
+    a, b = (micro_corpus(spark, seed=3).orderBy("idx").collect() for _ in range(2))
+    assert a == b and len(a) == 96 and len({r.site_id for r in a}) == 8
+    assert any("own000x" in r.text for r in a if r.site_id == "site_000")

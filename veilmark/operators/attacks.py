@@ -44,15 +44,22 @@ def overlap_scores(target_vocab: DataFrame, shadow_vocab: DataFrame, training: D
     site = sites.select("site_id").distinct().join(inside, "site_id", "left").fillna({"inside": 0}).crossJoin(F.broadcast(every))
     outside = F.col("every").bitwiseAND(F.bitwise_not("inside"))
     kept = site.select("site_id", "inside", outside.alias("outside")).where("inside <> 0 AND outside <> 0")
-    grid = kept.crossJoin(F.broadcast(classes)).where("NOT ((mask & inside) <> 0 AND (mask & outside) <> 0)")  # classes: few
-    per_shadow = grid.crossJoin(F.broadcast(shadows)).withColumn("has", F.col("mask").bitwiseAND(_bit()) != 0)
-    sums = per_shadow.groupBy("site_id", "inside", "shadow_id").agg(
-        F.sum(F.when(F.col("has") & (F.col("in_target") == 1), F.col("n")).otherwise(0)).alias("common"),
-        F.sum(F.when(F.col("has") | (F.col("in_target") == 1), F.col("n")).otherwise(0)).alias("union"),
-    )
-    value = F.coalesce(F.try_divide(F.col("common").cast("double"), "union"), F.lit(0.0))
-    within = F.col("inside").bitwiseAND(_bit()) != 0
-    return sums.groupBy("site_id").agg(((F.avg(F.when(within, value)) - F.avg(F.when(~within, value)) + 1) / 2).alias("score"))
+    grid = kept.crossJoin(F.broadcast(classes)).where("NOT ((mask & inside) <> 0 AND (mask & outside) <> 0)")  # at most the vocabularies' masks
+    ids = sorted(r[0] for r in shadows.collect())  # at most 62
+    has = {k: F.col("mask").bitwiseAND(F.lit(1 << k)) != 0 for k in ids}
+    target = F.col("in_target") == 1
+    count = lambda condition: F.sum(F.when(condition, F.col("n")).otherwise(0))
+    sums = grid.groupBy("site_id", "inside").agg(*[e for k in ids for e in (count(has[k] & target).alias(f"c{k}"), count(has[k] | target).alias(f"u{k}"))])
+    within = {k: F.col("inside").bitwiseAND(F.lit(1 << k)) != 0 for k in ids}
+    value = {k: F.coalesce(F.try_divide(F.col(f"c{k}").cast("double"), F.col(f"u{k}")), F.lit(0.0)) for k in ids}
+
+    def mean(inner: bool) -> Column:
+        rows = [(F.when(within[k] == inner, value[k]).otherwise(0.0), (within[k] == inner).cast("int")) for k in ids]
+        return sum((v for v, _ in rows), F.lit(0.0)) / sum((n for _, n in rows), F.lit(0))
+
+    # a site whose tokens are all left out has no rows in the grid; its overlaps are all 0
+    scored = sums.select("site_id", ((mean(True) - mean(False) + 1) / 2).alias("score"))
+    return kept.select("site_id").join(scored, "site_id", "left").fillna({"score": 0.5})
 
 
 def rank_correlations(target_vocab: DataFrame, shadow_vocab: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def trained(train: DataFrame, validation: DataFrame, strengths: tuple[float, ...
     best, score = None, -1.0
     for r in strengths:
         model = LogisticRegression(maxIter=iterations, regParam=r, labelCol="label", featuresCol="features").fit(train)
-        now = macro_scores(model.transform(validation)).first()["macro_f1"]
+        now = macro_scores(model.transform(validation)).first()["macro_f1"] or 0.0  # an empty validation split scores nothing
         if now > score:
             best, score = model, now
     return best, score

@@ -59,9 +59,8 @@ def sites_in(s: SparkSession, d: str, role: str) -> DataFrame:
 
 
 def unit_table(s: SparkSession, d: str) -> DataFrame:
-    """(site_id, unit, cnt) of the sites of the first manifest."""
-    used = first_manifest(s, d).select("site_id").distinct()
-    return tokens.unit_counts(texts(s, d).join(used, "site_id", "left_semi"), "site_id")
+    """(site_id, unit, cnt) of the whole corpus."""
+    return tokens.unit_counts(texts(s, d), "site_id")
 
 
 def shared_units(s: SparkSession, d: str) -> DataFrame:
@@ -216,9 +215,17 @@ def corpus_text_totals(s, d):
     return corpus.site_text_totals(texts(s, d))
 
 
+def in_role(s: SparkSession, d: str, role: str) -> DataFrame:
+    """(manifest_id, site_id) of a role in every manifest."""
+    return roles.manifest_roles(table(s, d, "manifests")).where(F.col("role") == role).select("manifest_id", "site_id")
+
+
 @query
 def corpus_semi_join(s, d):
-    return texts(s, d).join(sites_in(s, d, "target_member"), "site_id", "left_semi").groupBy("site_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    """Texts and bytes of the member sites of every manifest; sites are summed up before manifests meet them."""
+    member = in_role(s, d, "target_member")
+    sums = texts(s, d).join(member, "site_id", "left_semi").groupBy("site_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    return member.join(sums, "site_id").select("manifest_id", "site_id", "n", "bytes")
 
 
 @query
@@ -228,7 +235,8 @@ def corpus_missing_sites(s, d):
 
 @query
 def corpus_heldout_texts(s, d):
-    return texts(s, d).join(sites_in(s, d, "target_nonmember"), "site_id", "left_semi").select("idx", F.length("text").alias("chars"))
+    """Held-out texts: those of a site that is no member in some manifest."""
+    return texts(s, d).join(in_role(s, d, "target_nonmember"), "site_id", "left_semi").select("idx", F.length("text").alias("chars"))
 
 
 @query
@@ -331,13 +339,13 @@ def auxiliary_groups(s, d):
 
 @query
 def involved_sites(s, d):
-    return involved(s, d)
+    """Sites of the first two shadow plans of every manifest, once each."""
+    return roles.shadow_training(table(s, d, "manifests")).where("shadow_id < 2").select("manifest_id", "site_id").distinct()
 
 
 @query
 def nonmember_except(s, d):
-    pool, member = sites_in(s, d, "target_pool"), sites_in(s, d, "target_member")
-    return pool.exceptAll(member.intersect(pool)).distinct()
+    return in_role(s, d, "target_pool").exceptAll(in_role(s, d, "target_member")).distinct()
 
 
 @query
@@ -519,10 +527,10 @@ def site_compression_score(s, d):
 
 
 def _compression_labels(s, d):
-    pool = sites_in(s, d, "target_pool")
-    member = sites_in(s, d, "target_member").withColumn("m", F.lit(1)).distinct()
-    rows = site_compression_score(s, d).join(pool.distinct(), "site_id").join(member, "site_id", "left")
-    return rows.select(F.lit("compression").alias("run_id"), "site_id", F.coalesce("m", F.lit(0)).alias("label"), "score")
+    """Compression scores of the target sites of every manifest with their membership there."""
+    member = in_role(s, d, "target_member").withColumn("m", F.lit(1))
+    rows = in_role(s, d, "target_pool").join(site_compression_score(s, d), "site_id").join(member, ["manifest_id", "site_id"], "left")
+    return rows.select(F.col("manifest_id").cast("string").alias("run_id"), "site_id", F.coalesce("m", F.lit(0)).alias("label"), "score")
 
 
 @query

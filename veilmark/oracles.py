@@ -57,7 +57,7 @@ PARTS = {
     "public": "SELECT site_id FROM m1 WHERE role = 'public_candidate'",
     "involved": "SELECT DISTINCT site_id FROM train WHERE shadow_id < 2",
     "unit_rows": f"SELECT site_id, unnest(regexp_extract_all(text, '{UNIT}')) AS unit FROM texts",
-    "units": "SELECT site_id, unit, count(*) AS cnt FROM unit_rows WHERE site_id IN (SELECT site_id FROM m1) GROUP BY ALL",
+    "units": "SELECT site_id, unit, count(*) AS cnt FROM unit_rows GROUP BY ALL",
     "vocab": """SELECT unit AS token, row_number() OVER (ORDER BY c DESC, unit) - 1 AS id FROM (
         SELECT unit, sum(cnt) AS c FROM units WHERE site_id IN (SELECT site_id FROM member) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2000)""",
     "shadow": """SELECT shadow_id, unit AS token, id FROM (SELECT shadow_id, unit, row_number() OVER (PARTITION BY shadow_id ORDER BY c DESC, unit) - 1 AS id
@@ -90,7 +90,8 @@ PARTS = {
     "runs": r"SELECT *, regexp_extract(run_id, '^run_(\d+)_', 1)::bigint AS manifest, regexp_extract(run_id, '^run_\d+_(.*)$', 1) AS attack FROM met",
     "comp": """SELECT site_id, bytes::bigint AS bytes, tokens::bigint AS tokens, bytes::double / tokens AS score FROM (SELECT site_id, sum(strlen(text)) AS bytes FROM texts GROUP BY 1)
         JOIN (SELECT site_id, count(*) AS tokens FROM unit_rows GROUP BY 1) USING (site_id)""",
-    "complab": """SELECT 'compression' AS run_id, c.site_id, (c.site_id IN (SELECT site_id FROM member))::int AS label, round(score, 6) AS score FROM comp c WHERE c.site_id IN (SELECT site_id FROM pool)""",
+    "complab": """SELECT p.manifest_id::varchar AS run_id, p.site_id, coalesce(m.x, 0)::int AS label, round(c.score, 6) AS score FROM (SELECT manifest_id, site_id FROM mroles WHERE role = 'target_pool') p JOIN comp c USING (site_id)
+        LEFT JOIN (SELECT manifest_id, site_id, 1 AS x FROM mroles WHERE role = 'target_member') m ON m.manifest_id = p.manifest_id AND m.site_id = p.site_id""",
     "cells": "SELECT (2 ** (l_linenumber - 1))::int AS clients, (2 ** (7 + l_suppkey % 4))::int AS k, avg(l_extendedprice / 1000) AS seconds FROM lineitem GROUP BY ALL",
     "corr": """SELECT shadow_id, CASE WHEN count(*) < 2 OR stddev_pop(s.id) = 0 OR stddev_pop(v.id) = 0 THEN 0 ELSE covar_pop(s.id, v.id) / (stddev_pop(s.id) * stddev_pop(v.id)) END AS r
         FROM shadow s JOIN vocab v USING (token) GROUP BY 1""",
@@ -148,9 +149,9 @@ BODIES = {
     ),
     "corpus_site_counts": "SELECT site_id, count(*) AS n FROM acc GROUP BY 1",
     "corpus_text_totals": "SELECT count(*) AS texts, sum(strlen(text))::bigint AS bytes FROM texts",
-    "corpus_semi_join": "SELECT site_id, count(*) AS n, sum(strlen(text))::bigint AS bytes FROM texts WHERE site_id IN (SELECT site_id FROM member) GROUP BY 1",
+    "corpus_semi_join": "SELECT manifest_id, site_id, n, bytes FROM (SELECT manifest_id, site_id FROM mroles WHERE role = 'target_member') JOIN (SELECT site_id, count(*) AS n, sum(strlen(text))::bigint AS bytes FROM texts GROUP BY 1) USING (site_id)",
     "corpus_missing_sites": "SELECT DISTINCT site_id FROM mroles WHERE site_id NOT IN (SELECT site_id FROM texts)",
-    "corpus_heldout_texts": "SELECT idx, length(text)::int AS chars FROM texts WHERE site_id IN (SELECT site_id FROM m1 WHERE role = 'target_nonmember')",
+    "corpus_heldout_texts": "SELECT idx, length(text)::int AS chars FROM texts WHERE site_id IN (SELECT site_id FROM mroles WHERE role = 'target_nonmember')",
     "corpus_content_hashes": "SELECT DISTINCT source_record_index AS idx, sha256(text) AS digest, coalesce(lower(text_sha256) = sha256(text), false) AS stored_right FROM stream_final_c4 WHERE source_record_index IS NOT NULL AND text IS NOT NULL",
     "corpus_letter_statistics": f"SELECT idx, length(text)::int AS chars, strlen(text)::int AS bytes, {_letters('text')}::int AS letters, round({_ratio('text')}, 6) AS ratio FROM recs WHERE text IS NOT NULL",
     "corpus_url_leaks": rf"""SELECT idx FROM texts JOIN (SELECT site_id, min(host) AS host FROM sites WHERE site_id IS NOT NULL AND host IS NOT NULL GROUP BY 1) USING (site_id)
@@ -183,8 +184,8 @@ BODIES = {
     "probe_balance_audit": "SELECT site_id, 0 AS prefix, 0::bigint AS n FROM pool WHERE false",
     "auxiliary_groups": f"""SELECT g::int AS group_id, site_id FROM (SELECT g, site_id, row_number() OVER (PARTITION BY g ORDER BY sha256('aux:{SEED}:' || g::varchar || ':' || site_id)) AS n
         FROM (SELECT site_id FROM m1 WHERE role = 'shadow_auxiliary') CROSS JOIN (SELECT unnest(range(4)) AS g)) WHERE n <= 5""",
-    "involved_sites": "SELECT * FROM involved",
-    "nonmember_except": "SELECT site_id FROM pool EXCEPT SELECT site_id FROM member",
+    "involved_sites": "SELECT DISTINCT manifest_id, site_id FROM alltrain WHERE shadow_id < 2",
+    "nonmember_except": "SELECT manifest_id, site_id FROM mroles WHERE role = 'target_pool' EXCEPT SELECT manifest_id, site_id FROM mroles WHERE role = 'target_member'",
     "stratified_split": "SELECT * FROM split",
     "class_histogram": "SELECT split, label, count(*) AS n FROM split GROUP BY ALL",
     "split_priority_dedupe": f"""SELECT h, doc_id, split FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY p, doc_id) AS n FROM (SELECT sha256({_collapse('text')}) AS h, doc_id,

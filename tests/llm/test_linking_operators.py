@@ -95,6 +95,22 @@ def test_hot_keys_are_refined(spark, monkeypatch):
     assert got <= expected and len(got) >= 0.98 * len(expected) and expected
 
 
+@pytest.mark.parametrize("hot", [20_000, 5])
+def test_repeated_words_and_rare_differences_are_found(spark, monkeypatch, hot):
+    monkeypatch.setattr(overlap, "HOT_KEY", hot)
+    rng = random.Random(7)
+    rows = {}
+    for k in range(60):
+        own = lambda side: [f"{side}{k}x{j}" for j in range(10)]
+        rows[2 * k], rows[2 * k + 1] = (("s0" if side == "a" else "s1", " ".join(["same"] * 90 + own(side))) for side in "ab")
+        shared = [f"u{rng.randrange(300)}" for _ in range(80)]
+        rows[200 + 2 * k], rows[201 + 2 * k] = (("s0" if side == "a" else "s1", " ".join(shared + own(side))) for side in "ab")
+    df = spark.createDataFrame([(k, *v) for k, v in rows.items()], "source_record_index bigint, site_id string, text string")
+    plans = spark.createDataFrame([(1, ["s0"], ["s1"])], f"manifest_id bigint, {overlap.MEMBER} array<string>, {overlap.NONMEMBER} array<string>")
+    expected = brute(rows, {1: ({"s0"}, {"s1"})})
+    assert len(expected) >= 3660 and {tuple(r) for r in overlap.cross_split(df, plans).collect()} == expected
+
+
 def test_packing_round_trip():
     for symbols in ([], [3, 70_000, 70_000], [1, 2, 2], [1 << 31, (1 << 32) - 1, 5]):
         ordered = np.array(sorted(symbols, key=lambda x: (x < 1 << 31, x)), np.uint32)

@@ -1,14 +1,13 @@
 """Problem 5: the same or nearly the same records across splits.
 
-Method: a full-text index of evaluation shards, through which training is streamed by backward search; matches are merged
-to spans and counted, and what is left is compared exactly.
-
-Word order does not matter here, so a text stands as its words from the rarest to the most common. Texts that share 80 %
-of their words share long runs of that sequence (u words in either and at most u/5 differences leave a run of about four,
-mostly far longer), in whatever order they were written. Equal bags of words are one class before anything is searched.
-A text goes to the shards of MinHashes over its rarer half; a shard indexes its evaluation texts and searches its training
-texts for runs whose chance to be shared by accident is below one in the collection. Shards have a fixed size, so the work
-is linear; MinHashes that too many texts have are refined by a second one.
+Method: an index of the texts, in which every training text meets every evaluation text that can share 80 % of its words;
+matches are filtered by exact bounds, and what is left is compared exactly.
+
+Word order does not matter here, so a text stands as its tokens (word, occurrence number) from the rarest to the most
+common; equal bags of words are one class before anything is searched. Of n tokens the n - ceil(0.8 n) + 1 rarest are
+indexed: two texts that share 80 % have one of these in common, as all their tokens before the first common one differ
+(prefix filtering). Lengths, the places of the common token and the parities of hashed tokens bound what a pair can share,
+so no bound drops a pair. Tokens that too many texts have are searched in blocks of texts, every block with every block.
 """
 
 from __future__ import annotations
@@ -23,22 +22,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.llm.common import ALL_PAIRS_UP_TO, records
-from veilmark.llm.fmindex import ORDER, FMIndex, spread
+from veilmark.llm.fmindex import spread
 from veilmark.llm.textform import words
 from veilmark.session import checkpointed, table
 
 MEMBER, NONMEMBER = "target_member_site_ids", "target_nonmember_site_ids"
 #: 80 % as a fraction.
 SHARED, OF = 4, 5
-#: A word of at least this share of the records is ordered by its frequency; there are at most (mean distinct words of a
-#: record / share) such words. Rarer words come first, by their hash.
+#: A token of at least this share of the records is ordered by its frequency; there are at most (mean tokens of a
+#: record / share) such tokens. Rarer ones come first, by their hash.
 COMMON_WORD_SHARE = 2e-4
-#: MinHashes (shards) of a text; texts of up to SHORT words are searched whole, longer ones by their rarer half.
-KEYS, SHORT = 5, 32
-#: Texts of a shard; texts that may share one MinHash before it is refined, by so many further ones.
-SHARD_TEXTS, HOT_KEY, REFINED_KEYS, REFINEMENTS = 3_000, 20_000, 5, 3
-#: Weight of a word that stands in nearly every text.
-LEAST_BITS = 0.5
+#: Indexed texts of a token before it is searched in blocks of about so many; candidates compared at once.
+HOT_KEY, CANDIDATES = 20_000, 2_000_000
+#: 64-bit words of a text's parity bitmap.
+LANES = 4
 #: Broadcast only under so many rows (of about 40 bytes).
 BROADCAST_ROWS = 1_000_000
 _RARE = np.uint32(1 << 31)
@@ -52,6 +49,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def tokens(found: list[str]) -> list[str]:
+    """The words of a text with their repeats told apart: all different, shared as often as both texts repeat the word."""
+    seen: dict[str, int] = {}
+    out = []
+    for w in found:
+        k = seen[w] = seen.get(w, 0) + 1
+        out.append(w if k == 1 else f"{w}\0{k}")
+    return out
+
+
 def _word_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
     held: Counter = Counter()
@@ -62,7 +69,7 @@ def _word_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         for text in batch.column(0).to_pylist():
             held[""] += 1
-            held.update(set(words(text)))
+            held.update(tokens(words(text)))
         if len(held) > 400_000:
             yield out()
             held.clear()
@@ -70,7 +77,7 @@ def _word_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def common_words(texts: DataFrame) -> tuple[list[str], list[int], int]:
-    """Common words from the rarest on, their record counts, and the count of all rows. Bounded, see COMMON_WORD_SHARE."""
+    """Common tokens from the rarest on, their record counts, and the count of all rows. Bounded, see COMMON_WORD_SHARE."""
     counts = checkpointed(texts.mapInArrow(_word_frequencies, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.where("word = ''").agg(F.sum("n")).first()[0] or 0
     kept = sorted((r["n"], r["word"]) for r in counts.where(f"word <> '' AND n >= {max(3, COMMON_WORD_SHARE * total)}").toLocalIterator(True))
@@ -98,7 +105,7 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def bags(df: DataFrame, words_of: tuple[list[str], list[int], int]) -> DataFrame:
-    """(source_record_index, site_id, bag, n, seq): digest of a text's bag of words, its size and its words in order."""
+    """(source_record_index, site_id, bag, n, seq): digest of a text's bag of words, its size and its tokens in order."""
     ranks = df.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(words_of[0])})
     schema = pa.schema([("source_record_index", pa.int64()), ("site_id", pa.string()), ("bag", pa.binary()), ("n", pa.int32()), ("seq", pa.binary())])
 
@@ -110,7 +117,7 @@ def bags(df: DataFrame, words_of: tuple[list[str], list[int], int]) -> DataFrame
             for text in batch.column(2).to_pylist():
                 found = words(text)
                 symbols = []
-                for w in found:
+                for w in tokens(found):
                     s = get(w)
                     if s is None and (s := known.get(w)) is None:
                         if len(known) > 1_000_000:
@@ -128,71 +135,63 @@ def bags(df: DataFrame, words_of: tuple[list[str], list[int], int]) -> DataFrame
     return df.select("source_record_index", "site_id", "text").mapInArrow(run, "source_record_index bigint, site_id string, bag binary, n int, seq binary")
 
 
-def front_of(symbols: np.ndarray) -> np.ndarray:
-    """What of a sequence is searched."""
-    return symbols[: max(len(symbols) // 2, SHORT)]
-
-
-def min_hashes(fronts: list[np.ndarray], keys: int, salt: int) -> np.ndarray:
-    """(texts, keys): for each front, none of them empty, the least values of its words under ``keys`` hashes, as keys."""
-    x = np.concatenate(fronts).astype(np.uint64)
-    starts = np.concatenate([[0], np.cumsum([len(f) for f in fronts[:-1]])]).astype(np.int64)
-    out = np.empty((len(fronts), keys), np.int64)
-    for k in range(keys):
-        with np.errstate(over="ignore"):
-            least = np.minimum.reduceat(_mix(x + np.uint64((salt * 64 + k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), starts)
-            out[:, k] = (_mix(least + np.uint64(k)) >> np.uint64(1)).astype(np.int64)
-    return out
+def least_shared(x, y):
+    """Tokens that texts of x and y tokens share at least at 80 %."""
+    return -(-SHARED * (x + y) // (SHARED + OF))
 
 
-def _routes(keys: int, salt: int):
-    schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("side", pa.int8()), ("seq", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fronts = [front_of(unpack(data)) for data in batch.column(3).to_pylist()]
-            if not fronts:
-                continue
-            key = min_hashes(fronts, keys, salt)
-            if salt:  # a refined key is of the hot key and a further MinHash
-                old = batch.column(0).to_numpy().astype(np.uint64)[:, None]
-                key = (_mix(key.astype(np.uint64) ^ old) >> np.uint64(1)).astype(np.int64)
-            rows = batch.take(pa.array(np.repeat(np.arange(len(fronts)), keys)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel(), pa.int64()), *rows.columns[1:]], schema=schema)
-
-    return run
-
-
-def _count_keys(keys: int, salt: int):
-    """Texts of each key in a partition: (key, n)."""
-    route = _routes(keys, salt)
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each indexed token of a text: its place, the text's size and parity bitmap."""
+    names = ["key", "rep", "side", "n", "place", *(f"bits{k}" for k in range(LANES))]
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2000):
+            part = batch.slice(lo, 2000)
+            seqs = [unpack(data) for data in part.column(2).to_pylist()]
+            n = np.array([len(x) for x in seqs], np.int64)
+            owner, symbols = np.repeat(np.arange(len(seqs)), n), np.concatenate(seqs)
+            width = 64 * LANES
+            parity = np.bincount(owner * width + (_mix(symbols.astype(np.uint64)) % np.uint64(width)).astype(np.int64), minlength=len(seqs) * width) & 1
+            bits = np.packbits(parity.astype(np.uint8).reshape(len(seqs), width), axis=1).view(np.int64)
+            place = np.arange(len(symbols)) - np.repeat(np.cumsum(n) - n, n)
+            kept = place <= n[owner] - -(-SHARED * n[owner] // OF)
+            of = owner[kept]
+            rows = part.take(pa.array(of))
+            columns = [pa.array(symbols[kept].astype(np.int64)), rows.column(0), rows.column(1), pa.array(n[of].astype(np.int32)), pa.array(place[kept].astype(np.int32)), *(pa.array(bits[of, k]) for k in range(LANES))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of each token in a partition: (key, n)."""
+    held: Counter = Counter()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b.column(0).to_numpy() for b in route(batches)]
-        key, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["key", "n"])
 
-    return run
+    for batch in batches:
+        for data in batch.column(2).to_pylist():
+            seq = unpack(data)
+            held.update(seq[: len(seq) + 1 - -(-SHARED * len(seq) // OF)].tolist())
+        if len(held) > 400_000:
+            yield out()
+            held.clear()
+    yield out()
 
 
-_ROUTED = "key bigint, rep bigint, side tinyint, seq binary"
+_POSTED = "key bigint, rep bigint, side tinyint, n int, place int, " + ", ".join(f"bits{k} bigint" for k in range(LANES))
 
 
-def routed(reps: DataFrame) -> DataFrame:
-    """(key, rep, side, seq): texts with the keys of their shards; keys of too many texts are refined."""
-    plain = reps.select(F.lit(0).cast("bigint").alias("key"), "rep", "side", "seq")
-    hot_keys = lambda df, keys, salt: df.mapInArrow(_count_keys(keys, salt), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > HOT_KEY).select("key")
-    rows = plain.mapInArrow(_routes(KEYS, 0), _ROUTED)
-    hot = checkpointed(hot_keys(plain, KEYS, 0))
-    for level in range(1, REFINEMENTS + 1):
-        if hot.isEmpty():
-            return rows
-        rows = checkpointed(rows)
-        refined = rows.join(hot, "key", "left_semi").select(*plain.columns)
-        rest = rows.join(hot, "key", "left_anti").select(*plain.columns)
-        hot = checkpointed(hot_keys(refined, REFINED_KEYS, level))
-        rows = rest.unionByName(refined.mapInArrow(_routes(REFINED_KEYS, level), _ROUTED))
-    return rows
+def posted(reps: DataFrame) -> DataFrame:
+    """Index rows of the texts; a token of more than HOT_KEY texts is cut into cells, in which each two blocks of its texts meet."""
+    plain = reps.select("rep", "side", "seq")
+    rows = plain.mapInArrow(_postings, _POSTED)
+    counts = plain.mapInArrow(_count_keys, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    hot = checkpointed(counts.where(F.col("n") > HOT_KEY).select("key", F.ceil(F.col("n") / HOT_KEY).cast("int").alias("blocks")))
+    if hot.isEmpty():
+        return rows
+    own, other = F.pmod(F.xxhash64("rep"), "blocks"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    hot = bounded_broadcast(hot)
+    cells = rows.join(hot, "key").select("*", own.alias("own"), other).withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    return rows.join(hot, "key", "left_anti").unionByName(cells.select(*rows.columns))
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -218,132 +217,78 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def search_shard(reps: np.ndarray, sides: np.ndarray, seqs: list[np.ndarray], bits: np.ndarray, least_bits: float, rare_bits: float) -> list[tuple[int, int]]:
-    """Pairs of a shard's texts that share 80 % of their words.
+def candidates(key: np.ndarray, rep: np.ndarray, side: np.ndarray, n: np.ndarray, place: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
+    """(2, pairs): texts with a common token that can share 80 %; rows are sorted by key and n.
 
-    sides: bit 1 training (searched), bit 0 evaluation (indexed). The index holds the evaluation texts' fronts; for each
-    place of a training text the backward search runs until the match is too long to be shared by accident.
+    If the token is a pair's first common one, neither text has more tokens before it than it may have beside the shared
+    ones, and the shorter text of at least as many as 8/9 of its own tokens has the fewer.
     """
-    fronts = [front_of(s) for s in seqs]
-    sizes = np.array([len(f) for f in fronts])
-    values, symbols = np.unique(np.concatenate(fronts), return_inverse=True)
-    weight = np.concatenate([[0.0], np.where(values >= _RARE, rare_bits, bits[np.minimum(values, len(bits) - 1)] if len(bits) else rare_bits)])
-    sigma = len(values)
-
-    def joined(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Text of the chosen fronts with separators, and the owner of each place."""
-        text = np.zeros(sizes[which].sum() + len(which) + 1, np.int64)
-        ends = np.cumsum(sizes[which] + 1)
-        owner = np.repeat(which, sizes[which] + 1)
-        begin = np.concatenate([[0], np.cumsum(sizes)])[which]
-        place = np.arange(len(owner)) - np.repeat(ends - sizes[which] - 1, sizes[which] + 1)
-        inside = place < sizes[owner]
-        text[1:][inside] = symbols[(np.repeat(begin, sizes[which] + 1) + place)[inside]] + 1
-        return text, np.concatenate([[-1], owner])
-
-    indexed, searched = np.flatnonzero(sides & 1), np.flatnonzero(sides & 2)
-    if not len(indexed) or not len(searched):
-        return []
-    text, owner = joined(indexed)
-    index = FMIndex(text, sigma)
-    query, query_owner = joined(searched)
-    selfs = (sides[query_owner] & 1) if len(query_owner) else query_owner
-    at = np.flatnonzero(query)
-    total = np.bincount(query_owner[at], weight[query[at]], len(seqs))
-    low, high = index.start(query[at])
-    got = weight[query[at]].copy()
-    need = np.minimum(least_bits, 0.25 * total[query_owner[at]])
-    alone = selfs[at]  # an interval of the text itself alone finds nothing
-    found_at, found_low, found_high = [], [], []
-    for step in range(1, ORDER + 1):
-        live = high - low > alone
-        done = live & ((got >= need) | (step == ORDER))  # so long a match counts whatever its words
-        found_at.append(at[done]), found_low.append(low[done]), found_high.append(high[done])
-        go = live & ~done & (at - step >= 0)
-        at, low, high, got, need, alone = (x[go] for x in (at, low, high, got, need, alone))
-        if step == ORDER or not len(at):
-            break
-        symbol = query[at - step]
-        go = symbol > 0
-        at, low, high, got, need, alone, symbol = (x[go] for x in (at, low, high, got, need, alone, symbol))
-        got = got + weight[symbol]
-        low, high = index.extend(symbol, low, high)
-    place, low, high = (np.concatenate(x) for x in (found_at, found_low, found_high))
-    by = np.argsort(place, kind="stable")
-    place, low, high = place[by], low[by], high[by]
-    pairs: list[np.ndarray] = []
-    volume = np.cumsum(high - low)
-    q_of = query_owner[place]
+    first = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])).astype(np.int64) << 32
+    code = first + n
+    low = np.searchsorted(code, first + -(-SHARED * n // OF))
+    shorter = np.flatnonzero(place <= n - least_shared(n, n))
+    begin, end = np.searchsorted(shorter, low), np.searchsorted(shorter, np.arange(len(n)))
+    volume = np.cumsum(end - begin)
+    pairs = [np.zeros((2, 0), np.int64)]
     lo = 0
-    while lo < len(place):  # whole training texts at a time, about four million hits
-        hi = int(np.searchsorted(volume, (volume[lo - 1] if lo else 0) + 4_000_000, "right"))
-        hi = max(hi, lo + 1)
-        hi = int(np.searchsorted(q_of, q_of[hi - 1], "right")) if hi < len(place) else len(place)
-        which, row = spread(low[lo:hi], high[lo:hi])
-        e = owner[index.rows[row]]
-        q = q_of[lo:hi][which]
-        keep = q != e
-        code, hits = np.unique(q[keep] * np.int64(len(seqs)) + e[keep], return_counts=True)
-        q, e = code // len(seqs), code % len(seqs)
-        lengths = np.array([len(s) for s in seqs])
-        short, long_ = np.minimum(lengths[q], lengths[e]), np.maximum(lengths[q], lengths[e])
-        least = np.maximum(1, np.minimum(4, np.minimum(sizes[q], sizes[e]) // 8))  # spans of an accident are single
-        good = (hits >= least) & (OF * short >= SHARED * long_)
-        pairs.append(np.stack([np.minimum(q, e)[good], np.maximum(q, e)[good]]))
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(volume, (volume[lo - 1] if lo else 0) + CANDIDATES, "right")))
+        which, at = spread(begin[lo:hi], end[lo:hi])
+        x, y = which + lo, shorter[at]
         lo = hi
-    if not pairs:
-        return []
-    both = np.unique(np.concatenate(pairs, axis=1), axis=1)
-    common = overlaps([seqs[k] for k in both[0]], [seqs[k] for k in both[1]])
-    lengths = np.array([len(s) for s in seqs])
-    union = lengths[both[0]] + lengths[both[1]] - common
-    near = OF * common >= SHARED * union
-    return list(zip(np.minimum(reps[both[0]], reps[both[1]])[near].tolist(), np.maximum(reps[both[0]], reps[both[1]])[near].tolist()))
+        shared = least_shared(n[x], n[y])
+        good = (place[x] <= n[x] - shared) & (place[y] <= n[y] - shared)
+        x, y, shared = x[good], y[good], shared[good]
+        across = ((side[x] & 1) & (side[y] >> 1)) | ((side[x] >> 1) & (side[y] & 1))
+        differ = sum(np.bitwise_count(b[x] ^ b[y]).astype(np.int64) for b in bits)  # at most the tokens in one text only
+        good = (across > 0) & (differ <= n[x] + n[y] - 2 * shared) & (rep[x] != rep[y])
+        x, y = rep[x[good]], rep[y[good]]
+        pairs.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1))
+    return np.unique(np.concatenate(pairs, axis=1), axis=1)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of a partition sorted by key and n; a key's rows are taken together."""
+    held: list[list[np.ndarray]] = []
+
+    def out(upto: int | None) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held)]
+        held[:] = [[c[upto:] for c in columns]] if upto is not None else []
+        key, rep, side, n, place, *bits = [c[:upto] for c in columns]
+        found = candidates(key, rep, side.astype(np.int64), n.astype(np.int64), place.astype(np.int64), [b.view(np.uint64) for b in bits])
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["rep_a", "rep_b"])
 
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([c.to_numpy() for c in batch.columns])
+        if sum(len(h[0]) for h in held) > 100_000:
+            keys = np.concatenate([h[0] for h in held])
+            ends = np.flatnonzero(keys[1:] != keys[:-1])
+            if len(ends):
+                yield out(int(ends[-1]) + 1)
+    if held:
+        yield out(None)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (rep_a, rep_b, seq_a, seq_b) that share 80 %."""
+    for batch in batches:
+        a, b = ([unpack(data) for data in batch.column(k).to_pylist()] for k in (2, 3))
+        common = overlaps(a, b)
+        union = np.array([len(x) for x in a], np.int64) + np.array([len(x) for x in b], np.int64) - common
+        yield batch.select([0, 1]).filter(pa.array(OF * common >= SHARED * union))
 
-def near_classes(reps: DataFrame, words_of: tuple[list[str], list[int], int]) -> DataFrame:
+
+def near_classes(reps: DataFrame) -> DataFrame:
     """(rep_a, rep_b): distinct bags that share 80 % of their words, one of a training and one of an evaluation text.
 
-    reps: rep, side, seq. A partition is sorted by key and searched in shards of about SHARD_TEXTS texts, which do not cut
-    a key's texts; a key that stays hot when refined is a family of near-equal texts, whose pairs are the result.
+    reps: rep, side, seq.
     """
-    spark = reps.sparkSession
-    total = max(words_of[2], 1)
-    # a word of every text still says something about a run of them
-    bits = spark.sparkContext.broadcast(np.maximum(np.log2(total / np.maximum(np.array(words_of[1], float), 1)), LEAST_BITS) if words_of[1] else np.zeros(0))
-    rare_bits = float(np.log2(total / max(3, COMMON_WORD_SHARE * total)) + 2) if total > 3 else 2.0
-    least_bits = float(np.log2(total) + 7)
-    schema = pa.schema([("rep_a", pa.int64()), ("rep_b", pa.int64())])
-
-    def search(keys, reps_, sides, seqs) -> set[tuple[int, int]]:
-        distinct = {r: k for k, r in enumerate(reps_)}  # a text comes once, though several of its keys lead here
-        take = list(distinct.values())
-        return set(search_shard(np.array([reps_[k] for k in take]), np.array([sides[k] for k in take]), [unpack(seqs[k]) for k in take], bits.value, least_bits, rare_bits))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
-
-        def flush(upto: int) -> pa.RecordBatch:
-            part = [h[:upto] for h in held]
-            for h in held:
-                del h[:upto]
-            found = sorted(search(*part))
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], schema=schema)
-
-        for batch in batches:
-            for h, c in zip(held, batch.columns):
-                h.extend(c.to_pylist())
-            keys = np.array(held[0])
-            ends = np.flatnonzero(keys[1:] != keys[:-1]) + 1  # a key's texts stay together
-            done = 0
-            while (k := int(np.searchsorted(ends, done + SHARD_TEXTS))) < len(ends):
-                yield flush(int(ends[k]) - done)
-                done = int(ends[k])
-        if held[0]:
-            yield flush(len(held[0]))
-
-    rows = routed(reps)
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "rep_a bigint, rep_b bigint").distinct()
+    met = posted(reps).repartition("key").sortWithinPartitions("key", "n").mapInArrow(_meet, "rep_a bigint, rep_b bigint").distinct()
+    seqs = lambda x: reps.select(F.col("rep").alias(f"rep_{x}"), F.col("seq").alias(f"seq_{x}"))
+    pairs = met.join(seqs("a"), "rep_a").join(seqs("b"), "rep_b").select("rep_a", "rep_b", "seq_a", "seq_b")
+    return pairs.mapInArrow(_shared, "rep_a bigint, rep_b bigint")
 
 
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -369,7 +314,7 @@ def cross_split(records_: DataFrame, manifests: DataFrame) -> DataFrame:
     reps = rows.groupBy("bag").agg(F.min("source_record_index").alias("rep"), F.bit_or("side").alias("side"), F.max("seq").alias("seq"), F.count("*").alias("rows"), F.max("source_record_index").alias("last"))
     reps = reps.withColumn("copies", F.when(F.col("rep") == F.col("last"), 1).otherwise(F.col("rows")))  # a repeated row is no copy
     reps = checkpointed(reps)
-    near = near_classes(reps.select("rep", "side", "seq"), words_of)
+    near = near_classes(reps.select("rep", "side", "seq"))
     members = rows.select("source_record_index", "site_id", "bag", "plans").distinct()
     classes = reps.select("bag", "rep", "copies")
     linked = near.select("rep_a", "rep_b").unionByName(reps.where("copies > 1").select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b")))

@@ -77,6 +77,16 @@ def test_cross_split_of_a_large_class(spark, monkeypatch):
     assert len(got) < 60
 
 
+def test_cross_split_of_different_texts_with_equal_bags(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "ALL_PAIRS_UP_TO", 10)
+    text = [f"w{k}" for k in range(40)]
+    rows = {k: (f"s{k % 2}", " ".join(text[k // 2 :] + text[: k // 2])) for k in range(40)}
+    df = spark.createDataFrame([(k, *v) for k, v in rows.items()], "source_record_index bigint, site_id string, text string")
+    plans = spark.createDataFrame([(1, ["s0"], ["s1"])], f"manifest_id bigint, {overlap.MEMBER} array<string>, {overlap.NONMEMBER} array<string>")
+    expected = brute(rows, {1: ({"s0"}, {"s1"})})
+    assert len(expected) == 400 and {tuple(r) for r in overlap.cross_split(df, plans).collect()} == expected
+
+
 def test_cross_split_empty(spark):
     df = spark.createDataFrame([], "source_record_index bigint, site_id string, text string")
     plans = spark.createDataFrame([], f"manifest_id bigint, {overlap.MEMBER} array<string>, {overlap.NONMEMBER} array<string>")

@@ -60,6 +60,18 @@ def test_large_classes_become_stars(spark):
     assert {x for p in stars for x in p} == set(range(40)) and all(a == 0 for a, _ in stars)
 
 
+def test_different_texts_of_large_classes_give_all_pairs(spark):
+    texts = ["now", "no\u200bw", "n\u200bow"]
+    rows = [(k, "a", texts[0 if k == 0 else 1 + k % 2]) for k in range(19)]
+    members = lookalikes.looks(frame(spark, rows))
+    every = {(a, b) for a in range(19) for b in range(a + 1, 19)}
+    got = [tuple(r) for r in lookalikes.class_pairs(members, limit=9).collect()]
+    assert len(got) == len(every) and set(got) == every
+    got = [tuple(r) for r in lookalikes.class_pairs(members, differ=True, limit=9).collect()]
+    different = {(a, b) for a, b in every if rows[a][2] != rows[b][2]}
+    assert len(got) == len(different) and set(got) == different
+
+
 def test_term_counts_against_brute_force(spark, small):
     df = spark.read.parquet(f"{small}/stream_final_c4.parquet")
     rows = {r[0]: (r[1], r[2]) for r in df.select("source_record_index", "site_id", "text").collect() if r[0] is not None}

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from veilmark.session import table
 
-#: Classes of up to so many records give every pair; larger ones give each record's link to the class representative,
-#: from which all pairs follow. Keeps the output linear when one group of copies holds a third of all rows.
+#: Identical texts of up to so many records give every pair; of more identical ones, the first record stands in the pairs
+#: and each other is linked to it or to another record of its class, from which all pairs follow. Different texts of a
+#: class give every pair, whatever its size. Keeps the output linear when one group of copies holds a third of all rows.
 ALL_PAIRS_UP_TO = 2000
 
 
@@ -45,23 +46,27 @@ def class_pairs(members: DataFrame, differ: bool = False, limit: int = ALL_PAIRS
     """Pairs (index_a < index_b) of records in the same class.
 
     members: class, variant, source_record_index, distinct. differ: only pairs of different variants.
-    Classes beyond ``limit`` records give links to their smallest record (and, with differ, of that record's variant
-    fellows to the smallest record of another variant) instead of all pairs.
+    Of a variant of more than ``limit`` records (exact copies) the first stands in the pairs; each other is linked to the
+    smallest record of the class (with differ, and if that is its own copy, to the smallest of another variant).
     """
-    sizes = members.groupBy("class").agg(
-        F.count("*").alias("n"), F.min("variant").alias("v0"), F.max("variant").alias("v1"), F.min("source_record_index").alias("rep"), F.min_by("variant", "source_record_index").alias("rep_variant")
-    )
+    copies = members.groupBy("class", "variant").agg(F.count("*").alias("c"), F.min("source_record_index").alias("first"))
+    sizes = copies.groupBy("class").agg(
+        F.sum("c").alias("n"), F.min("variant").alias("v0"), F.max("variant").alias("v1"), F.min("first").alias("rep"), F.min_by("variant", "first").alias("rep_variant"),
+        F.collect_list(F.when(F.col("c") > limit, F.struct("variant", "first"))).alias("large"),
+    )
     sizes = sizes.where("n > 1 AND v0 <> v1" if differ else "n > 1")
     rows = members.join(sizes, "class")
-    small = rows.where(F.col("n") <= limit).select("class", "variant", "source_record_index")
-    a = small.select("class", F.col("variant").alias("va"), F.col("source_record_index").alias("index_a"))
-    b = small.select("class", F.col("variant").alias("vb"), F.col("source_record_index").alias("index_b"))
-    on = (a["class"] == b["class"]) & (F.col("index_a") < F.col("index_b"))
+    copy = F.exists("large", lambda x: (x["variant"] == F.col("variant")) & (x["first"] != F.col("source_record_index")))
+    small = rows.where(~copy).withColumn("blocks", F.ceil(F.col("n") / limit).cast("int"))
+    # the records of a large class meet in blocks
+    a = small.select("class", F.col("variant").alias("va"), F.col("source_record_index").alias("index_a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    b = small.select("class", F.col("variant").alias("vb"), F.col("source_record_index").alias("index_b"), F.pmod(F.xxhash64("source_record_index"), "blocks").cast("int").alias("block"))
+    on = (a["class"] == b["class"]) & (a["block"] == b["block"]) & (F.col("index_a") < F.col("index_b"))
     pairs = a.join(b, on & (F.col("va") != F.col("vb")) if differ else on).select("index_a", "index_b")
-    big = rows.where(F.col("n") > limit)
-    star = big.where("source_record_index <> rep" + (" AND variant <> rep_variant" if differ else "")).select(F.col("rep").alias("x"), F.col("source_record_index").alias("y"))
+    big = rows.where(copy)
+    star = big.where("variant <> rep_variant" if differ else "true").select(F.col("rep").alias("x"), F.col("source_record_index").alias("y"))
     if differ:
-        fellows = big.where("variant = rep_variant AND source_record_index <> rep")
-        other = big.where("variant <> rep_variant").groupBy("class").agg(F.min("source_record_index").alias("other"))
+        fellows = big.where("variant = rep_variant")
+        other = rows.where("size(large) > 0 AND variant <> rep_variant").groupBy("class").agg(F.min("source_record_index").alias("other"))
         star = star.unionByName(fellows.join(other, "class").select(F.col("other").alias("x"), F.col("source_record_index").alias("y")))
     return pairs.unionByName(star.select(F.least("x", "y").alias("index_a"), F.greatest("x", "y").alias("index_b")))

@@ -105,15 +105,15 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def bags(df: DataFrame, words_of: tuple[list[str], list[int], int]) -> DataFrame:
-    """(source_record_index, site_id, bag, n, seq): digest of a text's bag of words, its size and its tokens in order."""
+    """(source_record_index, site_id, variant, bag, n, seq): digests of a text and of its bag of words, its size and its tokens in order."""
     ranks = df.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(words_of[0])})
-    schema = pa.schema([("source_record_index", pa.int64()), ("site_id", pa.string()), ("bag", pa.binary()), ("n", pa.int32()), ("seq", pa.binary())])
+    schema = pa.schema([("source_record_index", pa.int64()), ("site_id", pa.string()), ("variant", pa.binary()), ("bag", pa.binary()), ("n", pa.int32()), ("seq", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = ranks.value.get
         known: dict[str, int] = {}
         for batch in batches:
-            bag, n, seq = [], [], []
+            variant, bag, n, seq = [], [], [], []
             for text in batch.column(2).to_pylist():
                 found = words(text)
                 symbols = []
@@ -127,12 +127,13 @@ def bags(df: DataFrame, words_of: tuple[list[str], list[int], int]) -> DataFrame
                 # rare words first (they have the high bit), then common ones from the rarest on
                 ordered = np.sort(np.array(symbols, np.uint32))
                 cut = np.searchsorted(ordered, _RARE)
+                variant.append(hashlib.blake2b(text.encode(), digest_size=16).digest())
                 bag.append(hashlib.blake2b("\n".join(sorted(found)).encode(), digest_size=16).digest())
                 n.append(len(found))
                 seq.append(pack(np.concatenate([ordered[cut:], ordered[:cut]])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bag, pa.binary()), pa.array(n, pa.int32()), pa.array(seq, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(variant, pa.binary()), pa.array(bag, pa.binary()), pa.array(n, pa.int32()), pa.array(seq, pa.binary())], schema=schema)
 
-    return df.select("source_record_index", "site_id", "text").mapInArrow(run, "source_record_index bigint, site_id string, bag binary, n int, seq binary")
+    return df.select("source_record_index", "site_id", "text").mapInArrow(run, "source_record_index bigint, site_id string, variant binary, bag binary, n int, seq binary")
 
 
 def least_shared(x, y):
@@ -300,9 +301,9 @@ def cross_split(records_: DataFrame, manifests: DataFrame) -> DataFrame:
     """(manifest_id, index_a, index_b): records that share at least 80 % of their words, with repeats and in any order,
     one of a member site and one of a nonmember site of the manifest.
 
-    records_: source_record_index, site_id, text. Null texts and texts without words overlap with nothing. A class of
-    more than ALL_PAIRS_UP_TO equal bags is linked through the first record of each side of a manifest instead of in all
-    pairs; every record still stands in a pair and no link between different texts is lost.
+    records_: source_record_index, site_id, text. Null texts and texts without words overlap with nothing. Only of
+    more than ALL_PAIRS_UP_TO identical texts one record a site stands in the links to other texts, and each record is
+    linked to the first one of its bag on the other side of a manifest instead of to all; different texts give all pairs.
     """
     side = lambda name, member: manifests.where("manifest_id IS NOT NULL").select("manifest_id", F.explode(name).alias("site_id"), F.lit(member).alias("member"))
     roles = checkpointed(side(MEMBER, True).unionByName(side(NONMEMBER, False)).where("site_id IS NOT NULL").distinct())
@@ -310,33 +311,34 @@ def cross_split(records_: DataFrame, manifests: DataFrame) -> DataFrame:
     texts = records_.where("source_record_index IS NOT NULL AND text IS NOT NULL").join(bounded_broadcast(sides), "site_id")
     words_of = common_words(texts.select("text"))
     all_bags = bags(texts, words_of).where("n > 0")
-    rows = checkpointed(all_bags.join(bounded_broadcast(sides), "site_id").select("source_record_index", "site_id", "bag", "side", "plans", "seq"))
+    rows = checkpointed(all_bags.join(bounded_broadcast(sides), "site_id").select("source_record_index", "site_id", "variant", "bag", "side", "plans", "seq"))
     reps = rows.groupBy("bag").agg(F.min("source_record_index").alias("rep"), F.bit_or("side").alias("side"), F.max("seq").alias("seq"), F.count("*").alias("rows"), F.max("source_record_index").alias("last"))
     reps = reps.withColumn("copies", F.when(F.col("rep") == F.col("last"), 1).otherwise(F.col("rows")))  # a repeated row is no copy
     reps = checkpointed(reps)
     near = near_classes(reps.select("rep", "side", "seq"))
-    members = rows.select("source_record_index", "site_id", "bag", "plans").distinct()
-    classes = reps.select("bag", "rep", "copies")
+    members = rows.select("source_record_index", "site_id", "variant", "bag", "plans").distinct()
+    classes = reps.select("bag", "rep")
     linked = near.select("rep_a", "rep_b").unionByName(reps.where("copies > 1").select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b")))
     linked = checkpointed(linked)
     used = linked.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).distinct()
-    held = checkpointed(members.join(classes.join(used, "rep"), "bag").select("rep", "copies", "source_record_index", "site_id", "plans"))
-    small = held.where(F.col("copies") <= ALL_PAIRS_UP_TO)
-    big = held.where(F.col("copies") > ALL_PAIRS_UP_TO)
-    # of a large class one record a site stands for its copies in links to other texts
-    stands = small.unionByName(big.groupBy("rep", "copies", "site_id", "plans").agg(F.min("source_record_index").alias("source_record_index")).select(*small.columns))
-    a = stands.select(F.col("rep").alias("rep_a"), F.col("source_record_index").alias("xa"), F.col("site_id").alias("sa"), F.col("plans").alias("pa"), F.col("copies").alias("ca"))
-    b = stands.select(F.col("rep").alias("rep_b"), F.col("source_record_index").alias("xb"), F.col("site_id").alias("sb"), F.col("plans").alias("pb"))
-    pairs = linked.join(a, "rep_a").join(b, "rep_b").where(f"xa <> xb AND (rep_a <> rep_b OR (xa < xb AND ca <= {ALL_PAIRS_UP_TO}))")
+    held = members.join(classes.join(used, "rep"), "bag").select("rep", "variant", "source_record_index", "site_id", "plans")
+    copies = held.groupBy("rep", "variant").agg((F.count("*") > ALL_PAIRS_UP_TO).alias("large"))
+    held = checkpointed(held.join(copies, ["rep", "variant"]))
+    small, big = held.where("NOT large"), held.where("large")
+    # of many identical texts one record a site stands for its copies in links to other texts
+    stands = small.unionByName(big.groupBy("rep", "variant", "large", "site_id", "plans").agg(F.min("source_record_index").alias("source_record_index")).select(*small.columns))
+    a = stands.select(F.col("rep").alias("rep_a"), F.col("source_record_index").alias("xa"), F.col("site_id").alias("sa"), F.col("plans").alias("pa"), F.col("variant").alias("va"), F.col("large").alias("la"))
+    b = stands.select(F.col("rep").alias("rep_b"), F.col("source_record_index").alias("xb"), F.col("site_id").alias("sb"), F.col("plans").alias("pb"), F.col("variant").alias("vb"))
+    pairs = linked.join(a, "rep_a").join(b, "rep_b").where("xa <> xb AND (rep_a <> rep_b OR (xa < xb AND NOT (la AND va = vb)))")
     # the site of fewer manifests leads, so that a site of all manifests multiplies nothing
     lead = F.col("pa") <= F.col("pb")
     ordered = pairs.select(F.least("xa", "xb").alias("index_a"), F.greatest("xa", "xb").alias("index_b"), F.when(lead, F.col("sa")).otherwise(F.col("sb")).alias("site_id"), F.when(lead, F.col("sb")).otherwise(F.col("sa")).alias("other"))
     other = roles.select("manifest_id", F.col("site_id").alias("other"), F.col("member").alias("other_member"))
     found = ordered.join(roles, "site_id").join(other, ["manifest_id", "other"]).where("member <> other_member").select("manifest_id", "index_a", "index_b")
-    # copies within a large class: each record with the first of the other side of the manifest
-    placed = big.join(roles, "site_id").select("rep", "manifest_id", "member", "source_record_index")
+    # many identical texts: each record with the first of its bag on the other side of the manifest
+    placed = held.join(big.select("rep").distinct(), "rep", "left_semi").join(roles, "site_id").select("rep", "large", "manifest_id", "member", "source_record_index")
     firsts = placed.groupBy("rep", "manifest_id", "member").agg(F.min("source_record_index").alias("first")).withColumn("member", ~F.col("member"))
-    star = placed.join(firsts, ["rep", "manifest_id", "member"]).where("first <> source_record_index")
+    star = placed.where("large").join(firsts, ["rep", "manifest_id", "member"]).where("first <> source_record_index")
     star = star.select("manifest_id", F.least("first", "source_record_index").alias("index_a"), F.greatest("first", "source_record_index").alias("index_b"))
     return found.unionByName(star).distinct()
 

@@ -87,6 +87,19 @@ def test_cross_split_of_different_texts_with_equal_bags(spark, monkeypatch):
     assert len(expected) == 400 and {tuple(r) for r in overlap.cross_split(df, plans).collect()} == expected
 
 
+def test_copies_beyond_the_limit_keep_their_links_to_other_texts(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "ALL_PAIRS_UP_TO", 5)
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(k, f"s{k % 2}", text, None) for k in range(10)] + [(50, "s2", text.replace("w7 ", "v7 "), None), (51, "s3", text, None)]
+    df = spark.createDataFrame(rows, "source_record_index bigint, site_id string, text string, variant string")
+    plans = spark.createDataFrame([(1, ["s0", "s1"], ["s2"]), (2, ["s0"], ["s1", "s3"])], f"manifest_id bigint, {overlap.MEMBER} array<string>, {overlap.NONMEMBER} array<string>")
+    got = {tuple(r) for r in overlap.cross_split(df, plans).collect()}
+    assert {p for p in got if p[0] == 1} == {(1, k, 50) for k in range(10)}
+    assert {x for m, *p in got if m == 2 for x in p} == {*range(10), 51}
+    classes = {tuple(r) for r in overlap.identical_members(df).collect()}
+    assert classes == {(k, 0) for k in [*range(10), 51]} | {(50, 50)}
+
+
 def test_cross_split_empty(spark):
     df = spark.createDataFrame([], "source_record_index bigint, site_id string, text string")
     plans = spark.createDataFrame([], f"manifest_id bigint, {overlap.MEMBER} array<string>, {overlap.NONMEMBER} array<string>")
@@ -164,6 +177,32 @@ def test_broken_lists(spark):
     m = manifest(spark, (["a", "a", None], ["c", "e"], ["f", "d"], ["g", "unknown"]))
     assert {tuple(r) for r in splits.broken(m, sites_frame(spark)).collect()} == {(1, "a", "c"), (1, "a", "d"), (1, "c", "d")}
     assert splits.broken(m, sites_frame(spark, []).limit(0)).count() == 0
+    assert splits.broken(m.limit(0), sites_frame(spark)).count() == 0
+
+
+def test_broken_lists_of_a_large_component(spark, monkeypatch):
+    monkeypatch.setattr(splits, "BLOCK_SITES", 3)
+    ids = [f"s{k:02}" for k in range(24)]
+    m = manifest(spark, (ids[:8], ids[8:16], ids[16:23], ids[22:]))
+    rows = [(x, None, "Acme", None, 0) for x in ids[:20]] + [(x, None, "Other", None, 0) for x in ids[20:]]
+    place = {x: {k for k, part in enumerate((ids[:8], ids[8:16], ids[16:23], ids[22:])) if x in part} for x in ids}
+    expected = {(1, a, b) for part in (ids[:20], ids[20:]) for a, b in combinations(part, 2) if len(place[a] | place[b]) > 1}
+    got = [tuple(r) for r in splits.broken(m, sites_frame(spark, rows)).collect()]
+    assert len(got) == len(expected) and set(got) == expected
+
+
+def test_assignment_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(splits, "BLOCK_COMPONENTS", 20)
+    members = [(1, f"s{k:03}", k % 2) for k in range(400)]
+    related = [(f"s{k:03}", "s000") for k in range(130)] + [(f"s{k:03}", f"s{k - k % 5:03}") for k in range(130, 300)]
+    got = splits.assigned(
+        spark.createDataFrame(members, "manifest_id bigint, site_id string, label int"), spark.createDataFrame(related, "site_id string, component string"),
+        spark.createDataFrame([(1, "p", 0.5), (1, "q", 0.3), (1, "r", 0.2)], "manifest_id bigint, list string, share double"),
+    ).collect()
+    place = {r.site_id: r.list for r in got}
+    assert len(got) == len(place) == 400 and all(place[s] == place[c] for s, c in related)
+    sizes = Counter(place.values())
+    assert all(abs(sizes[n] / 400 - share) < 0.03 for n, share in (("p", 0.5), ("q", 0.3), ("r", 0.2))) and got[0].deviation < 0.1
 
 
 def test_assignment_keeps_components_and_sizes(spark):
@@ -191,11 +230,24 @@ def test_annealing_improves_on_its_start():
 
 @given(st.lists(st.sampled_from("abc"), min_size=0, max_size=60), st.lists(st.sampled_from("abc"), min_size=0, max_size=40))
 @settings(max_examples=200, deadline=None)
-def test_leak_search_is_exact(doc, item):
-    windows = {tuple(item[k : k + 12]) for k in range(len(item) - 11)}
-    expected = any(tuple(doc[k : k + 12]) in windows for k in range(len(doc) - 11))
-    found = leakage.Items([(7, item)]).search([None, "", " ".join(doc)])
-    assert found == ([(2, 7)] if expected else [])
+def test_windows_of_equal_words_have_equal_minhashes(doc, item):
+    of = lambda tokens: {tuple(tokens[k : k + 12]): int(m) for k, m in enumerate(leakage.window_minhash(np.array(leakage.word_hashes(tokens, {}), np.uint64)))}
+    a, b = of(doc), of(item)
+    assert len(a) == len({tuple(doc[k : k + 12]) for k in range(len(doc) - 11)}) and all(a[w] == b[w] > 0 for w in a.keys() & b.keys())
+
+
+def test_leaks_against_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = {k: [rng.choice("abc") for _ in range(rng.randint(0, 60))] for k in range(80)}
+    items = {k: [rng.choice("abc") for _ in range(rng.randint(8, 16))] for k in range(60)}
+    items |= {100 + k: texts[k][3:20] + ["z"] + texts[k][25:40] for k in range(10)}
+    runs = lambda t: {tuple(t[k : k + 12]) for k in range(len(t) - 11)}
+    expected = {(d, i, len(runs(t) & runs(x)), len(runs(x))) for d, t in texts.items() for i, x in items.items() if runs(t) & runs(x)}
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id bigint, text string")
+    i = spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()], "item_id bigint, text string")
+    for bound in (1_000_000, 5):
+        monkeypatch.setattr(leakage, "BROADCAST_WINDOWS", bound)
+        assert {tuple(r) for r in leakage.containments(d, i).collect()} == expected and expected
 
 
 def test_leaks(spark, monkeypatch):
@@ -206,7 +258,7 @@ def test_leaks(spark, monkeypatch):
     i = spark.createDataFrame([(*r, 1) for r in items], "item_id bigint, text string, doc_id int")
     expected = {(3, 10), (3, 13), (5, 10), (5, 13)}
     assert {tuple(r) for r in leakage.leaks(d, i).collect()} == expected
-    monkeypatch.setattr(leakage, "BLOCK_WINDOWS", 20)
+    monkeypatch.setattr(leakage, "BROADCAST_WINDOWS", 5)
     assert {tuple(r) for r in leakage.leaks(d, i).collect()} == expected
     assert leakage.leaks(d, i.limit(0)).count() == 0 and leakage.leaks(d.limit(0), i).count() == 0
 
@@ -221,7 +273,7 @@ def test_subjects_by_held_out_labels(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = labels.where("doc_id % 3 <> 0")
     got = defaultdict(set)
-    for r in subjects.subjects_of(docs, kept, areas).where("share >= 0.25").collect():
+    for r in subjects.subjects_of(docs, kept, areas).where("share >= 0.25 OR seed").collect():
         got[r.doc_id].add(r.subject)
     held = [(r.doc_id, r.subject.strip().lower()) for r in labels.where("doc_id % 3 = 0 AND subject IS NOT NULL").collect()]
     right = sum(s in got[d] for d, s in held)
@@ -239,7 +291,7 @@ def test_subject_edges(spark):
     labels += [(1, None), (None, "law"), (2, "nonsense"), (0, "sport")]
     d = spark.createDataFrame([(*r, "z") for r in docs], "doc_id bigint, text string, subject string")
     frame = spark.createDataFrame(labels, "doc_id bigint, subject string")
-    rows = subjects.subjects_of(d, frame, areas).where("share >= 0.25").select("doc_id", "subject").distinct().collect()
+    rows = subjects.subjects_of(d, frame, areas).where("share >= 0.25 OR seed").select("doc_id", "subject").distinct().collect()
     got = defaultdict(set)
     for r in rows:
         got[r.doc_id].add(r.subject)

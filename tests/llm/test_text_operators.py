@@ -91,7 +91,8 @@ def test_term_counts_against_brute_force(spark, small):
 def test_term_counts_in_small_blocks(spark, monkeypatch):
     rows = [(k, "s", "the a b c d"[: k % 12]) for k in range(200)]
     expected = {tuple(r) for r in terms.term_counts(frame(spark, rows)).collect()}
-    monkeypatch.setattr(terms, "BLOCK_TERMS", 2)
+    monkeypatch.setattr(terms, "BLOCK_PAIRS", 20)
+    monkeypatch.setattr(terms, "PAGE", 3)
     assert {tuple(r) for r in terms.term_counts(frame(spark, rows)).collect()} == expected
     assert terms.term_counts(frame(spark, rows).limit(0)).count() == 0
 
@@ -146,6 +147,14 @@ def test_formatting_classes(spark):
     assert formatting.collapsed(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_formatting_classes_are_united_over_both_forms(spark):
+    texts = ["Name: Ann Lee\nAge: 30", "age: 30 | name: ann lee", "name ann lee, age 30", "AGE 30 NAME ANN LEE", "other"]
+    rows = [(k, "a", t) for k, t in enumerate(texts)] + [(9, "a", None), (None, "a", "x")]
+    assert {tuple(r) for r in formatting.collapsed(frame(spark, rows)).collect()} == {(0, 4), (4, 1)}
+    assert {tuple(r) for r in formatting.format_members(frame(spark, rows)).collect()} == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 4)}
+    assert formatting.format_members(frame(spark, rows).limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("text, prose", [
     ("The house near the river was built by a man who never lived in it. It is said that he left before the winter.", True),
     ("Это было не так уж и давно, но он уже не помнил, как это было и что он сказал.", True),
@@ -161,6 +170,43 @@ def test_prose(text, prose):
     assert (quality.describe([text])["prose_share"][0] >= 0.5) == prose
 
 
+PROSE = [
+    "Vanha talo seisoi joen rannalla, ja sen ikkunat olivat rikki. Kukaan ei ollut asunut siellä moneen vuoteen.",
+    "A régi ház a folyó partján állt, és az ablakai be voltak törve. Senki sem lakott ott már sok éve.",
+    "كان البيت القديم يقف على ضفة النهر وكانت نوافذه مكسورة. لم يسكن فيه أحد منذ سنوات طويلة.",
+    "नदी के किनारे एक पुराना घर था और उसकी खिड़कियाँ टूटी हुई थीं। वहाँ कई सालों से कोई नहीं रहता था।",
+    "河边有一座老房子，它的窗户都破了。很多年没有人住在那里。",
+    "Ngôi nhà cũ nằm bên bờ sông và các cửa sổ của nó đã bị vỡ. Không có ai sống ở đó trong nhiều năm.",
+    "Casa veche se afla pe malul râului, iar ferestrele ei erau sparte. Nimeni nu mai locuise acolo de mulți ani.",
+    "Rumah tua itu berdiri di tepi sungai dan jendelanya sudah pecah. Tidak ada yang tinggal di sana selama bertahun-tahun.",
+    "Starý dům stál na břehu řeky a jeho okna byla rozbitá. Už mnoho let tam nikdo nebydlel.",
+    "川のほとりに古い家があり、窓は割れていました。何年も誰も住んでいませんでした。",
+    "강가에 오래된 집이 있었고 창문은 깨져 있었다. 몇 년 동안 아무도 그곳에 살지 않았다.",
+    "บ้านเก่าตั้งอยู่ริมแม่น้ำและหน้าต่างแตกหมดแล้ว ไม่มีใครอาศัยอยู่ที่นั่นมาหลายปีแล้ว",
+    # of no listed language
+    "Senas namas stovėjo ant upės kranto, o jo langai buvo išdaužti. Niekas ten negyveno jau daug metų.",
+    "Etxe zaharra ibaiaren ertzean zegoen eta bere leihoak hautsita zeuden. Inor ez zen bertan bizi urte askotan.",
+    "Nyumba ya zamani ilisimama kando ya mto na madirisha yake yalikuwa yamevunjika. Hakuna mtu aliyeishi huko kwa miaka mingi.",
+    "ძველი სახლი მდინარის ნაპირზე იდგა და მისი ფანჯრები ჩამტვრეული იყო. იქ მრავალი წელია არავინ ცხოვრობდა.",
+]
+JUNK = [
+    "Jdw wlmsggxrd pkdg xhbsrbmw fcflkv kbzjz. Sbghgdsfk tv lbpqlb kcksg vfzhbsgbj dcpnrlx lzlmqwp nnlq vbxm rtf.",
+    "价格：十二元\n颜色：红色\n重量：三公斤",
+    "Talo, ikkuna, ranta, joki, metsä, kivi, kirja, lamppu, pöytä, tuoli, ovi, katto",
+    "टमाटर, आलू, प्याज, गोभी, मटर, गाजर, मूली, खीरा, पालक, भिंडी",
+]
+
+
+@pytest.mark.parametrize("text", PROSE)
+def test_prose_in_any_language(text):
+    assert quality.describe([text])["prose_share"][0] >= 0.5
+
+
+@pytest.mark.parametrize("text", JUNK)
+def test_junk_in_any_language(text):
+    assert quality.describe([text])["prose_share"][0] < 0.5
+
+
 def test_quality_edges(spark):
     rows = [(1, None, 1, 1, 0.0), (2, "", 0, 0, 0.0), (3, "é a", 3, 4, 0.5), (3, "é a", 3, 4, 0.5), (4, "é a", 3, 3, 0.5), (5, "é a", None, None, float("nan")), (6, "a " * 30_000, 60_000, 60_000, 1.0), (7, "12", 2, 2, 0.0)]
     df = spark.createDataFrame(rows, "source_record_index bigint, text string, char_count bigint, byte_count bigint, ascii_letter_ratio double")
@@ -189,25 +235,41 @@ def whole():
 
 
 def test_tree_encoding_equals_whole_encoding(whole):
-    enc = encoding.encoder("/opt/tokenizers")
+    enc = encoding.encoder()
+    ids_of = encoding.Encoder(enc)
     rng = random.Random(2)
     alphabet = "ab '\n\t rlsve!?.-1 9é😀<|endoftext|>　"
     for _ in range(150):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 400)))
         for leaf in (1, 2, 7, 40):
-            ids = encoding.encode(text, enc, leaf)
+            ids = encoding.encode(text, ids_of, leaf)
             assert ids == whole(text)
-        assert enc.decode(ids) == text
+        assert encoding.decode(ids, enc) == text
 
 
-def test_join_is_associative():
+def test_join_is_associative_and_has_a_unit():
+    ids_of = encoding.Encoder(encoding.encoder())
     rng = random.Random(3)
     for _ in range(200):
         text = "".join(rng.choice("ab' \n1!") for _ in range(60))
-        a, b, c = (encoding.leaf(text, x, y) for x, y in ((0, 20), (20, 40), (40, 60)))
-        one = encoding.join(text, encoding.join(text, a, b), c)
-        two = encoding.join(text, a, encoding.join(text, b, c))
-        assert one.ends == two.ends == encoding.leaf(text, 0, 60).ends
+        a, b, c = (encoding.leaf(text, x, y, ids_of) for x, y in ((0, 20), (20, 40), (40, 60)))
+        one = encoding.join(text, encoding.join(text, a, b, ids_of), c, ids_of)
+        two = encoding.join(text, a, encoding.join(text, b, c, ids_of), ids_of)
+        assert one.ids == two.ids == encoding.leaf(text, 0, 60, ids_of).ids
+        assert encoding.join(text, encoding.leaf(text, 0, 0, ids_of), a, ids_of).ids == a.ids == encoding.join(text, a, encoding.leaf(text, 20, 20, ids_of), ids_of).ids
+
+
+def test_decoding_concatenates(monkeypatch):
+    monkeypatch.setattr(encoding, "LEAF_CHARS", 3)
+    enc = encoding.encoder()
+    text = "日本語 😀 naïve " * 9
+    assert encoding.decode(enc.encode_ordinary(text), enc) == text and encoding.decode([], enc) == "" and encoding.decode(None, enc) is None
+
+
+def test_encoding_ignores_remembered_limits(monkeypatch, whole):
+    monkeypatch.setattr(encoding, "KNOWN_PRETOKENS", 3)
+    text = "one two three four five six seven " * 60
+    assert encoding.encode(text, encoding.Encoder(encoding.encoder()), 50) == whole(text)
 
 
 def test_encoding_edges(spark, whole):

@@ -159,13 +159,22 @@ def repeated_lines(df: DataFrame, bitmaps: DataFrame | None = None) -> DataFrame
     return totals.join(sites, "site_id").where(F.col("records") >= LEAST_SHARE * F.col("site_records"))
 
 
+def _lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records that each kept bitmap holds: (source_record_index, line)."""
+    schema = pa.schema([("source_record_index", pa.int64()), ("line", pa.string())])
+    for batch in batches:
+        for line, chunk, container in zip(*(c.to_pylist() for c in batch.columns)):
+            held = (chunk << 16) + unpack(container).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array([line]).take(pa.array(np.zeros(len(held), np.int64)))], schema=schema)
+
+
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("source_record_index", pa.int64()), ("site_id", pa.string()), ("text", pa.string())])
     for batch in batches:
         texts = []
-        for record, _, text, found in zip(*(c.to_pylist() for c in batch.columns)):
-            if text is not None and found:
-                drop = {x["line"] for x in found if holds(x["container"], record & 65_535)}
+        for text, drop in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            if text is not None and drop:
+                drop = set(drop)
                 text = "\n".join(raw for raw in text.split("\n") if not raw or normal_line(raw) not in drop)
             texts.append(text)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], schema=schema)
@@ -174,15 +183,14 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_repeated_lines(df: DataFrame) -> DataFrame:
     """(source_record_index, site_id, text) of every record, its site's repeated lines deleted; other texts unchanged.
 
-    A line stands in a tenth of a site's records at least, so a site has at most ten times its mean lines a record of
-    them: the list that joins each record is short whatever the site's size.
+    The bitmaps of the lines to delete are looked up once and turned round into each record's own lines, at most as many
+    as its text has, so no record meets the whole list of its site.
     """
     bitmaps = checkpointed(line_bitmaps(df))
     found = bitmaps.join(repeated_lines(df, bitmaps).select("site_id", "line"), ["site_id", "line"], "left_semi")
-    lists = found.groupBy("site_id", "chunk").agg(F.collect_list(F.struct("line", "container")).alias("found"))
+    own = found.select("line", "chunk", "container").mapInArrow(_lookup, "source_record_index bigint, line string").groupBy("source_record_index").agg(F.collect_set("line").alias("found"))
     rows = df.select("source_record_index", "site_id", "text").where("source_record_index IS NOT NULL").dropDuplicates(["source_record_index"])
-    joined = rows.withColumn("chunk", F.shiftright("source_record_index", 16)).join(lists, ["site_id", "chunk"], "left")
-    return joined.select("source_record_index", "site_id", "text", "found").mapInArrow(_strip, "source_record_index bigint, site_id string, text string")
+    return rows.join(own, "source_record_index", "left").select("source_record_index", "site_id", "text", "found").mapInArrow(_strip, "source_record_index bigint, site_id string, text string")
 
 
 def site_lines(spark: SparkSession, folder: str) -> DataFrame:

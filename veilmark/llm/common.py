@@ -16,6 +16,16 @@ from veilmark.session import table
 ALL_PAIRS_UP_TO = 2000
 
 
+#: Broadcast only under so many rows (of about 40 bytes).
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows, else as it is (a shuffled join)."""
+    rows = BROADCAST_ROWS if rows is None else rows
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def records(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """Rows of stream_final_c4 with a record index; a record repeated as identical rows is still repeated here."""
     return table(spark, folder, "stream_final_c4").select("source_record_index", *columns).where("source_record_index IS NOT NULL")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import ALL_PAIRS_UP_TO, records
+from veilmark.llm.common import ALL_PAIRS_UP_TO, bounded_broadcast, digest, records
 from veilmark.llm.fmindex import spread
 from veilmark.llm.textform import words
 from veilmark.session import checkpointed, table
@@ -36,8 +36,6 @@ COMMON_WORD_SHARE = 2e-4
 HOT_KEY, CANDIDATES = 20_000, 2_000_000
 #: 64-bit words of a text's parity bitmap.
 LANES = 4
-#: Broadcast only under so many rows (of about 40 bytes).
-BROADCAST_ROWS = 1_000_000
 _RARE = np.uint32(1 << 31)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -292,18 +290,14 @@ def near_classes(reps: DataFrame) -> DataFrame:
     return pairs.mapInArrow(_shared, "rep_a bigint, rep_b bigint")
 
 
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows, else as it is (a shuffled join)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def cross_split(records_: DataFrame, manifests: DataFrame) -> DataFrame:
     """(manifest_id, index_a, index_b): records that share at least 80 % of their words, with repeats and in any order,
     one of a member site and one of a nonmember site of the manifest.
 
     records_: source_record_index, site_id, text. Null texts and texts without words overlap with nothing. Only of
-    more than ALL_PAIRS_UP_TO identical texts one record a site stands in the links to other texts, and each record is
-    linked to the first one of its bag on the other side of a manifest instead of to all; different texts give all pairs.
+    more than ALL_PAIRS_UP_TO identical texts one record a site stands in all links to other texts; each other record has
+    the links to the first record of its bag on the other side of a manifest and to the first that the one standing for it
+    is linked to, so it is in a pair of every manifest in which it overlaps. Different texts give all pairs.
     """
     side = lambda name, member: manifests.where("manifest_id IS NOT NULL").select("manifest_id", F.explode(name).alias("site_id"), F.lit(member).alias("member"))
     roles = checkpointed(side(MEMBER, True).unionByName(side(NONMEMBER, False)).where("site_id IS NOT NULL").distinct())
@@ -335,12 +329,28 @@ def cross_split(records_: DataFrame, manifests: DataFrame) -> DataFrame:
     ordered = pairs.select(F.least("xa", "xb").alias("index_a"), F.greatest("xa", "xb").alias("index_b"), F.when(lead, F.col("sa")).otherwise(F.col("sb")).alias("site_id"), F.when(lead, F.col("sb")).otherwise(F.col("sa")).alias("other"))
     other = roles.select("manifest_id", F.col("site_id").alias("other"), F.col("member").alias("other_member"))
     found = ordered.join(roles, "site_id").join(other, ["manifest_id", "other"]).where("member <> other_member").select("manifest_id", "index_a", "index_b")
+    if big.isEmpty():
+        return found.distinct()
+    found = checkpointed(found)
     # many identical texts: each record with the first of its bag on the other side of the manifest
     placed = held.join(big.select("rep").distinct(), "rep", "left_semi").join(roles, "site_id").select("rep", "large", "manifest_id", "member", "source_record_index")
     firsts = placed.groupBy("rep", "manifest_id", "member").agg(F.min("source_record_index").alias("first")).withColumn("member", ~F.col("member"))
     star = placed.where("large").join(firsts, ["rep", "manifest_id", "member"]).where("first <> source_record_index")
     star = star.select("manifest_id", F.least("first", "source_record_index").alias("index_a"), F.greatest("first", "source_record_index").alias("index_b"))
-    return found.unionByName(star).distinct()
+    # and with the first record that the one which stands for it is linked to
+    heads = big.groupBy("rep", "variant", "site_id").agg(F.min("source_record_index").alias("head"))
+    ends = found.select("manifest_id", F.explode(F.array(F.struct(F.col("index_a").alias("head"), F.col("index_b").alias("other")), F.struct(F.col("index_b").alias("head"), F.col("index_a").alias("other")))).alias("x")).select("manifest_id", "x.*")
+    partners = ends.join(heads, "head").groupBy("manifest_id", "rep", "variant", "site_id").agg(F.min("other").alias("other"))
+    copies = big.select("rep", "variant", "site_id", "source_record_index").join(partners, ["rep", "variant", "site_id"])
+    copies = copies.select("manifest_id", F.least("other", "source_record_index").alias("index_a"), F.greatest("other", "source_record_index").alias("index_b"))
+    return found.unionByName(star).unionByName(copies).distinct()
+
+
+def identical_members(records_: DataFrame) -> DataFrame:
+    """(source_record_index, class_index): every record with a text and the smallest record of the identical text. From it
+    and the pairs of cross_split all pairs of exact copies follow."""
+    members = checkpointed(records_.where("source_record_index IS NOT NULL AND text IS NOT NULL").select("source_record_index", digest("text").alias("variant")).distinct())
+    return members.join(members.groupBy("variant").agg(F.min("source_record_index").alias("class_index")), "variant").select("source_record_index", "class_index")
 
 
 def split_overlaps(spark: SparkSession, folder: str) -> DataFrame:
@@ -348,6 +358,11 @@ def split_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     return cross_split(records(spark, folder, "site_id", "text"), table(spark, folder, "manifests"))
 
 
+def identical_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """p5_members: every record with the smallest record of the identical text."""
+    return identical_members(records(spark, folder, "text"))
+
+
 def overlap_report(spark: SparkSession, folder: str) -> DataFrame:
     """p5_report: overlaps by manifest and site: (manifest_id, site_id, pairs, records)."""
     rows = records(spark, folder, "site_id", "text")

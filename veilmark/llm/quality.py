@@ -3,17 +3,22 @@
 Method: each stretch of a text (a line, or a few sentences of one) is described by the share of its tokens that are
 function words of a language, other words, numbers and signs. That distribution is held against structural profiles
 (prose in each language, list, table, code, noise) by Jensen-Shannon divergence, and the stretch belongs to the nearest.
-A text is natural prose when at least half of its characters stand in prose stretches. Basic counts are built-in Spark
-expressions; nothing is shuffled before the few findings are made distinct.
+Scripts without spaces are cut into characters, particles and short runs. In a text that hardly has function words of any
+listed language, a stretch that is built like a sentence (an end mark, several words, in scripts with letter case a
+capital and then mostly small letters) is described by its word lengths instead: short words take the place of function
+words. A text is natural prose when at least half of its characters stand in prose stretches. Basic counts are built-in
+Spark expressions; nothing is shuffled before the few findings are made distinct.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +38,27 @@ FUNCTION_WORDS = {
     "russian": "и в не на с что как это он она они мы вы я ты его её ее их к ко у о об от до за из по под над при без для но а или если то же бы был была было были быть есть так уже только ещё еще все всё кто где когда который чтобы после",
     "greek": "ο η το οι τα του της των τον την τους τις και να θα δεν μη είναι ήταν με σε για από προς που πως τι ως αλλά ή αν στο στη στην στον στα μια ένα ένας αυτό αυτή αυτός μου σου μας σας",
     "turkish": "ve bir bu şu o da de ile için gibi kadar daha en çok ne var yok mi mı değil ama ya veya ben sen biz siz onlar olan olarak her hiç",
+    "danish": "og i at det er en et den til på af for med de der ikke som var jeg har han hun vi kan skal vil fra eller om så men ud op over efter ved blev havde sin sit sine når meget være mod også",
+    "norwegian": "og i å det er en et den til på av for med de som ikke var jeg har han hun vi kan skal vil fra eller om så men ut opp over etter ved ble hadde sin sitt sine når mye være mot også",
+    "finnish": "ja on ei se että oli hän ne joka jotka mutta kun niin kuin myös ovat olivat ole hänen sen tai jos vain nyt sitten tämä tässä siitä kanssa mukaan jälkeen ennen koska vielä jo minä sinä me te he mitä kuka missä vanhan oma hyvin ollut sekä eivät en",
+    "hungarian": "a az és hogy nem is egy ez volt de meg csak már mint ha van vagy el ki még azt ezt aki ami amely minden között után előtt mert így úgy nagyon lehet lesz voltak sem én te ő mi ti ők be le fel itt ott akkor amikor majd saját",
+    "romanian": "și în de la cu pe nu un o este sunt a al ai ale că să din care mai pentru lui lor se era au fost sau dar ce cum când unde prin după până fără între despre acest această aceasta acea foarte tot toate noi voi ei ele el ea am ai fi fie",
+    "czech": "a v na se je že s z do to o k i ve pro za by ale jako po jeho tak od už při která které který když nebo jsem jsme jsou byl byla bylo byli až než pod před mezi bez jen také ještě si mu jí ho co kde kdo ten ta ty této",
+    "slovak": "a v na sa je že s z do to o k aj vo pre za by ale ako po jeho tak od už pri ktorá ktoré ktorý keď alebo som sme sú bol bola bolo boli až než pod pred medzi bez len tiež ešte si mu jej ho čo kde kto ten tá tie",
+    "croatian": "i u je na se da su za od s iz koji koja koje kao ne to ali ili što sam smo bio bila bilo bili nije do po o pri bez nakon prije već samo još kad kada gdje ako jer ovaj taj tu njegov njezin više vrlo te",
+    "indonesian": "yang dan di ke dari ini itu untuk dengan pada adalah tidak akan dalam oleh sebagai juga atau saya kami kita dia mereka anda ada bisa telah sudah lebih karena jika ketika saat tetapi namun hanya para sebuah seorang bahwa secara setiap hari sangat belum masih lagi pun agar seperti antara",
+    "vietnamese": "và của là có không được các những một trong cho với này đó đã sẽ đang từ đến ở tại trên dưới người ra vào về khi nếu thì mà nhưng hay hoặc rất cũng như để bởi vì do theo sau trước tôi chúng anh chị em ông bà họ nó mình lại còn chỉ nhiều ngày",
+    "ukrainian": "і й в у не на що з та як це він вона вони ми ви я ти його її їх до по за від із під над при без для але або якщо то ж би був була було були бути є так вже тільки ще все хто де коли який яка які щоб після про",
+    "arabic": "في من على إلى عن مع هذا هذه ذلك تلك التي الذي الذين أن إن كان كانت يكون لا ما لم لن قد أو ثم كل بعد قبل بين هو هي هم نحن أنا كما حتى عند عندما منذ غير بعض أي إذا لكن حيث أيضا فيها فيه عليه عليها له لها به بها وفي ومن وكان وكانت وقد وهو وهي وهذا وهذه ولا",
+    "persian": "و در به از که این را با است برای آن یک خود تا بر هم نیز بود شد شده می ما او من شما آنها ها یا اما اگر هر چه پس پیش روی زیر بین بی نه باید کرد کرده دارد داشت هستند",
+    "hebrew": "של את על לא הוא היא זה זאת עם כל גם אם או כי אל מה מי הם אני אנחנו אתה היה היתה היו יש אין רק עוד כמו אבל אחרי לפני בין כאשר שלא אשר לו לה להם זו כך",
+    "hindi": "है हैं का की के को में से पर और यह वह ने था थी थे नहीं भी एक हो कि जो तो लिए इस उस ये वे कर गया गई साथ अपने अपनी अपना बाद तक या हम आप मैं उन इन कुछ सब बहुत जब तब होता होती",
+    "bengali": "এবং ও এই সে তার আমি আমরা তুমি আপনি তারা একটি এক যে কি না হয় ছিল ছিলেন করে করা জন্য থেকে সঙ্গে পর আগে কিন্তু বা যদি তবে সব কোন আর তা",
+    "tamil": "ஒரு இது அது என்று மற்றும் அவர் அவன் அவள் நான் நாம் நீ இல்லை உள்ள என்ன எந்த இந்த அந்த ஆனால் பின்னர் முன் வரை மிகவும் தான்",
+    "korean": "은 는 이 가 을 를 에 의 도 로 와 과 에서 으로 까지 부터 그 이 저 것 수 더 또 및 한 들",
+    "chinese": "的 了 是 在 不 我 有 他 这 這 那 和 也 就 都 说 說 要 会 會 对 對 着 著 与 與 及 为 為 所 以 于 於 上 中 下 们 們 你 她 它 个 個 之 而 到 从 從 被 把 让 讓 很 没 沒 还 還 又 再 里 裡 其 或 但 因 得 地 过 過 能 可 一",
+    "japanese": "の は を に が と で も た て し な い る れ ら か ま す だ や こ そ あ へ り",
+    "thai": "ที่ และ ใน ของ เป็น ได้ ไม่ มี ว่า จะ การ ให้ นี้ กับ แล้ว ก็ มา ไป อยู่ จาก โดย หรือ แต่ เขา เธอ เรา ผม ฉัน คน ความ ซึ่ง เพื่อ ถ้า เมื่อ ต้อง กว่า ทุก",
     "swedish": "och i att det som en ett på är av för med till den de inte om har var han hon vi jag du men eller så från vid kan ska när hur då under över efter",
 }
 #: Profiles: shares of function words, other words, numbers, signs. Prose profiles hold for every language above.
@@ -54,6 +80,22 @@ REPEAT_BLOCK, REPEAT_SHARE = 200, 0.15
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,:]\d+)*|[^\w\s]|_")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”»)]*\s+")
+#: Texts with such characters take the wide tokens: marks belong to their letters; Han and kana stand alone, Korean
+#: particles and Thai function words are cut from what they lean on, other Thai in short runs.
+_WIDE_SCRIPT = re.compile("[\u0590-\u10ff\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af]")
+_KOREAN, _THAI = (sorted(FUNCTION_WORDS[_l].split(), key=len, reverse=True) for _l in ("korean", "thai"))
+_WIDE_TOKEN = regex.compile(
+    rf"[\p{{Han}}\p{{Hiragana}}]|\p{{Katakana}}+|[가-힣]+?(?=(?:{'|'.join(_KOREAN)})?(?![가-힣]))|(?:{'|'.join(_KOREAN)})(?![가-힣])"
+    rf"|{'|'.join(_THAI)}|(?:(?!{'|'.join(_THAI)})[\u0e00-\u0e7f]){{1,5}}|[\p{{L}}\p{{M}}--\u0e00-\u0e7f]+(?:['’-][\p{{L}}\p{{M}}]+)*|\d+(?:[.,:]\d+)*|[^\w\s]|_",
+    regex.V1,
+)
+#: What ends a sentence in some script.
+_STOPS = ".!?…。！？।؟۔။။។"
+#: Under this share of function words in its best language a text counts as of no listed language. Such a stretch needs so
+#: many words to be a sentence; up to the second many letters are a short word in it.
+UNLISTED_SHARE, SENTENCE_WORDS, SHORT_LETTERS = 0.15, 5, 4
+#: Vowels of the Latin, Greek and Cyrillic alphabets (decomposed), and their least share of a sentence's letters there.
+_ALPHABETS, _VOWELS, VOWEL_SHARE = re.compile("[a-zα-ωа-яєіїґ]"), frozenset("aeiouyıæøœəαεηιουωаеиоуыэюяєіїё"), 0.25
 LANGUAGES = list(FUNCTION_WORDS)
 _WORD_LANGUAGES: dict[str, list[int]] = {}
 for _k, _l in enumerate(LANGUAGES):
@@ -95,6 +137,20 @@ def stretches(text: str) -> Iterator[str]:
             yield " ".join(held)
 
 
+def like_sentence(stretch: str, own: list[str]) -> bool:
+    """Built like a sentence: words enough, an end mark, and where there is letter case a capital and then mostly small
+    letters; in alphabets with vowels, vowels enough."""
+    if len(own) < SENTENCE_WORDS or stretch.rstrip("\"”»)’' ")[-1:] not in _STOPS:
+        return False
+    letters = [c for c in stretch if c.isalpha()]
+    cased = [c for c in letters if c.lower() != c.upper() and not "\u10a0" <= c <= "\u10ff"]  # Georgian is written in small letters
+    if len(cased) >= len(letters) / 2 and (cased[0].islower() or 10 * sum(c.isupper() for c in cased) > 2 * len(cased)):
+        return False
+    plain = [c for c in unicodedata.normalize("NFD", "".join(own)) if c.isalpha()]
+    alphabetic = sum(map(bool, map(_ALPHABETS.match, plain)))
+    return alphabetic < len(plain) / 2 or sum(c in _VOWELS for c in plain) >= VOWEL_SHARE * alphabetic
+
+
 def describe(texts: list[str | None]) -> dict[str, list]:
     """Statistics of each text: words, mean word length, shares of symbols, of lines ending in punctuation and of
     function words, the nearest structural profile, the divergence from prose and the share of characters in prose."""
@@ -107,23 +163,30 @@ def describe(texts: list[str | None]) -> dict[str, list]:
         letters = lines = stopped = 0
         by = [0] * len(LANGUAGES)
         words: list[str] = []
+        token = _WIDE_TOKEN if text and _WIDE_SCRIPT.search(text) else _TOKEN
         for stretch in stretches(text) if text else ():
-            tokens = _TOKEN.findall(caseless(stretch))
+            tokens = token.findall(caseless(stretch))
             own = [t for t in tokens if t[0].isalpha()]
             for t in own:
                 for x in _WORD_LANGUAGES.get(t, ()):
                     by[x] += 1
             numbers = sum(t[0].isdecimal() for t in tokens)
-            parts.append((own, numbers, len(tokens) - len(own) - numbers, sum(map(len, tokens))))
+            parts.append((own, numbers, len(tokens) - len(own) - numbers, sum(map(len, tokens)), stretch))
             words += own
             lines += 1
-            stopped += stretch[-1] in ".!?…\"”»"
+            stopped += stretch[-1] in _STOPS or stretch[-1] in "\"”»"
         common = _LANGUAGE_WORDS[by.index(max(by))]
         distinct = sum(len(set(words[j : j + REPEAT_BLOCK])) for j in range(0, len(words), REPEAT_BLOCK))
         repeats = len(words) > 40 and distinct < REPEAT_SHARE * len(words)
         symbols = 0
-        for own, numbers, signs, size in parts:
-            f = 0 if repeats else sum(t in common for t in own)
+        unlisted = max(by) < UNLISTED_SHARE * len(words)
+        for own, numbers, signs, size, stretch in parts:
+            if repeats:
+                f = 0
+            else:
+                f = sum(t in common for t in own)
+                if unlisted and like_sentence(stretch, own):
+                    f = max(f, sum(len(t) <= SHORT_LETTERS for t in own))
             total = len(own) + numbers + signs
             symbols += signs
             if total:

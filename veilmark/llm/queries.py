@@ -19,15 +19,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_texts": boilerplate.stripped_texts,
         "p5_found": overlap.split_overlaps,
         "p5_report": overlap.overlap_report,
+        "p5_members": overlap.identical_classes,
         "p6_classes": formatting.copy_counts,
         "p6_found": formatting.same_but_formatting,
+        "p6_members": formatting.class_members,
         "p7_found": splits.broken_lists,
         "p7_assignment": splits.assignment,
         "p8_ids": encoding.token_ids,
+        "p8_texts": encoding.round_trip,
         "p9_found": leakage.leaked_items,
+        "p9_report": leakage.leak_report,
         "p10_found": subjects.subject_areas,
         "p1_counts": terms.all_terms,
         "p2_texts": lookalikes.consistent_texts,
+        "p2_members": lookalikes.look_members,
     }
 
 
@@ -44,6 +49,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": f"""WITH r AS (SELECT DISTINCT source_record_index AS i, text FROM stream_final_c4 WHERE source_record_index IS NOT NULL AND text IS NOT NULL),
             f AS MATERIALIZED (SELECT i, text AS t, {textform.fold_sql("text")} AS f FROM r)
             SELECT a.i AS index_a, b.i AS index_b FROM f a JOIN f b ON a.f = b.f AND a.i < b.i AND a.t <> b.t""",
+        "p8_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p7_found": rf"""WITH RECURSIVE k AS MATERIALIZED (SELECT DISTINCT site_id AS s, unnest(['o:' || {name("owner_name")}, 'c:' || {name("contact_id")},
                 'h:' || nullif(regexp_extract(regexp_replace(lower(trim(host)), ':\d*$|\.+$', ''), '([^.\s]+\.[^.\s]+)$', 1), '')]) AS k FROM sites WHERE site_id IS NOT NULL),
             e AS MATERIALIZED (SELECT DISTINCT a.s AS a, b.s AS b FROM k a JOIN k b ON a.k = b.k WHERE a.k IS NOT NULL AND a.s <> b.s),

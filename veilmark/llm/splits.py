@@ -2,7 +2,10 @@
 
 Relations become components by iterated DataFrame joins (least label through shared keys, with shortcuts). The assignment
 is a component swap search: from a hashed assignment, whole components are moved or exchanged to bring sizes and labels
-of the splits to the given proportions; annealing chains run in parallel, and the best of each manifest is kept.
+of the splits to the given proportions. Annealing chains run in parallel over blocks of a bounded number of components,
+every component in one; the best chain of each block is kept. Where a manifest has several blocks, its largest components
+are searched once more against what all the others weigh. The search gives every site its component, the lists it was
+given in and its new list; where the given lists of a component differ, they break it.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 import math
 import random
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilmark.llm.common import records
@@ -24,7 +27,9 @@ NOBODY = (
     "domainprivacy", "domainsbyproxy", "contactprivacy", "privateregistration", "registrationprivate", "notavailable", "notapplicable", "notdisclosed",
     "notprovided", "nodata", "tbd", "ctnone", "ctna", "ctprivate", "ctredacted",
 )
-CHAINS, STEPS_PER_COMPONENT, MOST_COMPONENTS = 4, 40, 10_000
+CHAINS, STEPS_PER_COMPONENT = 4, 40
+#: Components of a block of the search (about), and sites of a component that meet in one task.
+BLOCK_COMPONENTS, BLOCK_SITES = 2000, 1000
 
 
 def plain_name(column: str) -> Column:
@@ -75,14 +80,6 @@ def roles(manifests: DataFrame) -> DataFrame:
     return manifests.where("manifest_id IS NOT NULL").select("manifest_id", lists).select("manifest_id", "x.list", F.explode("x.ids").alias("site_id")).where("site_id IS NOT NULL").distinct()
 
 
-def broken(manifests: DataFrame, sites: DataFrame) -> DataFrame:
-    """(manifest_id, site_a, site_b): related sites in different lists. A site in two lists itself is no pair."""
-    placed = roles(manifests).join(components(relations(sites)), "site_id")
-    a = placed.select("manifest_id", "component", F.col("list").alias("la"), F.col("site_id").alias("site_a"))
-    b = placed.select("manifest_id", "component", F.col("list").alias("lb"), F.col("site_id").alias("site_b"))
-    return a.join(b, ["manifest_id", "component"]).where("site_a < site_b AND la <> lb").select("manifest_id", "site_a", "site_b").distinct()
-
-
 def anneal(sizes: list[int], labels: list[int], proportions: list[float], base: list[tuple[int, int]], start: list[int], seed: int) -> tuple[float, list[int]]:
     """One annealing chain over whole components; returns the least deviation and its assignment."""
     rng = random.Random(seed)
@@ -132,29 +129,12 @@ def anneal(sizes: list[int], labels: list[int], proportions: list[float], base:
     return best, kept
 
 
-def assigned(members: DataFrame, related: DataFrame, proportions: DataFrame) -> DataFrame:
-    """(manifest_id, site_id, list, deviation): every member in one list, related members in the same one.
+def _chains(blocks: DataFrame) -> DataFrame:
+    """(manifest_id, component, place) of the best chain of each block.
 
-    members: manifest_id, site_id, label (0 or 1); related: site_id, component; proportions: manifest_id, list, share.
-    A chain holds at most MOST_COMPONENTS components; of a larger manifest only components of at least that fraction of
-    its sites are moved, the rest keep their hashed list, which a large number of small components fills evenly.
+    blocks: manifest_id, block, shares, parts (components with their places), base (what stays: place, n, labels; or null).
     """
-    rows = members.join(related, "site_id", "left").withColumn("component", F.coalesce("component", "site_id"))
-    groups = rows.groupBy("manifest_id", "component").agg(F.count("*").alias("n"), F.sum("label").alias("labels"))
-    totals = groups.groupBy("manifest_id").agg(F.sum("n").alias("sites"), F.count("*").alias("groups"))
-    shares = proportions.groupBy("manifest_id").agg(F.sort_array(F.collect_list(F.struct("list", "share"))).alias("shares"))
-    unit = F.pmod(F.xxhash64("manifest_id", "component"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    cumulative = F.transform("shares", lambda x, i: F.aggregate(F.slice("shares", 1, i + 1), F.lit(0.0), lambda s, y: s + y["share"]))
-    groups = (
-        groups.join(totals, "manifest_id").join(shares, "manifest_id")
-        .withColumn("start", F.least(F.size(F.filter(cumulative, lambda c: c <= unit)), F.size("shares") - 1))
-        .withColumn("moves", (F.col("groups") <= MOST_COMPONENTS) | (F.col("n") * MOST_COMPONENTS >= F.col("sites")))
-    )
-    groups = checkpointed(groups.select("manifest_id", "component", "n", "labels", "start", "moves", "shares"))
-    still = groups.where("NOT moves").groupBy("manifest_id", "start").agg(F.sum("n").alias("n"), F.sum("labels").alias("labels"))
-    still = still.groupBy("manifest_id").agg(F.collect_list(F.struct("start", "n", "labels")).alias("base"))
-    moving = groups.where("moves").groupBy("manifest_id").agg(F.collect_list(F.struct("component", "n", "labels", "start")).alias("moving"), F.first("shares").alias("shares"))
-    chains = moving.join(still, "manifest_id", "left").select("*", F.explode(F.sequence(F.lit(1), F.lit(CHAINS))).alias("seed")).repartition("manifest_id", "seed")
+    chains = blocks.select("*", F.explode(F.sequence(F.lit(1), F.lit(CHAINS))).alias("seed")).repartition("manifest_id", "block", "seed")
 
     def run(batches):
         import pandas as pd
@@ -162,36 +142,99 @@ def assigned(members: DataFrame, related: DataFrame, proportions: DataFrame) ->
         for rows in batches:
             out = []
             for r in rows.itertuples(index=False):
-                parts = sorted(r.moving, key=lambda c: c["component"])
+                parts = sorted(r.parts, key=lambda c: c["component"])
                 base = [(0, 0)] * len(r.shares)
                 for b in r.base if r.base is not None else ():
-                    base[b["start"]] = (b["n"], b["labels"])
-                cost, kept = anneal([c["n"] for c in parts], [c["labels"] for c in parts], [s["share"] for s in r.shares], base, [c["start"] for c in parts], r.seed)
-                out.append((r.manifest_id, r.seed, cost, [{"component": c["component"], "place": s} for c, s in zip(parts, kept)]))
-            yield pd.DataFrame(out, columns=["manifest_id", "seed", "deviation", "found"])
+                    base[b["place"]] = (b["n"], b["labels"])
+                cost, kept = anneal([c["n"] for c in parts], [c["labels"] for c in parts], [s["share"] for s in r.shares], base, [c["place"] for c in parts], r.seed)
+                out.append((r.manifest_id, r.block, r.seed, cost, [{"component": c["component"], "place": s} for c, s in zip(parts, kept)]))
+            yield pd.DataFrame(out, columns=["manifest_id", "block", "seed", "deviation", "found"])
 
-    found = chains.mapInPandas(run, "manifest_id bigint, seed int, deviation double, found array<struct<component: string, place: int>>")
-    best = found.groupBy("manifest_id").agg(F.min_by(F.struct("deviation", "found"), F.struct("deviation", "seed")).alias("x"))
-    moved = best.select("manifest_id", F.col("x.deviation").alias("deviation"), F.inline("x.found"))
-    placed = groups.join(moved, ["manifest_id", "component"], "left").withColumn("place", F.coalesce("place", "start"))
-    placed = placed.select("manifest_id", "component", F.expr("shares[place].list").alias("list"), "deviation")
-    return rows.join(placed, ["manifest_id", "component"]).select("manifest_id", "site_id", "list", "deviation")
+    found = chains.mapInPandas(run, "manifest_id bigint, block int, seed int, deviation double, found array<struct<component: string, place: int>>")
+    best = found.groupBy("manifest_id", "block").agg(F.min_by("found", F.struct("deviation", "seed")).alias("found"))
+    return best.select("manifest_id", F.inline("found"))
 
 
-def broken_lists(spark: SparkSession, folder: str) -> DataFrame:
-    """p7_found: related sites in different lists of a manifest."""
-    return broken(table(spark, folder, "manifests"), table(spark, folder, "sites"))
-
-
-def assignment(spark: SparkSession, folder: str) -> DataFrame:
-    """p7_assignment: the four lists of every manifest anew, in the sizes given, with related sites together.
+def assigned(members: DataFrame, related: DataFrame, proportions: DataFrame) -> DataFrame:
+    """members with ``component``, ``list`` and the manifest's ``deviation``: every member in one list, related members in
+    the same one.
 
-    The label held even is whether a site has at least 10 records.
+    members: manifest_id, site_id, label (0 or 1), more columns; related: site_id, component; proportions: manifest_id,
+    list, share. Deviation: sum over lists of |share of members - proportion| + half of the same for the labels. A
+    manifest without proportions gets no rows, as does an empty table.
     """
-    given = roles(table(spark, folder, "manifests"))
-    large = records(spark, folder, "site_id").distinct().groupBy("site_id").agg((F.count("*") >= 10).cast("int").alias("label"))
-    members = given.select("manifest_id", "site_id").distinct().join(large, "site_id", "left").fillna({"label": 0})
+    rows = members.join(related, "site_id", "left").withColumn("component", F.coalesce("component", "site_id"))
+    groups = rows.groupBy("manifest_id", "component").agg(F.count("*").alias("n"), F.sum("label").alias("labels"))
+    totals = groups.groupBy("manifest_id").agg(F.ceil(F.count("*") / BLOCK_COMPONENTS).cast("int").alias("blocks"))
+    shares = proportions.groupBy("manifest_id").agg(F.sort_array(F.collect_list(F.struct("list", "share"))).alias("shares"))  # a few lists
+    unit = F.pmod(F.xxhash64("manifest_id", "component"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    cumulative = F.transform("shares", lambda x, i: F.aggregate(F.slice("shares", 1, i + 1), F.lit(0.0), lambda s, y: s + y["share"]))
+    groups = checkpointed(
+        groups.join(totals.join(shares, "manifest_id"), "manifest_id")
+        .withColumn("place", F.least(F.size(F.filter(cumulative, lambda c: c <= unit)), F.size("shares") - 1))
+        .withColumn("block", F.pmod(F.xxhash64("component", F.lit("block")), "blocks").cast("int"))
+    )
+    part = F.struct("component", "n", "labels", "place")
+    in_blocks = groups.groupBy("manifest_id", "block").agg(F.first("shares").alias("shares"), F.collect_list(part).alias("parts")).withColumn("base", F.lit(None).cast("array<struct<place: int, n: bigint, labels: bigint>>"))
+    placed = checkpointed(groups.drop("place").join(_chains(in_blocks), ["manifest_id", "component"]))
+    # the largest components of manifests of several blocks, against the others where they are now
+    largest = Window.partitionBy("manifest_id").orderBy(F.desc("n"), "component")
+    many = placed.where("blocks > 1").withColumn("rank", F.row_number().over(largest))
+    top = many.where(F.col("rank") <= BLOCK_COMPONENTS).drop("rank")
+    rest = placed.where("blocks > 1").join(top.select("manifest_id", "component"), ["manifest_id", "component"], "left_anti").groupBy("manifest_id", "place").agg(F.sum("n").alias("n"), F.sum("labels").alias("labels"))
+    base = rest.groupBy("manifest_id").agg(F.collect_list(F.struct("place", "n", "labels")).alias("base"))
+    again = top.groupBy("manifest_id").agg(F.first("shares").alias("shares"), F.collect_list(part).alias("parts")).join(base, "manifest_id", "left").withColumn("block", F.lit(0))
+    moved = _chains(again).withColumnRenamed("place", "moved")
+    final = placed.join(moved, ["manifest_id", "component"], "left").select("manifest_id", "component", "n", "labels", "shares", F.coalesce("moved", "place").alias("place"))
+    final = checkpointed(final.withColumn("list", F.expr("shares[place].list")))
+    sums = final.groupBy("manifest_id", "list").agg(F.sum("n").alias("n"), F.sum("labels").alias("labels"))
+    whole = sums.groupBy("manifest_id").agg(F.sum("n").alias("all_n"), F.greatest(F.sum("labels"), F.lit(1)).alias("all_labels"))
+    parts = proportions.join(whole, "manifest_id").join(sums, ["manifest_id", "list"], "left").fillna({"n": 0, "labels": 0})
+    off = F.abs(F.col("n") / F.col("all_n") - F.col("share")) + 0.5 * F.abs(F.col("labels") / F.col("all_labels") - F.col("share"))
+    deviation = parts.groupBy("manifest_id").agg(F.sum(off).alias("deviation"))
+    return rows.join(final.select("manifest_id", "component", "list").join(deviation, "manifest_id"), ["manifest_id", "component"])
+
+
+def searched(manifests: DataFrame, sites: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(manifest_id, site_id, given, component, list, deviation): every site of a manifest's four lists with the lists it
+    was given in, its component and its new list, in the sizes given.
+
+    labels: site_id, label (0 or 1); the share of label 1 is held even too. Null ids are left out, repeated rows are one.
+    """
+    given = checkpointed(roles(manifests))
+    members = given.groupBy("manifest_id", "site_id").agg(F.sort_array(F.collect_list("list")).alias("given"))  # at most four
+    members = members.join(labels, "site_id", "left").fillna({"label": 0}) if labels is not None else members.withColumn("label", F.lit(0))
     sizes = given.groupBy("manifest_id", "list").agg(F.count("*").alias("n"))
     whole = given.groupBy("manifest_id").agg(F.count("*").alias("all"))
     proportions = sizes.join(whole, "manifest_id").select("manifest_id", "list", (F.col("n") / F.col("all")).alias("share"))
-    return assigned(members, components(relations(table(spark, folder, "sites"))), proportions)
+    return assigned(members, components(relations(sites)), proportions).select("manifest_id", "site_id", "given", "component", "list", "deviation")
+
+
+def broken(manifests: DataFrame, sites: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(manifest_id, site_a, site_b): related sites in different given lists, from the search. A site in two lists itself
+    is no pair. The sites of a large component meet in blocks, so no task holds it whole."""
+    found = checkpointed(searched(manifests, sites, labels))
+    sizes = found.groupBy("manifest_id", "component").agg(F.count("*").alias("n"), F.min("given").alias("g0"), F.max("given").alias("g1"), F.max(F.size("given")).alias("lists"))
+    sizes = sizes.where("n > 1 AND (g0 <> g1 OR lists > 1)").select("manifest_id", "component", F.ceil(F.col("n") / BLOCK_SITES).cast("int").alias("blocks"))
+    placed = found.join(sizes, ["manifest_id", "component"])
+    block = F.pmod(F.xxhash64("site_id"), "blocks").cast("int")
+    a = placed.select("manifest_id", "component", F.col("given").alias("ga"), F.col("site_id").alias("site_a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    b = placed.select("manifest_id", "component", F.col("given").alias("gb"), F.col("site_id").alias("site_b"), block.alias("block"))
+    apart = (F.size("ga") > 1) | (F.size("gb") > 1) | (F.col("ga") != F.col("gb"))
+    return a.join(b, ["manifest_id", "component", "block"]).where((F.col("site_a") < F.col("site_b")) & apart).select("manifest_id", "site_a", "site_b")
+
+
+def _large_sites(spark: SparkSession, folder: str) -> DataFrame:
+    """(site_id, label): whether a site has at least 10 records."""
+    return records(spark, folder, "site_id").where("site_id IS NOT NULL").distinct().groupBy("site_id").agg((F.count("*") >= 10).cast("int").alias("label"))
+
+
+def broken_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """p7_found: related sites in different lists of a manifest."""
+    return broken(table(spark, folder, "manifests"), table(spark, folder, "sites"), _large_sites(spark, folder))
+
+
+def assignment(spark: SparkSession, folder: str) -> DataFrame:
+    """p7_assignment: the four lists of every manifest anew, in the sizes given, with related sites together. The label
+    held even is whether a site has at least 10 records."""
+    return searched(table(spark, folder, "manifests"), table(spark, folder, "sites"), _large_sites(spark, folder)).select("manifest_id", "site_id", "list", "deviation")

@@ -1,12 +1,13 @@
 """Problem 10: subject areas of each document.
 
-Method: label propagation over a document-similarity graph. Documents are similar through the terms they share; the graph
-is kept factored as links document - term, so its size is that of the texts, not of the pairs. Trusted seeds (hand labels
-that name a subject) are clamped. A round joins the links with the terms' subjects to label the documents, keeps each
-document's several subjects, and joins the links with the documents' labels to measure the terms again. A term carries
-labels only once verified: enough labelled documents hold it and one subject holds it beyond its share. At the end the
-sentences, finest nodes of the graph, take the subject of their verified terms, and a document deals with a subject when a
-quarter of its sentences do.
+Method: label propagation over a document-similarity graph. Documents are similar through the terms of their sentences
+that they share; the graph is kept factored as links document - term - document, so its size is that of the texts and not
+of the pairs, and a term's links are verified: labels pass through it only once enough labelled documents hold it and one
+subject holds it beyond its share. Seeds are hand labels that name a subject; they are trusted where the graph does not
+contradict them, and trusted ones are clamped in all rounds and in the result. A round joins the links with the terms'
+subjects to label the documents, keeps each document's several subjects, and joins the links with the documents' labels to
+measure the terms again. At the end a document's propagated subjects are held against its sentences: it deals with those
+of its subjects that a quarter of its sentences deal with.
 """
 
 from __future__ import annotations
@@ -20,12 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilmark.llm.common import bounded_broadcast
+from veilmark.llm.quality import FUNCTION_WORDS
 from veilmark.llm.textform import caseless
 from veilmark.session import checkpointed, table
 
 #: A term stands in at least this share of the documents (and twice) and at most the other. With d distinct terms in a
 #: mean document at most d / LEAST_SHARE terms pass, whatever the corpus size: that bounds what is broadcast.
 LEAST_SHARE, MOST_SHARE = 2e-4, 0.5
+#: More terms than this are an error: LEAST_SHARE is to be raised then, nothing is cut.
+MOST_TERMS = 2_000_000
 ROUNDS = 2
 #: Verified: labelled documents that hold the term, and its likelihood of one subject among all.
 LEAST_SUPPORT, VERIFIED, DECISIVE = 3, 0.3, 0.6
@@ -35,6 +40,11 @@ KEPT_SHARE, SENTENCE_SHARE = 0.2, 0.25
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”»)]*\s+|\n\s*\n|\n(?!\s*[a-zß-öø-ÿα-ωа-я])")  # a line that goes on in small letters is wrapped
 _LINE = re.compile(r"\n+")
 _WORD = re.compile(r"[^\W\d_]{2,}(?:-[^\W\d_]+)*")
+_SPACELESS = re.compile("[\u0900-\u1fff\u2e80-\uffff]")
+#: Words of at least so many make a line in an alphabet a sentence only with a function word among them; signs and digits
+#: a word that a sentence has at most.
+LISTED_WORDS, MOST_SIGNS = 3, 1.0
+_FUNCTION = frozenset(caseless(w) for words in FUNCTION_WORDS.values() for w in words.split())
 
 
 def sentences(text: str) -> list[str]:
@@ -43,6 +53,18 @@ def sentences(text: str) -> list[str]:
     return [s for s in split.split(text) if s.strip()]
 
 
+def sentence_terms(sentence: str) -> list[str]:
+    """The distinct words of a sentence in order; none for what is no sentence: code and tables (more signs than words) and
+    lists of words (no function word of any language among several)."""
+    plain = caseless(sentence)
+    found = _WORD.findall(plain)
+    if sum(not c.isalpha() and not c.isspace() for c in plain) > MOST_SIGNS * len(found) and not _SPACELESS.search(plain):
+        return []
+    if len(found) >= LISTED_WORDS and _FUNCTION.isdisjoint(found) and not _SPACELESS.search(plain):
+        return []
+    return list(dict.fromkeys(found))
+
+
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
     held: Counter = Counter()
@@ -53,7 +75,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     for batch in batches:
         for text in batch.column(0).to_pylist():
             held[""] += 1
-            held.update(set(_WORD.findall(caseless(text))))
+            held.update({w for part in sentences(text) for w in sentence_terms(part)})
         if len(held) > 400_000:
             yield out()
             held.clear()
@@ -65,8 +87,10 @@ def vocabulary(texts: DataFrame) -> dict[str, int]:
     counts = texts.mapInArrow(_document_frequencies, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     counts = checkpointed(counts)
     total = counts.where("term = ''").agg(F.sum("n")).first()[0] or 0
-    kept = counts.where(f"term <> '' AND n >= {max(2, LEAST_SHARE * total)} AND n <= {MOST_SHARE * total}").select("term").toLocalIterator(True)
-    return {term: k for k, term in enumerate(sorted(r[0] for r in kept))}
+    kept = counts.where(f"term <> '' AND n >= {max(2, LEAST_SHARE * total)} AND n <= {MOST_SHARE * total}").select("term").limit(MOST_TERMS + 1).toArrow().column(0).to_pylist()
+    if len(kept) > MOST_TERMS:
+        raise ValueError("too many terms for one broadcast: raise LEAST_SHARE")
+    return {term: k for k, term in enumerate(sorted(kept))}
 
 
 def graph(documents: DataFrame) -> DataFrame:
@@ -83,7 +107,7 @@ def graph(documents: DataFrame) -> DataFrame:
                 parts = sentences(text)
                 own_at, own = [], []
                 for k, part in enumerate(parts):
-                    for w in set(_WORD.findall(caseless(part))):
+                    for w in sentence_terms(part):
                         if (t := get(w)) is not None:
                             own_at.append(k)
                             own.append(t)
@@ -97,7 +121,7 @@ def graph(documents: DataFrame) -> DataFrame:
     return checkpointed(nodes.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id"))
 
 
-def trusted_seeds(labels: DataFrame, areas: DataFrame) -> DataFrame:
+def named_seeds(labels: DataFrame, areas: DataFrame) -> DataFrame:
     """(doc_id, subject, weight): labels that name a subject area, however written; a document's labels weigh 1 together."""
     named = areas.where("subject IS NOT NULL").select("subject", F.lower(F.trim("subject")).alias("name")).distinct()
     seeds = labels.where("doc_id IS NOT NULL").select("doc_id", F.lower(F.trim("subject")).alias("name")).join(F.broadcast(named), "name").select("doc_id", "subject").distinct()
@@ -119,36 +143,52 @@ def term_subjects(nodes: DataFrame, labelled: DataFrame) -> DataFrame:
     return verified.select("term", "rates", F.inline("own")).select("term", "subject", (F.col("rate") / F.col("rates")).alias("likelihood")).where("likelihood >= 0.02")
 
 
-def propagated(nodes: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(term, subject, likelihood) after the rounds; nodes: doc_id, terms."""
+def _document_labels(nodes: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, subject, weight): subjects of the documents from their terms' subjects, those of at least KEPT_SHARE."""
+    links = nodes.select("doc_id", F.explode("terms").alias("term"))
+    by_subject = links.join(bounded_broadcast(terms), "term").groupBy("doc_id", "subject").agg(F.sum("likelihood").alias("w"))
+    totals = by_subject.groupBy("doc_id").agg(F.sum("w").alias("all"), F.collect_list(F.struct("subject", "w")).alias("own"))  # one entry a subject
+    return totals.where(f"all >= {LEAST_SUPPORT}").select("doc_id", F.expr(f"inline(filter(transform(own, x -> struct(x.subject AS subject, x.w / all AS weight)), x -> x.weight >= {KEPT_SHARE}))"))
+
+
+def propagated(nodes: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(term, subject, likelihood), (doc_id, subject, weight) and the trusted seeds after the rounds.
+
+    nodes: doc_id, terms. A seed is trusted unless the first labelling gives its document other subjects only; where it
+    gives none, there is nothing to contradict it.
+    """
     seeds = checkpointed(seeds)
     terms = checkpointed(term_subjects(nodes, seeds))
-    for _ in range(rounds):
-        links = nodes.select("doc_id", F.explode("terms").alias("term"))
-        by_subject = links.join(F.broadcast(terms), "term").groupBy("doc_id", "subject").agg(F.sum("likelihood").alias("w"))
-        totals = by_subject.groupBy("doc_id").agg(F.sum("w").alias("all"), F.collect_list(F.struct("subject", "w")).alias("own"))  # one entry a subject
-        labelled = totals.where(f"all >= {LEAST_SUPPORT}").select("doc_id", F.expr(f"inline(filter(transform(own, x -> struct(x.subject AS subject, x.w / all AS weight)), x -> x.weight >= {KEPT_SHARE}))"))
-        clamped = labelled.join(seeds.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(seeds)
-        terms = checkpointed(term_subjects(nodes, checkpointed(clamped)))
-    return terms
+    labels = trusted = None
+    for k in range(rounds + 1):
+        found = checkpointed(_document_labels(nodes, terms))
+        if trusted is None:
+            wrong = seeds.join(found.select("doc_id").distinct(), "doc_id", "left_semi").join(found.select("doc_id", "subject"), ["doc_id", "subject"], "left_anti")
+            trusted = checkpointed(seeds.join(wrong.select("doc_id", "subject"), ["doc_id", "subject"], "left_anti"))
+        labels = found.join(trusted.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(trusted.select("doc_id", "subject", "weight"))
+        if k < rounds:
+            terms = checkpointed(term_subjects(nodes, labels))
+    return terms, found.select("doc_id", "subject", "weight"), trusted
 
 
 def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
-    """(doc_id, subject, share): the share of a document's sentences that deal with a subject, where there are any.
+    """(doc_id, subject, share, seed): the propagated subjects of a document with the share of its sentences that deal with
+    each, and whether the pair is a trusted seed (share 0 where only the seed says so).
 
-    documents: doc_id, text; labels: doc_id, subject; areas: subject. Null, empty and blank texts deal with nothing;
-    without usable labels there is no result. A sentence deals with the subject that most of its decisive terms name
-    (those of the greatest likelihood, on a tie).
+    documents: doc_id, text; labels: doc_id, subject; areas: subject. Null, empty and blank texts deal with nothing,
+    whatever their labels say; without usable labels there is no result. A sentence deals with the subject that most
+    of its decisive terms name (those of the greatest likelihood, on a tie).
     """
     nodes = graph(documents)
-    terms = propagated(nodes.select("doc_id", F.array_distinct("terms").alias("terms")), trusted_seeds(labels, areas))
-    best = terms.groupBy("term").agg(F.max_by("subject", "likelihood").alias("subject"), F.max("likelihood").alias("likelihood")).where(f"likelihood >= {DECISIVE}")
-    rows = best.collect()  # at most the vocabulary, which is bounded
-    names = sorted({r["subject"] for r in rows})
-    number = np.full(max((r["term"] for r in rows), default=0) + 1, -1, np.int32)
+    terms, found, trusted = propagated(nodes.select("doc_id", F.array_distinct("terms").alias("terms")), named_seeds(labels, areas).join(nodes.where("sentences > 0").select("doc_id").distinct(), "doc_id", "left_semi"))
+    best = terms.groupBy("term").agg(F.max_by("subject", F.struct("likelihood", "subject")).alias("subject"), F.max("likelihood").alias("likelihood")).where(f"likelihood >= {DECISIVE}")
+    table_ = best.toArrow()  # at most MOST_TERMS rows
+    term = table_.column("term").to_numpy()
+    subject = table_.column("subject").to_pylist()
+    names = sorted(set(subject))
+    number = np.full(int(term.max(initial=0)) + 1, -1, np.int32)
     weight = np.zeros(len(number))
-    for r in rows:
-        number[r["term"]], weight[r["term"]] = names.index(r["subject"]), r["likelihood"]
+    number[term], weight[term] = [names.index(x) for x in subject], table_.column("likelihood").to_numpy()
     known = documents.sparkSession.sparkContext.broadcast((names, number, weight))
     schema = pa.schema([("doc_id", pa.int64()), ("subject", pa.string()), ("share", pa.float64())])
 
@@ -172,10 +212,14 @@ def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> Da
             row, subject = np.nonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array([names[s] for s in subject], pa.string()), pa.array(counts[row, subject] / n[row], pa.float64())], schema=schema)
 
-    return nodes.mapInArrow(run, "doc_id bigint, subject string, share double")
+    measured = nodes.mapInArrow(run, "doc_id bigint, subject string, share double")
+    both = found.select("doc_id", "subject").distinct().join(measured, ["doc_id", "subject"])
+    seed = trusted.select("doc_id", "subject", F.lit(True).alias("seed"))
+    return both.join(seed, ["doc_id", "subject"], "full_outer").select("doc_id", "subject", F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("seed", F.lit(False)).alias("seed"))
 
 
 def subject_areas(spark: SparkSession, folder: str) -> DataFrame:
-    """p10_found: (doc_id, subject) for each subject of at least a quarter of the document's sentences."""
+    """p10_found: (doc_id, subject) for each propagated subject of at least a quarter of the document's sentences, and for
+    each trusted seed."""
     found = subjects_of(table(spark, folder, "documents"), table(spark, folder, "subject_labels"), table(spark, folder, "subject_areas"))
-    return found.where(F.col("share") >= SENTENCE_SHARE).select("doc_id", "subject").distinct()
+    return found.where((F.col("share") >= SENTENCE_SHARE) | F.col("seed")).select("doc_id", "subject").distinct()

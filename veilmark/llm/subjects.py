@@ -53,18 +53,33 @@ def sentences(text: str) -> list[str]:
     return [s for s in split.split(text) if s.strip()]
 
 
-def sentence_terms(sentence: str) -> list[str]:
-    """The distinct words of a sentence in order; none for what is no sentence: code and tables (more signs than words) and
-    lists of words (no function word of any language among several)."""
-    plain = caseless(sentence)
-    found = _WORD.findall(plain)
-    if sum(not c.isalpha() and not c.isspace() for c in plain) > MOST_SIGNS * len(found) and not _SPACELESS.search(plain):
-        return []
-    if len(found) >= LISTED_WORDS and _FUNCTION.isdisjoint(found) and not _SPACELESS.search(plain):
+_INK = bytes(c if chr(c).isalpha() and c < 128 or c == 45 else 32 for c in range(256))
+
+
+def _words(plain: str) -> list[str]:
+    """Words of two letters and more, with the hyphens inside them."""
+    if not plain.isascii():
+        return _WORD.findall(plain)
+    found = [w for w in plain.encode().translate(_INK).decode().split() if len(w) > 1]
+    return _WORD.findall(plain) if "-" in plain and any(w[0] == "-" or w[-1] == "-" or "--" in w or w[1] == "-" for w in found) else found
+
+
+def sentence_terms(plain: str) -> list[str]:
+    """The distinct words of a sentence without case, in order; none for what is no sentence: code and tables (more signs
+    than words) and lists of words (no function word of any language among several)."""
+    found = _words(plain)
+    signs = len(plain) - plain.count(" ") - sum(map(len, found))
+    if (signs > MOST_SIGNS * len(found) or len(found) >= LISTED_WORDS and _FUNCTION.isdisjoint(found)) and (plain.isascii() or not _SPACELESS.search(plain)):
         return []
     return list(dict.fromkeys(found))
 
 
+def text_terms(text: str) -> list[list[str]]:
+    """The terms of each sentence of a text."""
+    caseless_ = str.lower if text.isascii() else caseless
+    return [sentence_terms(caseless_(part)) for part in sentences(text)]
+
+
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
     held: Counter = Counter()
@@ -75,7 +90,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     for batch in batches:
         for text in batch.column(0).to_pylist():
             held[""] += 1
-            held.update({w for part in sentences(text) for w in sentence_terms(part)})
+            held.update(set().union(*text_terms(text)))
         if len(held) > 400_000:
             yield out()
             held.clear()
@@ -104,16 +119,10 @@ def graph(documents: DataFrame) -> DataFrame:
         for batch in batches:
             n, at, terms = [], [], []
             for text in batch.column(1).to_pylist():
-                parts = sentences(text)
-                own_at, own = [], []
-                for k, part in enumerate(parts):
-                    for w in sentence_terms(part):
-                        if (t := get(w)) is not None:
-                            own_at.append(k)
-                            own.append(t)
+                parts = [[t for w in part if (t := get(w)) is not None] for part in text_terms(text)]
                 n.append(len(parts))
-                at.append(own_at)
-                terms.append(own)
+                at.append([k for k, part in enumerate(parts) for _ in part])
+                terms.append([t for part in parts for t in part])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip((n, at, terms), list(schema)[1:]))], schema=schema)
 
     nodes = texts.select("doc_id", "text").mapInArrow(run, "doc_id bigint, sentences int, at array<int>, terms array<int>")
@@ -159,15 +168,14 @@ def propagated(nodes: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> tupl
     """
     seeds = checkpointed(seeds)
     terms = checkpointed(term_subjects(nodes, seeds))
-    labels = trusted = None
-    for k in range(rounds + 1):
+    trusted = None
+    for _ in range(rounds):
         found = checkpointed(_document_labels(nodes, terms))
         if trusted is None:
             wrong = seeds.join(found.select("doc_id").distinct(), "doc_id", "left_semi").join(found.select("doc_id", "subject"), ["doc_id", "subject"], "left_anti")
             trusted = checkpointed(seeds.join(wrong.select("doc_id", "subject"), ["doc_id", "subject"], "left_anti"))
         labels = found.join(trusted.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(trusted.select("doc_id", "subject", "weight"))
-        if k < rounds:
-            terms = checkpointed(term_subjects(nodes, labels))
+        terms = checkpointed(term_subjects(nodes, labels))
     return terms, found.select("doc_id", "subject", "weight"), trusted
 
 

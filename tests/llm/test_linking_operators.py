@@ -9,23 +9,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from veilmark.llm import fmindex, leakage, overlap, splits, subjects
+from veilmark.llm import leakage, overlap, splits, subjects
 from veilmark.llm.textform import words
 
 
-@given(st.lists(st.lists(st.integers(1, 4), min_size=1, max_size=12), min_size=1, max_size=8), st.lists(st.integers(1, 4), min_size=1, max_size=6))
-@settings(max_examples=150, deadline=None)
-def test_backward_search_counts_occurrences(sequences, pattern):
-    text = np.array([0] + [x for s in sequences for x in [*s, 0]])
-    index = fmindex.FMIndex(text, 4)
-    symbols = np.array(pattern[::-1])
-    low, high = index.start(symbols[:1])
-    for s in symbols[1:]:
-        low, high = index.extend(np.array([s]), low, high)
-    expected = sorted(k for k in range(len(text) - len(pattern) + 1) if text[k : k + len(pattern)].tolist() == pattern)
-    assert sorted(index.rows[low[0] : max(low[0], high[0])].tolist()) == expected
-
-
 def brute(rows, manifests):
     bags = {k: Counter(words(t)) for k, (_, t) in rows.items() if t and words(t)}
     out = set()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,13 @@ def map_columns(df: DataFrame, function: Callable[..., dict[str, list]], schema:
     return df.mapInArrow(run, schema)
 
 
+def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, row) of all rows of all intervals."""
+    size = high - low
+    owner = np.repeat(np.arange(len(low)), size)
+    return owner, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + low[owner]
+
+
 def class_pairs(members: DataFrame, differ: bool = False, limit: int = ALL_PAIRS_UP_TO) -> DataFrame:
     """Pairs (index_a < index_b) of records in the same class.
 

@@ -91,6 +91,62 @@ def test_learned_merges_follow_a_full_recount():
     assert t.encode_unit("abc") == words["abc"] and t.encode_unit("xab")[0] == "[UNK]"
 
 
+@given(st.dictionaries(st.text("abcd", min_size=1, max_size=7), st.integers(1, 9), min_size=2, max_size=25))
+@settings(max_examples=200, deadline=None)
+def test_sure_merges_are_the_next_ones(units):
+    merges = bpe.learn_merges(units, 40).merges
+    counts = Counter()
+    for u, n in units.items():
+        for p in zip(u, u[1:]):
+            counts[p] += n
+    top = sorted((-n, *p) for p, n in counts.items() if n >= 2)
+    if top:
+        k = bpe.sure_prefix([(-n, a, b) for n, a, b in top])
+        assert k >= 1 and [tuple(p) for _, *p in top[:k]] == merges[:k]
+
+
+def test_rounds_learn_the_same_merges(spark):
+    units = {"abab": 9, "abcd": 6, "cdcd": 5, "dab": 4, "aab": 1}
+    expected = bpe.learn_merges(units, 13)
+    got = bpe.train(spark.createDataFrame(list(units.items()), "unit string, cnt bigint"), 13, local_units=3)
+    assert got.merges == expected.merges and got.vocab == expected.vocab
+
+
+def test_tokenizers_by_key(spark, tmp_path, monkeypatch):
+    rows = [(m, u, n + m) for m in (1, 2) for u, n in (("abab", 5), ("abc", 3), ("cab", 4 * m))] + [(1, None, 3)]
+    df = spark.createDataFrame(rows, "m int, unit string, cnt bigint")
+    found = {m: bpe.learn_merges({u: n for k, u, n in rows if k == m and u}, 12) for m in (1, 2)}
+    table = bpe.train_each(df, 12, "m")
+    got = {(r.m, r.n): (r.left, r.right) for r in table.where("kind = 'merge'").collect()}
+    assert got == {(m, k): p for m, t in found.items() for k, p in enumerate(t.merges)}
+    monkeypatch.setattr(bpe, "LOCAL_UNITS", 2)
+    large = bpe.train_each(df.where("m = 1"), 10, "m").where("kind = 'merge'").orderBy("n").collect()
+    assert [(r.left, r.right) for r in large] == bpe.learn_merges({u: n for k, u, n in rows if k == 1 and u}, 10).merges
+    encoded = {(r.m, r.unit): list(r.tokens) for r in bpe.encode_each(df.where("unit IS NOT NULL"), table, "m", blocks=2).collect()}
+    assert encoded == {(m, u): found[m].encode_unit(u) for m, u, _ in rows if u}
+    vocab = bpe.vocabularies(table, "m")
+    small = bpe.derive_each(table, tokens.truncated_vocab(vocab, 9, "m"), "m")
+    for m, t in found.items():
+        cut = bpe.truncate(t, 9)
+        assert {r.token: r.n for r in small.where(f"m = {m} AND kind = 'token'").collect()} == cut.vocab
+        assert [(r.left, r.right) for r in small.where(f"m = {m} AND kind = 'merge'").orderBy("n").collect()] == cut.merges
+    metadata = bpe.publish(found[1], str(tmp_path / "t"), "plain", 12, manifest_sha256="x")
+    again, loaded = bpe.load(str(tmp_path / "t"), manifest_sha256="x")
+    assert again.merges == found[1].merges and loaded == metadata
+    with pytest.raises(ValueError):
+        bpe.load(str(tmp_path / "t"), manifest_sha256="y")
+    with pytest.raises(FileExistsError):
+        bpe.publish(found[1], str(tmp_path / "t"), "plain", 12)
+
+
+def test_thresholds_share_one_count(spark):
+    vocab = spark.createDataFrame([("a", 0), ("[UNK]", 1), ("b", 2)], "token string, id int")
+    counts = spark.createDataFrame([("a", 3), ("b", 9)], "token string, cnt bigint")
+    got = {(r.least, r.token): r.id for r in tokens.min_count_vocab(vocab, counts, [1, 5, 50]).collect()}
+    assert got == {(1, "a"): 0, (1, "[UNK]"): 1, (1, "b"): 2, (5, "[UNK]"): 0, (5, "b"): 1, (50, "[UNK]"): 0}
+    assert [r.token for r in tokens.min_count_vocab(vocab.where("token <> '[UNK]'"), counts, 5).orderBy("id").collect()] == ["[UNK]", "b"]
+
+
 def test_truncation_and_min_count():
     t = bpe.learn_merges({"abab": 5, "abc": 3, "cab": 4}, 20)
     small = bpe.truncate(t, 9)
@@ -99,13 +155,15 @@ def test_truncation_and_min_count():
     assert "ab" in kept.vocab and "[UNK]" in kept.vocab and "c" not in kept.vocab and kept.merges == []
 
 
-def test_substrings_by_expansion_and_automaton(spark, monkeypatch):
-    units = spark.createDataFrame([("abcab", 2), ("x" * 70 + "ab", 1), ("", 1)], "unit string, cnt bigint")
-    vocab = spark.createDataFrame([("ab",), ("b",), ("xx",), ("zz",)], "token string")
-    expected = {("abcab", "ab"), ("abcab", "b"), ("x" * 70 + "ab", "ab"), ("x" * 70 + "ab", "b"), ("x" * 70 + "ab", "xx")}
-    assert {tuple(r) for r in tokens.substring_tokens(units, vocab, 5).collect()} == expected
-    monkeypatch.setattr(tokens, "LONG_UNIT", 0)
-    assert {tuple(r) for r in tokens.substring_tokens(units, vocab, 5).where("unit <> ''").collect()} == expected
+def test_substrings_by_automaton_and_expansion(spark, monkeypatch):
+    units = spark.createDataFrame([("abcab", 2), ("x" * 70 + "ab" + "y" * 30, 1), ("", 1), ("no", 1)], "unit string, cnt bigint")
+    vocab = spark.createDataFrame([("ab",), ("b",), ("xx",), ("zz",), ("y" * 30,), ("",)], "token string")
+    long = "x" * 70 + "ab" + "y" * 30
+    expected = {("abcab", "ab"), ("abcab", "b"), (long, "ab"), (long, "b"), (long, "xx"), (long, "y" * 30)}
+    assert {tuple(r) for r in tokens.substring_tokens(units, vocab).collect()} == expected
+    assert tokens.substring_tokens(units, vocab.limit(0)).count() == 0
+    monkeypatch.setattr(tokens, "AUTOMATON_TOKENS", 2)
+    assert {tuple(r) for r in tokens.substring_tokens(units, vocab).collect()} == expected
 
 
 def test_fixed_length(spark):
@@ -117,25 +175,29 @@ def test_fixed_length(spark):
 # ---- scores and metrics
 
 
-def test_overlap_scores_follow_the_definition(spark):
+@pytest.mark.parametrize("count", [5, 96])
+def test_overlap_scores_follow_the_definition(spark, count):
     rng = random.Random(3)
-    names = [f"t{k}" for k in range(30)]
-    target = set(rng.sample(names, 15))
-    shadows = {s: set(rng.sample(names, 12)) for s in range(5)}
-    training = {s: set(rng.sample("abcdef", 3)) for s in shadows}
+    names = [f"t{k}" for k in range(60)]
     frame = lambda rows, ddl: spark.createDataFrame(rows, ddl)
-    got = {r.site_id: r.score for r in attacks.overlap_scores(
-        frame([(t, 0) for t in target], "token string, id int"), frame([(s, t, 0) for s, v in shadows.items() for t in v], "shadow_id int, token string, id int"),
-        frame([(s, x) for s, v in training.items() for x in v], "shadow_id int, site_id string"), frame([(x,) for x in "abcdefg"], "site_id string"),
+    target, shadows, training = {}, {}, {}
+    for m in (1, 2):
+        target[m] = set(rng.sample(names, 25))
+        shadows[m] = {s: set(rng.sample(names, 22)) for s in range(count)}
+        training[m] = {s: set(rng.sample("abcdef", 3)) for s in shadows[m]}
+    got = {(r.m, r.site_id): r.score for r in attacks.overlap_scores(
+        frame([(m, t, 0) for m in target for t in target[m]], "m int, token string, id int"), frame([(m, s, t, 0) for m in shadows for s, v in shadows[m].items() for t in v], "m int, shadow_id int, token string, id int"),
+        frame([(m, s, x) for m in training for s, v in training[m].items() for x in v], "m int, shadow_id int, site_id string"), frame([(m, x) for m in target for x in "abcdefg"], "m int, site_id string"), "m",
     ).collect()}
-    for site in "abcdef":
-        inside, outside = ([shadows[s] for s in shadows if (site in training[s]) == w] for w in (True, False))
-        if not inside or not outside:
-            assert site not in got
-            continue
-        out = set.union(*inside) & set.union(*outside)
-        j = lambda v: len((v - out) & (target - out)) / max(1, len((v - out) | (target - out)))
-        assert got[site] == pytest.approx((np.mean([j(v) for v in inside]) - np.mean([j(v) for v in outside]) + 1) / 2)
+    for m in target:
+        for site in "abcdef":
+            inside, outside = ([shadows[m][s] for s in shadows[m] if (site in training[m][s]) == w] for w in (True, False))
+            if not inside or not outside:
+                assert (m, site) not in got
+                continue
+            out = set.union(*inside) & set.union(*outside)
+            j = lambda v: len((v - out) & (target[m] - out)) / max(1, len((v - out) | (target[m] - out)))  # noqa: B023, E731
+            assert got[m, site] == pytest.approx((np.mean([j(v) for v in inside]) - np.mean([j(v) for v in outside]) + 1) / 2)
 
 
 def test_metric_edges(spark):
@@ -151,7 +213,7 @@ def test_metrics_on_tied_scores(spark, seed):
     y, s = rng.integers(0, 2, 80), rng.integers(0, 12, 80).astype(float)
     df = spark.createDataFrame([(0, f"s{k}", int(a), float(b)) for k, (a, b) in enumerate(zip(y, s))], "run int, site_id string, label int, score double")
     row = metrics.scalar_metrics(df, "run").first().asDict()
-    for name, value in metrics.numpy_metrics(y, s).items():
+    for name, (value,) in metrics.weighted_metrics(y, s, np.ones((1, len(y)), int)).items():
         assert row[name] == pytest.approx(value, abs=1e-12)
     wins = np.mean([(a > b) + (a == b) / 2 for a in s[y == 1] for b in s[y == 0]])
     assert row["roc_auc"] == pytest.approx(wins)
@@ -172,12 +234,23 @@ def test_unpaired_sites_are_an_error(spark):
 
 
 def test_zipf_fit_finds_the_exponent(spark):
-    rows = [(f"tok{k}", k, int(1e7 * (k + 1) ** -1.7)) for k in range(400)]
-    f = attacks.fit_zipf(spark.createDataFrame([(t, k) for t, k, _ in rows], "token string, id int"), spark.createDataFrame([(t, n) for t, _, n in rows], "token string, cnt bigint"))
-    assert 1.5 < f["alpha"] < 2.0 and f["ks"] < 0.1
+    rows = [(m, f"tok{k}", k, int(1e7 * (k + 1) ** -a)) for m, a in ((1, 1.7), (2, 2.5)) for k in range(400)] + [(3, "[UNK]", 0, 5)]
+    fits = attacks.fit_zipf(spark.createDataFrame([r[:3] for r in rows], "m int, token string, id int"), spark.createDataFrame([(m, t, n) for m, t, _, n in rows], "m int, token string, cnt bigint"), "m")
+    f = {r.m: r for r in fits.collect()}
+    assert 1.5 < f[1].alpha < 2.0 and f[1].ks < 0.1 and 2.2 < f[2].alpha < 2.8 and (f[3].alpha, f[3].xmin, f[3].points) == (2.0, 1, 0)
     assert attacks.hurwitz_zeta(2.0, 1.0) == pytest.approx(np.pi**2 / 6)
 
 
+def test_zipf_fit_is_the_likeliest():
+    rng = np.random.default_rng(4)
+    rank = np.sort(rng.choice(2000, 150, False)) + 1.0
+    weight = np.ceil(1e6 * rank**-1.4 * rng.uniform(0.5, 2, 150))
+    alpha, xmin, _, _ = attacks.tail_fit(rank, weight)
+    tail = rank >= xmin
+    cost = lambda a: a * (weight[tail] @ np.log(rank[tail])) + weight[tail].sum() * np.log(attacks.hurwitz_zeta(a, xmin))
+    assert cost(alpha) <= min(cost(alpha - 1e-3), cost(alpha + 1e-3))
+
+
 # ---- privacy and encryption
 
 
@@ -228,6 +301,15 @@ def test_encrypted_sums_equal_plain_sums(spark):
         paillier.generate_keys(512)
 
 
+def test_packed_sums_equal_plain_sums(spark):
+    key = paillier.generate_keys(1024)
+    rows = [(m, f"s{k}", c, (c - 20) * (k + m) * 10**6) for m in (1, 2) for k in range(3) for c in range(40)]
+    df = spark.createDataFrame(rows, "m int, site_id string, coord int, value bigint")
+    sums = paillier.encrypted_sums(paillier.encrypted_packed(df, key.public, "m"), key.public, "m")
+    got = {(m, c): v for m, c, v in paillier.unpacked(paillier.decrypted(sums, key, "m"), 40, key.public)}
+    assert got == {(m, c): (c - 20) * (3 + 3 * m) * 10**6 for m in (1, 2) for c in range(40)} and sums.count() == 6
+
+
 def _sites(spark, names):
     rows = [(s, u, n) for k, s in enumerate(names) for u, n in (("abab", 3 + k), ("abc", 2), ("cabba", 1 + k))]
     return spark.createDataFrame(rows, "site_id string, unit string, cnt bigint")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,22 +12,23 @@ from veilmark import oracles
 from veilmark.functions import text as T
 from veilmark.functions.statistics import exact_percentile, jaccard, sample_sd
 from veilmark.operators import attacks, audit, bpe, classifier, corpus, metrics, paillier, privacy, reporting, roles, tokens
+from veilmark.operators.private_bpe import PrivateTraining, rounds_by_mode
 from veilmark.plans import build, matrix
-from veilmark.session import checkpointed, table
+from veilmark.plans.experiment import five_attacks
+from veilmark.session import checkpointed, one_copy, table
 from veilmark.streaming import events as streams
 
 SEED = 20260726
 VOCAB, SHADOW_VOCAB, CANDIDATES = 2000, 800, 64
+M = "manifest_id"
 
 
 # ---- inputs -------------------------------------------------------------------------------------------------------
 
 
 def records(s: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Distinct records: (idx, columns...)."""
-    names = columns or ("site_id", "text")
-    rows = table(s, d, "stream_final_c4").where("source_record_index IS NOT NULL").select(F.col("source_record_index").alias("idx"), *names)
-    return rows.dropDuplicates(["idx"])
+    """Distinct records: (idx, columns...), one row of those delivered several times."""
+    return one_copy(s, d, "stream_final_c4", "source_record_index", *(columns or ("site_id", "text"))).withColumnRenamed("source_record_index", "idx")
 
 
 def checked(s: SparkSession, d: str) -> DataFrame:
@@ -42,20 +44,19 @@ def texts(s: SparkSession, d: str) -> DataFrame:
     return records(s, d).where("site_id IS NOT NULL AND text IS NOT NULL")
 
 
-def first_manifest(s: SparkSession, d: str) -> DataFrame:
-    """The manifest of least id, as distinct (manifest_id, role, site_id)."""
-    rows = table(s, d, "manifests")
-    first = rows.agg(F.min("manifest_id").alias("manifest_id"))
-    return roles.manifest_roles(rows.join(F.broadcast(first), "manifest_id"))  # one row
+def all_roles(s: SparkSession, d: str) -> DataFrame:
+    """(manifest_id, role, site_id) of every manifest, distinct."""
+    return roles.manifest_roles(table(s, d, "manifests"))
 
 
-def training_of_first(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "manifests")
-    return roles.shadow_training(rows.join(F.broadcast(rows.agg(F.min("manifest_id").alias("manifest_id"))), "manifest_id"))
+def in_role(s: SparkSession, d: str, role: str) -> DataFrame:
+    """(manifest_id, site_id) of a role in every manifest."""
+    return all_roles(s, d).where(F.col("role") == role).select(M, "site_id")
 
 
-def sites_in(s: SparkSession, d: str, role: str) -> DataFrame:
-    return first_manifest(s, d).where(F.col("role") == role).select("site_id")
+def training(s: SparkSession, d: str) -> DataFrame:
+    """(manifest_id, shadow_id, site_id) of every manifest."""
+    return roles.shadow_training(table(s, d, "manifests"))
 
 
 def unit_table(s: SparkSession, d: str) -> DataFrame:
@@ -69,26 +70,46 @@ def shared_units(s: SparkSession, d: str) -> DataFrame:
 
 
 def target_vocab(s: SparkSession, d: str, units: DataFrame | None = None) -> DataFrame:
-    members = sites_in(s, d, "target_member")
-    return tokens.top_units_as_vocab((units or unit_table(s, d)).join(members, "site_id", "left_semi"), VOCAB)
+    """(manifest_id, token, id): the most frequent units of each manifest's member sites."""
+    return tokens.top_units_as_vocab((units or unit_table(s, d)).join(in_role(s, d, "target_member"), "site_id"), VOCAB, M)
 
 
 def shadow_vocab(s: SparkSession, d: str, units: DataFrame | None = None) -> DataFrame:
-    """(shadow_id, token, id): the most frequent units of each shadow's training sites."""
-    counts = (units or unit_table(s, d)).join(training_of_first(s, d), "site_id").groupBy("shadow_id", "unit").agg(F.sum("cnt").alias("cnt"))
-    w = Window.partitionBy("shadow_id").orderBy(F.desc("cnt"), "unit")
-    return counts.withColumn("id", F.row_number().over(w) - 1).where(F.col("id") < SHADOW_VOCAB).select("shadow_id", F.col("unit").alias("token"), "id")
+    """(manifest_id, shadow_id, token, id): the most frequent units of each shadow's training sites."""
+    return tokens.top_units_as_vocab((units or unit_table(s, d)).join(training(s, d), "site_id"), SHADOW_VOCAB, M, "shadow_id")
 
 
-def site_tokens(s: SparkSession, d: str, units: DataFrame | None = None) -> DataFrame:
-    """(site_id, token, cnt) by substrings of the target vocabulary."""
+def site_tokens(s: SparkSession, d: str, units: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
+    """(site_id, token, cnt) of every site by substrings, over the tokens of all target vocabularies; each unit is searched
+    once for all manifests."""
     counts = units or shared_units(s, d)
-    return tokens.token_counts(counts, tokens.substring_tokens(counts, target_vocab(s, d, counts), 24), "site_id")
+    return tokens.token_counts(counts, tokens.substring_tokens(counts, vocab or target_vocab(s, d, counts)), "site_id")
+
+
+class Experiment(NamedTuple):
+    """What the substring attacks share in every manifest."""
+
+    vocab: DataFrame  # (manifest_id, token, id)
+    counts: DataFrame  # (manifest_id, site_id, token, cnt) of pool and involved sites
+    background: DataFrame  # (manifest_id, token, cnt)
+    present: DataFrame  # (manifest_id, site_id) of the pool, with texts
+
+
+def experiment(s: SparkSession, d: str, top_k: int | None = None) -> Experiment:
+    """With top_k only the tokens of the highest ids are counted, as only they are scored."""
+    units = shared_units(s, d)
+    vocab = checkpointed(target_vocab(s, d, units))
+    used = attacks.most_ids(vocab, top_k, M) if top_k else vocab.select(M, "token")
+    sites = checkpointed(in_role(s, d, "target_pool").union(involved(s, d)).distinct())
+    counts = site_tokens(s, d, units, used).join(sites, "site_id").join(used, [M, "token"], "left_semi")
+    counts = checkpointed(counts.select(M, "site_id", "token", "cnt"))
+    present = in_role(s, d, "target_pool").join(units.select("site_id").distinct(), "site_id", "left_semi")
+    return Experiment(vocab, counts, tokens.background_counts(counts, involved(s, d), M), present)
 
 
 def involved(s: SparkSession, d: str) -> DataFrame:
-    """Sites of the first two shadow plans."""
-    return training_of_first(s, d).where("shadow_id < 2").select("site_id").distinct()
+    """(manifest_id, site_id): sites of the first two shadow plans."""
+    return training(s, d).where("shadow_id < 2").select(M, "site_id").distinct()
 
 
 def scores(s: SparkSession, d: str) -> DataFrame:
@@ -105,29 +126,35 @@ def words(s: SparkSession, d: str) -> DataFrame:
     return tokens.words_of(unit_table(s, d), "site_id")
 
 
-def public_pairs(s: SparkSession, d: str) -> DataFrame:
-    public = sites_in(s, d, "public_candidate")
-    return tokens.symbol_pairs(words(s, d).join(public, "site_id", "left_semi"), "site_id")
+def site_pairs(s: SparkSession, d: str) -> DataFrame:
+    """(site_id, left, right, cnt) of every site, counted once for all manifests."""
+    return checkpointed(tokens.symbol_pairs(words(s, d), "site_id"))
+
+
+def public_pairs(s: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
+    return pairs.join(in_role(s, d, "public_candidate"), "site_id")
 
 
 def no_vocab(s: SparkSession) -> DataFrame:
     return s.createDataFrame([("th",), ("in",)], "token string")
 
 
-def candidates(s: SparkSession, d: str) -> DataFrame:
-    return tokens.top_pairs(public_pairs(s, d), no_vocab(s), CANDIDATES)
+def candidates(s: SparkSession, d: str, pairs: DataFrame, size: int = CANDIDATES) -> DataFrame:
+    return tokens.top_pairs(public_pairs(s, d, pairs), no_vocab(s), size, M)
 
 
-def member_vectors(s: SparkSession, d: str) -> DataFrame:
-    members = sites_in(s, d, "target_member")
-    pairs = tokens.symbol_pairs(words(s, d).join(members, "site_id", "left_semi"), "site_id")
-    present = unit_table(s, d).join(members, "site_id", "left_semi").select("site_id")
-    return tokens.candidate_vectors(pairs, present, candidates(s, d))
+def member_vectors(s: SparkSession, d: str, pairs: DataFrame | None = None, chosen: DataFrame | None = None) -> DataFrame:
+    """(manifest_id, site_id, coord, value) of the member sites with texts."""
+    pairs = pairs or site_pairs(s, d)
+    members = in_role(s, d, "target_member")
+    present = members.join(texts(s, d).select("site_id").distinct(), "site_id", "left_semi")
+    return tokens.candidate_vectors(pairs.join(members, "site_id"), present, chosen or candidates(s, d, pairs), M)
 
 
-def public_norms(s: SparkSession, d: str) -> DataFrame:
-    pairs = public_pairs(s, d)
-    return privacy.site_norms(tokens.candidate_vectors(pairs, pairs.select("site_id"), candidates(s, d)))
+def public_norms(s: SparkSession, d: str, pairs: DataFrame | None = None, chosen: DataFrame | None = None) -> DataFrame:
+    pairs = pairs or site_pairs(s, d)
+    own = public_pairs(s, d, pairs)
+    return privacy.site_norms(tokens.candidate_vectors(own, own.select(M, "site_id"), chosen or candidates(s, d, pairs), M), M)
 
 
 def six(df: DataFrame) -> DataFrame:
@@ -215,11 +242,6 @@ def corpus_text_totals(s, d):
     return corpus.site_text_totals(texts(s, d))
 
 
-def in_role(s: SparkSession, d: str, role: str) -> DataFrame:
-    """(manifest_id, site_id) of a role in every manifest."""
-    return roles.manifest_roles(table(s, d, "manifests")).where(F.col("role") == role).select("manifest_id", "site_id")
-
-
 @query
 def corpus_semi_join(s, d):
     """Texts and bytes of the member sites of every manifest; sites are summed up before manifests meet them."""
@@ -324,17 +346,18 @@ def shadow_coverage_audit(s, d):
 
 @query
 def balanced_probes(s, d):
-    return roles.balanced_probes(sites_in(s, d, "target_pool"), 16, SEED)
+    return roles.balanced_probes(in_role(s, d, "target_pool"), 16, SEED, M)
 
 
 @query
 def probe_balance_audit(s, d):
-    return audit.unbalanced_probes(roles.balanced_probes(sites_in(s, d, "target_pool"), 16, SEED), [8, 16])
+    """Target sites that do not train exactly half of the first two and four shadows of their manifest."""
+    return audit.unbalanced_probes(training(s, d).join(in_role(s, d, "target_pool"), [M, "site_id"], "left_semi"), [2, 4], M)
 
 
 @query
 def auxiliary_groups(s, d):
-    return roles.auxiliary_groups(sites_in(s, d, "shadow_auxiliary"), 4, 5, SEED)
+    return roles.auxiliary_groups(in_role(s, d, "shadow_auxiliary"), 4, 5, SEED, M)
 
 
 @query
@@ -389,8 +412,7 @@ def rare_words(s, d):
 
 @query
 def alphabet(s, d):
-    public = sites_in(s, d, "public_candidate")
-    return tokens.alphabet(unit_table(s, d).join(public, "site_id", "left_semi"))
+    return tokens.alphabet(unit_table(s, d).join(in_role(s, d, "public_candidate"), "site_id"), tokens.SPECIAL_TOKENS, M)
 
 
 @query
@@ -400,7 +422,7 @@ def pair_counts_two_levels(s, d):
 
 @query
 def pair_topk(s, d):
-    return candidates(s, d)
+    return candidates(s, d, site_pairs(s, d))
 
 
 @query
@@ -415,27 +437,28 @@ def public_site_norms(s, d):
 
 @query
 def public_clip_bound(s, d):
-    return privacy.clip_bound(public_norms(s, d))
+    return privacy.clip_bound(public_norms(s, d), 0.75, M)
 
 
 @query
 def l1_clip(s, d):
-    return privacy.l1_clip(member_vectors(s, d), 500)
+    return privacy.l1_clip(member_vectors(s, d), 500, M)
 
 
 @query
 def clipped_vector_sum(s, d):
-    return privacy.coordinate_sums(privacy.l1_clip(member_vectors(s, d), 500))
+    return privacy.coordinate_sums(privacy.l1_clip(member_vectors(s, d), 500, M), M)
 
 
 @query
 def plain_vector_sum(s, d):
-    return privacy.coordinate_sums(member_vectors(s, d))
+    return privacy.coordinate_sums(member_vectors(s, d), M)
 
 
 @query
 def substring_counts(s, d):
-    return site_tokens(s, d).groupBy("site_id").agg(F.count("*").alias("tokens"), F.sum("cnt").alias("total"))
+    e = experiment(s, d)
+    return e.counts.join(e.present, [M, "site_id"], "left_semi").groupBy(M, "site_id").agg(F.count("*").alias("tokens"), F.sum("cnt").alias("total"))
 
 
 @query
@@ -445,77 +468,78 @@ def global_token_counts(s, d):
 
 @query
 def background_counts(s, d):
-    return tokens.background_counts(site_tokens(s, d), involved(s, d))
+    return experiment(s, d).background
 
 
 @query
 def vocab_truncate(s, d):
-    return tokens.truncated_vocab(target_vocab(s, d), 300)
+    return tokens.truncated_vocab(target_vocab(s, d), 300, M)
 
 
 @query
 def min_count_filter(s, d):
-    units = shared_units(s, d)
-    return tokens.min_count_vocab(target_vocab(s, d, units), tokens.background_counts(site_tokens(s, d, units), involved(s, d)), 50)
+    """Three thresholds from one count."""
+    e = experiment(s, d)
+    return tokens.min_count_vocab(e.vocab, e.background, [10, 50, 200], tokens.SPECIAL_TOKENS, M)
 
 
 @query
 def merge_validity(s, d):
     """Candidate pairs as merges, kept where parts and product are all among the most frequent units and characters."""
-    vocab = target_vocab(s, d).select("token").unionByName(alphabet(s, d).select("token"))
-    return tokens.valid_merges(tokens.top_pairs(public_pairs(s, d), no_vocab(s), 2000).select("coord", "left", "right"), vocab)
+    vocab = target_vocab(s, d).select(M, "token").unionByName(alphabet(s, d).select(M, "token"))
+    return tokens.valid_merges(candidates(s, d, site_pairs(s, d), 2000).select(M, "coord", "left", "right"), vocab, M)
 
 
 @query
 def vocab_jaccard(s, d):
     units = shared_units(s, d)
     target, shadow = target_vocab(s, d, units), shadow_vocab(s, d, units)
-    common = shadow.join(target.select("token"), "token").groupBy("shadow_id").agg(F.count("*").alias("c"))
-    rows = shadow.groupBy("shadow_id").agg(F.count("*").alias("n")).join(common, "shadow_id", "left").fillna({"c": 0})
-    size = target.agg(F.count("*").alias("m"))
-    return six(rows.crossJoin(F.broadcast(size)).select("shadow_id", jaccard(F.col("c"), F.col("n"), F.col("m")).alias("jaccard")))
+    own = [M, "shadow_id"]
+    common = shadow.join(target.select(M, "token"), [M, "token"]).groupBy(*own).agg(F.count("*").alias("c"))
+    rows = shadow.groupBy(*own).agg(F.count("*").alias("n")).join(common, own, "left").fillna({"c": 0})
+    size = target.groupBy(M).agg(F.count("*").alias("m"))
+    return six(rows.join(size, M).select(*own, jaccard(F.col("c"), F.col("n"), F.col("m")).alias("jaccard")))
 
 
 @query
 def shadow_overlap_score(s, d):
     units = shared_units(s, d)
-    return six(attacks.overlap_scores(target_vocab(s, d, units), shadow_vocab(s, d, units), training_of_first(s, d), sites_in(s, d, "target_pool")))
+    return six(attacks.overlap_scores(target_vocab(s, d, units), shadow_vocab(s, d, units), training(s, d), in_role(s, d, "target_pool"), M))
 
 
 @query
 def rank_correlation(s, d):
     units = shared_units(s, d)
-    return six(attacks.rank_correlations(target_vocab(s, d, units), shadow_vocab(s, d, units)))
+    return six(attacks.rank_correlations(target_vocab(s, d, units), shadow_vocab(s, d, units), M))
 
 
 @query
 def merge_similarity_score(s, d):
     units = shared_units(s, d)
-    return six(attacks.merge_similarity_scores(attacks.rank_correlations(target_vocab(s, d, units), shadow_vocab(s, d, units)), training_of_first(s, d), sites_in(s, d, "target_pool")))
+    return six(attacks.merge_similarity_scores(attacks.rank_correlations(target_vocab(s, d, units), shadow_vocab(s, d, units), M), training(s, d), in_role(s, d, "target_pool"), M))
 
 
-@query
-def zipf_rarity(s, d):
-    return six(attacks.zipf_rarity(target_vocab(s, d), 1.2, 5))
+def one_law(s: SparkSession, d: str) -> DataFrame:
+    """The same power law for every manifest: the parameters of the queries that SQL can follow."""
+    return table(s, d, "manifests").select(M).distinct().withColumns({"alpha": F.lit(1.2), "xmin": F.lit(5)})
 
 
-def _target_tokens(s, d):
-    units = shared_units(s, d)
-    counts = checkpointed(site_tokens(s, d, units))
-    present = units.select("site_id").distinct().join(sites_in(s, d, "target_pool"), "site_id", "left_semi")
-    return counts.join(present, "site_id", "left_semi"), tokens.background_counts(counts, involved(s, d)), present, target_vocab(s, d, units)
+@query
+def zipf_rarity(s, d):
+    return six(attacks.zipf_rarity(target_vocab(s, d), one_law(s, d), M))
 
 
 @query
 def frequency_score(s, d):
-    counts, background, present, vocab = _target_tokens(s, d)
-    return six(attacks.frequency_scores(counts, background, involved(s, d), vocab, present, 1.2, 5))
+    """With one power law, see attack_results for fitted ones."""
+    e = experiment(s, d)
+    return six(attacks.frequency_scores(e.counts.join(e.present, [M, "site_id"], "left_semi"), e.background, involved(s, d), e.vocab, e.present, one_law(s, d), M))
 
 
 @query
 def naive_bayes_score(s, d):
-    counts, background, present, vocab = _target_tokens(s, d)
-    return six(attacks.naive_bayes_scores(counts, background, involved(s, d), vocab, present, 500))
+    e = experiment(s, d, 500)
+    return six(attacks.naive_bayes_scores(e.counts.join(e.present, [M, "site_id"], "left_semi"), e.background, involved(s, d), e.vocab, e.present, 500, M))
 
 
 @query
@@ -560,7 +584,7 @@ def pr_curve(s, d):
 
 @query
 def mean_roc_on_grid(s, d):
-    grid = metrics.interpolated_roc(metrics.roc_curve(scores(s, d), "run_id"), 101, "run_id").withColumn("attack", F.regexp_extract("run_id", r"^run_\d+_(.*)$", 1))
+    grid = metrics.interpolated_roc(metrics.roc_curve(scores(s, d), "run_id"), 501, "run_id").withColumn("attack", F.regexp_extract("run_id", r"^run_\d+_(.*)$", 1))
     rows = grid.groupBy("attack", F.round("x", 4).alias("x")).agg(F.avg("tpr").alias("mean"), sample_sd(F.col("tpr")).alias("sd"))
     return six(rows.select("attack", "x", "mean", F.greatest(F.lit(0.0), F.col("mean") - F.col("sd")).alias("low"), F.least(F.lit(1.0), F.col("mean") + F.col("sd")).alias("high")))
 
@@ -570,24 +594,33 @@ def bootstrap_ci(s, d):
     return six(metrics.bootstrap_intervals(scores(s, d), "run_id", iterations=200, seed=SEED))
 
 
-def _paired(s, d):
+def _methods(s, d):
+    """The scores of two attacks: (manifest, site_id, label, score) each, the greatest of repeated ones."""
     rows = scores(s, d).withColumn("manifest", F.regexp_extract("run_id", r"^run_(\d+)_", 1)).withColumn("attack", F.regexp_extract("run_id", r"^run_\d+_(.*)$", 1))
     best = rows.groupBy("manifest", "attack", "site_id").agg(F.max("label").alias("label"), F.max("score").alias("score"))
-    a, b = (best.where(F.col("attack") == x).drop("attack") for x in ("compression", "frequency_estimation"))
-    both = a.select("manifest", "site_id").intersect(b.select("manifest", "site_id"))
-    a, b = (x.join(both, ["manifest", "site_id"], "left_semi") for x in (a, b))
-    same = a.join(b.select("manifest", "site_id", F.col("label").alias("l2")), ["manifest", "site_id"]).where("label = l2").select("manifest", "site_id")
-    return metrics.paired_rows(a.join(same, ["manifest", "site_id"], "left_semi"), b.join(same, ["manifest", "site_id"], "left_semi"), "manifest")
+    return tuple(best.where(F.col("attack") == x).drop("attack") for x in ("compression", "frequency_estimation"))
 
 
 @query
 def paired_difference(s, d):
-    return six(_paired(s, d).groupBy("manifest").agg(F.count("*").alias("n"), F.avg(F.col("score_a") - F.col("score_b")).alias("difference")))
+    """Manifests and sites that pair; what does not is in paired_conflicts."""
+    a, b = _methods(s, d)
+    bad = metrics.pairing_conflicts(a, b, "manifest").select("manifest", "site_id")
+    a, b = (x.join(bad, ["manifest", "site_id"], "left_anti") for x in (a, b))
+    return six(metrics.paired_rows(a, b, "manifest").groupBy("manifest").agg(F.count("*").alias("n"), F.avg(F.col("score_a") - F.col("score_b")).alias("difference")))
+
+
+@query
+def paired_conflicts(s, d):
+    return metrics.pairing_conflicts(*_methods(s, d), "manifest")
 
 
 @query
 def paired_bootstrap(s, d):
-    return six(metrics.paired_auc_bootstrap(_paired(s, d), "manifest", iterations=200, seed=SEED))
+    a, b = _methods(s, d)
+    bad = metrics.pairing_conflicts(a, b, "manifest").select("manifest", "site_id")
+    a, b = (x.join(bad, ["manifest", "site_id"], "left_anti") for x in (a, b))
+    return six(metrics.paired_auc_bootstrap(metrics.paired_rows(a, b, "manifest"), "manifest", iterations=200, seed=SEED))
 
 
 @query
@@ -774,51 +807,92 @@ def method_labels(s, d):
 
 @query
 def bpe_train(s, d):
-    t = bpe.train(unit_table(s, d).join(sites_in(s, d, "target_member"), "site_id", "left_semi"), 600)
-    return t.tables(s)[0]
+    """Target tokenizers of every manifest: (manifest_id, token, id)."""
+    return bpe.vocabularies(bpe.train_target(unit_table(s, d), all_roles(s, d), 600), M)
+
+
+@query
+def bpe_shadows(s, d):
+    """Shadow tokenizers of every manifest: (manifest_id, shadow_id, token, id)."""
+    return bpe.vocabularies(bpe.train_shadows(unit_table(s, d), training(s, d), 300), M, "shadow_id")
+
+
+@query
+def bpe_derived(s, d):
+    """Merges of the target tokenizers cut to 400 tokens: (manifest_id, n, left, right)."""
+    full = checkpointed(bpe.train_target(unit_table(s, d), all_roles(s, d), 600))
+    small = bpe.derive_each(full, tokens.truncated_vocab(bpe.vocabularies(full, M), 400, M), M)
+    return small.where("kind = 'merge'").select(M, "n", "left", "right")
 
 
 @query
 def bpe_encode(s, d):
-    counts = unit_table(s, d)
-    t = bpe.train(counts.join(sites_in(s, d, "target_member"), "site_id", "left_semi"), 600)
-    used = texts(s, d).join(counts.select("site_id").distinct(), "site_id", "left_semi")
-    return six(attacks.compression_scores(used, bpe.tokens_by(counts, bpe.encode_units(counts, t), "site_id")))
+    """Compression of the pool sites of every manifest by its target tokenizer."""
+    units = shared_units(s, d)
+    t = checkpointed(bpe.train_target(units, all_roles(s, d), 600))
+    own = units.join(in_role(s, d, "target_pool"), "site_id")
+    used = texts(s, d).join(in_role(s, d, "target_pool").select("site_id").distinct(), "site_id", "left_semi")
+    return six(attacks.compression_scores(used, bpe.tokens_by(own, bpe.encode_each(own, t, M), M, "site_id"), M))
+
+
+@query
+def attack_results(s, d):
+    """The five metrics of the five attacks on trained tokenizers with fitted power laws, in every manifest."""
+    found = five_attacks(unit_table(s, d), texts(s, d), all_roles(s, d), training(s, d), 600, 300, 2, 500)
+    runs = metrics.scalar_metrics(metrics.clean_scores(found, "run_id"), "run_id")
+    return six(runs.select(F.regexp_extract("run_id", r"^run_(\d+)_", 1).cast("bigint").alias(M), F.regexp_extract("run_id", r"^run_\d+_(.*)$", 1).alias("attack"), *metrics.SCALARS))
 
 
 @query
 def tokenizer_utility(s, d):
-    t = bpe.train(unit_table(s, d).join(sites_in(s, d, "target_member"), "site_id", "left_semi"), 600)
-    return six(bpe.utility(texts(s, d).join(sites_in(s, d, "target_nonmember"), "site_id", "left_semi"), t))
+    """Measures of every manifest's target tokenizer on its nonmember texts."""
+    t = checkpointed(bpe.train_target(unit_table(s, d), all_roles(s, d), 600))
+    held_out = texts(s, d).join(in_role(s, d, "target_nonmember"), "site_id")
+    return six(bpe.utility(held_out, lambda units: bpe.encode_each(units, t, M), M))
 
 
 @query
 def zipf_fit(s, d):
-    vocab = target_vocab(s, d)
-    f = attacks.fit_zipf(vocab, tokens.background_counts(site_tokens(s, d), involved(s, d)))
-    return six(s.createDataFrame([(f["alpha"], f["xmin"], f["points"], f["ks"])], "alpha double, xmin bigint, points bigint, ks double"))
+    """The power law of every manifest's first shadow vocabulary over its training sites."""
+    units = shared_units(s, d)
+    vocab = checkpointed(shadow_vocab(s, d, units).where("shadow_id = 0").select(M, "token", "id"))
+    sites = training(s, d).where("shadow_id = 0").select(M, "site_id").distinct()
+    counts = site_tokens(s, d, units, vocab).join(sites, "site_id").groupBy(M, "token").agg(F.sum("cnt").alias("cnt"))
+    return six(attacks.fit_zipf(vocab, counts, M))
 
 
 @query
 def private_round(s, d):
-    import numpy as np
+    """The first round of private training in every manifest and mode: (manifest_id, mode, place, left, right)."""
+    pairs = site_pairs(s, d)
+    chosen = checkpointed(candidates(s, d, pairs))
+    bounds = checkpointed(privacy.clip_bound(public_norms(s, d, pairs, chosen), 0.75, M))
+    return rounds_by_mode(checkpointed(member_vectors(s, d, pairs, chosen)), chosen, bounds, 8, 1.0, SEED, M)
 
-    from veilmark.operators.private_bpe import aggregate_round
 
-    found = candidates(s, d).orderBy("coord").collect()
-    pairs = [(r["left"], r["right"]) for r in found]
-    bound = privacy.clip_bound(public_norms(s, d)).first()["bound"]
-    chosen, _ = aggregate_round(member_vectors(s, d), pairs, "sa_dp", 8, bound, 1.0, np.random.default_rng(SEED))
-    return s.createDataFrame([(n, *pairs[k]) for n, k in enumerate(chosen)], "place bigint, left string, right string")
+@query
+def private_training(s, d):
+    """Two rounds of the private training in the modes that differ in the clear, over all sites: public and private ones are
+    those whose hash is even and odd. (mode, pos, left, right)"""
+    units = shared_units(s, d)
+    half = F.pmod(F.xxhash64("site_id"), F.lit(2))
+    out = []
+    letters = units.where(half == 0).select(F.explode(F.split("unit", "")).alias("c")).where("c <> ''").distinct().count()
+    for mode in ("plain", "local_dp", "sa_dp"):
+        t = PrivateTraining(units.where(half == 0), units.where(half == 1), letters + len(tokens.SPECIAL_TOKENS) + 16, mode, 64, 8, 4.0 if mode in ("local_dp", "sa_dp") else None, seed=SEED)
+        out += [(mode, k, a, b) for k, (a, b) in enumerate(t.run().merges)]
+    return s.createDataFrame(out, "mode string, pos int, left string, right string")
 
 
 @query
 def encrypted_sum(s, d):
-    """Sums of eight coordinates over encrypted member vectors equal the plain ones."""
-    vectors = member_vectors(s, d).where("coord < 8").select(F.col("coord").cast("int").alias("coord"), "value")
+    """Sums of all coordinates over encrypted member vectors of every manifest equal the plain ones."""
     key = paillier.generate_keys(1024)
-    values = paillier.decrypted(paillier.encrypted_sums(paillier.encrypted(vectors, key.public), key.public), key)
-    return s.createDataFrame(list(enumerate(values)), "coord int, value bigint")
+    vectors = checkpointed(member_vectors(s, d))
+    sums = paillier.encrypted_sums(paillier.encrypted_packed(vectors, key.public, M), key.public, M)
+    wide = {r[M]: r["k"] for r in vectors.groupBy(M).agg((F.max("coord") + 1).alias("k")).collect()}  # a row a manifest
+    values = [x for v in paillier.decrypted(sums, key, M) for x in paillier.unpacked([v], wide[v[0]], key.public)]
+    return s.createDataFrame(values, f"{M} bigint, coord int, value bigint")
 
 
 @query

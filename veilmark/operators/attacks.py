@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilmark.functions.statistics import safe_correlation
@@ -14,102 +15,127 @@ from veilmark.operators.tokens import SPECIAL_TOKENS
 SATURATED = 1e300  # fixed value: the score of a certain member
 
 
-def compression_scores(texts: DataFrame, tokens_by_site: DataFrame) -> DataFrame:
-    """UTF-8 bytes by tokens; tokens_by_site: (site_id, tokens). A site without tokens is an error."""
+def compression_scores(texts: DataFrame, tokens_by_site: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., site_id, bytes, tokens, score): UTF-8 bytes by tokens; tokens_by_site: (keys..., site_id, tokens). A site
+    without tokens is an error."""
     size = texts.groupBy("site_id").agg(F.sum(F.octet_length("text")).alias("bytes"))
     both = size.join(tokens_by_site, "site_id", "left")
     ratio = F.when(F.coalesce("tokens", F.lit(0)) > 0, F.col("bytes") / F.col("tokens")).otherwise(F.raise_error(F.concat(F.lit("no tokens for "), "site_id")))
-    return both.select("site_id", "bytes", "tokens", ratio.alias("score"))
+    return both.select(*keys, "site_id", "bytes", "tokens", ratio.alias("score"))
 
 
-def _bit() -> Column:
-    return F.expr("shiftleft(CAST(1 AS BIGINT), shadow_id)")
+def shadow_patterns(target_vocab: DataFrame, shadow_vocab: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., shadows, in_target, n): how many tokens are in exactly these shadows (sorted ids), in the target or not."""
+    on = [*keys, "token"]
+    held = shadow_vocab.groupBy(*on).agg(F.sort_array(F.collect_set("shadow_id")).alias("shadows"))  # at most all shadows
+    both = held.join(target_vocab.select(*on, F.lit(True).alias("in_target")), on, "full_outer")
+    none = F.array().cast("array<int>")
+    return both.groupBy(*keys, F.coalesce("shadows", none).alias("shadows"), F.coalesce("in_target", F.lit(False)).alias("in_target")).agg(F.count("*").alias("n"))
 
 
-def shadow_masks(shadow_vocab: DataFrame) -> DataFrame:
-    """(token, mask): bit s is set when shadow s has the token (up to 62 shadows in one BIGINT)."""
-    return shadow_vocab.groupBy("token").agg(F.bit_or(_bit()).alias("mask"))
+def overlap_scores(target_vocab: DataFrame, shadow_vocab: DataFrame, training: DataFrame, sites: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., site_id, score): vocabulary overlap, for any number of shadows.
 
-
-def overlap_scores(target_vocab: DataFrame, shadow_vocab: DataFrame, training: DataFrame, sites: DataFrame) -> DataFrame:
-    """Vocabulary overlap. Tokens collapse to their few distinct shadow masks first, so sites meet masks, not vocabularies.
-
-    training: (shadow_id, site_id). A site needs shadows on both sides, else it is left out.
+    Tokens collapse to the distinct sets of shadows that hold them, so sites meet those and not vocabularies. training:
+    (keys..., shadow_id, site_id). A site needs shadows on both sides, else it is left out. An experiment (one value of the
+    keys) is one task, with at most one row a vocabulary token and one a site; its comparisons are matrix products.
     """
-    shadows = shadow_vocab.select("shadow_id").distinct()
-    every = shadows.agg(F.bit_or(_bit()).alias("every"))
-    masks = shadow_masks(shadow_vocab).join(target_vocab.select("token", F.lit(1).alias("in_target")), "token", "full_outer").fillna({"mask": 0, "in_target": 0})
-    classes = masks.groupBy("mask", "in_target").agg(F.count("*").alias("n"))
-    inside = training.join(F.broadcast(shadows), "shadow_id", "left_semi").groupBy("site_id").agg(F.bit_or(_bit()).alias("inside"))
-    site = sites.select("site_id").distinct().join(inside, "site_id", "left").fillna({"inside": 0}).crossJoin(F.broadcast(every))
-    outside = F.col("every").bitwiseAND(F.bitwise_not("inside"))
-    kept = site.select("site_id", "inside", outside.alias("outside")).where("inside <> 0 AND outside <> 0")
-    grid = kept.crossJoin(F.broadcast(classes)).where("NOT ((mask & inside) <> 0 AND (mask & outside) <> 0)")  # at most the vocabularies' masks
-    ids = sorted(r[0] for r in shadows.collect())  # at most 62
-    has = {k: F.col("mask").bitwiseAND(F.lit(1 << k)) != 0 for k in ids}
-    target = F.col("in_target") == 1
-    count = lambda condition: F.sum(F.when(condition, F.col("n")).otherwise(0))
-    sums = grid.groupBy("site_id", "inside").agg(*[e for k in ids for e in (count(has[k] & target).alias(f"c{k}"), count(has[k] | target).alias(f"u{k}"))])
-    within = {k: F.col("inside").bitwiseAND(F.lit(1 << k)) != 0 for k in ids}
-    value = {k: F.coalesce(F.try_divide(F.col(f"c{k}").cast("double"), F.col(f"u{k}")), F.lit(0.0)) for k in ids}
-
-    def mean(inner: bool) -> Column:
-        rows = [(F.when(within[k] == inner, value[k]).otherwise(0.0), (within[k] == inner).cast("int")) for k in ids]
-        return sum((v for v, _ in rows), F.lit(0.0)) / sum((n for _, n in rows), F.lit(0))
-
-    # a site whose tokens are all left out has no rows in the grid; its overlaps are all 0
-    scored = sums.select("site_id", ((mean(True) - mean(False) + 1) / 2).alias("score"))
-    return kept.select("site_id").join(scored, "site_id", "left").fillna({"score": 0.5})
-
-
-def rank_correlations(target_vocab: DataFrame, shadow_vocab: DataFrame) -> DataFrame:
-    """(shadow_id, r): correlation of the ids of shared tokens; 0 for fewer than two or constant ones."""
-    shared = shadow_vocab.join(target_vocab.select("token", F.col("id").alias("target_id")), "token")
-    r = shared.groupBy("shadow_id").agg(safe_correlation((F.col("id") + 1).cast("double"), (F.col("target_id") + 1).cast("double")).alias("r"))
-    return shadow_vocab.select("shadow_id").distinct().join(r, "shadow_id", "left").fillna({"r": 0.0})
-
-
-def merge_similarity_scores(correlations: DataFrame, training: DataFrame, sites: DataFrame) -> DataFrame:
-    """(mean r over in-shadows - mean over out-shadows + 2) / 4. Shadows are a bounded list."""
-    grid = sites.select("site_id").distinct().crossJoin(F.broadcast(correlations))
-    placed = grid.join(training.select("shadow_id", "site_id", F.lit(True).alias("in")).distinct(), ["shadow_id", "site_id"], "left")
+    named = list(keys) or ["_all"]
+    one = (lambda df: df) if keys else (lambda df: df.withColumn("_all", F.lit(0)))
+    classes = one(shadow_patterns(target_vocab, shadow_vocab, *keys).where("in_target OR size(shadows) > 0"))
+    inside = training.groupBy(*keys, "site_id").agg(F.collect_set("shadow_id").alias("inside"))
+    placed = one(sites.select(*keys, "site_id").distinct().join(inside, [*keys, "site_id"], "left"))
+    kinds = dict(placed.dtypes)
+
+    def run(classes_: pd.DataFrame, placed_: pd.DataFrame) -> pd.DataFrame:
+        ids = sorted({s for row in classes_["shadows"] for s in row})
+        place = {s: k for k, s in enumerate(ids)}
+
+        def matrix(rows) -> np.ndarray:
+            out = np.zeros((len(rows), len(ids)))
+            for k, row in enumerate(rows):
+                out[k, [place[s] for s in (row if row is not None else ()) if s in place]] = 1
+            return out
+
+        holds, within = matrix(list(classes_["shadows"])), matrix(list(placed_["inside"]))
+        n, target = classes_["n"].to_numpy(float), classes_["in_target"].to_numpy(bool)
+        # a token held on both sides of a site's shadows is left out for the site
+        kept = ((holds @ within.T == 0) | (holds @ (1 - within).T == 0)) * n[:, None]
+        common = holds[target].T @ kept[target]
+        union = kept[target].sum(0) + holds[~target].T @ kept[~target]
+        share = np.divide(common, union, out=np.zeros_like(common), where=union > 0)
+        own, others = within.sum(1), len(ids) - within.sum(1)
+        some = (own > 0) & (others > 0)
+        mean = lambda w, size: (share.T * w).sum(1) / np.maximum(size, 1)
+        score = (mean(within, own) - mean(1 - within, others) + 1) / 2
+        return placed_.assign(score=score)[[*named, "site_id", "score"]][some]
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*named, "site_id"]) + ", score double"
+    scored = classes.groupBy(*named).cogroup(placed.groupBy(*named)).applyInPandas(run, schema)
+    return scored.select(*keys, "site_id", "score")
+
+
+def rank_correlations(target_vocab: DataFrame, shadow_vocab: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., shadow_id, r): correlation of the ids of shared tokens; 0 for fewer than two or constant ones."""
+    own = [*keys, "shadow_id"]
+    shared = shadow_vocab.join(target_vocab.select(*keys, "token", F.col("id").alias("target_id")), [*keys, "token"])
+    r = shared.groupBy(*own).agg(safe_correlation((F.col("id") + 1).cast("double"), (F.col("target_id") + 1).cast("double")).alias("r"))
+    return shadow_vocab.select(*own).distinct().join(r, own, "left").fillna({"r": 0.0})
+
+
+def merge_similarity_scores(correlations: DataFrame, training: DataFrame, sites: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., site_id, score): (mean r over in-shadows - mean over out-shadows + 2) / 4. Shadows are a bounded list."""
+    each = sites.select(*keys, "site_id").distinct()
+    grid = each.join(correlations, list(keys)) if keys else each.crossJoin(F.broadcast(correlations))
+    placed = grid.join(training.select(*keys, "shadow_id", "site_id", F.lit(True).alias("in")).distinct(), [*keys, "shadow_id", "site_id"], "left")
     inside = F.coalesce("in", F.lit(False))
-    means = placed.groupBy("site_id").agg(F.avg(F.when(inside, F.col("r"))).alias("a"), F.avg(F.when(~inside, F.col("r"))).alias("b"))
-    return means.where("a IS NOT NULL AND b IS NOT NULL").select("site_id", ((F.col("a") - F.col("b") + 2) / 4).alias("score"))
+    means = placed.groupBy(*keys, "site_id").agg(F.avg(F.when(inside, F.col("r"))).alias("a"), F.avg(F.when(~inside, F.col("r"))).alias("b"))
+    return means.where("a IS NOT NULL AND b IS NOT NULL").select(*keys, "site_id", ((F.col("a") - F.col("b") + 2) / 4).alias("score"))
 
 
-def _with_background(counts: DataFrame, background: DataFrame, involved: DataFrame, how: str) -> DataFrame:
+def _with_background(counts: DataFrame, background: DataFrame, involved: DataFrame, how: str, *keys: str) -> DataFrame:
     """counts with the background denominator: a site outside the involved set adds its own count."""
-    inv = involved.select("site_id").distinct().withColumn("_in", F.lit(True))
-    rows = counts.where("cnt > 0").join(background.select("token", F.col("cnt").alias("_bg")), "token", how).join(inv, "site_id", "left")
+    inv = involved.select(*keys, "site_id").distinct().withColumn("_in", F.lit(True))
+    rows = counts.where("cnt > 0").join(background.select(*keys, "token", F.col("cnt").alias("_bg")), [*keys, "token"], how).join(inv, [*keys, "site_id"], "left")
     own = F.when(F.col("_in").isNull(), F.col("cnt")).otherwise(0)
     return rows.withColumn("denominator", F.coalesce("_bg", F.lit(0)) + own)
 
 
-def zipf_rarity(vocab: DataFrame, alpha: float, xmin: int) -> DataFrame:
-    """(token, rank, rarity): -log of the truncated power-law mass of a rank; ranks from xmin + 1 on."""
-    a = max(alpha, 0.0)
-    size = vocab.agg(F.greatest(F.count("*"), F.lit(xmin + 1)).alias("v"))
-    mass = size.select(F.aggregate(F.transform(F.sequence(F.lit(xmin + 1).cast("bigint"), F.col("v")), lambda r: F.pow(r.cast("double"), F.lit(-a))), F.lit(0.0), lambda s, x: s + x).alias("mass"))
-    ranked = vocab.select("token", (F.col("id") + 1).alias("rank")).where(F.col("rank") >= xmin + 1)
-    return ranked.crossJoin(F.broadcast(mass)).select("token", "rank", F.ln(F.greatest(F.pow(F.col("rank").cast("double"), F.lit(a)) * F.col("mass"), F.lit(1e-300))).alias("rarity"))
+def zipf_rarity(vocab: DataFrame, fits: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., token, rank, rarity): -log of the truncated power-law mass of a rank; ranks from xmin + 1 on.
+
+    fits: (keys..., alpha, xmin), one row a vocabulary.
+    """
+    size = vocab.groupBy(*keys).agg(F.count("*").alias("v"))
+    both = size.join(fits, list(keys)) if keys else size.crossJoin(F.broadcast(fits.select("alpha", "xmin")))  # one row
+    ranks = F.sequence(F.col("xmin").cast("bigint") + 1, F.greatest(F.col("v"), F.col("xmin").cast("bigint") + 1))
+    a = F.greatest(F.col("alpha"), F.lit(0.0))
+    mass = both.select(*keys, a.alias("a"), "xmin", F.aggregate(F.transform(ranks, lambda r: F.pow(r.cast("double"), -a)), F.lit(0.0), lambda s, x: s + x).alias("mass"))
+    ranked = vocab.select(*keys, "token", (F.col("id") + 1).alias("rank"))
+    rows = ranked.join(mass, list(keys)) if keys else ranked.crossJoin(F.broadcast(mass))
+    return rows.where("rank >= xmin + 1").select(*keys, "token", "rank", F.ln(F.greatest(F.pow(F.col("rank").cast("double"), F.col("a")) * F.col("mass"), F.lit(1e-300))).alias("rarity"))
 
 
-def frequency_scores(counts: DataFrame, background: DataFrame, involved: DataFrame, vocab: DataFrame, sites: DataFrame, alpha: float, xmin: int) -> DataFrame:
-    """Largest share-of-token x rarity of a site; 0 without signals."""
-    rows = _with_background(counts, background, involved, "inner").join(zipf_rarity(vocab, alpha, xmin), "token").where("denominator > 0")
-    best = rows.groupBy("site_id").agg(F.max(F.col("cnt") / F.col("denominator") * F.col("rarity")).alias("score"))
-    return sites.select("site_id").distinct().join(best, "site_id", "left").fillna({"score": 0.0})
+def frequency_scores(counts: DataFrame, background: DataFrame, involved: DataFrame, vocab: DataFrame, sites: DataFrame, fits: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., site_id, score): largest share-of-token x rarity of a site; 0 without signals. fits: as in zipf_rarity."""
+    rows = _with_background(counts, background, involved, "inner", *keys).join(zipf_rarity(vocab, fits, *keys), [*keys, "token"]).where("denominator > 0")
+    best = rows.groupBy(*keys, "site_id").agg(F.max(F.col("cnt") / F.col("denominator") * F.col("rarity")).alias("score"))
+    return sites.select(*keys, "site_id").distinct().join(best, [*keys, "site_id"], "left").fillna({"score": 0.0})
 
 
-def naive_bayes_scores(counts: DataFrame, background: DataFrame, involved: DataFrame, vocab: DataFrame, sites: DataFrame, top_k: int) -> DataFrame:
-    """-sum log(1 - p) over the top_k highest ids (ties by token); 1e300 once a p reaches 1."""
-    top = vocab.orderBy(F.desc("id"), "token").limit(top_k).select("token")
-    rows = _with_background(counts.join(top, "token", "left_semi"), background, involved, "left")
+def most_ids(vocab: DataFrame, top_k: int, *keys: str) -> DataFrame:
+    """(keys..., token): the tokens of the top_k highest ids, ties by token."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("id"), "token")
+    return vocab.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top_k).select(*keys, "token")
+
+
+def naive_bayes_scores(counts: DataFrame, background: DataFrame, involved: DataFrame, vocab: DataFrame, sites: DataFrame, top_k: int, *keys: str) -> DataFrame:
+    """(keys..., site_id, score): -sum log(1 - p) over the top_k highest ids (ties by token); 1e300 once a p reaches 1."""
+    rows = _with_background(counts.join(most_ids(vocab, top_k, *keys), [*keys, "token"], "left_semi"), background, involved, "left", *keys)
     p = F.coalesce(F.try_divide(F.col("cnt").cast("double"), "denominator"), F.lit(0.0))
-    sums = rows.withColumn("p", p).groupBy("site_id").agg(F.max("p").alias("top"), F.sum(F.when(F.col("p") < 1, F.log1p(-F.col("p"))).otherwise(0.0)).alias("s"))
-    score = sums.select("site_id", F.when(F.col("top") >= 1, F.lit(SATURATED)).otherwise(-F.col("s")).alias("score"))
-    return sites.select("site_id").distinct().join(score, "site_id", "left").fillna({"score": 0.0})
+    sums = rows.withColumn("p", p).groupBy(*keys, "site_id").agg(F.max("p").alias("top"), F.sum(F.when(F.col("p") < 1, F.log1p(-F.col("p"))).otherwise(0.0)).alias("s"))
+    score = sums.select(*keys, "site_id", F.when(F.col("top") >= 1, F.lit(SATURATED)).otherwise(-F.col("s")).alias("score"))
+    return sites.select(*keys, "site_id").distinct().join(score, [*keys, "site_id"], "left").fillna({"score": 0.0})
 
 
 def hurwitz_zeta(s: float, q: np.ndarray | float) -> np.ndarray:
@@ -126,42 +152,63 @@ def hurwitz_zeta(s: float, q: np.ndarray | float) -> np.ndarray:
     return out
 
 
-def _bounded_minimum(f, low: float, high: float, tolerance: float = 1e-7) -> float:
-    """Golden-section search."""
-    g = (math.sqrt(5) - 1) / 2
-    a, b = low, high
-    c, d = b - g * (b - a), a + g * (b - a)
-    fc, fd = f(c), f(d)
-    while b - a > tolerance:
-        if fc < fd:
-            b, d, fd = d, c, fc
-            c = b - g * (b - a)
-            fc = f(c)
-        else:
-            a, c, fc = c, d, fd
-            d = a + g * (b - a)
-            fd = f(d)
-    return (a + b) / 2
-
-
-def fit_zipf(vocab: DataFrame, counts: DataFrame) -> dict[str, float]:
-    """Weighted discrete power-law tail over token ranks with the start of least KS distance.
-
-    Only (rank, weight) of the vocabulary comes to the driver, one row a token of a bounded vocabulary. Special and
-    single-character tokens are left out of the fit.
+#: Fixed values of the fit: bounds of the exponent, starts tried, least points of a tail and least share of all points,
+#: and the result for fewer than three points.
+LEAST_ALPHA, MOST_ALPHA, STARTS, TAIL_POINTS, TAIL_SHARE, FEW_POINTS_ALPHA = 1.000001, 10.0, 128, 20, 0.05, 2.0
+
+
+def tail_exponents(log_sum: np.ndarray, weight: np.ndarray, xmin: np.ndarray) -> np.ndarray:
+    """The likeliest exponent of each tail, all tails at once.
+
+    The likelihood's slope, log_sum + weight x d/da log zeta(a, xmin), grows with a, so its root is halved in."""
+    low, high = np.full(len(xmin), LEAST_ALPHA), np.full(len(xmin), MOST_ALPHA)
+    for _ in range(60):
+        middle = (low + high) / 2
+        step = 1e-6 * middle
+        slope = log_sum + weight * (np.log(hurwitz_zeta(middle + step, xmin)) - np.log(hurwitz_zeta(middle - step, xmin))) / (2 * step)
+        low, high = np.where(slope < 0, middle, low), np.where(slope < 0, high, middle)
+    return (low + high) / 2
+
+
+def tail_fit(rank: np.ndarray, weight: np.ndarray) -> tuple[float, int, int, float]:
+    """(alpha, xmin, points, ks) of sorted ranks with weights: the tail of least Kolmogorov-Smirnov distance, ties by xmin.
+
+    Every tail is a suffix, so sums over tails are differences of running sums, and distances are running maxima of blocks.
+    """
+    n = len(rank)
+    if n < 3:
+        return FEW_POINTS_ALPHA, int(rank[0]) if n else 1, n, 0.0
+    starts = np.unique(np.linspace(0, max(0, n - max(TAIL_POINTS, math.ceil(TAIL_SHARE * n))), STARTS).astype(int))
+    suffix = lambda x: x.sum() - np.concatenate([[0.0], np.cumsum(x)])[starts]
+    total, xmin = suffix(weight), rank[starts]
+    alpha = tail_exponents(suffix(weight * np.log(rank)), total, xmin)
+    below = np.cumsum(weight)
+    ks = np.empty(len(starts))
+    for k, start in enumerate(starts):  # a row of the tails' distances at a time
+        empirical = (below[start:] - (below[start - 1] if start else 0)) / total[k]
+        ks[k] = np.abs(empirical - 1 + hurwitz_zeta(alpha[k], rank[start:] + 1) / hurwitz_zeta(alpha[k], xmin[k])).max()
+    best = np.lexsort((xmin, ks))[0]
+    return float(alpha[best]), int(xmin[best]), n, float(ks[best])
+
+
+def fit_zipf(vocab: DataFrame, counts: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., alpha, xmin, points, ks): a weighted discrete power-law tail over the token ranks of each vocabulary.
+
+    Special and single-character tokens are left out of the fit. A vocabulary (a bounded list) is one task.
     """
-    rows = vocab.join(counts, "token").where((F.col("cnt") > 0) & (F.length("token") > 1) & ~F.col("token").isin(*SPECIAL_TOKENS))
-    points = sorted((int(r["id"]) + 1, int(r["cnt"])) for r in rows.select("id", "cnt").collect())
-    if len(points) < 3:
-        return {"alpha": 2.0, "xmin": points[0][0] if points else 1, "points": len(points), "ks": 0.0}
-    rank, weight = (np.array(c, float) for c in zip(*points))
-    last = max(0, len(points) - max(20, math.ceil(0.05 * len(points))))
-    best = None
-    for start in np.unique(np.linspace(0, last, min(128, last + 1)).astype(int)):
-        r, w, xmin = rank[start:], weight[start:], rank[start]
-        total, logs = w.sum(), float(w @ np.log(r))
-        alpha = _bounded_minimum(lambda a: a * logs + total * math.log(float(hurwitz_zeta(a, xmin))), 1.000001, 10.0)
-        ks = float(np.abs(np.cumsum(w) / total - (1 - hurwitz_zeta(alpha, r + 1) / hurwitz_zeta(alpha, xmin))).max())
-        if best is None or (ks, xmin) < best[:2]:
-            best = (ks, xmin, alpha)
-    return {"alpha": best[2], "xmin": int(best[1]), "points": len(points), "ks": best[0]}
+    rows = vocab.join(counts, [*keys, "token"]).where((F.col("cnt") > 0) & (F.length("token") > 1) & ~F.col("token").isin(*SPECIAL_TOKENS))
+    named = list(keys) or ["_all"]
+    points = (rows if keys else rows.withColumn("_all", F.lit(0))).select(*named, (F.col("id") + 1).cast("double").alias("rank"), F.col("cnt").cast("double").alias("weight"))
+    kinds = dict(points.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank")
+        found = tail_fit(pdf["rank"].to_numpy(), pdf["weight"].to_numpy())
+        return pd.DataFrame([(*pdf[named].iloc[0], *found)], columns=[*named, "alpha", "xmin", "points", "ks"])
+
+    fits = points.groupBy(*named).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in named) + ", alpha double, xmin bigint, points bigint, ks double")
+    if not keys:
+        return fits.drop("_all")
+    # a vocabulary without points has the fallback as well
+    none = vocab.select(*keys).distinct().join(fits, named, "left_anti").select(*keys, F.lit(FEW_POINTS_ALPHA).alias("alpha"), F.lit(1).cast("bigint").alias("xmin"), F.lit(0).cast("bigint").alias("points"), F.lit(0.0).alias("ks"))
+    return fits.unionByName(none)

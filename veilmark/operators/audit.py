@@ -35,10 +35,11 @@ def overlapping_roles(roles: DataFrame) -> DataFrame:
     return both.groupBy("manifest_id", "role_a", "role_b").agg(F.count("*").alias("n"))
 
 
-def unbalanced_probes(probes: DataFrame, prefixes: list[int]) -> DataFrame:
-    """(site_id, prefix, n): sites that are not a probe of exactly half of a prefix's shadows."""
-    each = probes.select("site_id", "shadow_id", F.explode(F.array(*[F.lit(p) for p in prefixes])).alias("prefix"))
-    counts = each.groupBy("site_id", "prefix").agg(F.sum((F.col("shadow_id") < F.col("prefix")).cast("int")).alias("n"))
+def unbalanced_probes(probes: DataFrame, prefixes: list[int], *keys: str) -> DataFrame:
+    """(keys..., site_id, prefix, n): sites that are not a probe of exactly half of a prefix's shadows."""
+    own = [*keys, "site_id"]
+    each = probes.select(*own, "shadow_id", F.explode(F.array(*[F.lit(p) for p in prefixes])).alias("prefix"))
+    counts = each.groupBy(*own, "prefix").agg(F.sum((F.col("shadow_id") < F.col("prefix")).cast("int")).alias("n"))
     return counts.where(F.col("n") * 2 != F.col("prefix"))
 
 

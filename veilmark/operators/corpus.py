@@ -69,31 +69,25 @@ def retained_sequential(df: DataFrame, cap: int) -> DataFrame:
     """Rows retained by the strictly sequential rule: valid, the site under its cap of retained rows, and no retained
     earlier row with the same ``norm_hash``. (idx, site_id, norm_hash) only.
 
-    The rule is a recursion in stream order that only rows of one site or one hash link; it is solved by rounds over all
-    rows in parallel. Each round decides the rows whose earlier rivals are all decided; the undecided shrink quickly.
+    The rule is a recursion in stream order that only rows of one site or one hash link; it is solved by rounds over the
+    undecided rows. A round looks at the first ``cap`` undecided rows of each site (pruned before the shuffle, so a site of a
+    third of all rows is no hot group) and retains those that are the first undecided of their hash and have room in their
+    site even if all undecided rows before them are retained. What is retained stays behind as counts by site and hashes.
     """
-    rows = checkpointed(df.select("idx", "site_id", "norm_hash").withColumn("kept", F.lit(None).cast("boolean")))
-    by_hash = Window.partitionBy("norm_hash").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    by_site = Window.partitionBy("site_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    undecided = F.when(F.col("kept").isNull(), 1).otherwise(0)
-    kept = F.when(F.col("kept"), 1).otherwise(0)
-    while rows.where("kept IS NULL").limit(1).count():
-        seen = rows.withColumns(
-            {
-                "copy": F.coalesce(F.sum(kept).over(by_hash), F.lit(0)) > 0,
-                "copy_open": F.coalesce(F.sum(undecided).over(by_hash), F.lit(0)) > 0,
-                "held": F.coalesce(F.sum(kept).over(by_site), F.lit(0)),
-                "held_open": F.coalesce(F.sum(undecided).over(by_site), F.lit(0)),
-            }
-        )
-        decided = (
-            F.when(F.col("kept").isNotNull(), F.col("kept"))
-            .when(F.col("copy") | (F.col("held") >= cap), F.lit(False))
-            .when(~F.col("copy_open") & (F.col("held") + F.col("held_open") < cap), F.lit(True))
-            .when(~F.col("copy_open") & (F.col("held_open") == 0), F.lit(True))
-        )
-        rows = checkpointed(seen.select("idx", "site_id", "norm_hash", decided.alias("kept")))
-    return rows.where("kept").drop("kept")
+    rows = checkpointed(df.select("idx", "site_id", "norm_hash"))
+    first_of_site = Window.partitionBy("site_id").orderBy("idx")
+    retained = rows.limit(0)
+    held = rows.groupBy("site_id").agg(F.lit(0).cast("bigint").alias("held")).limit(0)
+    while not rows.isEmpty():
+        first_of_hash = rows.groupBy("norm_hash").agg(F.min("idx").alias("idx"))
+        front = rows.withColumn("_n", F.row_number().over(first_of_site)).where(F.col("_n") <= cap)
+        room = front.join(held, "site_id", "left").where(F.col("_n") + F.coalesce("held", F.lit(0)) <= cap)
+        new = checkpointed(room.join(first_of_hash, ["norm_hash", "idx"], "left_semi").select("idx", "site_id", "norm_hash"))
+        retained = retained.unionByName(new)
+        held = checkpointed(held.unionByName(new.groupBy("site_id").agg(F.count("*").alias("held"))).groupBy("site_id").agg(F.sum("held").alias("held")))
+        full = held.where(F.col("held") >= cap)
+        rows = checkpointed(rows.join(new.select("norm_hash"), "norm_hash", "left_anti").join(full, "site_id", "left_anti").select("idx", "site_id", "norm_hash"))
+    return retained
 
 
 def scan_limit(accepted: DataFrame, main_least: int, main_sites: int, dev_least: int, dev_sites: int) -> DataFrame:

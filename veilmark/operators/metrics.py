@@ -76,42 +76,55 @@ def interpolated_roc(curve: DataFrame, grid_size: int, *keys: str) -> DataFrame:
     return both.select(*keys, F.col("fpr").alias("x"), (F.col("a.tpr") + slope * (F.col("fpr") - F.col("a.fpr"))).alias("tpr"))
 
 
-def numpy_metrics(label: np.ndarray, score: np.ndarray) -> dict[str, float]:
-    """The same five metrics of one small ranking, for bootstrap draws."""
-    order = np.argsort(-score, kind="stable")
-    s, y = score[order], label[order]
-    last = np.append(np.flatnonzero(np.diff(s)), len(s) - 1)
-    tp = np.cumsum(y)[last].astype(float)
-    pp = last + 1.0
-    tpr, fpr = np.append(0.0, tp / y.sum()), np.append(0.0, (pp - tp) / (len(y) - y.sum()))
+def _by_ties(weights: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """(draws, tie groups): weights of the sites (draws, sites) summed over equal scores, best score first."""
+    order = np.argsort(-score)
+    fresh = np.flatnonzero(np.diff(score[order], prepend=np.inf))
+    return np.add.reduceat(weights[:, order], fresh, axis=1)
+
+
+def weighted_metrics(label: np.ndarray, score: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
+    """The five metrics of one ranking under each row of site weights (draws, sites), from the tie groups' counts.
+
+    A member beats the others of later groups and half of those of its own: that is the area under the ROC curve.
+    """
+    own, other = _by_ties(weights * (label == 1), score), _by_ties(weights * (label != 1), score)
+    tp, fp = own.cumsum(1), other.cumsum(1)
+    members, others = tp[:, -1:], fp[:, -1:]
+    beaten = others - fp + other / 2
+    recall, fallout = tp / members, fp / others
+    best = lambda most: np.where(fallout <= most, recall, 0).max(1)  # noqa: E731  (the start of the curve has 0)
     return {
-        "roc_auc": float(np.trapezoid(tpr, fpr)),
-        "balanced_accuracy": float(((tpr + 1 - fpr) / 2).max()),
-        "tpr_at_fpr_le_0_01": float(tpr[fpr <= 0.01].max()),
-        "tpr_at_fpr_le_0_001": float(tpr[fpr <= 0.001].max()),
-        "average_precision": float((np.diff(tpr) * tp / pp).sum()),
+        "roc_auc": (own * beaten).sum(1) / (members * others)[:, 0],
+        "balanced_accuracy": np.maximum((recall + 1 - fallout).max(1) / 2, 0.5),
+        "tpr_at_fpr_le_0_01": best(0.01),
+        "tpr_at_fpr_le_0_001": best(0.001),
+        "average_precision": (own * tp / np.maximum(tp + fp, 1)).sum(1) / members[:, 0],
     }
 
 
-def _strata(label: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """One stratified resample, members drawn first."""
-    members, others = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    return np.concatenate([rng.choice(members, len(members)), rng.choice(others, len(others))])
+def stratified_weights(label: np.ndarray, draws: int, rng: np.random.Generator) -> np.ndarray:
+    """(draws, sites): how often each site stands in a resample that keeps the numbers of members and others."""
+    out = np.zeros((draws, len(label)), np.int64)
+    for stratum in (label == 1, label != 1):
+        n = int(stratum.sum())
+        out[:, stratum] = rng.multinomial(n, np.full(n, 1 / n), draws)
+    return out
 
 
 def bootstrap_intervals(df: DataFrame, key: str, iterations: int = 1000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
-    """(key, metric, lower, upper): stratified percentile intervals over sites. Runs are resampled in parallel, the draws
-    of a run in sequence from one generator; a run's sites are the bounded pool of an experiment."""
+    """(key, metric, lower, upper): stratified percentile intervals over sites. Runs are resampled in parallel, all draws
+    of a run at once as weights; a run's sites are the bounded pool of an experiment. Runs of one class have no rows."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["site_id", "score"])
         y, s = pdf["label"].to_numpy(), pdf["score"].to_numpy()
-        if not 0 < y.sum() < len(y):
+        if y.min() == y.max():
             return pd.DataFrame(columns=[key, "metric", "lower", "upper"])
-        rng = np.random.default_rng(seed)
-        draws = [numpy_metrics(y[d], s[d]) for d in (_strata(y, rng) for _ in range(iterations))]
-        a = (1 - confidence) / 2
-        return pd.DataFrame([(pdf[key].iloc[0], m, float(np.quantile([x[m] for x in draws], a)), float(np.quantile([x[m] for x in draws], 1 - a))) for m in SCALARS], columns=[key, "metric", "lower", "upper"])
+        found = weighted_metrics(y, s, stratified_weights(y, iterations, np.random.default_rng(seed)))
+        tail = (1 - confidence) / 2
+        bounds = {m: np.quantile(found[m], [tail, 1 - tail]) for m in SCALARS}
+        return pd.DataFrame({key: pdf[key].iloc[0], "metric": SCALARS, "lower": [bounds[m][0] for m in SCALARS], "upper": [bounds[m][1] for m in SCALARS]})
 
     kind = dict(df.dtypes)[key]
     return df.select(key, "site_id", "label", "score").groupBy(key).applyInPandas(run, f"{key} {kind}, metric string, lower double, upper double")
@@ -127,23 +140,30 @@ def paired_rows(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
 
 
 def paired_auc_bootstrap(rows: DataFrame, key: str, iterations: int = 1000, seed: int = 0) -> DataFrame:
-    """(key, difference, lower, upper): AUC difference with the same draw for both scores."""
+    """(key, difference, lower, upper): AUC difference with the same weights of the sites for both scores."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("site_id")
         y, a, b = (pdf[c].to_numpy() for c in ("label", "score_a", "score_b"))
-        if not 0 < y.sum() < len(y):
+        if y.min() == y.max():
             return pd.DataFrame(columns=[key, "difference", "lower", "upper"])
-        rng = np.random.default_rng(seed)
-        auc = lambda d, s: numpy_metrics(y[d], s[d])["roc_auc"]
-        whole = np.arange(len(y))
-        found = [auc(d, a) - auc(d, b) for d in (_strata(y, rng) for _ in range(iterations))]
-        return pd.DataFrame([(pdf[key].iloc[0], auc(whole, a) - auc(whole, b), float(np.quantile(found, 0.025)), float(np.quantile(found, 0.975)))], columns=[key, "difference", "lower", "upper"])
+        weights = np.vstack([np.ones((1, len(y)), np.int64), stratified_weights(y, iterations, np.random.default_rng(seed))])
+        point, *draws = weighted_metrics(y, a, weights)["roc_auc"] - weighted_metrics(y, b, weights)["roc_auc"]
+        low, high = np.quantile(draws, [0.025, 0.975])
+        return pd.DataFrame([(pdf[key].iloc[0], point, low, high)], columns=[key, "difference", "lower", "upper"])
 
     kind = dict(rows.dtypes)[key]
     return rows.select(key, "site_id", "label", "score_a", "score_b").groupBy(key).applyInPandas(run, f"{key} {kind}, difference double, lower double, upper double")
 
 
+def pairing_conflicts(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., site_id, conflict): sites that paired_rows fails on: missing on a side, or with another label there."""
+    left = a.select(*keys, "site_id", F.col("label").alias("label_a"), F.col("score").alias("score_a"))
+    right = b.select(*keys, "site_id", F.col("label").alias("label_b"), F.col("score").alias("score_b"))
+    conflict = F.when(F.col("score_a").isNull(), "only_b").when(F.col("score_b").isNull(), "only_a").when(F.col("label_a") != F.col("label_b"), "label")
+    return left.join(right, [*keys, "site_id"], "full_outer").select(*keys, "site_id", conflict.alias("conflict")).where("conflict IS NOT NULL")
+
+
 def bootstrap_mean(df: DataFrame, key: str, value: str, iterations: int = 1000, seed: int = 0) -> DataFrame:
     """(key, mean, lower, upper) of repeated measurements."""
 

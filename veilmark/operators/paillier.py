@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST_BITS = 1024  # fixed value
+SLOT_BITS = 64
 
 
 @dataclass(frozen=True)
@@ -84,39 +85,80 @@ def generate_keys(bits: int = 2048) -> PrivateKey:
     return PrivateKey(PublicKey(p * q), p, q)
 
 
-def encrypted(vectors: DataFrame, key: PublicKey) -> DataFrame:
-    """(coord, ct) of every (coord, value); clients' coordinates are encrypted in parallel with the public key alone."""
+def _ddl(df: DataFrame, keys: tuple[str, ...]) -> str:
+    kinds = dict(df.dtypes)
+    return "".join(f"{c} {kinds[c]}, " for c in keys) + "coord int, ct binary"
+
+
+def encrypted(vectors: DataFrame, key: PublicKey, *keys: str) -> DataFrame:
+    """(keys..., coord, ct) of every (keys..., coord, value); clients' coordinates are encrypted in parallel with the public
+    key alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows[[*keys, "coord"]].assign(ct=[key.encrypt(int(v)).to_bytes(key.width, "big") for v in rows["value"]])
+
+    return vectors.select(*keys, F.col("coord").cast("int").alias("coord"), "value").mapInPandas(run, _ddl(vectors, keys))
+
+
+def slots_of(key: PublicKey) -> int:
+    """Coordinates that fit one plaintext."""
+    return (key.n.bit_length() - 2) // SLOT_BITS
+
+
+def encrypted_packed(vectors: DataFrame, key: PublicKey, *keys: str) -> DataFrame:
+    """(keys..., coord, ct) of (keys..., site_id, coord, value) with slots_of(key) coordinates of a client in a plaintext, so
+    a sum costs that much less; coord is the number of the pack. Sums must stay below 2 ** (SLOT_BITS - 1) in size."""
+    slots = slots_of(key)
+    pack, slot = F.floor(F.col("coord") / slots).cast("int"), (F.col("coord") % slots).cast("int")
+    packs = vectors.groupBy(*keys, "site_id", pack.alias("coord")).agg(F.collect_list(F.struct(slot.alias("slot"), F.col("value").cast("bigint").alias("value"))).alias("parts"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame({"coord": rows["coord"], "ct": [key.encrypt(int(v)).to_bytes(key.width, "big") for v in rows["value"]]})
+            plain = [sum(int(p["value"]) << SLOT_BITS * int(p["slot"]) for p in parts) for parts in rows["parts"]]
+            yield rows[[*keys, "coord"]].assign(ct=[key.encrypt(m).to_bytes(key.width, "big") for m in plain])
+
+    # encryption is all computing: spread it over all cores, however few bytes there are
+    spread = packs.drop("site_id").repartition(vectors.sparkSession.sparkContext.defaultParallelism)
+    return spread.mapInPandas(run, _ddl(packs, keys))
+
 
-    return vectors.select("coord", "value").mapInPandas(run, "coord int, ct binary")
+def unpacked(values: list[tuple], coordinates: int, key: PublicKey) -> list[tuple]:
+    """(keys..., coord, value) of decrypted packs (keys..., coord, value)."""
+    out = []
+    for *own, pack, m in values:
+        for slot in range(min(slots_of(key), coordinates - pack * slots_of(key))):
+            value = (m + (1 << SLOT_BITS - 1)) % (1 << SLOT_BITS) - (1 << SLOT_BITS - 1)
+            out.append((*own, pack * slots_of(key) + slot, value))
+            m = (m - value) >> SLOT_BITS
+    return out
 
 
-def encrypted_sums(cipher: DataFrame, key: PublicKey) -> DataFrame:
-    """(coord, ct): products modulo n squared, combined in each partition first, so one row a coordinate and partition is
-    shuffled."""
+def encrypted_sums(cipher: DataFrame, key: PublicKey, *keys: str) -> DataFrame:
+    """(keys..., coord, ct): products modulo n squared, combined in each partition first, so one row a coordinate and
+    partition is shuffled."""
+    own = [*keys, "coord"]
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, int] = {}
+        held: dict[tuple, int] = {}
         for rows in batches:
-            for coord, ct in zip(rows["coord"], rows["ct"]):
-                held[coord] = held.get(coord, 1) * int.from_bytes(ct, "big") % key.square
-        yield pd.DataFrame([(c, v.to_bytes(key.width, "big")) for c, v in held.items()], columns=["coord", "ct"])
+            for *coord, ct in rows[[*own, "ct"]].itertuples(index=False):
+                held[tuple(coord)] = held.get(tuple(coord), 1) * int.from_bytes(ct, "big") % key.square
+        yield pd.DataFrame([(*c, v.to_bytes(key.width, "big")) for c, v in held.items()], columns=[*own, "ct"])
 
-    partial = cipher.mapInPandas(combine, "coord int, ct binary")
-    return partial.repartition("coord").mapInPandas(combine, "coord int, ct binary")
+    partial = cipher.mapInPandas(combine, _ddl(cipher, keys))
+    return partial.repartition(*own).mapInPandas(combine, _ddl(cipher, keys))
 
 
-def add_encrypted_noise(sums: DataFrame, noise: DataFrame, key: PublicKey) -> DataFrame:
-    """Noise rows (coord, value) are encrypted and multiplied in."""
-    return encrypted_sums(sums.unionByName(encrypted(noise, key)), key)
+def add_encrypted_noise(sums: DataFrame, noise: DataFrame, key: PublicKey, *keys: str) -> DataFrame:
+    """Noise rows (keys..., coord, value) are encrypted and multiplied in."""
+    return encrypted_sums(sums.unionByName(encrypted(noise, key, *keys)), key, *keys)
 
 
-def decrypted(sums: DataFrame, key: PrivateKey) -> list[int]:
-    """Values in coordinate order, on the driver: one row a candidate coordinate."""
-    return [key.decrypt(int.from_bytes(r["ct"], "big")) for r in sums.orderBy("coord").collect()]
+def decrypted(sums: DataFrame, key: PrivateKey, *keys: str) -> list:
+    """Values in coordinate order on the driver, one row a candidate coordinate; with keys (keys..., coord, value)."""
+    rows = sums.orderBy(*keys, "coord").collect()
+    return [(*(r[k] for k in keys), r["coord"], v) if keys else v for r, v in ((r, key.decrypt(int.from_bytes(r["ct"], "big"))) for r in rows)]
 
 
 def message_bytes(cells: DataFrame, key_bits: int) -> DataFrame:

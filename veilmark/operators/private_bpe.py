@@ -1,6 +1,6 @@
 """Private training of a vocabulary: public candidates, private vectors, one aggregation a round, compatible merges.
 
-The word tables stay in Spark; a round rewrites only the words that hold a chosen pair. Lineage is cut by a reliable
+The word tables and their pair counts stay in Spark; a round rewrites and recounts only the words that hold a chosen pair. Lineage is cut by a reliable
 checkpoint a round, and the driver holds the candidate list (K rows) and the vocabulary.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,26 +24,46 @@ from veilmark.session import checkpointed
 MODES = ("plain", "local_dp", "he_only", "sa_dp")
 
 
-def apply_merges(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    """words(site_id, symbols, freq) after the merges; only affected words pass through Python."""
-    table = {m: m[0] + m[1] for m in merges}
+def _touched(merges: list[tuple[str, str]]):
+    """Whether a word holds one of the pairs."""
     adjacent = F.transform(F.sequence(F.lit(1), F.size("symbols") - 1), lambda k: F.concat_ws("\0", F.element_at("symbols", k), F.element_at("symbols", k + 1)))
     pairs = F.when(F.size("symbols") > 1, adjacent).otherwise(F.array().cast("array<string>"))
-    hit = F.arrays_overlap(pairs, F.array(*[F.lit(f"{a}\0{b}") for a, b in merges]))
+    return F.arrays_overlap(pairs, F.array(*[F.lit(f"{a}\0{b}") for a, b in merges]))
+
+
+def _rewritten(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    table = {m: m[0] + m[1] for m in merges}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             yield rows.assign(symbols=[merge_pair(list(s), table) for s in rows["symbols"]])
 
-    touched = words.where(hit).mapInPandas(run, words.schema)
-    return words.where(~hit).unionByName(touched)
+    return words.mapInPandas(run, words.schema)
+
+
+def apply_merges(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    """words(keys..., symbols, freq) after the merges; only affected words pass through Python."""
+    hit = _touched(merges)
+    return words.where(~hit).unionByName(_rewritten(words.where(hit), merges))
+
+
+def merge_round(words: DataFrame, counts: DataFrame, merges: list[tuple[str, str]], *keys: str) -> tuple[DataFrame, DataFrame]:
+    """Words (keys..., symbols, freq) and their pair counts (keys..., left, right, cnt) after the merges. Only the pairs of
+    the words that hold one are counted again: what they had is taken off, what they have now is added."""
+    hit = _touched(merges)
+    old = checkpointed(words.where(hit))
+    new = checkpointed(_rewritten(old, merges))
+    change = tokens.symbol_pairs(new, *keys).unionByName(tokens.symbol_pairs(old.withColumn("freq", -F.col("freq")), *keys))
+    counted = counts.unionByName(change).groupBy(*keys, "left", "right").agg(F.sum("cnt").alias("cnt")).where("cnt <> 0")
+    return checkpointed(words.where(~hit).unionByName(new)), checkpointed(counted)
 
 
 def aggregate_round(vectors: DataFrame, pairs: list[tuple[str, str]], mode: str, batch: int, bound: int, epsilon: float | None, rng: np.random.Generator, keys: paillier.PrivateKey | None = None) -> tuple[list[int], dict]:
     """Indices of the chosen candidates. vectors: (site_id, coord, value).
 
     plain and he_only sum unclipped vectors without noise; local_dp adds one draw a client and coordinate to clipped
-    vectors, sa_dp one draw on the sum. With keys the sum of he_only and sa_dp is formed on ciphertexts.
+    vectors, where the client's rows are; sa_dp one draw on the sum. With keys the sum of he_only and sa_dp is formed on
+    ciphertexts.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
@@ -51,10 +72,7 @@ def aggregate_round(vectors: DataFrame, pairs: list[tuple[str, str]], mode: str,
     used = privacy.l1_clip(vectors, bound) if mode in ("local_dp", "sa_dp") else vectors
     noise: list[int] = []
     if mode == "local_dp":
-        sites = [r[0] for r in vectors.select("site_id").distinct().orderBy("site_id").collect()]  # the round's clients
-        rows = [(s, c, v) for s in sites for c, v in enumerate(privacy.two_sided_geometric(epsilon, bound, k, rng))]
-        drawn = spark.createDataFrame(rows, "site_id string, coord int, noise bigint")
-        used = used.join(drawn, ["site_id", "coord"]).select("site_id", "coord", (F.col("value") + F.col("noise")).alias("value"))
+        used = privacy.client_noise(used, epsilon, bound, int(rng.integers(1 << 62)))
     if mode == "sa_dp":
         noise = privacy.two_sided_geometric(epsilon, bound, k, rng)
     if keys is not None and mode in ("he_only", "sa_dp"):
@@ -68,6 +86,34 @@ def aggregate_round(vectors: DataFrame, pairs: list[tuple[str, str]], mode: str,
     return privacy.compatible_top(values, pairs, batch), {"noise_l1": sum(map(abs, noise)), "clients_sum": sum(values)}
 
 
+def rounds_by_mode(vectors: DataFrame, candidates: DataFrame, bounds: DataFrame, batch: int, epsilon: float, seed: int, *keys: str) -> DataFrame:
+    """(keys..., mode, place, left, right): one round of every mode for each value of the keys.
+
+    vectors: keys..., site_id, coord, value; candidates: keys..., coord, left, right; bounds: keys..., bound. An experiment's
+    candidate list, a few rows, is one task.
+    """
+    clipped = checkpointed(privacy.l1_clip(vectors, bounds, *keys))
+    noisy = privacy.client_noise(clipped, epsilon, bounds, seed, *keys)
+    sums = {m: privacy.coordinate_sums(v, *keys) for m, v in (("plain", vectors), ("local_dp", noisy), ("sa_dp", clipped))}
+    sums["he_only"] = sums["plain"]
+    rows = reduce(DataFrame.unionByName, [sums[m].withColumn("mode", F.lit(m)) for m in MODES])
+    rows = rows.join(F.broadcast(candidates.select(*keys, "coord", "left", "right")), [*keys, "coord"]).join(F.broadcast(bounds), list(keys))
+    kinds = dict(rows.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("coord")
+        mode, own = pdf["mode"].iloc[0], tuple(pdf[list(keys)].iloc[0])
+        values = [int(v) for v in pdf["value"]]
+        if mode == "sa_dp":
+            draw = privacy.two_sided_geometric(epsilon, int(pdf["bound"].iloc[0]), len(values), privacy.stable_generator(seed, *own))
+            values = [v + e for v, e in zip(values, draw)]
+        pairs = list(zip(pdf["left"], pdf["right"]))
+        chosen = privacy.compatible_top(values, pairs, batch)
+        return pd.DataFrame([(*own, mode, n, *pairs[k]) for n, k in enumerate(chosen)], columns=[*keys, "mode", "place", "left", "right"])
+
+    return rows.groupBy(*keys, "mode").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", mode string, place int, left string, right string")
+
+
 @dataclass
 class PrivateTraining:
     """A training; ``advance`` runs one round and returns False at the end. ``state`` is all that a resumed training
@@ -105,6 +151,7 @@ class PrivateTraining:
             for a, b in merges:
                 self.vocab.setdefault(a + b, len(self.vocab))
         self.words = [checkpointed(w) for w in self.words]
+        self.counts = [checkpointed(tokens.symbol_pairs(w, "site_id")) for w in self.words]
 
     @property
     def merges(self) -> list[tuple[str, str]]:
@@ -118,14 +165,14 @@ class PrivateTraining:
             return False  # a budget is divided by the planned rounds: no more are run
         spark = self.public.sparkSession
         known = spark.createDataFrame([(t,) for t in self.vocab], "token string")
-        by_site = tokens.symbol_pairs(self.words[0], "site_id")
+        by_site = self.counts[0]
         candidates = checkpointed(tokens.top_pairs(by_site, known, self.pool))
         pairs = [(r["left"], r["right"]) for r in candidates.orderBy("coord").collect()]
         if not pairs:
             return False
         grid = lambda words, counts: tokens.candidate_vectors(counts, words.select("site_id"), candidates)
         bound = privacy.clip_bound(privacy.site_norms(grid(self.words[0], by_site)), self.clip_quantile).first()["bound"]
-        vectors = grid(self.words[1], tokens.symbol_pairs(self.words[1], "site_id"))
+        vectors = grid(self.words[1], self.counts[1])
         budget = privacy.round_budget(self.epsilon, self.rounds) if self.mode in ("local_dp", "sa_dp") else None
         room = self.vocab_size - len(self.vocab)
         chosen, _ = aggregate_round(vectors, pairs, self.mode, min(self.batch, room), bound, budget, self.rng, self.keys)
@@ -136,7 +183,8 @@ class PrivateTraining:
             self.vocab.setdefault(a + b, len(self.vocab))
         self.rounds_done.append(merges)
         self.budgets += [budget] if budget else []
-        self.words = [checkpointed(apply_merges(w, merges)) for w in self.words]
+        both = [merge_round(w, c, merges, "site_id") for w, c in zip(self.words, self.counts)]
+        self.words, self.counts = [w for w, _ in both], [c for _, c in both]
         return True
 
     def run(self) -> Tokenizer:

@@ -61,13 +61,14 @@ def probe_segments(shadows: int) -> list[tuple[int, int]]:
     return list(zip(starts, ends))
 
 
-def balanced_probes(sites: DataFrame, shadows: int, seed: int) -> DataFrame:
-    """(site_id, shadow_id): every site is a probe of exactly half of the shadows of each prefix segment, by hash rank."""
+def balanced_probes(sites: DataFrame, shadows: int, seed: int, *keys: str) -> DataFrame:
+    """(keys..., site_id, shadow_id): every site is a probe of exactly half of the shadows of each prefix segment, by hash rank."""
     segments = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b - 1).alias("last")) for a, b in probe_segments(shadows)])
-    rows = sites.select("site_id").distinct().select("site_id", F.explode(segments).alias("s"))
-    rows = rows.select("site_id", "s.*", F.explode(F.sequence("s.first", "s.last")).alias("shadow_id"))
-    w = Window.partitionBy("site_id", "first").orderBy(hash_rank_key("probe", str(seed), F.col("site_id"), F.col("shadow_id").cast("string")))
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") * 2 <= F.col("last") - F.col("first") + 1).select("site_id", "shadow_id")
+    own = [*keys, "site_id"]
+    rows = sites.select(*own).distinct().select(*own, F.explode(segments).alias("s"))
+    rows = rows.select(*own, "s.*", F.explode(F.sequence("s.first", "s.last")).alias("shadow_id"))
+    w = Window.partitionBy(*own, "first").orderBy(hash_rank_key("probe", str(seed), F.col("site_id"), F.col("shadow_id").cast("string")))
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") * 2 <= F.col("last") - F.col("first") + 1).select(*own, "shadow_id")
 
 
 def balanced_probes_parity(sites: list[str], shadows: int, seed: int) -> list[list[str]]:
@@ -81,11 +82,11 @@ def balanced_probes_parity(sites: list[str], shadows: int, seed: int) -> list[li
     return [sorted(c) for c in chosen]
 
 
-def auxiliary_groups(sites: DataFrame, groups: int, size: int, seed: int) -> DataFrame:
-    """(group_id, site_id): the first ``size`` sites of a ranking for each group."""
-    rows = sites.select("site_id").distinct().select("site_id", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group_id"))
-    w = Window.partitionBy("group_id").orderBy(hash_rank_key("aux", str(seed), F.col("group_id").cast("string"), F.col("site_id")))
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= size).select("group_id", "site_id")
+def auxiliary_groups(sites: DataFrame, groups: int, size: int, seed: int, *keys: str) -> DataFrame:
+    """(keys..., group_id, site_id): the first ``size`` sites of a ranking for each group."""
+    rows = sites.select(*keys, "site_id").distinct().select(*keys, "site_id", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group_id"))
+    w = Window.partitionBy(*keys, "group_id").orderBy(hash_rank_key("aux", str(seed), F.col("group_id").cast("string"), F.col("site_id")))
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= size).select(*keys, "group_id", "site_id")
 
 
 def manifest_roles(manifests: DataFrame) -> DataFrame:

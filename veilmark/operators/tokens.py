@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilmark.functions import text as T
 
 SPECIAL_TOKENS = ("[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]")  # fixed values
-#: Units longer than this are matched by the automaton instead of by expansion.
-LONG_UNIT = 64
+#: Distinct tokens up to which they are sent to the tasks as an automaton; more are joined with the units' substrings.
+AUTOMATON_TOKENS = 1_000_000
 
 
 def unit_counts(df: DataFrame, *keys: str) -> DataFrame:
@@ -21,12 +24,13 @@ def word_frequencies(df: DataFrame) -> DataFrame:
     return df.select(F.explode(T.word_list(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
 
 
-def alphabet(units: DataFrame, special: tuple[str, ...] = SPECIAL_TOKENS) -> DataFrame:
-    """(token, id): special tokens first, then the distinct characters in code-point order. An alphabet is small."""
-    chars = units.select(F.explode(F.split("unit", "")).alias("token")).where("token <> ''").distinct()
-    ranked = chars.withColumn("id", F.row_number().over(Window.orderBy("token")) - 1 + len(special))
-    spark = units.sparkSession
-    return spark.createDataFrame([(t, k) for k, t in enumerate(special)], "token string, id int").unionByName(ranked)
+def alphabet(units: DataFrame, special: tuple[str, ...] = SPECIAL_TOKENS, *keys: str) -> DataFrame:
+    """(keys..., token, id): special tokens first, then the distinct characters in code-point order. An alphabet is small."""
+    chars = units.select(*keys, F.explode(F.split("unit", "")).alias("token")).where("token <> ''").distinct()
+    ranked = chars.withColumn("id", F.row_number().over(Window.partitionBy(*keys).orderBy("token")) - 1 + len(special))
+    first = units.select(*keys).distinct() if keys else units.sparkSession.range(1).select()
+    named = F.explode(F.array(*[F.struct(F.lit(t).alias("token"), F.lit(k).alias("id")) for k, t in enumerate(special)])) if special else None
+    return ranked if named is None else first.select(*keys, named.alias("x")).select(*keys, "x.token", "x.id").unionByName(ranked)
 
 
 def symbol_pairs(words: DataFrame, *keys: str) -> DataFrame:
@@ -49,56 +53,70 @@ def pair_counts_two_levels(words: DataFrame) -> DataFrame:
     return by_site.groupingSets([["left", "right", "site_id"], ["left", "right"]], "left", "right", "site_id").agg(F.sum("cnt").alias("cnt")).select("site_id", "left", "right", "cnt")
 
 
-def top_pairs(pairs: DataFrame, vocab: DataFrame, size: int) -> DataFrame:
-    """(coord, left, right, cnt): the most frequent pairs whose product is not in the vocabulary; ties by left, right."""
-    totals = pairs.groupBy("left", "right").agg(F.sum("cnt").alias("cnt")).where("cnt > 0")
+def _top(df: DataFrame, size: int, *keys: str) -> DataFrame:
+    """df with ``_n`` from 0 in the order of cnt, then the other columns; the first ``size`` rows of each key. Ranks are
+    pruned before the shuffle, so a key sends at most ``size`` rows a partition."""
+    order = [F.desc("cnt"), *[c for c in df.columns if c not in (*keys, "cnt")]]
+    if not keys:
+        df = df.orderBy(*order).limit(size)
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).where(F.col("_n") < size)
+
+
+def top_pairs(pairs: DataFrame, vocab: DataFrame, size: int, *keys: str) -> DataFrame:
+    """(keys..., coord, left, right, cnt): the most frequent pairs whose product is not in the vocabulary; ties by left, right."""
+    totals = pairs.groupBy(*keys, "left", "right").agg(F.sum("cnt").alias("cnt")).where("cnt > 0")
     fresh = totals.join(vocab.select(F.col("token").alias("_out")), F.concat("left", "right") == F.col("_out"), "left_anti")
-    top = fresh.orderBy(F.desc("cnt"), "left", "right").limit(size)
-    return top.select((F.row_number().over(Window.orderBy(F.desc("cnt"), "left", "right")) - 1).alias("coord"), "left", "right", "cnt")
+    return _top(fresh, size, *keys).select(*keys, F.col("_n").alias("coord"), "left", "right", "cnt")
 
 
-def candidate_vectors(pairs_by_site: DataFrame, sites: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(site_id, coord, value) with zeros: sites x candidates is the result itself; the candidate list is a bounded top-k."""
-    values = pairs_by_site.join(F.broadcast(candidates.select("coord", "left", "right")), ["left", "right"]).select("site_id", "coord", F.col("cnt").alias("value"))
-    grid = sites.select("site_id").distinct().crossJoin(F.broadcast(candidates.select("coord")))
-    return grid.join(values, ["site_id", "coord"], "left").fillna({"value": 0})
+def candidate_vectors(pairs_by_site: DataFrame, sites: DataFrame, candidates: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., site_id, coord, value) with zeros: sites x candidates is the result itself; the candidate list is a bounded
+    top-k of each key."""
+    on = [*keys, "left", "right"]
+    values = pairs_by_site.join(F.broadcast(candidates.select(*on, "coord")), on).select(*keys, "site_id", "coord", F.col("cnt").alias("value"))
+    each = sites.select(*keys, "site_id").distinct()
+    coords = F.broadcast(candidates.select(*keys, "coord"))
+    grid = each.join(coords, list(keys)) if keys else each.crossJoin(coords)
+    return grid.join(values, [*keys, "site_id", "coord"], "left").fillna({"value": 0})
 
 
-def substring_tokens(units: DataFrame, vocab: DataFrame, longest: int) -> DataFrame:
-    """(unit, token): every vocabulary token that occurs in a unit, once a unit.
+def substring_tokens(units: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(unit, token): every vocabulary token that occurs in a unit, once a unit, tokens and units of any length.
 
-    Units up to LONG_UNIT characters are expanded to their substrings; for longer ones the tokens are looked up by an
-    automaton over Arrow batches, so junk units do not blow up.
+    The distinct tokens are sent to the tasks as one automaton; more than AUTOMATON_TOKENS are joined with the substrings
+    of the units, up to the length of the longest token.
     """
     distinct = units.select("unit").distinct()
+    tokens = vocab.select("token").where("token <> ''").distinct()
+    found = tokens.limit(AUTOMATON_TOKENS + 1).toArrow().column(0).to_pylist()
+    if len(found) <= AUTOMATON_TOKENS:
+        return _automaton(distinct, found)
+    longest = tokens.agg(F.max(F.length("token"))).first()[0]
     starts = F.sequence(F.lit(1), F.length("unit"))
     grams = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - i + 1)), lambda n: F.substring("unit", i, n))))
-    short = distinct.where(F.length("unit") <= LONG_UNIT).select("unit", F.explode(F.array_distinct(grams)).alias("token"))
-    tokens = vocab.select("token").distinct()
-    found = short.join(tokens, "token").select("unit", "token")
-    long_units = distinct.where(F.length("unit") > LONG_UNIT)
-    return found.unionByName(_automaton(long_units, tokens))
+    return distinct.where("unit <> ''").select("unit", F.explode(F.array_distinct(grams)).alias("token")).join(tokens, "token").select("unit", "token")
 
 
-def _automaton(units: DataFrame, tokens: DataFrame) -> DataFrame:
-    import pandas as pd
+def _automaton(units: DataFrame, tokens: list[str]) -> DataFrame:
+    schema = pa.schema([("unit", pa.string()), ("token", pa.string())])
+    vocabulary = units.sparkSession.sparkContext.broadcast(tokens)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        automaton = None
-        for rows in batches:
-            if automaton is None:
-                automaton = ahocorasick.Automaton()
-                for t in vocabulary.value:
-                    automaton.add_word(t, t)
-                automaton.make_automaton()
-            out = [(u, t) for u in rows["unit"] for t in {t for _, t in automaton.iter(u)}]
-            yield pd.DataFrame(out, columns=["unit", "token"])
+        automaton = ahocorasick.Automaton()
+        for t in vocabulary.value:
+            automaton.add_word(t, t)
+        automaton.make_automaton()
+        for batch in batches:
+            own, found = [], []
+            for unit in batch.column(0).to_pylist() if len(automaton) else ():
+                tokens_ = {t for _, t in automaton.iter(unit)}
+                own += [unit] * len(tokens_)
+                found += tokens_
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(found, pa.string())], schema=schema)
 
-    # a tokenizer vocabulary is bounded by its training size
-    vocabulary = units.sparkSession.sparkContext.broadcast([r[0] for r in tokens.collect() if r[0]])
-    return units.mapInPandas(run, "unit string, token string")
+    return units.mapInArrow(run, "unit string, token string")
 
 
 def token_counts(counts: DataFrame, matches: DataFrame, *keys: str) -> DataFrame:
@@ -106,38 +124,42 @@ def token_counts(counts: DataFrame, matches: DataFrame, *keys: str) -> DataFrame
     return counts.join(matches, "unit").groupBy(*keys, "token").agg(F.sum("cnt").alias("cnt"))
 
 
-def background_counts(token_counts_by_site: DataFrame, involved: DataFrame) -> DataFrame:
-    """(token, cnt) over the distinct involved sites."""
-    return token_counts_by_site.join(involved.select("site_id").distinct(), "site_id", "left_semi").groupBy("token").agg(F.sum("cnt").alias("cnt"))
+def background_counts(token_counts_by_site: DataFrame, involved: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., token, cnt) over the distinct involved sites (keys..., site_id)."""
+    own = [*keys, "site_id"]
+    return token_counts_by_site.join(involved.select(*own).distinct(), own, "left_semi").groupBy(*keys, "token").agg(F.sum("cnt").alias("cnt"))
 
 
-def top_units_as_vocab(units: DataFrame, size: int) -> DataFrame:
-    """A pseudo tokenizer: the most frequent units, ties by unit; id is the rank from 0."""
-    total = units.groupBy("unit").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "unit").limit(size)
-    return total.select(F.col("unit").alias("token"), (F.row_number().over(Window.orderBy(F.desc("cnt"), "unit")) - 1).alias("id"))
+def top_units_as_vocab(units: DataFrame, size: int, *keys: str) -> DataFrame:
+    """(keys..., token, id): a pseudo tokenizer, the most frequent units, ties by unit; id is the rank from 0."""
+    total = units.groupBy(*keys, "unit").agg(F.sum("cnt").alias("cnt"))
+    return _top(total, size, *keys).select(*keys, F.col("unit").alias("token"), F.col("_n").alias("id"))
 
 
-def truncated_vocab(vocab: DataFrame, size: int) -> DataFrame:
+def truncated_vocab(vocab: DataFrame, size: int, *keys: str) -> DataFrame:
     """The lowest ids, numbered densely."""
-    w = Window.orderBy("id")
-    return vocab.orderBy("id").limit(size).select("token", (F.row_number().over(w) - 1).alias("id"))
+    return vocab.withColumn("id", F.row_number().over(Window.partitionBy(*keys).orderBy("id")) - 1).where(F.col("id") < size).select(*keys, "token", "id")
 
 
-def min_count_vocab(vocab: DataFrame, counts: DataFrame, least: int, special: tuple[str, ...] = SPECIAL_TOKENS) -> DataFrame:
-    """Special tokens and tokens of at least that count, numbered densely in the old order; ``[UNK]`` is added if missing."""
-    kept = vocab.join(counts, "token", "left").where(F.col("token").isin(*special) | (F.coalesce("cnt", F.lit(0)) >= least)).select("token", "id")
-    spark = vocab.sparkSession
-    unknown = spark.createDataFrame([("[UNK]", -1)], "token string, id int").join(kept, "token", "left_anti")
-    return kept.unionByName(unknown).select("token", (F.row_number().over(Window.orderBy("id")) - 1).alias("id"))
+def min_count_vocab(vocab: DataFrame, counts: DataFrame, least: int | list[int], special: tuple[str, ...] = SPECIAL_TOKENS, *keys: str) -> DataFrame:
+    """(keys..., token, id): special tokens and tokens of at least that count, numbered densely in the old order; ``[UNK]`` is
+    added first if missing. A list of thresholds shares the one join with the counts and gives a column ``least``."""
+    named = [*keys, "least"] if isinstance(least, list) else list(keys)
+    each = F.explode(F.array(*[F.lit(x) for x in (least if isinstance(least, list) else [least])])).alias("least")
+    with_counts = vocab.join(counts, [*keys, "token"], "left").select(*keys, "token", "id", "cnt", each)
+    kept = with_counts.where(F.col("token").isin(*special) | (F.coalesce("cnt", F.lit(0)) >= F.col("least"))).select(*named, "token", "id")
+    wanted = vocab.select(*keys).distinct() if keys else vocab.sparkSession.range(1).select()
+    unknown = wanted.select(*keys, each).select(*named).withColumns({"token": F.lit("[UNK]"), "id": F.lit(-1)}).join(kept, [*named, "token"], "left_anti")
+    return kept.unionByName(unknown).select(*named, "token", (F.row_number().over(Window.partitionBy(*named).orderBy("id")) - 1).alias("id"))
 
 
-def valid_merges(merges: DataFrame, vocab: DataFrame) -> DataFrame:
+def valid_merges(merges: DataFrame, vocab: DataFrame, *keys: str) -> DataFrame:
     """Merges whose parts and product are all in the vocabulary."""
-    tokens = vocab.select("token").distinct()
+    tokens = vocab.select(*keys, "token").distinct()
     out = merges
     for side in ("left", "right"):
-        out = out.join(tokens.withColumnRenamed("token", side), side, "left_semi")
-    return out.withColumn("token", F.concat("left", "right")).join(tokens, "token", "left_semi").drop("token")
+        out = out.join(tokens.withColumnRenamed("token", side), [*keys, side], "left_semi")
+    return out.withColumn("token", F.concat("left", "right")).join(tokens, [*keys, "token"], "left_semi").drop("token")
 
 
 def fixed_length(ids: DataFrame, length: int, cls: int, sep: int, pad: int, unk: int, vocab_size: int) -> DataFrame:

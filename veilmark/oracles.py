@@ -48,38 +48,39 @@ PARTS = {
         UNION ALL SELECT manifest_id, 'target_nonmember', unnest(target_nonmember_site_ids) FROM manifests
         UNION ALL SELECT manifest_id, 'shadow_auxiliary', unnest(shadow_auxiliary_site_ids) FROM manifests
         UNION ALL SELECT manifest_id, 'public_candidate', unnest(public_candidate_site_ids) FROM manifests) WHERE site_id IS NOT NULL""",
-    "m1": "SELECT role, site_id FROM mroles WHERE manifest_id = (SELECT min(manifest_id) FROM manifests)",
     "alltrain": """SELECT DISTINCT manifest_id, shadow_id, site_id FROM (SELECT manifest_id, p.shadow_id AS shadow_id, unnest(p.training_site_ids) AS site_id
         FROM (SELECT manifest_id, unnest(shadow_plans) AS p FROM manifests)) WHERE site_id IS NOT NULL""",
-    "train": "SELECT shadow_id, site_id FROM alltrain WHERE manifest_id = (SELECT min(manifest_id) FROM manifests)",
-    "pool": "SELECT site_id FROM m1 WHERE role = 'target_pool'",
-    "member": "SELECT site_id FROM m1 WHERE role = 'target_member'",
-    "public": "SELECT site_id FROM m1 WHERE role = 'public_candidate'",
-    "involved": "SELECT DISTINCT site_id FROM train WHERE shadow_id < 2",
+    "train": "SELECT * FROM alltrain",
+    "pool": "SELECT manifest_id, site_id FROM mroles WHERE role = 'target_pool'",
+    "member": "SELECT manifest_id, site_id FROM mroles WHERE role = 'target_member'",
+    "public": "SELECT manifest_id, site_id FROM mroles WHERE role = 'public_candidate'",
+    "involved": "SELECT DISTINCT manifest_id, site_id FROM train WHERE shadow_id < 2",
     "unit_rows": f"SELECT site_id, unnest(regexp_extract_all(text, '{UNIT}')) AS unit FROM texts",
     "units": "SELECT site_id, unit, count(*) AS cnt FROM unit_rows GROUP BY ALL",
-    "vocab": """SELECT unit AS token, row_number() OVER (ORDER BY c DESC, unit) - 1 AS id FROM (
-        SELECT unit, sum(cnt) AS c FROM units WHERE site_id IN (SELECT site_id FROM member) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2000)""",
-    "shadow": """SELECT shadow_id, unit AS token, id FROM (SELECT shadow_id, unit, row_number() OVER (PARTITION BY shadow_id ORDER BY c DESC, unit) - 1 AS id
-        FROM (SELECT shadow_id, unit, sum(cnt) AS c FROM units JOIN train USING (site_id) GROUP BY ALL)) WHERE id < 800""",
-    "unit_tokens": """SELECT u.unit, v.token FROM (SELECT DISTINCT unit FROM units) u JOIN (SELECT DISTINCT unit, substr(unit, i, n) AS g FROM
-        (SELECT unit, i, unnest(range(1, least(24, length(unit) - i + 1) + 1)) AS n FROM (SELECT unit, unnest(range(1, length(unit) + 1)) AS i FROM (SELECT DISTINCT unit FROM units)))) g
-        ON g.unit = u.unit JOIN vocab v ON v.token = g.g""",
+    "vocab": """SELECT manifest_id, token, id FROM (SELECT manifest_id, unit AS token, row_number() OVER (PARTITION BY manifest_id ORDER BY c DESC, unit) - 1 AS id
+        FROM (SELECT manifest_id, unit, sum(cnt) AS c FROM units JOIN member USING (site_id) GROUP BY ALL)) WHERE id < 2000""",
+    "shadow": """SELECT manifest_id, shadow_id, token, id FROM (SELECT manifest_id, shadow_id, unit AS token, row_number() OVER (PARTITION BY manifest_id, shadow_id ORDER BY c DESC, unit) - 1 AS id
+        FROM (SELECT manifest_id, shadow_id, unit, sum(cnt) AS c FROM units JOIN train USING (site_id) GROUP BY ALL)) WHERE id < 800""",
+    "unit_tokens": """SELECT g.unit, g.g AS token FROM (SELECT DISTINCT unit, substr(unit, i, n) AS g FROM
+        (SELECT unit, i, unnest(range(1, least((SELECT max(length(token)) FROM vocab), length(unit) - i + 1) + 1)) AS n FROM (SELECT unit, unnest(range(1, length(unit) + 1)) AS i FROM (SELECT DISTINCT unit FROM units)))) g
+        WHERE g.g IN (SELECT token FROM vocab)""",
     "tok": "SELECT site_id, token, sum(cnt)::bigint AS cnt FROM units JOIN unit_tokens USING (unit) GROUP BY ALL",
-    "bg": "SELECT token, sum(cnt)::bigint AS cnt FROM tok WHERE site_id IN (SELECT site_id FROM involved) GROUP BY 1",
-    "present": "SELECT DISTINCT site_id FROM units WHERE site_id IN (SELECT site_id FROM pool)",
+    "mtok": """SELECT manifest_id, site_id, token, cnt FROM tok JOIN (SELECT * FROM pool UNION SELECT * FROM involved) USING (site_id) JOIN (SELECT manifest_id, token FROM vocab) USING (manifest_id, token)""",
+    "bg": "SELECT manifest_id, token, sum(cnt)::bigint AS cnt FROM mtok JOIN involved USING (manifest_id, site_id) GROUP BY ALL",
+    "present": "SELECT DISTINCT manifest_id, site_id FROM units JOIN pool USING (site_id)",
     "pair_rows": """SELECT site_id, substr(unit, i, 1) AS l, substr(unit, i + 1, 1) AS r, cnt FROM
         (SELECT site_id, unit, cnt, unnest(range(1, length(unit))) AS i FROM units)""",
     "pairs": "SELECT site_id, l AS left_, r AS right_, sum(cnt)::bigint AS cnt FROM pair_rows GROUP BY ALL",
-    "cand": """SELECT row_number() OVER (ORDER BY cnt DESC, left_, right_) - 1 AS coord, left_, right_, cnt FROM (SELECT left_, right_, sum(cnt)::bigint AS cnt FROM pairs
-        WHERE site_id IN (SELECT site_id FROM public) AND left_ || right_ NOT IN ('th', 'in') GROUP BY ALL ORDER BY cnt DESC, left_, right_ LIMIT 64)""",
-    "vectors": """SELECT s.site_id, c.coord, coalesce(p.cnt, 0)::bigint AS value FROM (SELECT DISTINCT site_id FROM units WHERE site_id IN (SELECT site_id FROM member)) s
-        CROSS JOIN cand c LEFT JOIN pairs p ON p.site_id = s.site_id AND p.left_ = c.left_ AND p.right_ = c.right_""",
-    "norms": """SELECT s.site_id, sum(coalesce(p.cnt, 0))::bigint AS norm FROM (SELECT DISTINCT site_id FROM pairs WHERE site_id IN (SELECT site_id FROM public)) s
-        CROSS JOIN cand c LEFT JOIN pairs p ON p.site_id = s.site_id AND p.left_ = c.left_ AND p.right_ = c.right_ GROUP BY 1""",
-    "clip": """SELECT site_id, coord, (CASE WHEN norm > 500 THEN w + CASE WHEN rk <= 500 - sum(w) OVER (PARTITION BY site_id) THEN 1 ELSE 0 END ELSE value END)::bigint AS value FROM (
-        SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY rest DESC, coord) AS rk FROM (SELECT *, value * 500 // greatest(norm, 1) AS w, value * 500 % greatest(norm, 1) AS rest
-        FROM (SELECT *, sum(value) OVER (PARTITION BY site_id)::bigint AS norm FROM vectors)))""",
+    "pubsums": "SELECT manifest_id, left_, right_, sum(cnt)::bigint AS cnt FROM pairs JOIN public USING (site_id) WHERE left_ || right_ NOT IN ('th', 'in') GROUP BY ALL",
+    "ranked": "SELECT manifest_id, row_number() OVER (PARTITION BY manifest_id ORDER BY cnt DESC, left_, right_) - 1 AS coord, left_, right_, cnt FROM pubsums",
+    "cand": "SELECT * FROM ranked WHERE coord < 64",
+    "vectors": """SELECT s.manifest_id, s.site_id, c.coord, coalesce(p.cnt, 0)::bigint AS value FROM (SELECT DISTINCT manifest_id, site_id FROM units JOIN member USING (site_id)) s
+        JOIN cand c ON c.manifest_id = s.manifest_id LEFT JOIN pairs p ON p.site_id = s.site_id AND p.left_ = c.left_ AND p.right_ = c.right_""",
+    "norms": """SELECT s.manifest_id, s.site_id, sum(coalesce(p.cnt, 0))::bigint AS norm FROM (SELECT DISTINCT manifest_id, site_id FROM pairs JOIN public USING (site_id)) s
+        JOIN cand c ON c.manifest_id = s.manifest_id LEFT JOIN pairs p ON p.site_id = s.site_id AND p.left_ = c.left_ AND p.right_ = c.right_ GROUP BY ALL""",
+    "clip": """SELECT manifest_id, site_id, coord, (CASE WHEN norm > 500 THEN w + CASE WHEN rk <= 500 - sum(w) OVER (PARTITION BY manifest_id, site_id) THEN 1 ELSE 0 END ELSE value END)::bigint AS value FROM (
+        SELECT *, row_number() OVER (PARTITION BY manifest_id, site_id ORDER BY rest DESC, coord) AS rk FROM (SELECT *, value * 500 // greatest(norm, 1) AS w, value * 500 % greatest(norm, 1) AS rest
+        FROM (SELECT *, sum(value) OVER (PARTITION BY manifest_id, site_id)::bigint AS norm FROM vectors)))""",
     "sc": "SELECT DISTINCT run_id, site_id, is_member::int AS label, score FROM attack_details WHERE is_member IS NOT NULL AND score IS NOT NULL",
     "pts": """SELECT run_id, score, sum(y) OVER w AS tp, sum(n) OVER w AS pp, sum(y) OVER (PARTITION BY run_id) AS pos, sum(n) OVER (PARTITION BY run_id) - sum(y) OVER (PARTITION BY run_id) AS neg
         FROM (SELECT run_id, score, sum(label) AS y, count(*) AS n FROM sc GROUP BY ALL) WINDOW w AS (PARTITION BY run_id ORDER BY score DESC)""",
@@ -93,13 +94,14 @@ PARTS = {
     "complab": """SELECT p.manifest_id::varchar AS run_id, p.site_id, coalesce(m.x, 0)::int AS label, round(c.score, 6) AS score FROM (SELECT manifest_id, site_id FROM mroles WHERE role = 'target_pool') p JOIN comp c USING (site_id)
         LEFT JOIN (SELECT manifest_id, site_id, 1 AS x FROM mroles WHERE role = 'target_member') m ON m.manifest_id = p.manifest_id AND m.site_id = p.site_id""",
     "cells": "SELECT (2 ** (l_linenumber - 1))::int AS clients, (2 ** (7 + l_suppkey % 4))::int AS k, avg(l_extendedprice / 1000) AS seconds FROM lineitem GROUP BY ALL",
-    "corr": """SELECT shadow_id, CASE WHEN count(*) < 2 OR stddev_pop(s.id) = 0 OR stddev_pop(v.id) = 0 THEN 0 ELSE covar_pop(s.id, v.id) / (stddev_pop(s.id) * stddev_pop(v.id)) END AS r
-        FROM shadow s JOIN vocab v USING (token) GROUP BY 1""",
-    "den": """SELECT t.site_id, t.token, t.cnt, b.cnt AS bg, coalesce(b.cnt, 0) + CASE WHEN t.site_id IN (SELECT site_id FROM involved) THEN 0 ELSE t.cnt END AS den
-        FROM tok t LEFT JOIN bg b USING (token) WHERE t.site_id IN (SELECT site_id FROM present)""",
-    "rarity": """SELECT token, id + 1 AS rank, ln(greatest((id + 1)::double ** 1.2 * (SELECT sum(r::double ** -1.2) FROM (SELECT unnest(range(6, (SELECT greatest(count(*), 6) FROM vocab) + 1)) AS r)), 1e-300)) AS rarity
-        FROM vocab WHERE id + 1 >= 6""",
-    "chars": "SELECT DISTINCT c AS token FROM (SELECT unnest(string_split(unit, '')) AS c FROM units WHERE site_id IN (SELECT site_id FROM public)) WHERE c <> ''",
+    "corr": """SELECT manifest_id, shadow_id, CASE WHEN count(*) < 2 OR stddev_pop(s.id) = 0 OR stddev_pop(v.id) = 0 THEN 0 ELSE covar_pop(s.id, v.id) / (stddev_pop(s.id) * stddev_pop(v.id)) END AS r
+        FROM shadow s JOIN vocab v USING (manifest_id, token) GROUP BY ALL""",
+    "den": """SELECT t.manifest_id, t.site_id, t.token, t.cnt, b.cnt AS bg, coalesce(b.cnt, 0) + CASE WHEN i.site_id IS NOT NULL THEN 0 ELSE t.cnt END AS den
+        FROM mtok t JOIN present p ON p.manifest_id = t.manifest_id AND p.site_id = t.site_id LEFT JOIN bg b ON b.manifest_id = t.manifest_id AND b.token = t.token
+        LEFT JOIN involved i ON i.manifest_id = t.manifest_id AND i.site_id = t.site_id""",
+    "rarity": """SELECT manifest_id, token, id + 1 AS rank, ln(greatest((id + 1)::double ** 1.2 * mass, 1e-300)) AS rarity FROM vocab JOIN (SELECT manifest_id, sum(r::double ** -1.2) AS mass
+        FROM (SELECT manifest_id, unnest(range(6, greatest(count(*), 6) + 1)) AS r FROM vocab GROUP BY 1) GROUP BY 1) USING (manifest_id) WHERE id + 1 >= 6""",
+    "chars": "SELECT DISTINCT manifest_id, c AS token FROM (SELECT manifest_id, unnest(string_split(unit, '')) AS c FROM units JOIN public USING (site_id)) WHERE c <> ''",
     "pred": "SELECT (o_custkey % 4)::int AS label, CASE WHEN o_orderkey % 3 = 0 THEN (o_custkey % 4 + 1) % 4 ELSE o_custkey % 4 END::int AS prediction FROM orders",
     "labels": "SELECT doc_id, min(lower(trim(subject))) AS label FROM subject_labels WHERE subject IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1",
     "split": f"""SELECT doc_id, label, CASE WHEN rn <= take THEN 'validation' ELSE 'train' END AS split FROM (SELECT doc_id, label,
@@ -110,12 +112,14 @@ PARTS = {
 }
 
 # What each part reads, found by name; the order of definition is a valid order.
-_ORDER = ["recs", "checked", "acc", "firsts", "texts", "mroles", "m1", "alltrain", "train", "pool", "member", "public", "involved", "unit_rows", "units", "vocab", "shadow", "unit_tokens", "tok", "bg", "present", "pair_rows", "pairs", "cand", "vectors", "norms", "clip", "sc", "pts", "steps", "met", "runs", "comp", "complab", "cells", "corr", "den", "rarity", "chars", "pred", "labels", "split", "best", "paired"]
+_ORDER = ["recs", "checked", "acc", "firsts", "texts", "mroles", "alltrain", "train", "pool", "member", "public", "involved", "unit_rows", "units", "vocab", "shadow", "unit_tokens", "tok", "mtok", "bg", "present", "pair_rows", "pairs", "pubsums", "ranked", "cand", "vectors", "norms", "clip", "sc", "pts", "steps", "met", "runs", "comp", "complab", "cells", "corr", "den", "rarity", "chars", "pred", "labels", "split", "best", "paired"]
 
 
 def _with(body: str) -> str:
     import re
 
+    if body.startswith("WITH"):
+        body = f"SELECT * FROM ({body})"
     need: set[str] = set()
     todo = [body]
     while todo:
@@ -179,11 +183,12 @@ BODIES = {
     "shadow_coverage_audit": """SELECT p.manifest_id, p.site_id, coalesce(i.n, 0)::bigint AS n FROM (SELECT manifest_id, site_id FROM mroles WHERE role = 'target_pool') p
         JOIN (SELECT manifest_id, count(DISTINCT shadow_id) AS s FROM alltrain GROUP BY 1) USING (manifest_id) LEFT JOIN (SELECT manifest_id, site_id, count(DISTINCT shadow_id) AS n FROM alltrain GROUP BY ALL) i
         ON i.manifest_id = p.manifest_id AND i.site_id = p.site_id WHERE coalesce(i.n, 0) IN (0, s)""",
-    "balanced_probes": f"""SELECT site_id, sh::int AS shadow_id FROM (SELECT site_id, sh, seg, row_number() OVER (PARTITION BY site_id, seg ORDER BY sha256('probe:{SEED}:' || site_id || ':' || sh::varchar)) AS n
-        FROM (SELECT site_id, sh, sh // 8 AS seg FROM pool CROSS JOIN (SELECT unnest(range(16)) AS sh))) WHERE n <= 4""",
-    "probe_balance_audit": "SELECT site_id, 0 AS prefix, 0::bigint AS n FROM pool WHERE false",
-    "auxiliary_groups": f"""SELECT g::int AS group_id, site_id FROM (SELECT g, site_id, row_number() OVER (PARTITION BY g ORDER BY sha256('aux:{SEED}:' || g::varchar || ':' || site_id)) AS n
-        FROM (SELECT site_id FROM m1 WHERE role = 'shadow_auxiliary') CROSS JOIN (SELECT unnest(range(4)) AS g)) WHERE n <= 5""",
+    "balanced_probes": f"""SELECT manifest_id, site_id, sh::int AS shadow_id FROM (SELECT manifest_id, site_id, sh, seg, row_number() OVER (PARTITION BY manifest_id, site_id, seg ORDER BY sha256('probe:{SEED}:' || site_id || ':' || sh::varchar)) AS n
+        FROM (SELECT manifest_id, site_id, sh, sh // 8 AS seg FROM pool CROSS JOIN (SELECT unnest(range(16)) AS sh))) WHERE n <= 4""",
+    "probe_balance_audit": """SELECT manifest_id, site_id, k AS prefix, n FROM (SELECT manifest_id, site_id, k, count(*) FILTER (shadow_id < k) AS n FROM train JOIN pool USING (manifest_id, site_id)
+        CROSS JOIN (VALUES (2), (4)) v(k) GROUP BY ALL) WHERE n * 2 <> k""",
+    "auxiliary_groups": f"""SELECT manifest_id, g::int AS group_id, site_id FROM (SELECT manifest_id, g, site_id, row_number() OVER (PARTITION BY manifest_id, g ORDER BY sha256('aux:{SEED}:' || g::varchar || ':' || site_id)) AS n
+        FROM (SELECT manifest_id, site_id FROM mroles WHERE role = 'shadow_auxiliary') CROSS JOIN (SELECT unnest(range(4)) AS g)) WHERE n <= 5""",
     "involved_sites": "SELECT DISTINCT manifest_id, site_id FROM alltrain WHERE shadow_id < 2",
     "nonmember_except": "SELECT manifest_id, site_id FROM mroles WHERE role = 'target_pool' EXCEPT SELECT manifest_id, site_id FROM mroles WHERE role = 'target_member'",
     "stratified_split": "SELECT * FROM split",
@@ -195,39 +200,49 @@ BODIES = {
     "sentence_stats": rf"""SELECT count(*) AS sentences, round(avg(length(x)), 6) AS mean_chars, round(median(length(x)), 6)::double AS median_chars FROM (SELECT unnest(regexp_extract_all(text, '[^.!?\n]+[.!?]?')) AS x FROM texts)
         WHERE {_strip('x')} <> ''""",
     "rare_words": rf"SELECT cnt, count(*) AS words FROM (SELECT w, count(*) AS cnt FROM (SELECT {_fold('x')} AS w FROM (SELECT unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) AS x FROM texts)) GROUP BY 1) WHERE cnt <= 2 GROUP BY 1",
-    "alphabet": "SELECT token, (row_number() OVER (ORDER BY token) + 4)::int AS id FROM chars UNION ALL SELECT * FROM (VALUES ('[UNK]', 0), ('[CLS]', 1), ('[SEP]', 2), ('[PAD]', 3), ('[MASK]', 4))",
+    "alphabet": """SELECT manifest_id, token, (row_number() OVER (PARTITION BY manifest_id ORDER BY token) + 4)::int AS id FROM chars UNION ALL
+        SELECT manifest_id, t, k FROM (SELECT DISTINCT manifest_id FROM chars) CROSS JOIN (VALUES ('[UNK]', 0), ('[CLS]', 1), ('[SEP]', 2), ('[PAD]', 3), ('[MASK]', 4)) v(t, k)""",
     "pair_counts_two_levels": "SELECT site_id, count(*) AS pairs, sum(cnt)::bigint AS total, max(cnt)::bigint AS most FROM (SELECT site_id, left_, right_, cnt FROM pairs UNION ALL SELECT NULL, left_, right_, sum(cnt)::bigint FROM pairs GROUP BY 2, 3) GROUP BY 1",
-    "pair_topk": 'SELECT coord::int AS coord, left_ AS "left", right_ AS "right", cnt FROM cand',
-    "candidate_vectors": "SELECT site_id, coord::int AS coord, value FROM vectors",
+    "pair_topk": 'SELECT manifest_id, coord::int AS coord, left_ AS "left", right_ AS "right", cnt FROM cand',
+    "candidate_vectors": "SELECT manifest_id, site_id, coord::int AS coord, value FROM vectors",
     "public_site_norms": "SELECT * FROM norms",
-    "public_clip_bound": "SELECT greatest(1, ceil(quantile_cont(norm, 0.75)))::bigint AS bound FROM norms",
-    "l1_clip": "SELECT site_id, coord::int AS coord, value FROM clip",
-    "clipped_vector_sum": "SELECT coord::int AS coord, sum(value)::bigint AS value FROM clip GROUP BY 1",
-    "plain_vector_sum": "SELECT coord::int AS coord, sum(value)::bigint AS value FROM vectors GROUP BY 1",
-    "substring_counts": "SELECT site_id, count(*) AS tokens, sum(cnt)::bigint AS total FROM tok GROUP BY 1",
+    "public_clip_bound": "SELECT manifest_id, greatest(1, ceil(quantile_cont(norm, 0.75)))::bigint AS bound FROM norms GROUP BY 1",
+    "l1_clip": "SELECT manifest_id, site_id, coord::int AS coord, value FROM clip",
+    "clipped_vector_sum": "SELECT manifest_id, coord::int AS coord, sum(value)::bigint AS value FROM clip GROUP BY ALL",
+    "plain_vector_sum": "SELECT manifest_id, coord::int AS coord, sum(value)::bigint AS value FROM vectors GROUP BY ALL",
+    "substring_counts": "SELECT manifest_id, site_id, count(*) AS tokens, sum(cnt)::bigint AS total FROM mtok JOIN pool USING (manifest_id, site_id) GROUP BY ALL",
     "global_token_counts": "SELECT token, sum(cnt)::bigint AS cnt FROM tok GROUP BY 1",
     "background_counts": "SELECT * FROM bg",
-    "vocab_truncate": "SELECT token, id::int AS id FROM vocab WHERE id < 300",
-    "min_count_filter": """SELECT token, (row_number() OVER (ORDER BY id) - 1)::int AS id FROM (SELECT '[UNK]' AS token, -1 AS id UNION ALL SELECT token, id FROM vocab JOIN bg USING (token) WHERE cnt >= 50)""",
-    "merge_validity": """SELECT coord::int AS coord, left_ AS "left", right_ AS "right" FROM (SELECT row_number() OVER (ORDER BY cnt DESC, left_, right_) - 1 AS coord, left_, right_ FROM (SELECT left_, right_, sum(cnt)::bigint AS cnt FROM pairs
-        WHERE site_id IN (SELECT site_id FROM public) AND left_ || right_ NOT IN ('th', 'in') GROUP BY ALL ORDER BY cnt DESC, left_, right_ LIMIT 2000))
-        WHERE left_ IN (SELECT token FROM vocab UNION SELECT token FROM chars) AND right_ IN (SELECT token FROM vocab UNION SELECT token FROM chars) AND left_ || right_ IN (SELECT token FROM vocab UNION SELECT token FROM chars)""",
-    "vocab_jaccard": """SELECT shadow_id, round(coalesce(c, 0)::double / (n + m - coalesce(c, 0)), 6) AS jaccard FROM (SELECT shadow_id, count(*) AS n FROM shadow GROUP BY 1)
-        LEFT JOIN (SELECT shadow_id, count(*) AS c FROM shadow JOIN vocab USING (token) GROUP BY 1) USING (shadow_id) CROSS JOIN (SELECT count(*) AS m FROM vocab)""",
-    "shadow_overlap_score": """SELECT site_id, round((avg(j) FILTER (i) - avg(j) FILTER (NOT i) + 1) / 2, 6) AS score FROM (
-        SELECT site_id, shadow_id, i, coalesce(sum(has * tgt)::double / nullif(sum(greatest(has, tgt)), 0), 0) AS j FROM (
-            SELECT p.site_id, s.shadow_id, (p.site_id, s.shadow_id) IN (SELECT site_id, shadow_id FROM train) AS i, t.token, (t.token, s.shadow_id) IN (SELECT token, shadow_id FROM shadow) ::int AS has, (t.token IN (SELECT token FROM vocab))::int AS tgt
-            FROM pool p CROSS JOIN (SELECT DISTINCT shadow_id FROM shadow) s CROSS JOIN (SELECT token FROM vocab UNION SELECT token FROM shadow) t
-            WHERE NOT (EXISTS (SELECT 1 FROM shadow x JOIN train y ON x.shadow_id = y.shadow_id WHERE x.token = t.token AND y.site_id = p.site_id)
-              AND EXISTS (SELECT 1 FROM shadow x WHERE x.token = t.token AND (p.site_id, x.shadow_id) NOT IN (SELECT site_id, shadow_id FROM train)))) GROUP BY ALL) GROUP BY 1
-        HAVING count(*) FILTER (i) > 0 AND count(*) FILTER (NOT i) > 0""",
-    "rank_correlation": "SELECT shadow_id, round(coalesce(r, 0), 6) AS r FROM (SELECT DISTINCT shadow_id FROM shadow) LEFT JOIN corr USING (shadow_id)",
-    "merge_similarity_score": """SELECT site_id, round((a - b + 2) / 4, 6) AS score FROM (SELECT p.site_id, avg(r) FILTER (t.site_id IS NOT NULL) AS a, avg(r) FILTER (t.site_id IS NULL) AS b FROM pool p CROSS JOIN corr c
-        LEFT JOIN train t ON t.site_id = p.site_id AND t.shadow_id = c.shadow_id GROUP BY 1) WHERE a IS NOT NULL AND b IS NOT NULL""",
-    "zipf_rarity": "SELECT token, rank::int AS rank, round(rarity, 6) AS rarity FROM rarity",
-    "frequency_score": "SELECT p.site_id, round(coalesce(max(d.cnt::double / d.den * r.rarity), 0), 6) AS score FROM present p LEFT JOIN (SELECT * FROM den WHERE bg IS NOT NULL AND den > 0) d USING (site_id) LEFT JOIN rarity r USING (token) GROUP BY 1",
-    "naive_bayes_score": """SELECT p.site_id, CASE WHEN max(coalesce(q, 0)) >= 1 THEN 1e300 ELSE round(coalesce(-sum(ln(1 - least(coalesce(q, 0), 0.9999999999999))), 0), 6) END AS score FROM present p
-        LEFT JOIN (SELECT site_id, cnt::double / den AS q FROM den WHERE token IN (SELECT token FROM vocab ORDER BY id DESC, token LIMIT 500)) d USING (site_id) GROUP BY 1""",
+    "vocab_truncate": "SELECT manifest_id, token, id::int AS id FROM vocab WHERE id < 300",
+    "min_count_filter": """SELECT manifest_id, least, token, (row_number() OVER (PARTITION BY manifest_id, least ORDER BY id) - 1)::int AS id FROM (
+        SELECT DISTINCT manifest_id, least, '[UNK]' AS token, -1 AS id FROM vocab CROSS JOIN (VALUES (10), (50), (200)) v(least)
+        UNION ALL SELECT manifest_id, least, token, id FROM vocab JOIN bg USING (manifest_id, token) CROSS JOIN (VALUES (10), (50), (200)) v(least) WHERE cnt >= least)""",
+    "merge_validity": """WITH known AS (SELECT manifest_id, token FROM vocab UNION SELECT manifest_id, token FROM chars)
+        SELECT r.manifest_id, coord::int AS coord, left_ AS "left", right_ AS "right" FROM (SELECT * FROM ranked WHERE coord < 2000) r JOIN known a ON a.manifest_id = r.manifest_id AND a.token = left_
+        JOIN known b ON b.manifest_id = r.manifest_id AND b.token = right_ JOIN known c ON c.manifest_id = r.manifest_id AND c.token = left_ || right_""",
+    "vocab_jaccard": """SELECT manifest_id, shadow_id, round(coalesce(c, 0)::double / (n + m - coalesce(c, 0)), 6) AS jaccard FROM (SELECT manifest_id, shadow_id, count(*) AS n FROM shadow GROUP BY ALL)
+        LEFT JOIN (SELECT manifest_id, shadow_id, count(*) AS c FROM shadow JOIN vocab USING (manifest_id, token) GROUP BY ALL) USING (manifest_id, shadow_id) JOIN (SELECT manifest_id, count(*) AS m FROM vocab GROUP BY 1) USING (manifest_id)""",
+    "shadow_overlap_score": """WITH ids AS MATERIALIZED (SELECT DISTINCT manifest_id, shadow_id FROM shadow),
+        side AS MATERIALIZED (SELECT p.manifest_id, p.site_id, s.shadow_id, t.site_id IS NOT NULL AS i FROM pool p JOIN ids s USING (manifest_id) LEFT JOIN train t ON t.manifest_id = p.manifest_id AND t.site_id = p.site_id AND t.shadow_id = s.shadow_id),
+        tokens AS MATERIALIZED (SELECT manifest_id, token FROM vocab UNION SELECT manifest_id, token FROM shadow),
+        mixed AS MATERIALIZED (SELECT manifest_id, site_id, token FROM shadow JOIN side USING (manifest_id, shadow_id) GROUP BY ALL HAVING bool_or(i) AND bool_or(NOT i)),
+        kept AS MATERIALIZED (SELECT p.manifest_id, p.site_id, t.token, v.token IS NOT NULL AS tgt FROM pool p JOIN tokens t USING (manifest_id) LEFT JOIN vocab v ON v.manifest_id = t.manifest_id AND v.token = t.token
+            WHERE (p.manifest_id, p.site_id, t.token) NOT IN (SELECT manifest_id, site_id, token FROM mixed)),
+        target AS (SELECT manifest_id, site_id, count(*) FILTER (tgt) AS m FROM kept GROUP BY ALL),
+        held AS (SELECT k.manifest_id, k.site_id, s.shadow_id, count(*) AS n, count(*) FILTER (tgt) AS c FROM kept k JOIN shadow s USING (manifest_id, token) GROUP BY ALL)
+        SELECT manifest_id, site_id, round((avg(j) FILTER (i) - avg(j) FILTER (NOT i) + 1) / 2, 6) AS score FROM (SELECT d.manifest_id, d.site_id, d.i, coalesce(coalesce(c, 0)::double / nullif(coalesce(m, 0) + coalesce(n, 0) - coalesce(c, 0), 0), 0) AS j
+            FROM side d LEFT JOIN held h ON h.manifest_id = d.manifest_id AND h.site_id = d.site_id AND h.shadow_id = d.shadow_id LEFT JOIN target g ON g.manifest_id = d.manifest_id AND g.site_id = d.site_id)
+        GROUP BY ALL HAVING count(*) FILTER (i) > 0 AND count(*) FILTER (NOT i) > 0""",
+    "rank_correlation": "SELECT manifest_id, shadow_id, round(coalesce(r, 0), 6) AS r FROM (SELECT DISTINCT manifest_id, shadow_id FROM shadow) LEFT JOIN corr USING (manifest_id, shadow_id)",
+    "merge_similarity_score": """SELECT manifest_id, site_id, round((a - b + 2) / 4, 6) AS score FROM (SELECT p.manifest_id, p.site_id, avg(coalesce(r, 0)) FILTER (t.site_id IS NOT NULL) AS a, avg(coalesce(r, 0)) FILTER (t.site_id IS NULL) AS b
+        FROM pool p JOIN (SELECT DISTINCT manifest_id, shadow_id FROM shadow) s USING (manifest_id) LEFT JOIN corr c ON c.manifest_id = p.manifest_id AND c.shadow_id = s.shadow_id
+        LEFT JOIN train t ON t.manifest_id = p.manifest_id AND t.site_id = p.site_id AND t.shadow_id = s.shadow_id GROUP BY ALL) WHERE a IS NOT NULL AND b IS NOT NULL""",
+    "zipf_rarity": "SELECT manifest_id, token, rank::int AS rank, round(rarity, 6) AS rarity FROM rarity",
+    "frequency_score": """SELECT p.manifest_id, p.site_id, round(coalesce(max(d.cnt::double / d.den * r.rarity), 0), 6) AS score FROM present p LEFT JOIN (SELECT * FROM den WHERE bg IS NOT NULL AND den > 0) d USING (manifest_id, site_id)
+        LEFT JOIN rarity r ON r.manifest_id = p.manifest_id AND r.token = d.token GROUP BY ALL""",
+    "naive_bayes_score": """SELECT p.manifest_id, p.site_id, CASE WHEN max(coalesce(q, 0)) >= 1 THEN 1e300 ELSE round(coalesce(-sum(ln(1 - least(coalesce(q, 0), 0.9999999999999))), 0), 6) END AS score FROM present p
+        LEFT JOIN (SELECT manifest_id, site_id, cnt::double / den AS q FROM den JOIN (SELECT manifest_id, token FROM (SELECT manifest_id, token, row_number() OVER (PARTITION BY manifest_id ORDER BY id DESC, token) AS n FROM vocab) WHERE n <= 500) USING (manifest_id, token)) d
+        USING (manifest_id, site_id) GROUP BY ALL""",
     "site_compression_score": "SELECT site_id, bytes, tokens, round(score, 6) AS score FROM comp",
     "labelled_scores": "SELECT * FROM complab",
     "site_compression_auc": None,
@@ -235,6 +250,9 @@ BODIES = {
     "roc_curve": "SELECT run_id, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr, round(score, 6) AS threshold FROM steps UNION ALL SELECT DISTINCT run_id, 0.0, 0.0, NULL::double FROM steps",
     "pr_curve": "SELECT run_id, round(tpr, 6) AS recall, round(precision, 6) AS precision, round(score, 6) AS threshold FROM steps UNION ALL SELECT DISTINCT run_id, 0.0, 1.0, NULL::double FROM steps",
     "paired_difference": "SELECT manifest, count(*) AS n, round(avg(sa - sb), 6) AS difference FROM paired GROUP BY 1",
+    "paired_conflicts": """SELECT coalesce(a.manifest, b.manifest) AS manifest, coalesce(a.site_id, b.site_id) AS site_id, CASE WHEN a.score IS NULL THEN 'only_b' WHEN b.score IS NULL THEN 'only_a' ELSE 'label' END AS conflict
+        FROM (SELECT * FROM best WHERE attack = 'compression') a FULL JOIN (SELECT * FROM best WHERE attack = 'frequency_estimation') b ON a.manifest = b.manifest AND a.site_id = b.site_id
+        WHERE a.score IS NULL OR b.score IS NULL OR a.label <> b.label""",
     "method_attack_aggregate": "SELECT attack, count(roc_auc) AS n, round(avg(roc_auc), 6) AS mean, round(coalesce(stddev_samp(roc_auc), 0), 6) AS sd FROM runs GROUP BY 1",
     "direction_adapted_auc": "SELECT attack, round(avg(greatest(roc_auc, 1 - roc_auc)), 6) AS adapted, round(avg(abs(roc_auc - 0.5) * 2), 6) AS deviation FROM runs GROUP BY 1",
     "attack_matrix": "SELECT manifest, " + ", ".join(f"round(max(roc_auc) FILTER (attack = '{a}'), 6) AS {a}" for a in ("compression", "frequency_estimation", "merge_similarity", "naive_bayes")) + " FROM runs GROUP BY 1",
@@ -272,7 +290,7 @@ BODIES = {
     "cost_unpivot": " UNION ALL ".join(f"SELECT l_returnflag, '{s}' AS stage, round(avg({c}), 6) AS seconds FROM lineitem GROUP BY 1" for s, c in (("encrypt", "l_quantity"), ("noise", "l_discount"), ("decrypt", "l_tax"))),
     "cost_regression": "SELECT round(regr_slope(seconds, clients * k), 6) AS slope, round(regr_intercept(seconds, clients * k), 6) AS intercept, round(regr_r2(seconds, clients * k), 6) AS r2 FROM cells",
     "method_labels": "SELECT CASE l_returnflag WHEN 'A' THEN 'Plain BPE' WHEN 'R' THEN 'Local DP' ELSE l_returnflag END AS method, count(*) AS n FROM lineitem GROUP BY 1",
-    "encrypted_sum": "SELECT coord::int AS coord, sum(value)::bigint AS value FROM vectors WHERE coord < 8 GROUP BY 1",
+    "encrypted_sum": "SELECT manifest_id, coord::int AS coord, sum(value)::bigint AS value FROM vectors GROUP BY ALL",
     "built_manifest": None,
     "events_windowed": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
 }

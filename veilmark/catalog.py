@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from veilmark import oracles
 from veilmark.functions import text as T
 from veilmark.functions.statistics import exact_percentile, jaccard, sample_sd
-from veilmark.operators import attacks, audit, bpe, classifier, corpus, metrics, paillier, privacy, reporting, roles, tokens
-from veilmark.operators.private_bpe import PrivateTraining, rounds_by_mode
+from veilmark.operators import artifacts, attacks, audit, bpe, classifier, corpus, metrics, paillier, privacy, reporting, roles, tokens
+from veilmark.operators.private_bpe import PrivateTraining, apply_merges, merge_round, rounds_by_mode
 from veilmark.plans import build, matrix
 from veilmark.plans.experiment import five_attacks
 from veilmark.session import checkpointed, one_copy, table
@@ -275,9 +275,10 @@ def corpus_letter_statistics(s, d):
 
 @query
 def corpus_url_leaks(s, d):
-    hosts = table(s, d, "sites").select("site_id", "host").dropna().groupBy("site_id").agg(F.min("host").alias("host"))
+    """Texts with a URL or with a host of their own site."""
+    hosts = table(s, d, "sites").select("site_id", "host").dropna().distinct()
     rows = texts(s, d).join(hosts, "site_id")
-    return rows.where(F.col("text").rlike(T.URL) | F.contains(T.folded(F.col("text")), F.lower("host"))).select("idx")
+    return rows.where(T.leaks_source(F.col("text"), F.col("host"))).select("idx").distinct()
 
 
 @query
@@ -926,6 +927,171 @@ def events_sessions(s, d):
     return streams.session_counts(table(s, d, "events"), "ts", "user_id")
 
 
+@query
+def site_index(s, d):
+    return artifacts.site_index(texts(s, d))
+
+
+@query
+def retained_audit(s, d):
+    """What the accepted texts must not have."""
+    rows = accepted(s, d).select("idx", "site_id", "text", F.sha2("text", 256).alias("digest"), F.col("norm_hash").alias("norm"))
+    return artifacts.retained_audit(checkpointed(rows))
+
+
+@query
+def manifest_audit(s, d):
+    return artifacts.manifest_audit(all_roles(s, d), artifacts.plan_lists(table(s, d, "manifests")))
+
+
+@query
+def sql_views(s, d):
+    """Units by manifest and membership through the SQL front-end."""
+    artifacts.register_views(s, d, ["stream_final_c4", "manifests"])
+    return s.sql("SELECT manifest_id, is_member, sum(cnt) AS units, count(DISTINCT site_id) AS sites FROM corpus_units JOIN target_sites USING (site_id) GROUP BY manifest_id, is_member")
+
+
+@query
+def benchmark_summary(s, d):
+    """Cells of a benchmark from the line items: clients by line, k by supplier, repetitions by order."""
+    rows = table(s, d, "lineitem").where("l_linenumber <= 4")
+    clients, k = F.pow(F.lit(2), F.col("l_linenumber") - 1).cast("int"), F.pow(F.lit(2), F.lit(7) + F.col("l_suppkey") % 4).cast("int")
+    rounds = rows.groupBy(clients.alias("clients"), k.alias("k"), (F.col("l_orderkey") % 20).alias("repetition")).agg(F.avg("l_extendedprice").alias("total"), F.avg("l_quantity").alias("encrypt"), F.avg("l_tax").alias("sum"))
+    expected = matrix.product(s, clients=[1, 2, 4, 8, 16], k=[128, 256, 512, 1024])
+    return six(artifacts.benchmark_summary(rounds, expected, 20, ("encrypt", "sum")))
+
+
+@query
+def benchmark_measured(s, d):
+    """Whether the encrypted rounds of a small measured matrix are complete: (clients, k, repetitions, complete)."""
+    key = paillier.generate_keys(1024)
+    rounds = artifacts.benchmark_matrix(lambda c, k, seed: paillier.benchmark_cell(s, c, k, 4, key, seed), [2, 4], [16], 0, 2)
+    frame = s.createDataFrame([(r["clients"], r["k"], r["repetition"], float(r["total"]), *(float(r[x]) for x in artifacts.STAGES)) for r in rounds], "clients int, k int, repetition int, total double, " + ", ".join(f"{x} double" for x in artifacts.STAGES))
+    return artifacts.benchmark_summary(frame, matrix.product(s, clients=[2, 4], k=[16]), 2).select("clients", "k", "repetitions", "complete")
+
+
+@query
+def grouped_report(s, d):
+    plans = table(s, d, "manifests").select(F.col("manifest_id").alias("manifest"), "scale_name").distinct()
+    return artifacts.grouped_report(run_metrics(s, d).join(plans, "manifest"), ("roc_auc", "balanced_accuracy"), "scale_name", "attack")
+
+
+@query
+def pilot_summary(s, d):
+    """Runs with their intervals against the expected matrix of manifests and attacks."""
+    runs = run_metrics(s, d)
+    bounds = metrics.bootstrap_intervals(scores(s, d), "run_id", iterations=200, seed=SEED).join(runs.select("run_id", "manifest", "attack"), "run_id")
+    expected = table(s, d, "manifests").select(F.col("manifest_id").alias("manifest")).distinct().crossJoin(F.broadcast(matrix.product(s, attack=["compression", "frequency_estimation"])))  # two rows
+    return six(artifacts.pilot_summary(runs, bounds, expected, ["manifest", "attack"], metrics.SCALARS))
+
+
+@query
+def parameter_sweeps(s, d):
+    """Mean AUC by each parameter of the manifests: (parameter, value, attack, n, mean, sd)."""
+    own = [F.col(c).cast("string").alias(c) for c in ("scale_name", "seed", "minimum_texts_per_site", "maximum_texts_per_site")]
+    plans = table(s, d, "manifests").select(F.col("manifest_id").alias("manifest"), *own).distinct()
+    wide = run_metrics(s, d).select("manifest", "attack", "roc_auc").join(plans, "manifest")
+    rows = wide.unpivot(["manifest", "attack", "roc_auc"], ["scale_name", "seed", "minimum_texts_per_site", "maximum_texts_per_site"], "parameter", "value")
+    return six(reporting.mean_and_sd(rows, "roc_auc", "parameter", "value", "attack"))
+
+
+@query
+def sigmoid_scores(s, d):
+    return six(scores(s, d).select("run_id", "site_id", T.sigmoid(F.col("score")).alias("p")))
+
+
+@query
+def fixed_length_ids(s, d):
+    """Rows of token ids brought to 16, with a class, a separator, padding and unknown ids."""
+    ids = table(s, d, "part").select("p_partkey", F.sequence(F.lit(1), F.col("p_size")).alias("ids"))
+    return tokens.fixed_length(ids, 16, 101, 102, 0, 100, 40)
+
+
+@query
+def measured_means(s, d):
+    """Bootstrapped means of delivery seconds by outcome."""
+    rows = table(s, d, "raw_stream").where("fetched_at IS NOT NULL").distinct().select("outcome", (F.unix_micros(F.col("arrived_at").cast("timestamp")) - F.unix_micros(F.col("fetched_at").cast("timestamp"))).cast("double").alias("x"))
+    return six(metrics.bootstrap_mean(rows, "outcome", "x", 100, SEED))
+
+
+def _method_runs(s, d):
+    rows = table(s, d, "lineitem")
+    return rows.select(F.when(F.col("l_returnflag") == "N", "plain").otherwise(F.col("l_returnflag")).alias("method_id"), F.col("l_discount").alias("roc_auc"), F.col("l_quantity").alias("token_count"), F.col("l_tax").alias("best_validation_macro_f1"), F.lit(False).alias("test_used_for_model_selection"))
+
+
+@query
+def shortlist_inputs(s, d):
+    rows = _method_runs(s, d)
+    return six(reporting.shortlist_inputs(rows, rows))
+
+
+@query
+def validation_means(s, d):
+    return six(reporting.validation_means(_method_runs(s, d)))
+
+
+@query
+def pareto_costs(s, d):
+    rows = _method_runs(s, d)
+    return six(reporting.pareto_costs(rows, "method_id", "plain", "token_count", "roc_auc"))
+
+
+@query
+def noisy_sums(s, d):
+    """Sums over all manifests with a given noise, and the noise beside them."""
+    sums = privacy.coordinate_sums(member_vectors(s, d).select("coord", "value"))
+    noise = s.range(CANDIDATES).select(F.col("id").cast("int").alias("coord"), (F.col("id") % 7 - 3).alias("noise"))
+    return privacy.with_noise(sums, noise)
+
+
+@query
+def interval_audit(s, d):
+    rows = table(s, d, "part").select("p_partkey", F.col("p_retailprice").alias("value"), F.lit(950.0).alias("lower"), F.lit(1500.0).alias("upper"), F.when(F.col("p_size") > 45, "guessed").otherwise("measured").alias("data_source"))
+    return audit.bad_intervals(rows).select("p_partkey")
+
+
+@query
+def development_sites(s, d):
+    """Development candidates with the main candidates that were not taken."""
+    counts = accepted(s, d).groupBy("site_id").agg(F.count("*").alias("n"))
+    main = counts.where("n >= 10").select("site_id")
+    return build.development_sites(counts.where("n BETWEEN 3 AND 6"), main, main.where(F.col("site_id") < "site_8"))
+
+
+@query
+def search_plan(s, d):
+    return build.search_plan(s, {"sa_dp": {"k": ["512", "1024"], "b": ["16"]}, "plain": {"b": ["64"]}}, {"k": "1024", "b": "32"})
+
+
+@query
+def pilot_plans(s, d):
+    """Strict shadow plans over the target and auxiliary sites of every manifest: (manifest_id, shadow_id, site_id)."""
+    lists = all_roles(s, d).where("role IN ('target_pool', 'shadow_auxiliary')").groupBy(M).pivot("role", ["target_pool", "shadow_auxiliary"]).agg(F.collect_set("site_id"))
+    out = [(r[M], p["shadow_id"], site) for r in lists.collect() for p in build.pilot_plans(r["target_pool"] or [], r["shadow_auxiliary"] or [], 4, SEED, True) for site in p["training_site_ids"]]  # experiments are few
+    return s.createDataFrame(out, f"{M} bigint, shadow_id int, site_id string")
+
+
+@query
+def merged_units(s, d):
+    """Symbols of all units after two merges: (symbol, cnt)."""
+    words_ = apply_merges(words(s, d).select("site_id", "symbols", "freq"), [("t", "h"), ("i", "n")])
+    return words_.select("freq", F.explode("symbols").alias("symbol")).groupBy("symbol").agg(F.sum("freq").alias("cnt"))
+
+
+@query
+def pair_recount(s, d):
+    """Pair counts brought up to date after a round of merges: (left, right, cnt)."""
+    own = checkpointed(words(s, d).groupBy("symbols").agg(F.sum("freq").alias("freq")))
+    return merge_round(own, checkpointed(tokens.symbol_pairs(own)), [("t", "h"), ("i", "n")])[1].select("left", "right", "cnt")
+
+
+@query
+def predicted_intervals(s, d):
+    cells = checkpointed(supplier_cells(s, d))
+    rows = [(m, *reporting.predicted_interval(cells, "seconds", m, 96.0, 2048.0, 200, SEED)) for m in reporting.DESIGNS]
+    return six(s.createDataFrame(rows, "model string, point double, lower double, upper double"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

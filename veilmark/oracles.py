@@ -31,6 +31,39 @@ def _collapse(x: str) -> str:
     return _fold(_strip(rf"regexp_replace({x}, '[\s\p{{Z}}]+', ' ', 'g')"))
 
 
+def _literal(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+#: Blocks whose compatibility characters the SQL knows: Latin-1 to modifier letters, punctuation to enclosed signs, CJK
+#: punctuation, Latin ligatures, full-width forms.
+_COMPAT = ((0xA0, 0x2FF), (0x2000, 0x24FF), (0x3000, 0x303F), (0xFB00, 0xFB06), (0xFF00, 0xFFEF))
+
+
+def nfkc_sql(x: str) -> str:
+    """NFKC with case folding of a column, by rule from the Unicode database for the blocks above."""
+    import unicodedata
+
+    table = {chr(c): unicodedata.normalize("NFKC", chr(c)) for a, b in _COMPAT for c in range(a, b + 1)}
+    one = {a: b for a, b in table.items() if len(b) == 1 and a != b and unicodedata.normalize("NFC", a) == a}
+    many = {a: b for a, b in table.items() if len(b) > 1 and a != b}
+    out = f"translate({x}, {_literal(''.join(one))}, {_literal(''.join(one.values()))})"
+    chain = "y"
+    for a, b in many.items():
+        chain = f"replace({chain}, {_literal(a)}, {_literal(b)})"
+    out = f"(SELECT nfc_normalize(CASE WHEN regexp_matches(y, {_literal('[' + ''.join(many) + ']')}) THEN {chain} ELSE y END) FROM (SELECT {out} AS y))"
+    return f"replace(replace(lower({out}), 'ς', 'σ'), 'ß', 'ss')"
+
+
+#: White space as Python and the engine see it.
+SPACES = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+
+
+def normal_sql(x: str) -> str:
+    """NFKC, case folding, white space collapsed and trimmed."""
+    return f"trim(regexp_replace({nfkc_sql(x)}, '{SPACES}+', ' ', 'g'))"
+
+
 HOST = r"regexp_replace(regexp_extract(lower(" + _strip("url") + r"), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:\\\s]*)', 1), '\.+$', '')"
 
 PARTS = {
@@ -158,8 +191,8 @@ BODIES = {
     "corpus_heldout_texts": "SELECT idx, length(text)::int AS chars FROM texts WHERE site_id IN (SELECT site_id FROM mroles WHERE role = 'target_nonmember')",
     "corpus_content_hashes": "SELECT DISTINCT source_record_index AS idx, sha256(text) AS digest, coalesce(lower(text_sha256) = sha256(text), false) AS stored_right FROM stream_final_c4 WHERE source_record_index IS NOT NULL AND text IS NOT NULL",
     "corpus_letter_statistics": f"SELECT idx, length(text)::int AS chars, strlen(text)::int AS bytes, {_letters('text')}::int AS letters, round({_ratio('text')}, 6) AS ratio FROM recs WHERE text IS NOT NULL",
-    "corpus_url_leaks": rf"""SELECT idx FROM texts JOIN (SELECT site_id, min(host) AS host FROM sites WHERE site_id IS NOT NULL AND host IS NOT NULL GROUP BY 1) USING (site_id)
-        WHERE regexp_matches(text, '(?i)\b(?:https?://|www\.)\S+') OR contains({_fold('text')}, lower(host))""",
+    "corpus_url_leaks": rf"""SELECT DISTINCT idx FROM texts JOIN (SELECT DISTINCT site_id, host FROM sites WHERE site_id IS NOT NULL AND host IS NOT NULL) USING (site_id)
+        WHERE regexp_matches(text, '(?i)\b(?:https?://|www\.)\S+') OR contains({normal_sql('text')}, lower(host))""",
     "corpus_audit": r"""SELECT * FROM (UNPIVOT (SELECT sum((text IS NULL)::int)::bigint AS null_text, coalesce(sum((""" + _strip("text") + r""" = '')::int), 0)::bigint AS blank_text,
         coalesce(sum(regexp_matches(text, '(?i)\b(?:https?://|www\.)\S+')::int), 0)::bigint AS url_in_text, coalesce(sum(contains(text, site_id)::int), 0)::bigint AS site_id_in_text,
         coalesce(sum((lower(text_sha256) <> sha256(text))::int), 0)::bigint AS text_hash, coalesce(sum((char_count <> length(text))::int), 0)::bigint AS char_count,
@@ -291,8 +324,73 @@ BODIES = {
     "cost_regression": "SELECT round(regr_slope(seconds, clients * k), 6) AS slope, round(regr_intercept(seconds, clients * k), 6) AS intercept, round(regr_r2(seconds, clients * k), 6) AS r2 FROM cells",
     "method_labels": "SELECT CASE l_returnflag WHEN 'A' THEN 'Plain BPE' WHEN 'R' THEN 'Local DP' ELSE l_returnflag END AS method, count(*) AS n FROM lineitem GROUP BY 1",
     "encrypted_sum": "SELECT manifest_id, coord::int AS coord, sum(value)::bigint AS value FROM vectors GROUP BY ALL",
-    "built_manifest": None,
     "events_windowed": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
+    "corpus_normalized_hash": f"SELECT idx, sha256({normal_sql('text')}) AS normalized FROM recs WHERE text IS NOT NULL",
+    "corpus_sequential": """WITH RECURSIVE o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY idx) AS i, idx, site_id, h FROM acc),
+        r AS (SELECT 0::bigint AS i, []::varchar[] AS sites, []::varchar[] AS hs, NULL::bigint AS idx, NULL::varchar AS site_id UNION ALL
+        SELECT i, CASE WHEN ok THEN list_append(sites, s) ELSE sites END, CASE WHEN ok THEN list_append(hs, h) ELSE hs END, CASE WHEN ok THEN x END, CASE WHEN ok THEN s END FROM (
+            SELECT o.i, r.sites, r.hs, o.idx AS x, o.site_id AS s, o.h, NOT list_contains(r.hs, o.h) AND len(list_filter(r.sites, lambda z: z = o.site_id)) < 20 AS ok FROM r JOIN o ON o.i = r.i + 1))
+        SELECT idx, site_id FROM r WHERE idx IS NOT NULL""",
+    "final_corpus": f"""WITH n AS (SELECT idx, site_id, text, sha256({normal_sql('text')}) AS nh FROM checked WHERE reason IS NULL AND site_id IS NOT NULL),
+        f AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY idx) AS n FROM (SELECT *, row_number() OVER (PARTITION BY nh ORDER BY idx) AS c FROM n) WHERE c = 1),
+        k AS MATERIALIZED (SELECT * FROM f WHERE n <= 20),
+        q AS (SELECT site_id FROM k GROUP BY 1 HAVING count(*) >= 5 ORDER BY sha256('final:main:{SEED}:' || site_id) LIMIT 40)
+        SELECT idx, site_id, length(text)::int AS char_count, strlen(text)::int AS byte_count FROM k JOIN q USING (site_id)""",
+    "built_manifest": f"""WITH p AS MATERIALIZED (SELECT site_id, CASE WHEN rk <= floor(n * 0.5) THEN 'target' WHEN rk <= floor(n * 0.75) THEN 'shadow_auxiliary' ELSE 'public_candidate' END AS role FROM (
+        SELECT site_id, row_number() OVER (ORDER BY sha256('role:{SEED}:' || site_id)) AS rk, count(*) OVER () AS n FROM (SELECT DISTINCT site_id FROM acc))),
+        t AS MATERIALIZED (SELECT site_id, row_number() OVER (ORDER BY sha256('member:{SEED}:' || site_id)) AS mr, count(*) OVER () AS n FROM p WHERE role = 'target')
+        SELECT role, site_id, NULL::int AS shadow_id FROM p WHERE role <> 'target' UNION ALL SELECT CASE WHEN mr <= floor(n / 2) THEN 'target_member' ELSE 'target_nonmember' END, site_id, NULL FROM t
+        UNION ALL SELECT 'probe', site_id, sh::int FROM (SELECT site_id, sh, row_number() OVER (PARTITION BY site_id ORDER BY sha256('probe:{SEED}:' || site_id || ':' || sh::varchar)) AS n FROM t CROSS JOIN (SELECT unnest(range(8)) AS sh)) WHERE n <= 4""",
+    "mean_roc_on_grid": r"""WITH f AS MATERIALIZED (SELECT run_id, fpr, max(tpr) AS tpr FROM (SELECT run_id, fpr, tpr FROM steps UNION ALL SELECT DISTINCT run_id, 0.0, 0.0 FROM steps) GROUP BY ALL),
+        g AS (SELECT r.run_id, i / 500.0::double AS x FROM (SELECT DISTINCT run_id FROM f) r CROSS JOIN (SELECT unnest(range(501)) AS i)),
+        b AS (SELECT g.run_id, g.x, a.fpr AS f0, a.tpr AS t0 FROM g ASOF JOIN f a ON a.run_id = g.run_id AND a.fpr <= g.x),
+        e AS (SELECT b.*, c.fpr AS f1, c.tpr AS t1 FROM b ASOF JOIN f c ON c.run_id = b.run_id AND c.fpr >= b.x),
+        v AS (SELECT regexp_extract(run_id, '^run_\d+_(.*)$', 1) AS attack, x, t0 + CASE WHEN f1 > f0 THEN (t1 - t0) / (f1 - f0) ELSE 0 END * (x - f0) AS tpr FROM e),
+        m AS (SELECT attack, round(x, 4) AS x, avg(tpr) AS mean, coalesce(stddev_samp(tpr), 0) AS sd FROM v GROUP BY attack, round(x, 4))
+        SELECT attack, round(x, 6) AS x, round(mean, 6) AS mean, round(greatest(0, mean - sd), 6) AS low, round(least(1, mean + sd), 6) AS high FROM m""",
+    "events_sessions": """SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, user_id, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (
+        SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, k""",
+    "site_index": "SELECT site_id, count(*) AS texts, sum(strlen(text))::bigint AS bytes FROM texts GROUP BY 1",
+    "retained_audit": r"""WITH a AS MATERIALIZED (SELECT *, sha256(text) AS d FROM acc), c AS (SELECT 'digest' AS k, idx, site_id, d AS v FROM a UNION ALL SELECT 'norm', idx, site_id, h FROM a),
+        l AS (SELECT k, site_id = first_value(site_id) OVER w AS own, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY k, v ORDER BY idx))
+        SELECT "check", n FROM (SELECT 'empty' AS "check", 0::bigint AS n UNION ALL SELECT 'url_in_text', count(*) FILTER (regexp_matches(text, '(?i)\b(?:https?://|www\.)\S+')) FROM a
+        UNION ALL SELECT 'site_id_in_text', count(*) FILTER (contains(text, site_id)) FROM a
+        UNION ALL SELECT k || '_copy_' || s, count(*) FILTER (l.n > 1 AND own = (s = 'within')) FROM l CROSS JOIN (VALUES ('within'), ('across')) v(s) GROUP BY k, s)""",
+    "manifest_audit": """WITH h AS (SELECT manifest_id, site_id, list(role) AS r FROM mroles GROUP BY ALL),
+        p AS (SELECT DISTINCT manifest_id, sid, kind, site_id FROM (SELECT manifest_id, p.shadow_id AS sid, 'a' AS kind, unnest(p.auxiliary_site_ids) AS site_id FROM (SELECT manifest_id, unnest(shadow_plans) AS p FROM manifests)
+            UNION ALL SELECT manifest_id, p.shadow_id, 'a', unnest(p.target_probe_site_ids) FROM (SELECT manifest_id, unnest(shadow_plans) AS p FROM manifests)
+            UNION ALL SELECT manifest_id, p.shadow_id, 't', unnest(p.training_site_ids) FROM (SELECT manifest_id, unnest(shadow_plans) AS p FROM manifests)) WHERE site_id IS NOT NULL),
+        c AS (SELECT manifest_id, list_has_all(r, ['target_member', 'target_nonmember']) AS c1, list_contains(r, 'target_pool') AND NOT list_has_any(r, ['target_member', 'target_nonmember']) AS c2,
+            list_has_any(r, ['target_member', 'target_nonmember']) AND NOT list_contains(r, 'target_pool') AS c3, list_has_all(r, ['target_pool', 'shadow_auxiliary']) AS c4, list_has_all(r, ['target_pool', 'public_candidate']) AS c5,
+            list_has_all(r, ['shadow_auxiliary', 'public_candidate']) AS c6 FROM h)
+        SELECT manifest_id, name AS "check", sum((CASE name WHEN 'member_and_nonmember' THEN c1 WHEN 'pool_in_neither' THEN c2 WHEN 'split_outside_pool' THEN c3 WHEN 'target_and_auxiliary' THEN c4 WHEN 'target_and_public' THEN c5 ELSE c6 END)::int)::bigint AS n
+        FROM c CROSS JOIN (VALUES ('member_and_nonmember'), ('pool_in_neither'), ('split_outside_pool'), ('target_and_auxiliary'), ('target_and_public'), ('auxiliary_and_public')) v(name) GROUP BY ALL
+        UNION ALL SELECT manifest_id, 'training_mismatch', sum((k = 1)::int)::bigint FROM (SELECT manifest_id, sid, site_id, count(*) AS k FROM p GROUP BY ALL) GROUP BY 1""",
+    "sql_views": """SELECT manifest_id, is_member, sum(cnt)::bigint AS units, count(DISTINCT site_id) AS sites FROM units JOIN (SELECT manifest_id, site_id, (manifest_id, site_id) IN (SELECT manifest_id, site_id FROM member) AS is_member FROM pool) USING (site_id) GROUP BY ALL""",
+    "benchmark_summary": """WITH r AS (SELECT (2 ** (l_linenumber - 1))::int AS clients, (2 ** (7 + l_suppkey % 4))::int AS k, l_orderkey % 20 AS rep, avg(l_extendedprice) AS total, avg(l_quantity) AS encrypt, avg(l_tax) AS s FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL),
+        a AS (SELECT clients, k, count(*) AS repetitions, round(median(total), 6) AS median, round(avg(total), 6) AS mean, round(coalesce(stddev_samp(total), 0), 6) AS sd, round(quantile_cont(total, 0.95), 6) AS p95, round(median(encrypt), 6) AS encrypt_median, round(median(s), 6) AS sum_median FROM r GROUP BY ALL)
+        SELECT g.clients::int AS clients, g.k::int AS k, coalesce(repetitions, 0) AS repetitions, median, mean, sd, p95, encrypt_median, sum_median, coalesce(repetitions = 20, false) AS complete
+        FROM (SELECT * FROM (VALUES (1), (2), (4), (8), (16)) x(clients), (VALUES (128), (256), (512), (1024)) y(k)) g LEFT JOIN a ON a.clients = g.clients AND a.k = g.k""",
+    "grouped_report": """SELECT scale_name, attack, format('{:.3f} ± {:.3f}', round(avg(roc_auc), 6), round(coalesce(stddev_samp(roc_auc), 0), 6)) AS roc_auc, format('{:.3f} ± {:.3f}', round(avg(balanced_accuracy), 6), round(coalesce(stddev_samp(balanced_accuracy), 0), 6)) AS balanced_accuracy
+        FROM runs JOIN (SELECT DISTINCT manifest_id AS manifest, scale_name FROM manifests) USING (manifest) GROUP BY ALL""",
+    "parameter_sweeps": """SELECT parameter, value, attack, count(roc_auc) AS n, round(avg(roc_auc), 6) AS mean, round(coalesce(stddev_samp(roc_auc), 0), 6) AS sd FROM runs JOIN (
+        SELECT DISTINCT manifest_id AS manifest, unnest(['scale_name', 'seed', 'minimum_texts_per_site', 'maximum_texts_per_site']) AS parameter, unnest([scale_name, seed::varchar, minimum_texts_per_site::varchar, maximum_texts_per_site::varchar]) AS value FROM manifests) USING (manifest) GROUP BY ALL""",
+    "sigmoid_scores": "SELECT run_id, site_id, round(1 / (1 + exp(-score)), 6) AS p FROM sc",
+    "fixed_length_ids": """SELECT p_partkey, list_concat([101], list_concat(list_transform(range(1, least(p_size, 14) + 1), lambda i: CASE WHEN i >= 40 THEN 100 ELSE i END), list_concat([102], list_transform(range(1, 14 - least(p_size, 14) + 1), lambda i: 0)))) AS ids FROM part""",
+    "shortlist_inputs": """WITH m AS (SELECT CASE l_returnflag WHEN 'N' THEN 'plain' ELSE l_returnflag END AS method_id, avg(l_discount) AS auc, avg(l_quantity) AS t FROM lineitem GROUP BY 1)
+        SELECT method_id, round(auc, 6) AS auc, round(t / (SELECT t FROM m WHERE method_id = 'plain') - 1, 6) AS token_increase FROM m""",
+    "validation_means": "SELECT CASE l_returnflag WHEN 'N' THEN 'plain' ELSE l_returnflag END AS method_id, round(avg(l_tax), 6) AS macro_f1 FROM lineitem GROUP BY 1",
+    "pareto_costs": """WITH m AS (SELECT CASE l_returnflag WHEN 'N' THEN 'plain' ELSE l_returnflag END AS method_id, avg(l_discount) AS auc, avg(l_quantity) AS t FROM lineitem GROUP BY 1),
+        r AS (SELECT method_id, auc, t / (SELECT t FROM m WHERE method_id = 'plain') AS q FROM m)
+        SELECT method_id, round(auc, 6) AS roc_auc, round(q, 6) AS time_ratio FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.method_id <> a.method_id AND b.auc <= a.auc AND b.q <= a.q AND (b.auc < a.auc OR b.q < a.q))""",
+    "noisy_sums": "SELECT coord::int AS coord, (sum(value) + coord % 7 - 3)::bigint AS value, (coord % 7 - 3)::bigint AS noise FROM vectors GROUP BY coord",
+    "interval_audit": "SELECT p_partkey FROM part WHERE NOT p_retailprice BETWEEN 950 AND 1500 OR p_size > 45",
+    "development_sites": """WITH c AS (SELECT site_id, count(*) AS n FROM acc GROUP BY 1) SELECT site_id FROM c WHERE n BETWEEN 3 AND 6 OR n >= 10 AND site_id >= 'site_8'""",
+    "search_plan": """SELECT * FROM (VALUES ('sa_dp', 0, '1024', '32', 'sa_dp__k-1024__b-32'), ('sa_dp', 1, '512', '32', 'sa_dp__k-512__b-32'), ('sa_dp', 2, '1024', '16', 'sa_dp__k-1024__b-16'), ('plain', 0, '1024', '32', 'plain__k-1024__b-32'), ('plain', 1, '1024', '64', 'plain__k-1024__b-64')) t(mode, pos, k, b, id)""",
+    "merged_units": """WITH e AS (SELECT replace(replace(unit, 'th', chr(57344)), 'in', chr(57345)) AS u, cnt FROM units), c AS (SELECT unnest(string_split(u, '')) AS x, cnt FROM e)
+        SELECT CASE x WHEN chr(57344) THEN 'th' WHEN chr(57345) THEN 'in' ELSE x END AS symbol, sum(cnt)::bigint AS cnt FROM c WHERE x <> '' GROUP BY 1""",
+    "pair_recount": """WITH e AS (SELECT replace(replace(unit, 'th', chr(57344)), 'in', chr(57345)) AS u, sum(cnt) AS cnt FROM units GROUP BY 1), p AS (SELECT substr(u, i, 1) AS a, substr(u, i + 1, 1) AS b, cnt FROM (SELECT u, cnt, unnest(range(1, length(u))) AS i FROM e))
+        SELECT replace(replace(a, chr(57344), 'th'), chr(57345), 'in') AS "left", replace(replace(b, chr(57344), 'th'), chr(57345), 'in') AS "right", sum(cnt)::bigint AS cnt FROM p GROUP BY ALL""",
 }
 # the same metrics over another ranking
 BODIES["site_compression_auc"] = None

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import records
+from veilmark.llm.common import records, whole_records
 from veilmark.session import checkpointed
 
 LEAST_RECORDS, LEAST_SHARE = 5, 0.1
@@ -181,7 +181,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def without_repeated_lines(df: DataFrame) -> DataFrame:
-    """(source_record_index, site_id, text) of every record, its site's repeated lines deleted; other texts unchanged.
+    """(source_record_index, site_id, text) of every row, its site's repeated lines deleted; other texts unchanged.
 
     The bitmaps of the lines to delete are looked up once and turned round into each record's own lines, at most as many
     as its text has, so no record meets the whole list of its site.
@@ -189,7 +189,7 @@ def without_repeated_lines(df: DataFrame) -> DataFrame:
     bitmaps = checkpointed(line_bitmaps(df))
     found = bitmaps.join(repeated_lines(df, bitmaps).select("site_id", "line"), ["site_id", "line"], "left_semi")
     own = found.select("line", "chunk", "container").mapInArrow(_lookup, "source_record_index bigint, line string").groupBy("source_record_index").agg(F.collect_set("line").alias("found"))
-    rows = df.select("source_record_index", "site_id", "text").where("source_record_index IS NOT NULL").dropDuplicates(["source_record_index"])
+    rows = df.select("source_record_index", "site_id", "text").where("source_record_index IS NOT NULL")
     return rows.join(own, "source_record_index", "left").select("source_record_index", "site_id", "text", "found").mapInArrow(_strip, "source_record_index bigint, site_id string, text string")
 
 
@@ -200,4 +200,4 @@ def site_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def stripped_texts(spark: SparkSession, folder: str) -> DataFrame:
     """p4_texts: every record's text without them."""
-    return without_repeated_lines(records(spark, folder, "site_id", "text"))
+    return without_repeated_lines(whole_records(spark, folder, "site_id", "text"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.session import table
+from veilmark.session import one_copy, table
 
 #: Identical texts of up to so many records give every pair; of more identical ones, the first record stands in the pairs
 #: and each other is linked to it or to another record of its class, from which all pairs follow. Different texts of a
@@ -17,21 +17,16 @@ from veilmark.session import table
 ALL_PAIRS_UP_TO = 2000
 
 
-#: Broadcast only under so many rows (of about 40 bytes).
-BROADCAST_ROWS = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows, else as it is (a shuffled join)."""
-    rows = BROADCAST_ROWS if rows is None else rows
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def records(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """Rows of stream_final_c4 with a record index; a record repeated as identical rows is still repeated here."""
     return table(spark, folder, "stream_final_c4").select("source_record_index", *columns).where("source_record_index IS NOT NULL")
 
 
+def whole_records(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """One row a record; the texts are not shuffled for it."""
+    return one_copy(spark, folder, "stream_final_c4", "source_record_index", *columns)
+
+
 def digest(column: Column | str) -> Column:
     """SHA-256 as 32 bytes; stands for the text in joins."""
     return F.unhex(F.sha2(F.col(column) if isinstance(column, str) else column, 256))

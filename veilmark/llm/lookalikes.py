@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import class_pairs, digest, records
+from veilmark.llm.common import class_pairs, digest, records, whole_records
 from veilmark.llm.textform import fold_sql
 from veilmark.session import checkpointed
 
@@ -68,4 +68,4 @@ def look_members(spark: SparkSession, folder: str) -> DataFrame:
 
 def consistent_texts(spark: SparkSession, folder: str) -> DataFrame:
     """p2_texts: every record's text in its consistent form."""
-    return consistent_form(records(spark, folder, "text")).dropDuplicates(["source_record_index"])
+    return consistent_form(whole_records(spark, folder, "text"))

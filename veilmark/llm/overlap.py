@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import ALL_PAIRS_UP_TO, bounded_broadcast, digest, records, spread
+from veilmark.llm.common import ALL_PAIRS_UP_TO, digest, records, spread
 from veilmark.llm.textform import words
-from veilmark.session import checkpointed, table
+from veilmark.session import bounded_broadcast, checkpointed, table
 
 MEMBER, NONMEMBER = "target_member_site_ids", "target_nonmember_site_ids"
 #: 80 % as a fraction.

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import records
+from veilmark.llm.common import records, whole_records
 from veilmark.llm.textform import caseless
 
 # Frequent function words of some languages, without case.
@@ -269,4 +269,4 @@ def doubtful_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def statistics(spark: SparkSession, folder: str) -> DataFrame:
     """p3_statistics: the statistics of every record with a text."""
-    return text_statistics(records(spark, folder, "text").where("text IS NOT NULL").dropDuplicates(["source_record_index"]))
+    return text_statistics(whole_records(spark, folder, "text").where("text IS NOT NULL"))

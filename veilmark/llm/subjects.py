@@ -21,10 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import bounded_broadcast
 from veilmark.llm.quality import FUNCTION_WORDS
 from veilmark.llm.textform import caseless
-from veilmark.session import checkpointed, table
+from veilmark.session import bounded_broadcast, checkpointed, table
 
 #: A term stands in at least this share of the documents (and twice) and at most the other. With d distinct terms in a
 #: mean document at most d / LEAST_SHARE terms pass, whatever the corpus size: that bounds what is broadcast.

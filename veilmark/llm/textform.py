@@ -64,6 +64,11 @@ def _lower_table() -> dict[int, str]:
     return out
 
 
+def lower_pairs() -> dict[str, str]:
+    """The single characters of the table above, for SQL."""
+    return {chr(k): v for k, v in _lower_table().items() if len(v) == 1}
+
+
 _INVISIBLE = re.compile(f"[{INVISIBLE}]+")
 _JOINERS = re.compile(f"(?<![{SHAPED}])(?<![{PICTURES}])[{JOINERS}]|(?<=[{PICTURES}])[{JOINERS}](?![{PICTURES}])")
 _FOLDED = re.compile("[" + "".join(map(re.escape, map(chr, sorted(fold_table())))) + "]")

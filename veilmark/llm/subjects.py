@@ -13,7 +13,6 @@ of its subjects that a quarter of its sentences deal with.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,29 +78,13 @@ def text_terms(text: str) -> list[list[str]]:
     return [sentence_terms(caseless_(part)) for part in sentences(text)]
 
 
-def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
-    held: Counter = Counter()
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], schema=schema)
-
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            held[""] += 1
-            held.update(set().union(*text_terms(text)))
-        if len(held) > 400_000:
-            yield out()
-            held.clear()
-    yield out()
-
-
 def vocabulary(texts: DataFrame) -> dict[str, int]:
-    """Terms of the graph with their numbers; bounded by d / LEAST_SHARE (see above)."""
-    counts = texts.mapInArrow(_document_frequencies, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    counts = checkpointed(counts)
-    total = counts.where("term = ''").agg(F.sum("n")).first()[0] or 0
-    kept = counts.where(f"term <> '' AND n >= {max(2, LEAST_SHARE * total)} AND n <= {MOST_SHARE * total}").select("term").limit(MOST_TERMS + 1).toArrow().column(0).to_pylist()
+    """Terms of the graph with their numbers; bounded by d / LEAST_SHARE (see above). The frequencies are those of the words
+    as they are stored, in lower case, by built-in expressions."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{2,}(?:-\p{L}+)*"), F.lit(0)))
+    total = texts.count()
+    counts = texts.select(F.explode(found).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    kept = counts.where((F.col("n") >= max(2, LEAST_SHARE * total)) & (F.col("n") <= MOST_SHARE * total)).select("term").limit(MOST_TERMS + 1).toArrow().column(0).to_pylist()
     if len(kept) > MOST_TERMS:
         raise ValueError("too many terms for one broadcast: raise LEAST_SHARE")
     return {term: k for k, term in enumerate(sorted(kept))}

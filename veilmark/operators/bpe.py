@@ -308,19 +308,26 @@ def utility(texts: DataFrame, encode: Tokenizer | Callable[[DataFrame], DataFram
     encode: a tokenizer, or what gives (keys..., unit, tokens) of (keys..., unit). Null texts are left out.
     """
     docs = texts.where("text IS NOT NULL").select(*keys, "idx", "text")
-    sentences = checkpointed(docs.select(*keys, F.posexplode(T.sentence_list(F.col("text"))).alias("place", "sentence"), "idx"))
-    unit = lambda df, own, col: df.select(*keys, *own, F.explode(T.units(F.col(col))).alias("unit")).groupBy(*keys, *own, "unit").agg(F.count("*").alias("cnt"))
-    by_doc, by_sentence = unit(docs, ["idx"], "text"), unit(sentences, ["idx", "place"], "sentence")
+    # sentences are cut once, whatever the keys; a mean over them needs only the totals of their units
+    whole = docs.select("idx", "text").dropDuplicates(["idx"]) if keys else docs
+    cut = whole.select("idx", T.sentence_list(F.col("text")).alias("parts"))
+    cut = cut.select("idx", F.size("parts").alias("parts"), F.flatten(F.transform("parts", T.units)).alias("units"))
+    in_sentences = checkpointed(docs.select(*keys, "idx").join(cut, "idx"))
+    by_sentence = in_sentences.select(*keys, F.explode("units").alias("unit")).groupBy(*keys, "unit").agg(F.count("*").alias("cnt"))
+    by_doc = docs.select(*keys, "idx", F.explode(T.units(F.col("text"))).alias("unit")).groupBy(*keys, "idx", "unit").agg(F.count("*").alias("cnt"))
+    by_doc = checkpointed(by_doc)
     words = docs.select(*keys, F.explode(T.word_list(F.col("text"))).alias("unit")).groupBy(*keys, "unit").agg(F.count("*").alias("n")).where("n <= 2").select(*keys, "unit")
     needed = by_doc.select(*keys, "unit").unionByName(by_sentence.select(*keys, "unit")).unionByName(words)
     encoded = checkpointed(encode_units(needed, encode) if isinstance(encode, Tokenizer) else encode(needed))
     on = [*keys, "unit"]
     n_doc = docs.select(*keys, "idx").join(tokens_by(by_doc, encoded, *keys, "idx"), [*keys, "idx"], "left").fillna({"tokens": 0})
-    n_sentence = sentences.select(*keys, "idx", "place").join(tokens_by(by_sentence, encoded, *keys, "idx", "place"), [*keys, "idx", "place"], "left").fillna({"tokens": 0})
+    n_sentence = in_sentences.groupBy(*keys).agg(F.sum("parts").alias("sentences"))
+    all_sentences = tokens_by(by_sentence, encoded, *keys).withColumnRenamed("tokens", "_all")
+    n_sentence = n_sentence.join(all_sentences, list(keys), "left") if keys else n_sentence.crossJoin(all_sentences)
     parts = [
         docs.groupBy(*keys).agg(F.count("*").alias("documents"), F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.length("text")).alias("characters")),
         n_doc.groupBy(*keys).agg(F.sum("tokens").alias("tokens"), F.avg("tokens").alias("tokens_per_document"), F.median("tokens").alias("median_tokens_per_document")),
-        n_sentence.groupBy(*keys).agg(F.count("*").alias("sentences"), F.avg("tokens").alias("tokens_per_sentence")),
+        n_sentence.select(*keys, "sentences", F.try_divide(F.coalesce("_all", F.lit(0)).cast("double"), "sentences").alias("tokens_per_sentence")),
         words.join(encoded, on).groupBy(*keys).agg(
             F.count("*").alias("rare_words"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("rare_split_length"),
             F.coalesce(F.avg(F.when((F.size("tokens") == 1) & (F.col("tokens")[0] != "[UNK]"), 1.0).otherwise(0.0)), F.lit(0.0)).alias("rare_single_coverage"),

@@ -54,6 +54,13 @@ def bounded_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame, used: str) -> DataFrame:
+    """A scan that has fewer splits than there are cores, dealt out over the cores; a larger one as it is. used: a column that
+    is read later; it is marked as not deterministic, as costly filters would be pushed back into the few splits else."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores).withColumn(used, F.when(F.monotonically_increasing_id() >= 0, F.col(used))) if df.rdd.getNumPartitions() < cores else df
+
+
 def one_copy(spark: SparkSession, folder: str, name: str, key: str, *columns: str) -> DataFrame:
     """(key, columns...) of a stored table with one row a non-null key: of rows delivered several times one stays
     whole, always the same. Only keys and places are shuffled to find the repeated ones; the rows themselves stay where they
@@ -65,7 +72,7 @@ def one_copy(spark: SparkSession, folder: str, name: str, key: str, *columns: st
     few = repeated.limit(BROADCAST_ROWS + 1).toArrow()
     if few.num_rows <= BROADCAST_ROWS:
         repeated = F.broadcast(spark.createDataFrame(few))
-    kept = rows.select(key, *columns, F.xxhash64(place).alias("_place")).join(repeated, key, "left").where("_first IS NULL OR _place = _first")
+    kept = spread(rows.select(key, *columns, F.xxhash64(place).alias("_place")), "_place").join(repeated, key, "left").where("_first IS NULL OR _place = _first")
     return kept.select(key, *columns)
 
 

@@ -129,15 +129,16 @@ def sure_prefix(pairs: list[tuple[int, str, str]]) -> int:
     those. So pairs that share no symbol with each other are sure while they are more frequent than the first that does.
     """
     used: set[str] = set()
-    products: set[str] = set()
-    for k, (_, left, right) in enumerate(pairs):
-        if left in used or right in used or left in products or right in products or left + right in used:
-            return max(1, next(j for j in range(k + 1) if pairs[j][0] == pairs[k][0]))
-        if left == right:  # it overlaps itself, and what follows may be beaten by what it makes
-            return k + 1
-        used |= {left, right}
-        products.add(left + right)
-    return max(1, next(j for j in range(len(pairs)) if pairs[j][0] == pairs[-1][0])) if len(pairs) > 1 else len(pairs)
+    cut = 0
+    for _, left, right in pairs:
+        if {left, right, left + right} & used:
+            break
+        used |= {left, right, left + right}
+        cut += 1
+        if left == right:  # it overlaps itself, and what it makes may come next
+            break
+    unseen = pairs[min(cut, len(pairs) - 1)][0] if pairs else 0
+    return min(len(pairs), max(1, sum(n > unseen for n, _, _ in pairs[:cut])))
 
 
 def learn_in_rounds(units: DataFrame, vocab_size: int, min_pairs: int = 2, special: tuple[str, ...] = SPECIAL_TOKENS, look: int = 256) -> Tokenizer:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilmark.functions import text as T
 from veilmark.operators import corpus, roles
-from veilmark.session import checkpointed
+from veilmark.session import bounded_broadcast, checkpointed
 
 
 def final_corpus(records: DataFrame, rules: corpus.Validity, least: int, cap: int, sites: int, seed: int, sequential: bool = False) -> DataFrame:
@@ -18,16 +18,20 @@ def final_corpus(records: DataFrame, rules: corpus.Validity, least: int, cap: in
 
     The duplicates go before the sites are chosen, as a site may fall below its least number by them. ``sequential``
     applies the strict stream rule, in which a copy is kept when the first one was turned away by its site's cap.
+    Only indexes, sites and digests are shuffled; the texts join the published rows at the end.
     """
     valid = corpus.with_validity(records, rules).where("reason IS NULL AND site_id IS NOT NULL").drop("reason")
-    hashed = checkpointed(valid.withColumn("norm_hash", F.sha2(T.normalized(F.col("text")), 256)))
+    keys = checkpointed(valid.select("idx", "site_id", F.sha2(T.normalized(F.col("text")), 256).alias("norm_hash")))
     if sequential:
-        kept = hashed.join(corpus.retained_sequential(hashed, cap).select("idx"), "idx", "left_semi")
+        kept = corpus.retained_sequential(keys, cap).select("idx", "site_id", "norm_hash")
     else:
-        kept = corpus.capped(corpus.first_occurrences(hashed.select("norm_hash", "idx", "site_id", "text"), "norm_hash", "idx"), "site_id", "idx", cap)
+        kept = corpus.capped(corpus.first_occurrences(keys.select("norm_hash", "idx", "site_id"), "norm_hash", "idx"), "site_id", "idx", cap)
+    kept = checkpointed(kept.select("idx", "site_id", "norm_hash"))
     counts = corpus.qualified_sites(kept, "site_id", least)
     chosen = counts.orderBy(T.hash_rank_key("final", "main", str(seed), F.col("site_id"))).limit(sites).select("site_id")
-    return kept.join(chosen, "site_id", "left_semi").select("idx", "site_id", "norm_hash", "text", F.length("text").alias("char_count"), F.octet_length("text").alias("byte_count"))
+    published = kept.join(chosen, "site_id", "left_semi").select("idx", "norm_hash")
+    rows = valid.join(bounded_broadcast(published), "idx")
+    return rows.select("idx", "site_id", "norm_hash", "text", F.length("text").alias("char_count"), F.octet_length("text").alias("byte_count"))
 
 
 def development_sites(candidates: DataFrame, main_candidates: DataFrame, main: DataFrame) -> DataFrame:

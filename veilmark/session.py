@@ -61,13 +61,13 @@ def spread(df: DataFrame, used: str) -> DataFrame:
     return df.repartition(cores).withColumn(used, F.when(F.monotonically_increasing_id() >= 0, F.col(used))) if df.rdd.getNumPartitions() < cores else df
 
 
-def one_copy(spark: SparkSession, folder: str, name: str, key: str, *columns: str) -> DataFrame:
+def one_copy(spark: SparkSession, folder: str, name: str, key: str, *columns: str, where: str = "true") -> DataFrame:
     """(key, columns...) of a stored table with one row a non-null key: of rows delivered several times one stays
     whole, always the same. Only keys and places are shuffled to find the repeated ones; the rows themselves stay where they
-    are, unless so many keys are repeated that their list is no broadcast.
+    are, unless so many keys are repeated that their list is no broadcast. where: a condition that reaches the scan.
     """
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    rows = table(spark, folder, name).where(F.col(key).isNotNull())
+    rows = table(spark, folder, name).where(F.col(key).isNotNull()).where(where)
     repeated = rows.select(key, F.xxhash64(place).alias("_place")).groupBy(key).agg(F.count("*").alias("_n"), F.min("_place").alias("_first")).where("_n > 1").select(key, "_first")
     few = repeated.limit(BROADCAST_ROWS + 1).toArrow()
     if few.num_rows <= BROADCAST_ROWS:

@@ -121,6 +121,16 @@ def test_repeated_words_and_rare_differences_are_found(spark, monkeypatch, hot):
     assert len(expected) >= 3660 and {tuple(r) for r in overlap.cross_split(df, plans).collect()} == expected
 
 
+def test_rare_words_are_indexed_from_the_rarest_on(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "COMMON_WORD_SHARE", 2.0)  # all words are rare
+    texts = [(k, "s0", " ".join([f"own{k % 30}x{j}" for j in range(5)] + [f"one{k}"] + [f"all{j}" for j in range(19)])) for k in range(60)]
+    df = spark.createDataFrame(texts, "source_record_index bigint, site_id string, text string")
+    bags = overlap.bags(df, overlap.common_words(df.select("text")))
+    index = overlap.posted(bags.selectExpr("source_record_index AS rep", "3Y AS side", "seq", "lone"))
+    # 6 of 25 words are indexed; the word of one text meets nothing, and those of all texts come last
+    assert sorted(r["count"] for r in index.groupBy("key").count().collect()) == [2] * 150
+
+
 def test_packing_round_trip():
     for symbols in ([], [3, 70_000, 70_000], [1, 2, 2], [1 << 31, (1 << 32) - 1, 5]):
         ordered = np.array(sorted(symbols, key=lambda x: (x < 1 << 31, x)), np.uint32)

@@ -4,7 +4,7 @@ Method: an index of the texts, in which every training text meets every evaluati
 matches are filtered by exact bounds, and what is left is compared exactly.
 
 Word order does not matter here, so a text stands as its tokens (word, occurrence number) from the rarest to the most
-common; equal bags of words are one class before anything is searched. Of n tokens the n - ceil(0.8 n) + 1 rarest are
+common (rare ones by the powers of two of their counts, see Order); equal bags of words are one class before anything is searched. Of n tokens the n - ceil(0.8 n) + 1 rarest are
 indexed: two texts that share 80 % have one of these in common, as all their tokens before the first common one differ
 (prefix filtering). Lengths, the places of the common token and the parities of hashed tokens bound what a pair can share,
 so no bound drops a pair. Tokens that too many texts have are searched in blocks of texts, every block with every block.
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ MEMBER, NONMEMBER = "target_member_site_ids", "target_nonmember_site_ids"
 #: 80 % as a fraction.
 SHARED, OF = 4, 5
 #: A token of at least this share of the records is ordered by its frequency; there are at most (mean tokens of a
-#: record / share) such tokens. Rarer ones come first, by their hash.
+#: record / share) such tokens. Rarer ones come first, by the logarithm of their cell's count, then by their hash.
 COMMON_WORD_SHARE = 2e-4
+#: Cells, by hash, in which the rarer tokens are counted: a byte each for the tasks, whatever the input.
+CELLS = 1 << 23
 #: Indexed texts of a token before it is searched in blocks of about so many; candidates compared at once.
 HOT_KEY, CANDIDATES = 20_000, 2_000_000
 #: 64-bit words of a text's parity bitmap.
@@ -56,12 +59,17 @@ def tokens(found: list[str]) -> list[str]:
     return out
 
 
+def rare_symbol(word: str) -> int:
+    """A token by 31 bits of its hash, over the places of the common ones."""
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=4).digest(), "little") | 1 << 31
+
+
 def _word_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("word", pa.string()), ("cell", pa.int32()), ("n", pa.int64())])
     held: Counter = Counter()
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([rare_symbol(w) % CELLS for w in held], pa.int32()), pa.array(list(held.values()), pa.int64())], schema=schema)
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
@@ -73,16 +81,31 @@ def _word_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     yield out()
 
 
-def common_words(texts: DataFrame) -> tuple[list[str], list[int], int]:
-    """Common tokens from the rarest on, their record counts, and the count of all rows. Bounded, see COMMON_WORD_SHARE."""
-    counts = checkpointed(texts.mapInArrow(_word_frequencies, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+class Order(NamedTuple):
+    """A total order of the tokens, from the rarest on: rare ones by the class of their cell and their hash, then the common
+    ones. Any order finds the same pairs; the nearer to the counts it is, the fewer texts meet in a token."""
+
+    common: list[str]  # from the rarest on
+    counts: list[int]
+    total: int  # rows
+    classes: np.ndarray  # whole binary logarithms of the cells' counts
+
+
+def common_words(texts: DataFrame) -> Order:
+    """Bounded, see COMMON_WORD_SHARE and CELLS."""
+    counts = checkpointed(texts.mapInArrow(_word_frequencies, "word string, cell int, n bigint").groupBy("word").agg(F.first("cell").alias("cell"), F.sum("n").alias("n")))
     total = counts.where("word = ''").agg(F.sum("n")).first()[0] or 0
-    kept = sorted((r["n"], r["word"]) for r in counts.where(f"word <> '' AND n >= {max(3, COMMON_WORD_SHARE * total)}").toLocalIterator(True))
-    return [w for _, w in kept], [n for n, _ in kept], total
+    least = max(3, COMMON_WORD_SHARE * total)
+    kept = sorted((r["n"], r["word"]) for r in counts.where(f"word <> '' AND n >= {least}").toLocalIterator(True))
+    cells = counts.where(f"word <> '' AND n < {least}").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
+    cells = cells.select("cell", F.floor(F.log2("n")).cast("tinyint").alias("class")).toArrow()
+    classes = np.zeros(CELLS, np.uint8)
+    classes[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
+    return Order([w for _, w in kept], [n for n, _ in kept], total, classes)
 
 
 def pack(symbols: np.ndarray) -> bytes:
-    """A sorted sequence: rare words as 4 bytes, common ones as 2 (or 3, in a larger vocabulary)."""
+    """An ordered sequence: rare words as 4 bytes, common ones as 2 (or 3, in a larger vocabulary)."""
     rare = symbols[symbols >= _RARE]
     common = symbols[symbols < _RARE]
     wide = len(common) > 0 and int(common[-1]) > 0xFFFF
@@ -101,16 +124,18 @@ def unpack(data: bytes) -> np.ndarray:
     return np.concatenate([rare, common])
 
 
-def bags(df: DataFrame, words_of: tuple[list[str], list[int], int]) -> DataFrame:
-    """(source_record_index, site_id, variant, bag, n, seq): digests of a text and of its bag of words, its size and its tokens in order."""
-    ranks = df.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(words_of[0])})
-    schema = pa.schema([("source_record_index", pa.int64()), ("site_id", pa.string()), ("variant", pa.binary()), ("bag", pa.binary()), ("n", pa.int32()), ("seq", pa.binary())])
+def bags(df: DataFrame, words_of: Order) -> DataFrame:
+    """(source_record_index, site_id, variant, bag, n, lone, seq): digests of a text and of its bag of words, its size, its
+    tokens in order and how many of them, the first, no other text has."""
+    ranks = df.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(words_of.common)})
+    cells = df.sparkSession.sparkContext.broadcast(words_of.classes)
+    schema = pa.schema([("source_record_index", pa.int64()), ("site_id", pa.string()), ("variant", pa.binary()), ("bag", pa.binary()), ("n", pa.int32()), ("lone", pa.int32()), ("seq", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = ranks.value.get
+        get, classes = ranks.value.get, cells.value
         known: dict[str, int] = {}
         for batch in batches:
-            variant, bag, n, seq = [], [], [], []
+            variant, bag, n, lone, seq = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 found = words(text)
                 symbols = []
@@ -119,18 +144,20 @@ def bags(df: DataFrame, words_of: tuple[list[str], list[int], int]) -> DataFrame
                     if s is None and (s := known.get(w)) is None:
                         if len(known) > 1_000_000:
                             known.clear()
-                        s = known[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=4).digest(), "little") | 1 << 31
+                        s = known[w] = rare_symbol(w)
                     symbols.append(s)
                 # rare words first (they have the high bit), then common ones from the rarest on
-                ordered = np.sort(np.array(symbols, np.uint32))
-                cut = np.searchsorted(ordered, _RARE)
+                own = np.array(symbols, np.uint64)
+                order = np.where(own >= _RARE, classes[own % np.uint64(CELLS)], 255).astype(np.uint64)
+                ordered = np.sort(order << np.uint64(32) | own).astype(np.uint32)
+                lone.append(int((order == 0).sum()))
                 variant.append(hashlib.blake2b(text.encode(), digest_size=16).digest())
                 bag.append(hashlib.blake2b("\n".join(sorted(found)).encode(), digest_size=16).digest())
                 n.append(len(found))
-                seq.append(pack(np.concatenate([ordered[cut:], ordered[:cut]])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(variant, pa.binary()), pa.array(bag, pa.binary()), pa.array(n, pa.int32()), pa.array(seq, pa.binary())], schema=schema)
+                seq.append(pack(ordered))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(variant, pa.binary()), pa.array(bag, pa.binary()), pa.array(n, pa.int32()), pa.array(lone, pa.int32()), pa.array(seq, pa.binary())], schema=schema)
 
-    return df.select("source_record_index", "site_id", "text").mapInArrow(run, "source_record_index bigint, site_id string, variant binary, bag binary, n int, seq binary")
+    return df.select("source_record_index", "site_id", "text").mapInArrow(run, "source_record_index bigint, site_id string, variant binary, bag binary, n int, lone int, seq binary")
 
 
 def least_shared(x, y):
@@ -139,7 +166,7 @@ def least_shared(x, y):
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each indexed token of a text: its place, the text's size and parity bitmap."""
+    """A row for each indexed token of a text that another may have: its place, the text's size and parity bitmap."""
     names = ["key", "rep", "side", "n", "place", *(f"bits{k}" for k in range(LANES))]
     for batch in batches:
         for lo in range(0, batch.num_rows, 2000):
@@ -151,7 +178,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parity = np.bincount(owner * width + (_mix(symbols.astype(np.uint64)) % np.uint64(width)).astype(np.int64), minlength=len(seqs) * width) & 1
             bits = np.packbits(parity.astype(np.uint8).reshape(len(seqs), width), axis=1).view(np.int64)
             place = np.arange(len(symbols)) - np.repeat(np.cumsum(n) - n, n)
-            kept = place <= n[owner] - -(-SHARED * n[owner] // OF)
+            kept = (place <= n[owner] - -(-SHARED * n[owner] // OF)) & (place >= part.column(3).to_numpy()[owner])
             of = owner[kept]
             rows = part.take(pa.array(of))
             columns = [pa.array(symbols[kept].astype(np.int64)), rows.column(0), rows.column(1), pa.array(n[of].astype(np.int32)), pa.array(place[kept].astype(np.int32)), *(pa.array(bits[of, k]) for k in range(LANES))]
@@ -166,9 +193,9 @@ def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["key", "n"])
 
     for batch in batches:
-        for data in batch.column(2).to_pylist():
+        for data, lone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             seq = unpack(data)
-            held.update(seq[: len(seq) + 1 - -(-SHARED * len(seq) // OF)].tolist())
+            held.update(seq[lone : len(seq) + 1 - -(-SHARED * len(seq) // OF)].tolist())
         if len(held) > 400_000:
             yield out()
             held.clear()
@@ -180,7 +207,7 @@ _POSTED = "key bigint, rep bigint, side tinyint, n int, place int, " + ", ".join
 
 def posted(reps: DataFrame) -> DataFrame:
     """Index rows of the texts; a token of more than HOT_KEY texts is cut into cells, in which each two blocks of its texts meet."""
-    plain = reps.select("rep", "side", "seq")
+    plain = reps.select("rep", "side", "seq", "lone")
     rows = plain.mapInArrow(_postings, _POSTED)
     counts = plain.mapInArrow(_count_keys, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     hot = checkpointed(counts.where(F.col("n") > HOT_KEY).select("key", F.ceil(F.col("n") / HOT_KEY).cast("int").alias("blocks")))
@@ -281,7 +308,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_classes(reps: DataFrame) -> DataFrame:
     """(rep_a, rep_b): distinct bags that share 80 % of their words, one of a training and one of an evaluation text.
 
-    reps: rep, side, seq.
+    reps: rep, side, seq, lone.
     """
     met = posted(reps).repartition("key").sortWithinPartitions("key", "n").mapInArrow(_meet, "rep_a bigint, rep_b bigint").distinct()
     seqs = lambda x: reps.select(F.col("rep").alias(f"rep_{x}"), F.col("seq").alias(f"seq_{x}"))
@@ -304,11 +331,11 @@ def cross_split(records_: DataFrame, manifests: DataFrame) -> DataFrame:
     texts = records_.where("source_record_index IS NOT NULL AND text IS NOT NULL").join(bounded_broadcast(sides), "site_id")
     words_of = common_words(texts.select("text"))
     all_bags = bags(texts, words_of).where("n > 0")
-    rows = checkpointed(all_bags.join(bounded_broadcast(sides), "site_id").select("source_record_index", "site_id", "variant", "bag", "side", "plans", "seq"))
-    reps = rows.groupBy("bag").agg(F.min("source_record_index").alias("rep"), F.bit_or("side").alias("side"), F.max("seq").alias("seq"), F.count("*").alias("rows"), F.max("source_record_index").alias("last"))
+    rows = checkpointed(all_bags.join(bounded_broadcast(sides), "site_id").select("source_record_index", "site_id", "variant", "bag", "side", "plans", "lone", "seq"))
+    reps = rows.groupBy("bag").agg(F.min("source_record_index").alias("rep"), F.bit_or("side").alias("side"), F.max("seq").alias("seq"), F.max("lone").alias("lone"), F.count("*").alias("rows"), F.max("source_record_index").alias("last"))
     reps = reps.withColumn("copies", F.when(F.col("rep") == F.col("last"), 1).otherwise(F.col("rows")))  # a repeated row is no copy
     reps = checkpointed(reps)
-    near = near_classes(reps.select("rep", "side", "seq"))
+    near = near_classes(reps.select("rep", "side", "seq", "lone"))
     members = rows.select("source_record_index", "site_id", "variant", "bag", "plans").distinct()
     classes = reps.select("bag", "rep")
     linked = near.select("rep_a", "rep_b").unionByName(reps.where("copies > 1").select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b")))

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veilmark.functions import text as T
-from veilmark.operators import attacks, bpe, classifier, corpus, metrics, paillier, privacy, private_bpe, reporting, roles, tokens
+from veilmark.operators import attacks, bpe, classifier, corpus, metrics, paillier, privacy, private_bpe, reporting, roles, tokens, unitbags
 
 
 # ---- text and corpus
@@ -362,3 +362,29 @@ def test_classifier(spark):
     df = classifier.features(spark.createDataFrame(rows, "label int, tokens array<string>"), "tokens", 64)
     _, score = classifier.trained(df.limit(80), df, (0.01,), 10)
     assert score > 0.95
+
+
+def test_packed_sums_equal_unit_rows(spark):
+    rows = [(f"s{k % 4}", " ".join(f"w{k * j % 7}" for j in range(1, 9)) + " w1w") for k in range(12)] + [("s9", "of no group"), ("s1", None), ("s2", "")]
+    texts = spark.createDataFrame(rows, "site_id string, text string")
+    members = spark.createDataFrame([(1, "s0"), (1, "s1"), (2, "s2"), (None, "s3")], "manifest_id bigint, site_id string")
+    plans = [(1, 0, "s1"), (1, 0, "s2"), (1, None, "s3"), (2, 1, "s0"), (2, 1, "s9"), (2, 2, "absent")]
+    training = spark.createDataFrame(plans, "manifest_id bigint, shadow_id int, site_id string")
+    bags = unitbags.site_bags(texts)
+    units = tokens.unit_counts(texts, "site_id")
+    order = lambda df: sorted(map(repr, df.collect()))
+    assert bags.count() == 5 and order(unitbags.unit_rows(bags)) == order(units)
+    lists = unitbags.top_units(bags, members, training, 6, 4)
+    assert order(unitbags.target_rows(lists)) == order(tokens.top_units_as_vocab(units.join(members, "site_id"), 6, "manifest_id"))
+    assert order(unitbags.shadow_rows(lists)) == order(tokens.top_units_as_vocab(units.join(training, "site_id"), 4, "manifest_id", "shadow_id"))
+    vocab = unitbags.target_rows(lists).where("manifest_id IS NOT NULL")
+    involved = training.select("manifest_id", "site_id").distinct()
+    counts = tokens.token_counts(units, tokens.substring_tokens(units, vocab), "site_id")
+    own = counts.join(members.unionByName(involved).distinct(), "site_id").join(vocab.select("manifest_id", "token"), ["manifest_id", "token"], "left_semi")
+    background = unitbags.background(bags, vocab, involved, "manifest_id")
+    expected = tokens.background_counts(own, involved, "manifest_id")
+    assert order(background.select("manifest_id", "token", "cnt")) == order(expected.select("manifest_id", "token", "cnt"))
+    law = spark.createDataFrame([(1, 1.2, 2), (2, 1.2, 2)], "manifest_id bigint, alpha double, xmin int")
+    sites = members.where("manifest_id IS NOT NULL")
+    got = unitbags.frequency_scores(bags, background, attacks.zipf_rarity(vocab, law, "manifest_id"), involved, sites, "manifest_id")
+    assert order(got) == order(attacks.frequency_scores(own.join(sites, ["manifest_id", "site_id"]), expected, involved, vocab, sites, law, "manifest_id"))

@@ -66,7 +66,7 @@ def _unused(*_, **__):
     raise AssertionError("unit rows are copied to every manifest")
 
 
-@pytest.mark.parametrize("name", ["bpe_train", "bpe_shadows"])
+@pytest.mark.parametrize("name", ["bpe_train", "bpe_shadows", "bpe_derived"])
 def test_queries_copy_no_unit_rows(spark, small, monkeypatch, name):
     monkeypatch.setattr(bpe, "train_each", _unused)
     monkeypatch.setattr(bpe, "encode_each", _unused)

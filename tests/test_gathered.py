@@ -61,12 +61,23 @@ def test_trained_in_bins_as_by_key(spark, given_tables, monkeypatch, limit):
     assert _rows(gathered.targets(trained)) == expected[0]
     assert _rows(trained.where("NOT target").drop("target")) == expected[1]
 
+@pytest.mark.parametrize("limit", [10**6, 30])
+def test_tokens_of_sites_as_by_joins(spark, given_tables, monkeypatch, limit):
+    texts, roles, _ = given_tables
+    bags = unitbags.site_bags(texts)
+    units = unitbags.unit_rows(bags.select("site_id", "bag"))
+    own = units.join(roles.where("role = 'target_pool'").select("manifest_id", "site_id"), "site_id")
+    encoded = bpe.encode_each(own, bpe.train_target(units, roles, 40), "manifest_id")
+    expected = _rows(bpe.tokens_by(own, encoded, "manifest_id", "site_id"))
+    monkeypatch.setattr(bpe, "LOCAL_UNITS", limit)
+    assert _rows(gathered.site_tokens(bags, gathered.members(roles).unionByName(gathered.pool(roles)), 40)) == expected
+
 
 def _unused(*_, **__):
     raise AssertionError("unit rows are copied to every manifest")
 
 
-@pytest.mark.parametrize("name", ["bpe_train", "bpe_shadows", "bpe_derived"])
+@pytest.mark.parametrize("name", ["bpe_train", "bpe_shadows", "bpe_derived", "bpe_encode"])
 def test_queries_copy_no_unit_rows(spark, small, monkeypatch, name):
     monkeypatch.setattr(bpe, "train_each", _unused)
     monkeypatch.setattr(bpe, "encode_each", _unused)

@@ -77,8 +77,23 @@ def _unused(*_, **__):
     raise AssertionError("unit rows are copied to every manifest")
 
 
-@pytest.mark.parametrize("name", ["bpe_train", "bpe_shadows", "bpe_derived", "bpe_encode"])
+@pytest.mark.parametrize("name", ["bpe_train", "bpe_shadows", "bpe_derived", "bpe_encode", "tokenizer_utility"])
 def test_queries_copy_no_unit_rows(spark, small, monkeypatch, name):
     monkeypatch.setattr(bpe, "train_each", _unused)
     monkeypatch.setattr(bpe, "encode_each", _unused)
     assert catalog.queries()[name](spark, small).count() > 0
+
+
+@pytest.mark.parametrize("limit", [10**6, 30])
+def test_utility_as_by_joins(spark, given_tables, monkeypatch, limit):
+    texts, roles, _ = given_tables
+    bags = unitbags.site_bags(texts)
+    units = unitbags.unit_rows(bags.select("site_id", "bag"))
+    t = bpe.train_target(units, roles, 40)
+    held = texts.join(roles.where("role = 'target_nonmember'").select("manifest_id", "site_id"), "site_id")
+    expected = bpe.utility(held, lambda x: bpe.encode_each(x, t, "manifest_id"), "manifest_id")
+    order = expected.columns
+    expected = _rows(expected)
+    monkeypatch.setattr(bpe, "LOCAL_UNITS", limit)
+    got = gathered.utility(texts, bags, gathered.members(roles).unionByName(gathered.pool(roles, "target_nonmember")), 40)
+    assert got.columns == order and _rows(got) == expected

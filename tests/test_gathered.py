@@ -1,12 +1,14 @@
 """Tokenizers trained and used in bins of manifests, against the functions that copy unit rows to every manifest."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from veilmark import catalog
-from veilmark.operators import bpe, flat, gathered, unitbags
+from veilmark.operators import bagpairs, bpe, flat, gathered, private_bpe, tokens, unitbags
 
 UNITS = st.dictionaries(st.text("abcd", min_size=1, max_size=9), st.integers(1, 9), min_size=1, max_size=20)
 
@@ -97,3 +99,33 @@ def test_utility_as_by_joins(spark, given_tables, monkeypatch, limit):
     monkeypatch.setattr(bpe, "LOCAL_UNITS", limit)
     got = gathered.utility(texts, bags, gathered.members(roles).unionByName(gathered.pool(roles, "target_nonmember")), 40)
     assert got.columns == order and _rows(got) == expected
+
+
+def test_pairs_of_bags_equal_pairs_of_words(spark):
+    rows = [(f"s{k % 3}", u, 1 + k) for k, u in enumerate("abab aaab abcab cabba bab aaaaa é éab".split())]
+    units = spark.createDataFrame([*rows, ("s9", None, 3)], "site_id string, unit string, cnt bigint")
+    bags = unitbags.bags_of_units(units)
+    rounds = [[("a", "b"), ("c", "a")], [("ab", "a"), ("a", "a")], [("ab", "ab")]]
+    words = tokens.words_of(units.where("unit IS NOT NULL"), "site_id").select("site_id", "symbols", "freq")
+    for k in range(len(rounds) + 1):
+        by_site = tokens.symbol_pairs(words, "site_id").collect()
+        expected = Counter()
+        for r in by_site:
+            expected[r.left, r.right] += r.cnt
+        got = Counter()
+        for r in bagpairs.pair_counts(bags, rounds[:k]).collect():
+            got[r.left, r.right] += r.cnt
+        assert got == expected
+        pairs = sorted(expected, reverse=True)
+        values = {(r.site_id, pairs[r.coord]): r.value for r in bagpairs.vectors(bags, rounds[:k], pairs).collect()}
+        assert values == {(s, p): 0 for s in ("s0", "s1", "s2", "s9") for p in pairs} | {(r.site_id, (r.left, r.right)): r.cnt for r in by_site}
+        norms = {r.site_id: r.norm for r in bagpairs.vectors(bags, rounds[:k], pairs, norms=True).collect()}
+        assert norms == {s: sum(n for (x, _), n in values.items() if x == s) for s in ("s0", "s1", "s2", "s9")}
+        if k < len(rounds):
+            words = private_bpe.apply_merges(words, rounds[k])
+    assert bagpairs.letters(bags) == ["a", "b", "c", "é"]
+
+
+def test_private_training_writes_no_words(spark, small, monkeypatch):
+    monkeypatch.setattr(tokens, "words_of", _unused)
+    assert catalog.queries()["private_training"](spark, small).count() > 0

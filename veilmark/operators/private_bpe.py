@@ -1,7 +1,7 @@
 """Private training of a vocabulary: public candidates, private vectors, one aggregation a round, compatible merges.
 
-The word tables and their pair counts stay in Spark; a round rewrites and recounts only the words that hold a chosen pair. Lineage is cut by a reliable
-checkpoint a round, and the driver holds the candidate list (K rows) and the vocabulary.
+A training reads packed bags of its sites' units; each pass applies the merges so far where it reads a bag, and no words are
+written. The driver holds the candidate list (K rows) and the vocabulary.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.operators import paillier, privacy, tokens
+from veilmark.operators import bagpairs, paillier, privacy, tokens, unitbags
 from veilmark.operators.bpe import Tokenizer, merge_pair
 from veilmark.operators.tokens import SPECIAL_TOKENS
 from veilmark.session import checkpointed
@@ -119,7 +119,7 @@ class PrivateTraining:
     """A training; ``advance`` runs one round and returns False at the end. ``state`` is all that a resumed training
     needs besides its inputs: the merges of each round, the spent budgets and the generator."""
 
-    public: DataFrame  # (site_id, unit, cnt)
+    public: DataFrame  # (site_id, unit, cnt), or bags as of unitbags.site_bags
     private: DataFrame
     vocab_size: int
     mode: str = "plain"
@@ -139,19 +139,15 @@ class PrivateTraining:
             raise ValueError("public and private sites overlap")
         if self.mode in ("local_dp", "sa_dp") and not self.epsilon:
             raise ValueError("a private mode needs epsilon")
-        letters = [r["token"] for r in tokens.alphabet(self.public, ()).orderBy("id").collect()]  # characters
+        self.bags = [x.select("site_id", "bag") if "bag" in x.columns else unitbags.bags_of_units(x).select("site_id", "bag") for x in (self.public, self.private)]
+        letters = bagpairs.letters(self.bags[0])
         self.vocab = {t: k for k, t in enumerate([*SPECIAL_TOKENS, *letters])}
         self.rounds = max(1, math.ceil((self.vocab_size - len(self.vocab)) / self.batch))
         self.rng = np.random.default_rng(np.random.SeedSequence([self.seed, MODES.index(self.mode), int(1000 * (self.epsilon or 0))]))
         if self.generator:
             self.rng.bit_generator.state = self.generator
-        self.words = [tokens.words_of(x, "site_id").select("site_id", "symbols", "freq") for x in (self.public, self.private)]
-        for merges in self.rounds_done:
-            self.words = [apply_merges(w, merges) for w in self.words]
-            for a, b in merges:
-                self.vocab.setdefault(a + b, len(self.vocab))
-        self.words = [checkpointed(w) for w in self.words]
-        self.counts = [checkpointed(tokens.symbol_pairs(w, "site_id")) for w in self.words]
+        for a, b in self.merges:
+            self.vocab.setdefault(a + b, len(self.vocab))
 
     @property
     def merges(self) -> list[tuple[str, str]]:
@@ -165,14 +161,12 @@ class PrivateTraining:
             return False  # a budget is divided by the planned rounds: no more are run
         spark = self.public.sparkSession
         known = spark.createDataFrame([(t,) for t in self.vocab], "token string")
-        by_site = self.counts[0]
-        candidates = checkpointed(tokens.top_pairs(by_site, known, self.pool))
+        candidates = tokens.top_pairs(bagpairs.pair_counts(self.bags[0], self.rounds_done), known, self.pool)
         pairs = [(r["left"], r["right"]) for r in candidates.orderBy("coord").collect()]
         if not pairs:
             return False
-        grid = lambda words, counts: tokens.candidate_vectors(counts, words.select("site_id"), candidates)
-        bound = privacy.clip_bound(privacy.site_norms(grid(self.words[0], by_site)), self.clip_quantile).first()["bound"]
-        vectors = grid(self.words[1], self.counts[1])
+        bound = privacy.clip_bound(bagpairs.vectors(self.bags[0], self.rounds_done, pairs, norms=True), self.clip_quantile).first()["bound"]
+        vectors = bagpairs.vectors(self.bags[1], self.rounds_done, pairs)
         budget = privacy.round_budget(self.epsilon, self.rounds) if self.mode in ("local_dp", "sa_dp") else None
         room = self.vocab_size - len(self.vocab)
         chosen, _ = aggregate_round(vectors, pairs, self.mode, min(self.batch, room), bound, budget, self.rng, self.keys)
@@ -183,8 +177,6 @@ class PrivateTraining:
             self.vocab.setdefault(a + b, len(self.vocab))
         self.rounds_done.append(merges)
         self.budgets += [budget] if budget else []
-        both = [merge_round(w, c, merges, "site_id") for w, c in zip(self.words, self.counts)]
-        self.words, self.counts = [w for w, _ in both], [c for _, c in both]
         return True
 
     def run(self) -> Tokenizer:

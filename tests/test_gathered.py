@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 from veilmark import catalog
 from veilmark.operators import bagpairs, bpe, flat, gathered, private_bpe, tokens, unitbags
+from veilmark.plans import experiment, matrix
 
 UNITS = st.dictionaries(st.text("abcd", min_size=1, max_size=9), st.integers(1, 9), min_size=1, max_size=20)
 
@@ -79,7 +80,7 @@ def _unused(*_, **__):
     raise AssertionError("unit rows are copied to every manifest")
 
 
-@pytest.mark.parametrize("name", ["bpe_train", "bpe_shadows", "bpe_derived", "bpe_encode", "tokenizer_utility"])
+@pytest.mark.parametrize("name", ["bpe_train", "bpe_shadows", "bpe_derived", "bpe_encode", "tokenizer_utility", "attack_results"])
 def test_queries_copy_no_unit_rows(spark, small, monkeypatch, name):
     monkeypatch.setattr(bpe, "train_each", _unused)
     monkeypatch.setattr(bpe, "encode_each", _unused)
@@ -129,3 +130,16 @@ def test_pairs_of_bags_equal_pairs_of_words(spark):
 def test_private_training_writes_no_words(spark, small, monkeypatch):
     monkeypatch.setattr(tokens, "words_of", _unused)
     assert catalog.queries()["private_training"](spark, small).count() > 0
+
+
+@pytest.mark.parametrize("limit", [10**6, 30])
+def test_attacks_in_bins_as_by_joins(spark, given_tables, monkeypatch, limit):
+    texts, roles, training = given_tables
+    texts = texts.where("trim(text) <> ''").select("site_id", "text")
+    bags = unitbags.site_bags(texts)
+    units = unitbags.unit_rows(bags.select("site_id", "bag"))
+    rounded = lambda df: sorted((r.run_id, r.manifest_id, r.attack, r.site_id, r.is_member, float(f"{r.score:.9g}")) for r in df.collect())
+    expected = rounded(experiment.five_attacks(units, texts, roles, training, 40, 30, 2, 12))
+    assert {r[2] for r in expected} == {*matrix.ATTACKS}
+    monkeypatch.setattr(bpe, "LOCAL_UNITS", limit)
+    assert rounded(experiment.packed_attacks(bags, texts, roles, training, 40, 30, 2, 12)) == expected

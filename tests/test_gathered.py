@@ -1,5 +1,6 @@
 """Tokenizers trained and used in bins of manifests, against the functions that copy unit rows to every manifest."""
 
+import random
 from collections import Counter
 
 import numpy as np
@@ -143,3 +144,24 @@ def test_attacks_in_bins_as_by_joins(spark, given_tables, monkeypatch, limit):
     assert {r[2] for r in expected} == {*matrix.ATTACKS}
     monkeypatch.setattr(bpe, "LOCAL_UNITS", limit)
     assert rounded(experiment.packed_attacks(bags, texts, roles, training, 40, 30, 2, 12)) == expected
+
+
+def test_attack_results_does_the_whole_job(spark, small, monkeypatch):
+    """As the reference's main configuration: no smaller tokenizers, background or list of scored tokens."""
+    used = []
+    monkeypatch.setattr(catalog, "packed_attacks", lambda *x: used.append(x[4:]) or experiment.packed_attacks(*x))
+    assert catalog.queries()["attack_results"](spark, small).count() > 0
+    assert used == [(16_000, 16_000, 10, 20_000)]
+
+
+@pytest.mark.parametrize("few", [0, 6, 10**9])
+def test_merges_place_by_place_equal_plain_ones(monkeypatch, few):
+    monkeypatch.setattr(flat, "FEW_PLACES", few)
+    rng = random.Random(few)
+    for _ in range(400):
+        units = {"".join(rng.choices("abcd"[: rng.randint(1, 4)], k=rng.randint(1, 12))): rng.randint(1, 9) for _ in range(rng.randint(1, 25))}
+        expected = bpe.learn_merges(units, size := rng.randint(4, 60))
+        codes, starts, weights = flat.chosen(*flat.flat(list(units)), np.arange(len(units)), np.array(list(units.values())))
+        got, begins = flat.learn(codes, weights, size)
+        assert got.merges == expected.merges and got.vocab == expected.vocab
+        assert begins is None or flat.sizes_of(begins, starts).tolist() == [len(expected.encode_unit(u)) for u in units]

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -131,6 +132,43 @@ def test_rare_words_are_indexed_from_the_rarest_on(spark, monkeypatch):
     assert sorted(r["count"] for r in index.groupBy("key").count().collect()) == [2] * 150
 
 
+@pytest.mark.parametrize("dense", [1, 50, 10**9])
+def test_texts_meet_by_parts_as_by_all_pairs(monkeypatch, dense):
+    monkeypatch.setattr(overlap, "DENSE_KEY", dense)
+    rng = random.Random(8)
+    for words_ in (60, 3000):
+        base = [rng.sample(range(words_), rng.randint(1, min(words_, 400))) for _ in range(20)]
+        texts = set()
+        for _ in range(150):
+            x = list(rng.choice(base))
+            for _ in range(rng.choice((0, 1, len(x) // 20, len(x) // 10))):
+                x[rng.randrange(len(x))] = rng.randrange(words_)
+            texts.add(tuple(sorted(set(x))))
+        texts = [np.array(x, np.uint32) for x in sorted(texts)]
+        side = [rng.choice((1, 2, 3)) for _ in texts]
+        columns = [pa.array(range(len(texts)), pa.int64()), pa.array(side, pa.int8()), pa.array(map(overlap.pack, texts), pa.binary()), pa.array([0] * len(texts), pa.int32())]
+        index = pa.Table.from_batches(list(overlap._postings(iter([pa.RecordBatch.from_arrays(columns, names=["rep", "side", "seq", "lone"])]))))
+        found = overlap._meet(iter(index.sort_by([("key", "ascending"), ("n", "ascending")]).to_batches()))
+        got = {p for r in found for p in zip(*(c.to_pylist() for c in r.columns))}
+        sets = [set(x.tolist()) for x in texts]
+        expected = {(a, b) for a, b in combinations(range(len(texts)), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and (side[a] & 1 and side[b] & 2 or side[a] & 2 and side[b] & 1)}
+        assert expected and expected <= got
+
+
+def test_texts_of_a_frequent_token_are_not_all_compared(monkeypatch):
+    rng = np.random.default_rng(9)
+    n = 8000
+    bits = rng.integers(0, 1 << 63, (overlap.LANES, n)).astype(np.uint64)
+    bits[:, 1::100] = bits[:, 0::100]
+    bits[1, 1::100] ^= np.uint64(5)  # two tokens differ
+    compared, least_shared = [], overlap.least_shared
+    monkeypatch.setattr(overlap, "least_shared", lambda x, y: compared.append(np.size(x)) or least_shared(x, y))
+    ones = np.ones(n, np.int64)
+    found = overlap.candidates(ones, np.arange(n), ones * 3, ones * 100, ones * 10, list(bits))
+    assert found.T.tolist() == [[k, k + 1] for k in range(0, n, 100)]
+    assert sum(compared) < n * n / 200
+
+
 def test_packing_round_trip():
     for symbols in ([], [3, 70_000, 70_000], [1, 2, 2], [1 << 31, (1 << 32) - 1, 5]):
         ordered = np.array(sorted(symbols, key=lambda x: (x < 1 << 31, x)), np.uint32)

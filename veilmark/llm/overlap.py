@@ -6,8 +6,10 @@ matches are filtered by exact bounds, and what is left is compared exactly.
 Word order does not matter here, so a text stands as its tokens (word, occurrence number) from the rarest to the most
 common (rare ones by the powers of two of their counts, see Order); equal bags of words are one class before anything is searched. Of n tokens the n - ceil(0.8 n) + 1 rarest are
 indexed: two texts that share 80 % have one of these in common, as all their tokens before the first common one differ
-(prefix filtering). Lengths, the places of the common token and the parities of hashed tokens bound what a pair can share,
-so no bound drops a pair. Tokens that too many texts have are searched in blocks of texts, every block with every block.
+(prefix filtering). Lengths, the places of the common token and the parities of the hashed tokens behind it bound what a
+pair can share, so no bound drops a pair. Among the texts of a token that many have, those meet that agree in one of more
+parts of the parities than may differ, so that not every two are compared. Tokens that too many texts have are searched in
+blocks of texts, every block with every block.
 """
 
 from __future__ import annotations
@@ -35,7 +37,11 @@ COMMON_WORD_SHARE = 2e-4
 #: Cells, by hash, in which the rarer tokens are counted: a byte each for the tasks, whatever the input.
 CELLS = 1 << 23
 #: Indexed texts of a token before it is searched in blocks of about so many; candidates compared at once.
-HOT_KEY, CANDIDATES = 20_000, 2_000_000
+HOT_KEY, CANDIDATES = 500_000, 2_000_000
+#: Indexed texts of a token from which on they meet by parts of their parities; parts up to which that is worth it.
+DENSE_KEY, PARTS = 4_000, 36
+#: Bounds of the classes of texts by the differences left to them behind the token.
+LEFT = (0, 1, 2, 3, 4, 6, 8, 10, 12, 14, 16, 20, 24, 28, 32)
 #: 64-bit words of a text's parity bitmap.
 LANES = 4
 _RARE = np.uint32(1 << 31)
@@ -165,8 +171,22 @@ def least_shared(x, y):
     return -(-SHARED * (x + y) // (SHARED + OF))
 
 
+def _parities_before(symbols: np.ndarray, owner: np.ndarray, place: np.ndarray, n: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Of each kept token, the parity bitmap of its text up to it; the first tokens are kept, but for some at the start."""
+    first = np.flatnonzero(place <= n[owner] - -(-SHARED * n[owner] // OF))
+    bit = _mix(symbols[first].astype(np.uint64)) % np.uint64(64 * LANES)
+    one = np.zeros((len(first), LANES), np.uint64)
+    # as np.packbits: the first bit of a byte is its highest
+    one[np.arange(len(first)), bit // np.uint64(64)] = np.uint64(1) << ((bit % np.uint64(64)) ^ np.uint64(7))
+    sums = np.bitwise_xor.accumulate(one, axis=0)
+    begins = np.flatnonzero(place[first] == 0)
+    before = sums[begins] ^ one[begins]  # of the texts before
+    return (sums ^ np.repeat(before, np.diff(begins, append=len(first)), axis=0))[kept[first]].view(np.int64)
+
+
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each indexed token of a text that another may have: its place, the text's size and parity bitmap."""
+    """A row for each indexed token of a text that another may have: its place, the text's size and the parity bitmap of the
+    tokens behind it."""
     names = ["key", "rep", "side", "n", "place", *(f"bits{k}" for k in range(LANES))]
     for batch in batches:
         for lo in range(0, batch.num_rows, 2000):
@@ -180,8 +200,9 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = np.arange(len(symbols)) - np.repeat(np.cumsum(n) - n, n)
             kept = (place <= n[owner] - -(-SHARED * n[owner] // OF)) & (place >= part.column(3).to_numpy()[owner])
             of = owner[kept]
+            bits = bits[of] ^ _parities_before(symbols, owner, place, n, kept)
             rows = part.take(pa.array(of))
-            columns = [pa.array(symbols[kept].astype(np.int64)), rows.column(0), rows.column(1), pa.array(n[of].astype(np.int32)), pa.array(place[kept].astype(np.int32)), *(pa.array(bits[of, k]) for k in range(LANES))]
+            columns = [pa.array(symbols[kept].astype(np.int64)), rows.column(0), rows.column(1), pa.array(n[of].astype(np.int32)), pa.array(place[kept].astype(np.int32)), *(pa.array(bits[:, k]) for k in range(LANES))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
@@ -248,28 +269,89 @@ def candidates(key: np.ndarray, rep: np.ndarray, side: np.ndarray, n: np.ndarray
     If the token is a pair's first common one, neither text has more tokens before it than it may have beside the shared
     ones, and the shorter text of at least as many as 8/9 of its own tokens has the fewer.
     """
-    first = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])).astype(np.int64) << 32
-    code = first + n
-    low = np.searchsorted(code, first + -(-SHARED * n // OF))
+    number = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]) - 1
+    dense = (np.bincount(number) >= DENSE_KEY)[number] if len(key) else np.zeros(0, bool)
+    pairs = [np.zeros((2, 0), np.int64)]
+    for some, each in ((np.flatnonzero(~dense), _all_pairs), (np.flatnonzero(dense), _by_parts)):
+        if len(some):
+            pairs += each(number[some], rep[some], side[some], n[some], place[some], [b[some] for b in bits])
+    return np.unique(np.concatenate(pairs, axis=1), axis=1)
+
+
+def _near(x: np.ndarray, y: np.ndarray, rep: np.ndarray, side: np.ndarray, n: np.ndarray, place: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
+    """(2, pairs): of the pairs (x, y) those within the bounds."""
+    shared = least_shared(n[x], n[y])
+    left_x, left_y = n[x] - shared - place[x], n[y] - shared - place[y]
+    good = (left_x >= 0) & (left_y >= 0)
+    x, y, left = x[good], y[good], (left_x + left_y)[good]
+    across = ((side[x] & 1) & (side[y] >> 1)) | ((side[x] >> 1) & (side[y] & 1))
+    good = (across > 0) & (rep[x] != rep[y])
+    x, y, left = x[good], y[good], left[good]
+    differ = sum(np.bitwise_count(b[x] ^ b[y]).astype(np.int64) for b in bits)  # at most the tokens behind in one text only
+    good = differ <= left
+    x, y = rep[x[good]], rep[y[good]]
+    return np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+
+
+def _all_pairs(number: np.ndarray, rep: np.ndarray, side: np.ndarray, n: np.ndarray, place: np.ndarray, bits: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Of each key, the pairs of its rows."""
+    first = number.astype(np.int64) << 32
+    low = np.searchsorted(first + n, first + -(-SHARED * n // OF))
     shorter = np.flatnonzero(place <= n - least_shared(n, n))
     begin, end = np.searchsorted(shorter, low), np.searchsorted(shorter, np.arange(len(n)))
+    for which, at in _spread_out(begin, end):
+        yield _near(which, shorter[at], rep, side, n, place, bits)
+
+
+def _spread_out(begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """spread, of about CANDIDATES at once."""
     volume = np.cumsum(end - begin)
-    pairs = [np.zeros((2, 0), np.int64)]
     lo = 0
-    while lo < len(n):
+    while lo < len(begin):
         hi = max(lo + 1, int(np.searchsorted(volume, (volume[lo - 1] if lo else 0) + CANDIDATES, "right")))
         which, at = spread(begin[lo:hi], end[lo:hi])
-        x, y = which + lo, shorter[at]
+        yield which + lo, at
         lo = hi
-        shared = least_shared(n[x], n[y])
-        good = (place[x] <= n[x] - shared) & (place[y] <= n[y] - shared)
-        x, y, shared = x[good], y[good], shared[good]
-        across = ((side[x] & 1) & (side[y] >> 1)) | ((side[x] >> 1) & (side[y] & 1))
-        differ = sum(np.bitwise_count(b[x] ^ b[y]).astype(np.int64) for b in bits)  # at most the tokens in one text only
-        good = (across > 0) & (differ <= n[x] + n[y] - 2 * shared) & (rep[x] != rep[y])
-        x, y = rep[x[good]], rep[y[good]]
-        pairs.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1))
-    return np.unique(np.concatenate(pairs, axis=1), axis=1)
+
+
+def _by_parts(number: np.ndarray, rep: np.ndarray, side: np.ndarray, n: np.ndarray, place: np.ndarray, bits: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Of each key, the pairs of its rows that agree in a part of their parities.
+
+    What may differ behind the token is at most n / 9 - place of one text and of the other, so if the bits are cut into more
+    parts than that, one part is the same in both. Texts with too many differences left for that meet one by one.
+    """
+    bounds = np.array([*LEFT, 1 << 40])
+    level = np.searchsorted(bounds, n / (SHARED + OF) - place, "right")  # the class whose differences are below bounds[level]
+    rows = [np.flatnonzero(level == k) for k in range(len(bounds))]
+    key = _mix(number.astype(np.uint64) + np.uint64(1))
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows[: i + 1]):
+            parts = int(bounds[i] + bounds[j])
+            if not parts or not len(a) or not len(b):
+                continue
+            if parts > PARTS:  # by key alone
+                parts, masks = 1, [[0] * LANES]
+            else:
+                width = 64 * LANES
+                cuts = [width * k // parts for k in range(parts + 1)]
+                masks = [[(((1 << hi) - (1 << lo)) >> 64 * k) & (1 << 64) - 1 for k in range(LANES)] for lo, hi in zip(cuts, cuts[1:])]
+            for mask in masks:
+                codes = []
+                for own in (a,) if i == j else (a, b):
+                    code = key[own]
+                    for lane, m in zip(bits, mask):
+                        if m:
+                            code = _mix(code ^ (lane[own] & np.uint64(m)))
+                    codes.append(code)
+                order = np.argsort(codes[-1])
+                sorted_ = codes[-1][order]
+                wanted = sorted_ if i == j else codes[0]
+                begin = np.arange(1, len(a) + 1) if i == j else np.searchsorted(sorted_, wanted)
+                end = np.searchsorted(sorted_, wanted, "right")
+                mine, others = (a[order] if i == j else a), b[order]
+                some = np.flatnonzero(end > begin)
+                for which, at in _spread_out(begin[some], end[some]):
+                    yield _near(mine[some[which]], others[at], rep, side, n, place, bits)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
